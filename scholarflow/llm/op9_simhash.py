@@ -134,18 +134,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return dealt.select("key", "block_i", "block_j", "own", "fp").mapInPandas(run, "a long, b long").distinct()
 
 
+def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows of `docs` (doc_id, text) as doc_id, text_hash, fp, root (the same for a group) and component_id."""
+    prints = fingerprints(docs.select("doc_id", "text"))
+    prints = checkpointed(prints.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("_out.fingerprint").alias("fp")))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(classes.select("fp"), radius))
+    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that links reach; null only if no id of the group is known.
     """
-    prints = checkpointed(fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("_out.fingerprint").alias("fp")))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp"), radius))
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return groups(docs, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs` without near duplicates: of each group, one row with its smallest doc_id."""
+    kept = groups(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_h"))
+    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
+    # the same row may be there more than once
+    return rows.dropDuplicates(["_id", "_h"]).select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ from .op3_quality import op3_quality
 from .op4_matroska import op4_matroska
 from .op5_urls import SQL as OP5_SQL
 from .op5_urls import op5_urls
+from .op6_suffixes import op6_suffixes
 from .op7_pieces import op7_pieces
 from .op8_embeddings import op8_embeddings
 from .op9_simhash import op9_simhash
 from .op10_mixing import op10_mixing
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_secrets, op3_quality, op4_matroska, op5_urls, op7_pieces, op8_embeddings, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_secrets, op3_quality, op4_matroska, op5_urls, op6_suffixes, op7_pieces, op8_embeddings, op9_simhash, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {"op5_urls": OP5_SQL}
