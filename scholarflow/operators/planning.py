@@ -118,7 +118,7 @@ def accelerate(at: DataFrame, edges: DataFrame) -> DataFrame:
 def schedule(steps: DataFrame, hours_per_day: float, budget: float) -> DataFrame:
     """Days of ordered steps (learner_id, pos, hours), as long as the hours before a step are under 80 % of the budget."""
     before = F.coalesce(F.round(F.sum("hours").over(Window.partitionBy("learner_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), 6), F.lit(0.0))
-    rows = steps.withColumn("before", before).filter(F.col("before") < 0.8 * budget)
+    rows = steps.withColumn("before", before).filter(F.col("before") < round(0.8 * budget, 6))
     return rows.select("learner_id", "pos", "hours", (F.floor(F.col("before") / hours_per_day) + 1).alias("day"))
 
 

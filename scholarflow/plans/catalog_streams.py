@@ -11,18 +11,25 @@ from .registry import add
 from .views import VIEWS
 
 
+SLICES, FILES = 4, 4
+
+
 def _stream(v):
-    """The attempts as a stream: the events file of the folder, read as a file source."""
+    """The attempts as a stream: the events of the folder, one slice of time in every batch."""
     spark = v.spark
-    events = spark.readStream.schema(v.events.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(_folder(v))
+    events = spark.readStream.schema(v.events.schema).option("maxFilesPerTrigger", FILES).option("pathGlobFilter", "*.parquet").parquet(_folder(v))
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need it
     return spark.sql(VIEWS["attempts"], events=events)
 
 
 def _folder(v) -> str:
-    """Events in time order as a few files, so that a replay has several batches."""
+    """Events as slices of time, written one after the other as `FILES` files each; a file source takes the oldest first."""
     where = new_folder(v.spark, "stream")
-    v.events.repartitionByRange(4, "ts").sortWithinPartitions("ts", "event_id").write.parquet(where)
+    at = F.unix_timestamp("ts")
+    low, high = v.events.agg(F.min(at), F.max(at)).first()
+    slice_of = F.least(F.floor((at - (low or 0)) * SLICES / max(1, (high or 0) - (low or 0))), F.lit(SLICES - 1))
+    for k in range(SLICES):
+        v.events.filter(slice_of == k).repartition(FILES).write.mode("append").parquet(where)
     return where
 
 
