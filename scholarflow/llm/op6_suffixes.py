@@ -244,11 +244,12 @@ def _grouped(spans: DataFrame, length: int) -> DataFrame:
 def repeats(texts: DataFrame, length: int = LENGTH, classes: int = CLASSES) -> DataFrame:
     """(d1, d2, a, b): runs of starts of repeated windows in `texts` (d1, d2, text)."""
     found = anchors(texts, length)
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # the lists of grams are kept, so that a join with them is a plain one whose frequent grams Spark can split
+    often = checkpointed(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     kept = checkpointed(found.join(often, "gram"))
     of_class = kept.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d1", "d2", "start")).alias("member"))
     of_class = checkpointed(of_class)
-    several = of_class.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    several = checkpointed(of_class.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1"))
     mixed = of_class.join(several, "gram")
     # the bytes of one member of each class
     wanted = mixed.groupBy("member.d1", "member.d2").agg(F.collect_list(F.struct(*KEY, "classes", F.col("member.start").alias("start"))).alias("wanted"))
