@@ -134,3 +134,39 @@ def parse_code(code: Column, default: str = "general") -> tuple[Column, Column,
     n = F.size(p)
     rest = F.array_join(F.slice(p, 3, 1000), ".")
     return F.when(n >= 2, p[0]).otherwise(default), F.when(n >= 3, p[1]).otherwise("concept"), F.when(n >= 3, rest).when(n == 2, F.element_at(p, 2)).otherwise(p[0])
+
+
+#: Fixed phrases and what a teacher says instead.
+GROWTH_PHRASES = {
+    "you can't": "you haven't learned how to yet",
+    "you're not good at": "you're developing skill in",
+    "it's too hard": "it's challenging, which helps you learn",
+    "you'll never": "with practice, you can",
+}
+
+
+def growth_phrases(text: Column) -> Column:
+    out = text
+    for phrase, instead in GROWTH_PHRASES.items():
+        out = F.regexp_replace(out, f"(?i){phrase}", instead)
+    return out
+
+
+def shorten(text: Column, words: int) -> Column:
+    """A text of more than `words` words cut to the first half of its sentences, two at least."""
+    parts = F.split(text, r"\. ")
+    half = F.concat(F.array_join(F.slice(parts, 1, F.greatest(F.lit(2), F.floor(F.size(parts) / 2).cast("int"))), ". "), F.lit("."))
+    return F.when(F.size(F.split(text, " ")) > words, half).otherwise(text)
+
+
+def numbered(text: Column) -> Column:
+    """The first five sentences as numbered lines; a single sentence stays."""
+    parts = F.split(text, r"\. ")
+    lines = F.transform(F.slice(parts, 1, 5), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
+    return F.when(F.size(parts) > 1, F.array_join(lines, "\n")).otherwise(text)
+
+
+def domain_score(text: Column, key: Column, name: Column, aliases: Column) -> Column:
+    """How well a text names a domain: its key, its full name, or its best alias, where longer ones are better."""
+    parts = F.transform(aliases, lambda a: F.when(a == text, 0.95).when(F.contains(text, a), F.least(F.lit(0.85), 0.6 + F.length(a) / 50)).otherwise(0.0))
+    return F.when(text == key, 1.0).when(F.contains(text, key), 0.9).when(F.contains(text, F.lower(name)), 0.95).otherwise(F.coalesce(F.array_max(parts), F.lit(0.0)))

@@ -193,3 +193,12 @@ def rubric_score(levels: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted sum of criterion levels, and its band; the rubric (a table of criteria) is a lookup side of a few rows."""
     score = levels.join(F.broadcast(weights), "criterion").groupBy("learner_id").agg(F.sum(F.col("weight") * F.col("level")).alias("score"))
     return score.withColumn("band", F.when(F.col("score") >= 0.8, "excellent").when(F.col("score") >= 0.6, "good").when(F.col("score") >= 0.4, "fair").otherwise("poor"))
+
+
+def grader_quality(grades: DataFrame, keys: list[str]) -> DataFrame:
+    """Spearman correlation of grades with reference grades, and of grades with answer length (grade, reference, length)."""
+    rank = lambda c: F.avg("_rn").over(Window.partitionBy(*keys, c))
+    rows = grades
+    for c in ("grade", "reference", "length"):
+        rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(c))).withColumn(f"r_{c}", rank(c)).drop("_rn")
+    return rows.groupBy(*keys).agg(F.corr("r_grade", "r_reference").alias("rho"), F.corr("r_grade", "r_length").alias("length_bias"), F.stddev_samp("grade").alias("spread"))

@@ -124,3 +124,61 @@ def judge_score(rows: DataFrame) -> DataFrame:
     mixed = 0.6 * part("accuracy") + 0.2 * part("completeness") + 0.2 * part("clarity")
     score = F.when(plain != "", plain.cast("double")).otherwise(mixed) / 10
     return rows.select("id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6).alias("score"))
+
+
+def consensus_trace(traces: DataFrame, marker: str = "Student Hint:") -> DataFrame:
+    """Of the traces (id, pos, text) of an id, the first with the marker, else the longest; and the hint after it."""
+    marked = F.contains("text", F.lit(marker))
+    out = traces.groupBy("id").agg(F.min_by(F.when(marked, F.col("text")), F.when(marked, F.col("pos"))).alias("first"), F.max_by("text", F.struct(F.length("text"), -F.col("pos"))).alias("longest"))
+    best = F.coalesce("first", "longest")
+    return out.select("id", F.when(F.col("first").isNotNull(), F.trim(F.split_part(best, F.lit(marker), F.lit(2)))).otherwise(best).alias("hint"))
+
+
+def map_domains(inputs: DataFrame, domains: DataFrame, least: float = 0.7) -> DataFrame:
+    """The best domain of each input (id, text); domains (key, name, aliases, ordinal) are a list of a few rows."""
+    from ..functions.more_rules import domain_score
+
+    rows = inputs.join(F.broadcast(domains)).withColumn("score", domain_score(F.lower(F.trim("text")), F.col("key"), F.col("name"), F.col("aliases")))
+    best = rows.groupBy("id").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("ordinal"))).alias("x")).select("id", "x.*")
+    return best.select("id", F.when(F.col("score") > 0, F.col("key")).otherwise("general").alias("domain"), "score", (F.col("score") < least).alias("needs_confirmation"))
+
+
+def apply_context_actions(aliases: DataFrame, actions: DataFrame) -> DataFrame:
+    """Aliases (alias, key) after review: approved ones move to the action's key, rejected and deprecated ones go."""
+    rows = aliases.join(actions.select("alias", "action", F.col("key").alias("to_key")), "alias", "left")
+    return rows.filter("action is null or action = 'approve'").select("alias", F.when(F.col("action") == "approve", F.col("to_key")).otherwise(F.col("key")).alias("key"))
+
+
+def tree_sections(nodes: DataFrame, depth: int = 4) -> DataFrame:
+    """Sections (doc_id, node, path, title) in depth-first order, from rows (doc_id, node, parent, title); roots have no parent."""
+    pad = lambda c: F.lpad(c.cast("string"), 8, "0")
+    level = nodes.filter("parent is null").select("doc_id", "node", pad(F.col("node")).alias("sort"), F.col("title").alias("path"))
+    out = level
+    for _ in range(depth - 1):
+        child = nodes.filter("parent is not null").select("doc_id", F.col("node").alias("c"), F.col("parent").alias("node"), "title")
+        level = level.join(child, ["doc_id", "node"]).select("doc_id", F.col("c").alias("node"), F.concat_ws(".", "sort", pad(F.col("c"))).alias("sort"), F.concat_ws(" > ", "path", "title").alias("path"))
+        out = out.unionAll(level)
+    order = Window.partitionBy("doc_id").orderBy("sort")
+    return out.select("doc_id", "node", "path", F.row_number().over(order).alias("pos"))
+
+
+def locate_sections(docs: DataFrame, starts: DataFrame) -> DataFrame:
+    """Character ranges of sections (doc_id, pos, start_text) in their documents: exactly, else by the first five words in any case.
+
+    A section ends where the next one that was found begins, and the last at the end of the text.
+    """
+    five = F.array_join(F.slice(F.split(F.lower("start_text"), " "), 1, 5), " ")
+    rows = starts.join(docs.select("doc_id", "text"), "doc_id")
+    exact = F.instr("text", F.col("start_text"))
+    at = F.when(exact > 0, exact).otherwise(F.instr(F.lower("text"), five))
+    rows = rows.select("doc_id", "pos", at.alias("start"), F.length("text").alias("n")).filter(F.col("start") > 0)
+    end = F.coalesce(F.lead("start").over(Window.partitionBy("doc_id").orderBy("pos")) - 1, F.col("n"))
+    return rows.select("doc_id", "pos", "start", end.alias("end"))
+
+
+def misconceptions(answers: DataFrame, catalogue: DataFrame, least: float = 0.65) -> DataFrame:
+    """Catalogue entries (concept_id, category, kind, description) that an answer (id, concept_id, category, text) resembles."""
+    from ..functions.rules import edit_similarity
+
+    rows = answers.join(catalogue, ["concept_id", "category"]).withColumn("confidence", edit_similarity(F.col("text"), F.col("description")))
+    return rows.filter(F.col("confidence") >= least).select("id", "kind", F.when(F.col("category") == "CONCEPTUAL", "HIGH").otherwise("MEDIUM").alias("severity"), "confidence")

@@ -80,3 +80,45 @@ def _index(v):
 
 
 add("sink_chunk_index", _index, "select doc_id, greatest(1, cast(ceil(length(text) / 2000.0) as bigint)) as chunks from documents")
+
+
+def _events(v):
+    return v.spark.readStream.schema(v.events.schema).option("maxFilesPerTrigger", FILES).option("pathGlobFilter", "*.parquet").parquet(_folder(v))
+
+
+add("stm_route_events", lambda v: jobs.replay(_events(v), lambda s: jobs.routed(s, "error", "k int").select("event_id", "k"), new_folder(v.spark, "replay")), "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events where event_type = 'error'")
+add("stm_tutor_events", lambda v: _replay(v, jobs.tutor_events, "update", ["concept_id", "phase", "start"]), "select concept_id, case when score < 0.3 then 'EXPLANATION' when score < 0.6 then 'QUESTIONING' else 'PRACTICE' end as phase, date_trunc('day', ts) as start, count(*) as n from {attempts} group by 1, 2, 3", times="start")
+_KEPT = "select learner_id, cast(len(a) as int) as kept, a[1] as newest, a[-1] as oldest from (select learner_id, list(attempt_id order by ts desc, attempt_id desc)[1:{}] as a from {{attempts}} {} group by 1) x"
+add("stm_sync_history", lambda v: _replay(v, jobs.sync_history, "update", ["learner_id"]), _KEPT.format(50, ""))
+add("stm_failures", lambda v: _replay(v, jobs.failures, "update", ["learner_id"]), _KEPT.format(20, "where score < 0.4"))
+add("stm_pace", lambda v: _replay(v, jobs.pace, "complete"), "select learner_id, count(*) as n, count(*) filter (score >= 0.6) as passed from {attempts} group by 1")
+
+
+def _dialogue(v):
+    where = new_folder(v.spark, "turns")
+    for k in range(3):
+        v.dialogue.select("conv_id", "turn", "is_correct").filter(F.least(F.floor(F.col("turn") / 3), F.lit(2)) == k).repartition(FILES).write.mode("append").parquet(where)
+    turns = v.spark.readStream.schema("conv_id long, turn long, is_correct boolean").option("maxFilesPerTrigger", FILES).parquet(where)
+    return jobs.replay(turns, jobs.dialogue, new_folder(v.spark, "replay"), "update", ["conv_id"])
+
+
+add("stm_dialogue", _dialogue, """with o as (select conv_id, list({{'p': 0, 't': 0, 'r': case when is_correct then 1 else 0 end}} order by turn) as a from {dialogue} group by 1),
+f as (select conv_id, cast(len(a) as int) as turns, list_reduce(list_prepend({{'p': 0, 't': 0, 'r': 0}}, a), lambda s, x: case when case s.p when 0 then s.t + 1 >= 2 when 1 then s.r + x.r >= 2 or s.t + 1 >= 3 when 2 then s.t + 1 >= 3 else false end then {{'p': s.p + 1, 't': 0, 'r': 0}} else {{'p': s.p, 't': s.t + 1, 'r': s.r + x.r}} end).p as p from o)
+select conv_id, turns, ['EXPLANATION', 'QUESTIONING', 'PRACTICE', 'ASSESSMENT'][p + 1] as phase from f""")
+
+
+def _analysis(v):
+    """Bottleneck flags after every batch of attempts, written by the batch."""
+    from ..operators import analytics
+
+    where = new_folder(v.spark, "analysis")
+
+    def save(batch, n):
+        batch.groupBy("learner_id", "concept_id").agg(F.max_by("score", F.struct("ts", "attempt_id")).alias("level"), F.max(F.struct("ts", "attempt_id")).alias("at")).write.mode("overwrite").parquet(f"{where}/batch={n}")
+
+    _stream(v).writeStream.option("checkpointLocation", f"{where}-checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    latest = v.spark.read.parquet(where).groupBy("learner_id", "concept_id").agg(F.max_by("level", "at").alias("level"))
+    return analytics.bottlenecks(analytics.concept_stats(latest)).select("concept_id", "kind", "avg_mastery")
+
+
+add("stm_system_analysis", _analysis, "select concept_id, case when avg(level) < 0.4 then 'difficult' else 'easy' end as kind, avg(level) as avg_mastery from {mastery} group by 1 having avg(level) < 0.4 or avg(level) > 0.8", "avg_mastery")

@@ -121,3 +121,56 @@ def replay(stream: DataFrame, job: Callable[[DataFrame], DataFrame], where: str,
         return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
     columns = [c for c in rows.columns if c not in (*key, "batch")]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*columns), "batch").alias("_x")).select(*key, "_x.*")
+
+
+def routed(events: DataFrame, kind: str, schema: str) -> DataFrame:
+    """The events (event_id, ts, event_type, props) of one type with their payload parsed."""
+    return events.filter(F.col("event_type") == kind).select("event_id", "ts", F.from_json("props", schema).alias("p")).select("event_id", "ts", "p.*")
+
+
+def tutor_events(attempts: DataFrame, width: str = "1 day") -> DataFrame:
+    """Guidance events of each concept and phase in fixed windows."""
+    phase = F.when(F.col("score") < 0.3, "EXPLANATION").when(F.col("score") < 0.6, "QUESTIONING").otherwise("PRACTICE")
+    out = attempts.withWatermark("ts", LATE).groupBy("concept_id", phase.alias("phase"), F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("concept_id", "phase", F.col("window.start").alias("start"), "n")
+
+
+def _kept(rows: DataFrame, n: int) -> DataFrame:
+    """The newest `n` attempt ids of each learner after every batch; update mode."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        new = pd.concat(list(batches)).sort_values(["ts", "attempt_id"])["attempt_id"].tolist()
+        held = (held + new)[-n:]
+        state.update((held,))
+        yield pd.DataFrame({"learner_id": [key[0]], "kept": [len(held)], "newest": [held[-1]], "oldest": [held[0]]})
+
+    return rows.groupBy("learner_id").applyInPandasWithState(fold, "learner_id long, kept int, newest long, oldest long", "held array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def sync_history(attempts: DataFrame) -> DataFrame:
+    return _kept(attempts, 50)
+
+
+def failures(attempts: DataFrame) -> DataFrame:
+    return _kept(attempts.filter(F.col("score") < CONFIG.alert), 20)
+
+
+def pace(attempts: DataFrame) -> DataFrame:
+    """Attempts and passed ones of each learner; the ratio to a plan of half is the pace. Update or complete mode."""
+    return attempts.groupBy("learner_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("score") >= 0.6, 1)).alias("passed"))
+
+
+def dialogue(turns: DataFrame) -> DataFrame:
+    """Tutoring phase of each conversation after every batch of turns (conv_id, turn, is_correct); update mode."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        phase, tries, right, n = state.get if state.exists else (0, 0, 0, 0)
+        for ok in pd.concat(list(batches)).sort_values("turn")["is_correct"]:
+            tries, right, n = tries + 1, right + int(ok), n + 1
+            if (phase == 0 and tries >= 2) or (phase == 1 and (right >= 2 or tries >= 3)) or (phase == 2 and tries >= 3):
+                phase, tries, right = phase + 1, 0, 0
+        state.update((phase, tries, right, n))
+        yield pd.DataFrame({"conv_id": [key[0]], "phase": [("EXPLANATION", "QUESTIONING", "PRACTICE", "ASSESSMENT")[phase]], "turns": [n]})
+
+    return turns.groupBy("conv_id").applyInPandasWithState(fold, "conv_id long, phase string, turns int", "phase int, tries int, right int, n int", "update", GroupStateTimeout.NoTimeout)
