@@ -98,8 +98,8 @@ add("win_ucb_select", lambda v: P.ucb_select(A.bandit_stats(v.attempts), v.maste
 select learner_id, arg_max(concept_id, (bound, -concept_id)) as concept_id, max(bound) as bound from b group by 1""", "bound")
 add("win_greedy_select", lambda v: P.greedy_select(P.eligible(v.concepts, v.mastery, 60)), """select learner_id, arg_max(concept_id, (gain, -concept_id)) as concept_id, max(gain) as gain from (
   select m.learner_id, cast(m.concept_id as bigint) as concept_id, (1 - level) * (1 - abs(difficulty / 5.0 - 0.5)) as gain from {mastery} m join {concepts} c on c.concept_id = m.concept_id where c.time_estimate <= 60 and m.level < 0.9) x group by 1""", "gain")
-_FEATURES = [F.lit(1.0), F.col("difficulty") / 5.0, F.col("score")]
-add("win_linucb_select", lambda v: P.linucb_select(A.linucb_arms(v.attempts, _FEATURES), v.mastery.groupBy("learner_id").agg(F.array(F.lit(1.0), F.lit(0.6), F.avg("level")).alias("x")), 3))
+_FEATURES = lambda: [F.lit(1.0), F.col("difficulty") / 5.0, F.col("score")]
+add("win_linucb_select", lambda v: P.linucb_select(A.linucb_arms(v.attempts, _FEATURES()), v.mastery.groupBy("learner_id").agg(F.array(F.lit(1.0), F.lit(0.6), F.avg("level")).alias("x")), 3))
 add("win_topk_review", lambda v: P.review_queue(v.mastery), """select learner_id, concept_id, priority, cast(rank as int) as rank from (select *, row_number() over (partition by learner_id order by priority desc, concept_id) as rank from (
   select learner_id, concept_id, round((1 - exp(-(floor((1 - level) * 30) + 1) / greatest(1.0, level * 30))) * level, 9) as priority from {mastery} where level > 0.5) a) b where rank <= 10""", "priority")
 add("join_review_notes", lambda v: P.review_notes(v.notes, v.mastery), "select n.learner_id, note_id, n.concept_id, level from {notes} n join {mastery} m using (learner_id, concept_id) where level < 0.6", "level")

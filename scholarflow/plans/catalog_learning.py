@@ -11,7 +11,7 @@ from ..operators import experiments as X
 from ..operators import mastery as M
 from .registry import add
 
-_NOW = F.lit(NOW).cast("timestamp")
+_NOW = lambda: F.lit(NOW).cast("timestamp")
 STATS = """select concept_id, count(*) as n, avg(level) as avg_mastery, coalesce(stddev_samp(level), 0) as std_mastery, min(level) as min_mastery, max(level) as max_mastery,
   avg(case when level < 0.5 then 1.0 else 0.0 end) as struggle_rate from {mastery} group by concept_id"""
 FOUND = f"""select concept_id, kind, avg_mastery, struggle_rate, concat('Concept ', concept_id, ' is ', kind, ': ', n, ' learners') as insight
@@ -38,7 +38,7 @@ add("agg_agent_calls", lambda v: A.agent_calls(v.calls), "select agent, count(*)
 add("agg_agent_health", lambda v: A.agent_health(v.calls, F.lit("1998-06-01").cast("timestamp")), """select *, case when errors * 2 > calls then 'down' when errors > 0 then 'degraded' else 'healthy' end as status from (
   select agent, count(*) as calls, count(*) filter (not success) as errors, avg(latency_ms) as latency from {calls} where called_at > timestamp '1998-05-31' and called_at <= timestamp '1998-06-01' group by 1) x""", "latency")
 add("agg_cohort_compare", lambda v: A.cohort_compare(v.outcomes), "select cohort, count(*) as n, avg(post) as avg_post, avg(case when post >= 50 then 1.0 else 0.0 end) as completion_rate from {outcomes} group by 1", "avg_post completion_rate")
-add("agg_roster", lambda v: A.roster(v.attempts, _NOW), f"""select *, case when last_active >= timestamp '{NOW}' - interval 7 day then 'active' else 'inactive' end as status from (
+add("agg_roster", lambda v: A.roster(v.attempts, _NOW()), f"""select *, case when last_active >= timestamp '{NOW}' - interval 7 day then 'active' else 'inactive' end as status from (
   select learner_id, max(ts) as last_active, count(distinct concept_id) as concepts, avg(score) as progress from {{attempts}} group by 1) x""", "progress", "last_active")
 add("agg_system_totals", lambda v: A.system_totals(v.mastery, stats(v)), f"""select learners, concepts, avg_success, difficult, easy from (select count(distinct learner_id) as learners, count(distinct concept_id) as concepts, avg(level) as avg_success from {{mastery}}) a,
   (select count(*) filter (avg_mastery < 0.4) as difficult, count(*) filter (avg_mastery > 0.8) as easy from ({STATS}) s) b""", "avg_success")
@@ -48,8 +48,8 @@ add("agg_misconception_flags", lambda v: A.misconception_flags(A.error_patterns(
 add("agg_error_distribution", lambda v: A.error_distribution(v.attempts), "select learner_id, count(*) filter (err = 'CARELESS') as \"CARELESS\", count(*) filter (err = 'CONCEPTUAL') as \"CONCEPTUAL\", count(*) filter (err = 'INCOMPLETE') as \"INCOMPLETE\" from {attempts} group by 1")
 ARMS = "select concept_id, count(*) as pulls, sum(score) as total_reward, avg(score) as avg_reward from {attempts} group by 1"
 add("agg_bandit_stats", lambda v: A.bandit_stats(v.attempts), ARMS, "total_reward avg_reward")
-_FEATURES = [F.lit(1.0), F.col("difficulty") / 5.0, F.col("score")]
-add("agg_linucb_arms", lambda v: A.linucb_arms(v.attempts, _FEATURES), """with x as (select concept_id, score, [1.0::double, difficulty / 5.0, score] as f from {attempts}),
+_FEATURES = lambda: [F.lit(1.0), F.col("difficulty") / 5.0, F.col("score")]
+add("agg_linucb_arms", lambda v: A.linucb_arms(v.attempts, _FEATURES()), """with x as (select concept_id, score, [1.0::double, difficulty / 5.0, score] as f from {attempts}),
 c as (select concept_id, i - 1 as row, j - 1 as col, f[i] * f[j] as v from x, unnest(range(1, 4)) as a(i), unnest(range(1, 4)) as b(j) union all select concept_id, i - 1, -1, score * f[i] from x, unnest(range(1, 4)) as a(i))
 select concept_id, cast(r as int) as "row", cast(c as int) as col, v + case when r = c then 1 else 0 end as v from (select concept_id, "row" as r, col as c, sum(v) as v from c group by 1, 2, 3) x""", "v")
 add("agg_weighted_merge", lambda v: A.weighted_merge(v.snapshots, "concept_id", "quantity", "confidence"), "select concept_id, case when sum(confidence) > 0 then sum(quantity * confidence) / sum(confidence) else avg(quantity) end as merged from {snapshots} group by 1", "merged")
@@ -148,20 +148,20 @@ add("flt_learner_evals", lambda v: v.attempts.filter("learner_id = 11").select("
 add("flt_valid_ids", lambda v: v.pages.filter(F.trim("url") != "").filter(~F.col("url").rlike("^[a-zA-Z0-9_-]+$")).select("page_id"), "select page_id from pages where trim(url) <> '' and not regexp_full_match(url, '[a-zA-Z0-9_-]+')")
 add("flt_topic", lambda v: v.concepts.filter(F.contains(F.lower("name"), F.lit("gear"))).select("concept_id", "name"), "select concept_id, name from {concepts} where contains(lower(name), 'gear')")
 add("flt_live_docs", lambda v: v.snapshots.filter("status = 'COMMITTED'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "select doc_id, count(*) as n from {snapshots} where status = 'COMMITTED' group by 1")
-add("flt_staleness", lambda v: v.attempts.filter(F.unix_timestamp(_NOW) - F.unix_timestamp("ts") > 3600 * 24 * 20).groupBy("learner_id").agg(F.count(F.lit(1)).alias("stale")), f"select learner_id, count(*) as stale from {{attempts}} where epoch(timestamp '{NOW}') - floor(epoch(ts)) > 1728000 group by 1")
+add("flt_staleness", lambda v: v.attempts.filter(F.unix_timestamp(_NOW()) - F.unix_timestamp("ts") > 3600 * 24 * 20).groupBy("learner_id").agg(F.count(F.lit(1)).alias("stale")), f"select learner_id, count(*) as stale from {{attempts}} where epoch(timestamp '{NOW}') - floor(epoch(ts)) > 1728000 group by 1")
 add("prj_note_type_simple", lambda v: v.attempts.select("attempt_id", R.note_type_simple(F.col("score")).alias("note_type")), "select attempt_id, case when score < 0.8 then 'MISCONCEPTION_NOTE' else 'ATOMIC_NOTE' end as note_type from {attempts}")
 add("prj_note_type", lambda v: v.attempts.select("attempt_id", R.note_type(F.col("score"), F.col("difficulty") == 5, F.col("err")).alias("note_type")), "select attempt_id, case when score < 0.5 and (difficulty = 5 or err = 'CONCEPTUAL') then 'MISCONCEPTION_NOTE' when score >= 0.75 then 'ATOMIC_NOTE' else 'SUMMARY_NOTE' end as note_type from {attempts}")
 add("prj_recent_summary", lambda v: v.notes.select("note_id", F.substring("content", 1, 20).alias("preview")), "select note_id, substring(content, 1, 20) as preview from {notes}")
 add("prj_content_type", lambda v: v.attempts.select("attempt_id", R.content_type(F.col("difficulty"), F.when(F.col("concept_id") % 2 == 0, "VISUAL").otherwise("READING")).alias("kind")), "select attempt_id, case when difficulty <= 2 then 'TUTORIAL' when concept_id % 2 = 0 then 'VIDEO' else 'ARTICLE' end as kind from {attempts}")
 DECISION = "case when score >= 0.9 - ease - boost then 'MASTERED' when score >= 0.8 - ease then 'PROCEED' when score >= 0.6 - ease then 'ALTERNATE' when err = 'CONCEPTUAL' then 'REMEDIATE' else 'RETRY' end"
-_mean = F.col("score") * 0.5 + 0.3
+_mean = lambda: F.col("score") * 0.5 + 0.3
 DECIDED = f"select *, {DECISION} as decision from (select *, case when difficulty >= 4 then 0.05 else 0.0 end as ease, case when score * 0.5 + 0.3 >= 0.7 then 0.03 else 0.0 end as boost from {{attempts}}) a"
-_decided = lambda v: v.attempts.withColumn("decision", R.path_decision(F.col("score"), _mean, F.col("err"), F.col("difficulty")))
+_decided = lambda v: v.attempts.withColumn("decision", R.path_decision(F.col("score"), _mean(), F.col("err"), F.col("difficulty")))
 add("mth_path_decision", lambda v: _decided(v).select("attempt_id", "decision"), f"select attempt_id, decision from ({DECIDED}) d")
 add("mth_decision_table", lambda v: v.attempts.select("attempt_id", R.decision_table(F.col("score"), F.col("err"), F.col("difficulty") == 5, F.col("err") == "CONCEPTUAL", F.col("difficulty") == 4, F.col("content_type") == "VIDEO").alias("decision")), """select attempt_id, case when score >= 0.9 and difficulty <> 5 then 'MASTERED' when score >= 0.8 and err <> 'CONCEPTUAL' then 'PROCEED' when score >= 0.6 and err = 'CARELESS' then 'PROCEED'
   when score >= 0.6 and err = 'CONCEPTUAL' then case when content_type = 'VIDEO' then 'ALTERNATE' else 'RETRY' end when score < 0.6 and (difficulty = 4 or err = 'CONCEPTUAL') then 'REMEDIATE' when score < 0.4 then 'REMEDIATE' else 'RETRY' end as decision from {attempts}""")
 _suggest = " ".join(f"when '{k}' then '{t}'" for k, t in R.SUGGESTIONS.items())
-add("mth_decision_metadata", lambda v: _decided(v).select("attempt_id", R.suggestion(F.col("decision")).alias("suggestion"), R.decision_confidence(F.col("decision"), _mean).alias("confidence"), F.col("decision").isin("ALTERNATE", "REMEDIATE").alias("replan")), f"select attempt_id, case decision {_suggest} end as suggestion, case when decision in ('MASTERED', 'PROCEED') then least(1.0, score * 0.5 + 0.3 + 0.1) else 0.6 end as confidence, decision in ('ALTERNATE', 'REMEDIATE') as replan from ({DECIDED}) d", "confidence")
+add("mth_decision_metadata", lambda v: _decided(v).select("attempt_id", R.suggestion(F.col("decision")).alias("suggestion"), R.decision_confidence(F.col("decision"), _mean()).alias("confidence"), F.col("decision").isin("ALTERNATE", "REMEDIATE").alias("replan")), f"select attempt_id, case decision {_suggest} end as suggestion, case when decision in ('MASTERED', 'PROCEED') then least(1.0, score * 0.5 + 0.3 + 0.1) else 0.6 end as confidence, decision in ('ALTERNATE', 'REMEDIATE') as replan from ({DECIDED}) d", "confidence")
 add("mth_reward", lambda v: v.attempts.select("attempt_id", R.reward(F.col("score"), F.col("score") >= 0.6, F.when(F.col("difficulty") <= 3, F.col("difficulty") / 10.0)).alias("reward")), "select attempt_id, 0.6 * score + 0.4 * case when score >= 0.6 then 1.0 else 0.0 end - 0.5 * case when difficulty <= 3 then difficulty / 10.0 when score >= 0.6 then 0.0 else 0.2 end as reward from {attempts}", "reward")
 add("mth_gate_probability", lambda v: v.attempts.select("attempt_id", R.gate_probability(F.col("score")).alias("p")), "select attempt_id, least(1.0, score / 0.8) as p from {attempts}", "p")
 add("mth_initial_mastery", lambda v: v.concepts.select("concept_id", R.initial_mastery(F.col("difficulty")).alias("m")), "select concept_id, greatest(0.1, 0.5 - difficulty * 0.08) as m from {concepts}", "m")

@@ -15,13 +15,13 @@ from ..store import new_folder
 from .registry import add
 
 # --- scalar rules ---------------------------------------------------------------------------------
-_title = F.concat_ws(" ", "p_brand", "p_type", "p_name")
+_title = lambda: F.concat_ws(" ", "p_brand", "p_type", "p_name")
 TITLE = "concat(p_brand, ' ', p_type, ' ', p_name)"
 WORDS = f"string_split(regexp_replace(lower({TITLE}), '[^a-z0-9]+', '_', 'g'), '_')"
-_clean = F.regexp_replace(F.lower(_title), "[^a-z0-9]+", "_")
-add("str_normalize_context", lambda v: v.part.select("p_partkey", *[c.alias(n) for c, n in zip(S.normalize_context(_clean), ("key", "words", "overflow"), strict=True)]), f"select p_partkey, rtrim(substring(array_to_string({WORDS}[1:3], '_'), 1, 32), '_') as key, cast(least(len({WORDS}), 3) as int) as words, array_to_string({WORDS}[4:], ',') as overflow from part")
-_code = F.concat_ws(".", F.lower("p_type"), F.when(F.col("p_partkey") % 3 > 0, "ctx"), F.when(F.col("p_partkey") % 3 > 1, F.replace("p_name", F.lit(" "), F.lit("."))))
-add("str_parse_code", lambda v: v.part.select("p_partkey", *[c.alias(n) for c, n in zip(S.parse_code(_code), ("domain", "context", "concept"), strict=True)]), """select p_partkey, case p_partkey % 3 when 0 then 'general' else lower(p_type) end as domain, case p_partkey % 3 when 2 then 'ctx' else 'concept' end as context,
+_clean = lambda: F.regexp_replace(F.lower(_title()), "[^a-z0-9]+", "_")
+add("str_normalize_context", lambda v: v.part.select("p_partkey", *[c.alias(n) for c, n in zip(S.normalize_context(_clean()), ("key", "words", "overflow"), strict=True)]), f"select p_partkey, rtrim(substring(array_to_string({WORDS}[1:3], '_'), 1, 32), '_') as key, cast(least(len({WORDS}), 3) as int) as words, array_to_string({WORDS}[4:], ',') as overflow from part")
+_code = lambda: F.concat_ws(".", F.lower("p_type"), F.when(F.col("p_partkey") % 3 > 0, "ctx"), F.when(F.col("p_partkey") % 3 > 1, F.replace("p_name", F.lit(" "), F.lit("."))))
+add("str_parse_code", lambda v: v.part.select("p_partkey", *[c.alias(n) for c, n in zip(S.parse_code(_code()), ("domain", "context", "concept"), strict=True)]), """select p_partkey, case p_partkey % 3 when 0 then 'general' else lower(p_type) end as domain, case p_partkey % 3 when 2 then 'ctx' else 'concept' end as context,
   case p_partkey % 3 when 0 then lower(p_type) when 1 then 'ctx' else replace(p_name, ' ', '.') end as concept from part""")
 add("str_signature", lambda v: v.concepts.select("concept_id", F.concat_ws(" | ", "name", "kind", "description", "brand").alias("signature")), "select concept_id, concat_ws(' | ', name, kind, description, brand) as signature from {concepts}")
 add("str_generate_tags", lambda v: v.notes.select("note_id", F.array_join(S.tags(F.concat(F.lit("c"), F.col("concept_id").cast("string")), F.array(F.lower("note_type")), F.col("content")), ",").alias("tags")),
@@ -44,15 +44,15 @@ _profile = lambda v: v.attempts.groupBy("learner_id").agg(F.avg("score").alias("
 add("mth_profile_vector", lambda v: _profile(v).select("learner_id", S.profile_vector(F.col("m"), F.when(F.col("learner_id") % 2 == 0, "VISUAL").otherwise("OTHER"), F.lit("ADVANCED"), F.col("n"), F.col("b"), F.col("n") / 20.0, F.lit("topic")).alias("x")).select("learner_id", *[F.element_at("x", k + 1).alias(f"x{k}") for k in range(10)]), """with p as (select learner_id, avg(score) as m, avg(case bloom when 'UNDERSTAND' then 0.3 when 'APPLY' then 0.5 when 'ANALYZE' then 0.7 when 'EVALUATE' then 0.85 when 'CREATE' then 1.0 else 0.1 end) as b, count(*) as n from {attempts} group by 1)
 select learner_id, least(m, 1.0) as x0, case when learner_id % 2 = 0 then 1.0 else 0.25 end as x1, case when learner_id % 2 = 0 then 0.0 else 0.25 end as x2, case when learner_id % 2 = 0 then 0.0 else 0.25 end as x3, case when learner_id % 2 = 0 then 0.0 else 0.25 end as x4, 0.8 as x5, least(n / 500.0, 1.0) as x6, b as x7, least(n / 20.0 / 5.0, 1.0) as x8, 0.1 as x9 from p""", " ".join(f"x{k}" for k in range(10)))
 add("mth_pace", lambda v: _profile(v).select("learner_id", *[c.alias(n) for c, n in zip(S.pace(F.col("n"), F.lit(60.0), F.col("m") * 3), ("velocity", "step", "event"), strict=True)]), "select learner_id, n / 60.0 as velocity, case when m * 3 > 1.2 then 'HARD' when m * 3 < 0.8 then 'EASY' else 'MEDIUM' end as step, case when abs(n / 60.0 - 1.0) > 0.3 then case when n / 60.0 > 1.0 then 'LEARNER_ACCELERATING' else 'LEARNER_SLOWING' end end as event from (select learner_id, avg(score) as m, count(*) as n from {attempts} group by 1) p", "velocity")
-_answer = F.when(F.col("difficulty") % 3 == 0, "SELECT a FROM t WHERE x = 1").when(F.col("difficulty") % 3 == 1, "FROM t SELECT a").otherwise("select 12 from t where x = 2")
+_answer = lambda: F.when(F.col("difficulty") % 3 == 0, "SELECT a FROM t WHERE x = 1").when(F.col("difficulty") % 3 == 1, "FROM t SELECT a").otherwise("select 12 from t where x = 2")
 ANSWER = "case difficulty % 3 when 0 then 'SELECT a FROM t WHERE x = 1' when 1 then 'FROM t SELECT a' else 'select 12 from t where x = 2' end"
-_expected = F.lit("SELECT a FROM t WHERE x = 1")
-add("str_procedural", lambda v: v.attempts.select("attempt_id", S.procedural(_answer, _expected).alias("procedural")), "select attempt_id, difficulty % 3 = 1 as procedural from {attempts}")
-add("str_careless", lambda v: v.attempts.select("attempt_id", S.careless(_answer, _expected, R.edit_similarity(_answer, _expected)).alias("careless")), f"select attempt_id, 1 - levenshtein(lower({ANSWER}), 'select a from t where x = 1') / greatest(length({ANSWER}), 27)::double >= 0.9 or lower(replace({ANSWER}, ' ', '')) = 'selectafromtwherex=1' as careless from {{attempts}}")
+_expected = lambda: F.lit("SELECT a FROM t WHERE x = 1")
+add("str_procedural", lambda v: v.attempts.select("attempt_id", S.procedural(_answer(), _expected()).alias("procedural")), "select attempt_id, difficulty % 3 = 1 as procedural from {attempts}")
+add("str_careless", lambda v: v.attempts.select("attempt_id", S.careless(_answer(), _expected(), R.edit_similarity(_answer(), _expected())).alias("careless")), f"select attempt_id, 1 - levenshtein(lower({ANSWER}), 'select a from t where x = 1') / greatest(length({ANSWER}), 27)::double >= 0.9 or lower(replace({ANSWER}, ' ', '')) = 'selectafromtwherex=1' as careless from {{attempts}}")
 add("mth_error_type", lambda v: v.attempts.select("attempt_id", S.error_type(F.col("score"), F.col("difficulty") == 1, F.col("difficulty") == 2, F.col("score") * 0.8, F.col("err") == "CONCEPTUAL").alias("kind")), """select attempt_id, case when score >= 0.95 then 'CORRECT' when score >= 0.8 then case when difficulty = 1 then 'CARELESS' else 'INCOMPLETE' end when score >= 0.6 then case when difficulty = 2 then 'PROCEDURAL' else 'INCOMPLETE' end
   when score * 0.8 < 0.3 then case when err = 'CONCEPTUAL' then 'CONCEPTUAL' else 'PROCEDURAL' end else 'INCOMPLETE' end as kind from {attempts}""")
-_judged = F.when(F.col("attempt_id") % 4 == 0, "no verdict").otherwise(F.concat(F.lit("score: "), (F.col("attempt_id") % 101).cast("string"), F.lit("\nJUSTIFICATION: row "), F.col("concept_id").cast("string"), F.lit(" \nend")))
-add("jsn_simple_score", lambda v: v.attempts.select("attempt_id", *[c.alias(n) for c, n in zip(S.simple_score(_judged), ("score", "why"), strict=True)]), "select attempt_id, case when attempt_id % 4 = 0 then 0.5 else (attempt_id % 101) / 100.0 end as score, case when attempt_id % 4 = 0 then 'Could not parse' else concat('row ', concept_id) end as why from {attempts}", "score")
+_judged = lambda: F.when(F.col("attempt_id") % 4 == 0, "no verdict").otherwise(F.concat(F.lit("score: "), (F.col("attempt_id") % 101).cast("string"), F.lit("\nJUSTIFICATION: row "), F.col("concept_id").cast("string"), F.lit(" \nend")))
+add("jsn_simple_score", lambda v: v.attempts.select("attempt_id", *[c.alias(n) for c, n in zip(S.simple_score(_judged()), ("score", "why"), strict=True)]), "select attempt_id, case when attempt_id % 4 = 0 then 0.5 else (attempt_id % 101) / 100.0 end as score, case when attempt_id % 4 = 0 then 'Could not parse' else concat('row ', concept_id) end as why from {attempts}", "score")
 add("prj_resources", lambda v: v.concepts.select("concept_id", F.explode(F.array(*[F.struct(F.lit(t).alias("kind"), F.when(F.col("difficulty") <= 2, a).otherwise(b).alias("priority")) for t, a, b in (("VIDEO", 1, 2), ("EXERCISE", 1, 1), ("ARTICLE", 3, 2))])).alias("r")).select("concept_id", "r.*"), "select concept_id, t.kind, case when difficulty <= 2 then a else b end as priority from {concepts}, (values ('VIDEO', 1, 2), ('EXERCISE', 1, 1), ('ARTICLE', 3, 2)) as t(kind, a, b)")
 add("prj_progress_cards", lambda v: v.mastery.groupBy("learner_id", F.floor(F.col("concept_id") / 2).alias("phase")).agg(F.bool_and(F.col("level") >= 0.8).alias("all_done"), F.bool_or(F.col("level") > 0).alias("any")).select("learner_id", "phase", F.when(F.col("all_done"), "completed").when(F.col("any"), "current").otherwise("upcoming").alias("status")), "select learner_id, cast(floor(concept_id / 2) as bigint) as phase, case when bool_and(level >= 0.8) then 'completed' when bool_or(level > 0) then 'current' else 'upcoming' end as status from {mastery} group by 1, 2")
 

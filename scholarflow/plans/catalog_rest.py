@@ -12,9 +12,9 @@ from ..sources import tables
 from ..store import new_folder
 from .registry import add
 
-_said = F.concat_ws(" ", F.when(F.col("turn") % 2 == 0, "You can't skip this.").otherwise("It's too hard now."), "text")
+_said = lambda: F.concat_ws(" ", F.when(F.col("turn") % 2 == 0, "You can't skip this.").otherwise("It's too hard now."), "text")
 SAID = "concat(case when turn % 2 = 0 then 'You can''t skip this.' else 'It''s too hard now.' end, ' ', text)"
-add("str_pedagogy_rewrite", lambda v: v.conversations.select("conv_id", "turn", F.md5(S.growth_phrases(_said)).alias("growth"), F.md5(S.shorten(F.col("text"), 40)).alias("short"), F.md5(S.numbered(F.col("text"))).alias("steps")), f"""with w as (select *, string_split(text, '. ') as p from conversations)
+add("str_pedagogy_rewrite", lambda v: v.conversations.select("conv_id", "turn", F.md5(S.growth_phrases(_said())).alias("growth"), F.md5(S.shorten(F.col("text"), 40)).alias("short"), F.md5(S.numbered(F.col("text"))).alias("steps")), f"""with w as (select *, string_split(text, '. ') as p from conversations)
 select conv_id, turn, md5(regexp_replace(regexp_replace({SAID}, '(?i)you can''t', 'you haven''t learned how to yet', 'g'), '(?i)it''s too hard', 'it''s challenging, which helps you learn', 'g')) as growth,
   md5(case when len(string_split(text, ' ')) > 40 then concat(array_to_string(p[1:greatest(2, len(p) // 2)], '. '), '.') else text end) as short,
   md5(case when len(p) > 1 then array_to_string(list_transform(p[1:5], lambda x, i: concat(i, '. ', x)), chr(10)) else text end) as steps from w""")
