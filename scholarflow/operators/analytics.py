@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..store import small
 
 
 def concept_stats(mastery: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def grade_tests(answers: DataFrame) -> DataFrame:
 
 def rubric_score(levels: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted sum of criterion levels, and its band; the rubric (a table of criteria) is a lookup side of a few rows."""
-    score = levels.join(F.broadcast(weights), "criterion").groupBy("learner_id").agg(F.sum(F.col("weight") * F.col("level")).alias("score"))
+    score = levels.join(small(weights, 1000, "criteria"), "criterion").groupBy("learner_id").agg(F.sum(F.col("weight") * F.col("level")).alias("score"))
     return score.withColumn("band", F.when(F.col("score") >= 0.8, "excellent").when(F.col("score") >= 0.6, "good").when(F.col("score") >= 0.4, "fair").otherwise("poor"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import effect_band, learning_gain, retention_decay
+from ..store import small
 
 #: 97.5 % quantiles of Student's t by degrees of freedom; beyond the last the normal value.
 T975 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 15: 2.131, 20: 2.086, 25: 2.060, 30: 2.042, 40: 2.021, 60: 2.000, 120: 1.980}
@@ -109,6 +110,6 @@ def exposure(assigned: DataFrame, log: DataFrame) -> DataFrame:
 
 def weight_sweep(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Mean and deviation of a weighted quality under each weight vector (a handful, given by the caller)."""
-    rows = scores.join(F.broadcast(weights))
+    rows = scores.join(small(weights, 1000, "weight vectors"))
     q = F.col("w1") * F.col("feasibility") + F.col("w2") * F.col("coherence") + F.col("w3") * F.col("relevance")
     return rows.groupBy("vector").agg(F.avg(q).alias("mean_quality"), F.coalesce(F.stddev_samp(q), F.lit(0.0)).alias("sd_quality"))

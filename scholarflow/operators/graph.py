@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RELATIONS
-from ..store import checkpointed
+from ..store import checkpointed, small
 
 
 def prerequisite_closure(edges: DataFrame, hops: int = 3) -> DataFrame:
@@ -158,8 +158,11 @@ def affected(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def sync_delta(course: DataFrame, personal: DataFrame) -> DataFrame:
-    """Per learner: course concepts that are new, kept, or deleted against the personal ones, in one pass."""
-    wanted = personal.select("learner_id").distinct().join(F.broadcast(course.select("concept_id")))
+    """Per learner: course concepts that are new, kept, or deleted against the personal ones, in one pass.
+
+    Every learner is held against every concept of the course, which is what the result lists.
+    """
+    wanted = personal.select("learner_id").distinct().join(small(course.select("concept_id"), 100_000, "concepts in a course"))
     both = wanted.withColumn("c", F.lit(1)).join(personal.select("learner_id", "concept_id").withColumn("p", F.lit(1)), ["learner_id", "concept_id"], "full_outer")
     kind = F.when(F.col("p").isNull(), "new").when(F.col("c").isNull(), "deleted").otherwise("existing")
     return both.select("learner_id", "concept_id", kind.alias("change"))

@@ -59,15 +59,20 @@ def label_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return labels
 
 
-def clusters(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def clusters(pairs: DataFrame, threshold: float = 0.8, most: int = 200_000) -> DataFrame:
     """Average-linkage clusters of nodes from scored pairs (a, b, score); unscored pairs count 0.
 
     A merge needs one pair at the threshold or above, so components of those pairs bound every cluster;
-    each component is clustered by itself.
+    each component is clustered by itself. A component of more than `most` pairs is an error, not a cut:
+    such a block needs a stricter threshold or a finer blocking key.
     """
     strong = pairs.filter(F.col("score") >= threshold).select("a", "b")
     of = label_components(strong)
     inside = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").filter("ca = cb")
+    inside = checkpointed(inside.select(F.col("ca").alias("component"), "a", "b", "score"))
+    largest = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a component of {largest} pairs; at most {most} are clustered in one task")
 
     def linkage(rows: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(rows[["a", "b"]].to_numpy())
@@ -87,7 +92,7 @@ def clusters(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
             groups[at[0]] += groups.pop(at[1])
         return pd.DataFrame([(int(nodes[k]), int(nodes[min(g)])) for g in groups for k in g], columns=["node", "cluster"])
 
-    return inside.select(F.col("ca").alias("component"), "a", "b", "score").groupBy("component").applyInPandas(linkage, "node long, cluster long")
+    return inside.groupBy("component").applyInPandas(linkage, "node long, cluster long")
 
 
 def resolve(scored: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import small
+
 
 def register(docs: DataFrame) -> DataFrame:
     """Status of documents (doc_id, text) by checksum: the first with a content is pending, later ones are skipped."""
@@ -138,7 +140,7 @@ def map_domains(inputs: DataFrame, domains: DataFrame, least: float = 0.7) -> Da
     """The best domain of each input (id, text); domains (key, name, aliases, ordinal) are a list of a few rows."""
     from ..functions.more_rules import domain_score
 
-    rows = inputs.join(F.broadcast(domains)).withColumn("score", domain_score(F.lower(F.trim("text")), F.col("key"), F.col("name"), F.col("aliases")))
+    rows = inputs.join(small(domains, 1000, "domains")).withColumn("score", domain_score(F.lower(F.trim("text")), F.col("key"), F.col("name"), F.col("aliases")))
     best = rows.groupBy("id").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("ordinal"))).alias("x")).select("id", "x.*")
     return best.select("id", F.when(F.col("score") > 0, F.col("key")).otherwise("general").alias("domain"), "score", (F.col("score") < least).alias("needs_confirmation"))
 

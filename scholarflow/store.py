@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +38,10 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     where = new_folder(df.sparkSession, kind)
     df.write.parquet(where)
     return df.sparkSession.read.parquet(where)
+
+
+def small(df: DataFrame, most: int, what: str) -> DataFrame:
+    """`df` to be broadcast, after a check that it has no more than `most` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}: too many to broadcast")
+    return F.broadcast(df)
