@@ -122,3 +122,4 @@ def _analysis(v):
 
 
 add("stm_system_analysis", _analysis, "select concept_id, case when avg(level) < 0.4 then 'difficult' else 'easy' end as kind, avg(level) as avg_mastery from {mastery} group by 1 having avg(level) < 0.4 or avg(level) > 0.8", "avg_mastery")
+add("stm_artifacts", lambda v: _replay(v, jobs.artifacts, "complete"), "select learner_id, count(*) filter (score >= 0.8) as atomic, count(*) filter (score < 0.8) as misconception from {attempts} group by 1")

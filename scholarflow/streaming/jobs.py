@@ -174,3 +174,9 @@ def dialogue(turns: DataFrame) -> DataFrame:
         yield pd.DataFrame({"conv_id": [key[0]], "phase": [("EXPLANATION", "QUESTIONING", "PRACTICE", "ASSESSMENT")[phase]], "turns": [n]})
 
     return turns.groupBy("conv_id").applyInPandasWithState(fold, "conv_id long, phase string, turns int", "phase int, tries int, right int, n int", "update", GroupStateTimeout.NoTimeout)
+
+
+def artifacts(attempts: DataFrame) -> DataFrame:
+    """Notes of each kind that the attempts of a learner give rise to; update or complete mode."""
+    good = F.col("score") >= CONFIG.proceed
+    return attempts.groupBy("learner_id").agg(F.count(F.when(good, 1)).alias("atomic"), F.count(F.when(~good, 1)).alias("misconception"))
