@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, table, with_columns_from
+from .common import checkpointed, held_out, table, with_columns_from
 
 #: Most 4-grams that the driver reads, over all languages.
 MAX_GRAMS = 600_000
@@ -131,15 +131,25 @@ class Model:
         return total, len(raw) - len(START)
 
 
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The grams of each language whose counts are among its `limit` highest; a count that passes the limit goes as a whole.
+
+    The least count to keep comes from a histogram of the counts, so that no language is sorted in one task;
+    what is broadcast is one number for each language.
+    """
+    levels = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams"))
+    upto = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    least = levels.withColumn("upto", upto).filter(F.col("upto") <= limit).groupBy("lang").agg(F.min("n").alias("least"))
+    return counts.join(F.broadcast(least), "lang").filter("n >= least").select("lang", "gram", "n")
+
+
 def train(docs: DataFrame) -> Model | None:
     """The model of docs' languages (columns text, lang), or None if there is nothing to learn from."""
-    counts = count_grams(docs)
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    counts = checkpointed(count_grams(docs))
     langs = counts.select("lang").distinct().count()
     if not langs:
         return None
-    top = counts.withColumn("_r", F.row_number().over(by_count)).filter(F.col("_r") <= MAX_GRAMS // langs).drop("_r")
-    return Model(top.toPandas().sort_values(["lang", "gram"], ignore_index=True))
+    return Model(most_frequent(counts, MAX_GRAMS // langs).toPandas().sort_values(["lang", "gram"], ignore_index=True))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
