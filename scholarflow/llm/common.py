@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import checkpointed, shared_folder, written  # noqa: F401
+
+#: Characters or bytes of a batch that are worked on at a time.
+SLICE = 2_000_000
 #: ASCII white space, the only separators of words here.
 SPACE = r"\x20\x09-\x0D"
 
@@ -24,30 +28,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the driver and all executors share; made if it is unset, in local runs only."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            where = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(where)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the checkpoint folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df`, written as Parquet into the shared folder and read again."""
-    where = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return df.sparkSession.read.parquet(where)
+def release_memory() -> None:
+    """Gives memory that a task no longer needs back to the system: Python workers are kept for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def with_columns_from(
@@ -60,14 +44,28 @@ def with_columns_from(
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        each = make()
+        each, values, held = make(), None, None
+
+        def done(rows: list) -> pd.DataFrame:
+            return pd.DataFrame(dict(zip(fields.names, zip(*each(rows), strict=True), strict=True)) if rows else {}, columns=fields.names)
+
         for values in batches:
-            rows = each([None if v is None else v for v in values])
-            yield pd.DataFrame(dict(zip(fields.names, zip(*rows, strict=True), strict=True)) if rows else {}, columns=fields.names)
+            held, size = [], 0
+            for v in values:
+                held.append(v)
+                size += 0 if v is None else len(v)
+                if size > SLICE:
+                    yield done(held)
+                    held, size = [], 0
+            yield done(held)
+        del each, values, held
+        release_memory()
 
     # the hints are read when the function is registered
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return df.withColumn("_out", F.pandas_udf(run, fields)(F.col(column)))
+    # else a filter on the result would run the function twice, in two more workers
+    once = F.pandas_udf(run, fields).asNondeterministic()
+    return df.withColumn("_out", once(F.col(column)))
 
 
 def block_pairs(df: DataFrame, key: str, order: Column, limit: int) -> DataFrame:

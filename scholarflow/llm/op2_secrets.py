@@ -21,7 +21,6 @@ import json
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, with_columns_from

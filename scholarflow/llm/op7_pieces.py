@@ -17,6 +17,7 @@ import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -24,9 +25,9 @@ from .common import table, with_columns_from
 
 MARK = "▁"
 #: Chunks kept by a task, and the longest that is kept.
-TABLE, LONG = 400_000, 64
+TABLE, LONG = 150_000, 64
 #: Characters of text that a task segments at a time.
-GROUP = 2_000_000
+GROUP = 1_000_000
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
@@ -118,7 +119,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", diges
         coder = Chunked(model_file)
         if digests:
             return lambda texts: [(n, _sha(ids), _sha(decoded)) for n, ids, decoded in coder.each(texts)]
-        return lambda texts: [(list(map(int, ids.split())), decoded) for _, ids, decoded in coder.each(texts)]
+        return lambda texts: [(np.fromstring(ids, np.int32, sep=" "), decoded) for _, ids, decoded in coder.each(texts)]
 
     return with_columns_from(docs, text, DIGEST if digests else IDS, make)
 
