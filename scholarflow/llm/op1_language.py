@@ -93,15 +93,19 @@ class Model:
                 new[kept] = np.arange(len(kept))
                 ids, at = ids[kept], new[at]
             ok = at >= 0
-            seen = np.zeros((len(ids), a, k), np.float32)
-            np.add.at(seen, (at[ok], sym[ok], lang[ok]), n[ok])
-            total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+            # how often each symbol follows each context in each language, without a dense table
+            cell, where = np.unique((at[ok] * a + sym[ok]) * k + lang[ok], return_inverse=True)
+            seen = np.bincount(where, n[ok], len(cell))
+            ctx_lang = cell // (a * k) * k + cell % k
+            total, kinds = np.bincount(ctx_lang, seen, len(ids) * k), np.bincount(ctx_lang, minlength=len(ids) * k)
             with np.errstate(divide="ignore", invalid="ignore"):
-                own = -np.log2(seen / (total + kinds))
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
-            return ids, np.where(seen > 0, own, escape + below(ids)).astype(np.float32)
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0).astype(np.float32)
+            out = below(ids)
+            out += escape.reshape(len(ids), 1, k)
+            out.reshape(-1)[cell] = -np.log2(seen / (total + kinds)[ctx_lang])
+            return ids, out
 
-        _, c0 = table_of(np.zeros(len(gram), np.int64), lambda ids: np.float32(8), 1)
+        _, c0 = table_of(np.zeros(len(gram), np.int64), lambda ids: np.full((1, a, k), 8, np.float32), 1)
         i1, c1 = table_of(b1, lambda ids: c0[[0] * len(ids)], a)
         row1 = np.full(a, -1)
         row1[i1] = np.arange(len(i1))
