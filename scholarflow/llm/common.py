@@ -15,6 +15,8 @@ from ..store import checkpointed, shared_folder, written  # noqa: F401
 
 #: Characters or bytes of a batch that are worked on at a time.
 SLICE = 2_000_000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 #: ASCII white space, the only separators of words here.
 SPACE = r"\x20\x09-\x0D"
 
@@ -34,6 +36,13 @@ def release_memory() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets an Arrow batch hold `BATCH_BYTES` at most, unless the session asks for less: texts can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, "67108864")).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def with_columns_from(
     df: DataFrame, column: str, fields: T.StructType, make: Callable[[], Callable[[list], list[tuple]]]
 ) -> DataFrame:
@@ -61,6 +70,7 @@ def with_columns_from(
         del each, values, held
         release_memory()
 
+    bound_batches(df.sparkSession)
     # the hints are read when the function is registered
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     # else a filter on the result would run the function twice, in two more workers

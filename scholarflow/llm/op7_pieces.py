@@ -25,7 +25,7 @@ from .common import table, with_columns_from
 
 MARK = "▁"
 #: Chunks kept by a task, and the longest that is kept.
-TABLE, LONG = 150_000, 64
+TABLE, LONG = 100_000, 64
 #: Characters of text that a task segments at a time.
 GROUP = 1_000_000
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
