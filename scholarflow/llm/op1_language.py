@@ -7,28 +7,36 @@ that is one byte shorter, down to 1 / 256. A text's score under a language is it
 the sum over all its bytes; the language with the shortest code wins.
 
 Training counts the 4-grams of every training text with Spark (all lower orders are sums of these).
-The counts are pruned to the most frequent `MAX_GRAMS` over all languages and `MAX_CELLS` cells of
-code lengths, which bounds the model that is broadcast; contexts beyond that fall back to shorter ones.
+No count is dropped: the code lengths are kept in slices of contexts, files of at most about `MAX_CELLS`
+cells in the folder that all executors share, as many as the grams need. A scoring task looks up the
+distinct grams of its texts slice by slice, so its memory doesn't grow with the model. Only the table
+of orders 0 and 1 (65 536 cells a language) and the slices' bounds are broadcast.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import new_folder
 from .common import checkpointed, held_out, table, with_columns_from
 
-#: Most 4-grams that the driver reads, over all languages.
-MAX_GRAMS = 600_000
-#: Most cells (contexts x byte values x languages) of the broadcast model; 4 bytes each.
-MAX_CELLS = 24_000_000
+#: Most cells (4-grams x languages) of a slice of the model, unless one context of two bytes has more; 4 bytes each.
+MAX_CELLS = 8_000_000
+#: How many slices a task keeps.
+KEPT = 2
 START = b"\n\n\n"
 CHUNK = 1 << 20
+#: Grams of a text whose costs are summed at a time.
+PIECE = 1 << 16
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
 
@@ -68,92 +76,167 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Code lengths in bits: `cost[row * width + symbol, language]`, with rows for contexts of 3, 2, 1 and 0 bytes."""
-
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
-        k = len(self.langs)
-        lang = np.searchsorted(self.langs, counts["lang"].to_numpy())
-        gram = counts["gram"].to_numpy().astype(np.int64)
-        n = counts["n"].to_numpy().astype(np.float64)
-        used = np.unique(np.concatenate([gram >> s & 255 for s in (0, 8, 16, 24)] + [np.frombuffer(START, np.uint8)]))
-        self.code = np.zeros(256, np.int32)  # 0 stands for bytes that training never saw
-        self.code[used] = np.arange(1, len(used) + 1)
-        a = self.width = len(used) + 1
-        b3, b2, b1, sym = (self.code[gram >> s & 255].astype(np.int64) for s in (24, 16, 8, 0))
-
-        def table_of(ctx: np.ndarray, below: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-            """Costs of one order: contexts (sorted, the most frequent `keep`) and their rows, resolved over `below`."""
-            ids, at = np.unique(ctx, return_inverse=True)
-            if len(ids) > keep:
-                weight = np.bincount(at, n, len(ids))
-                kept = np.sort(np.argsort(-weight, kind="stable")[:keep])
-                new = np.full(len(ids), -1)
-                new[kept] = np.arange(len(kept))
-                ids, at = ids[kept], new[at]
-            ok = at >= 0
-            # how often each symbol follows each context in each language, without a dense table
-            cell, where = np.unique((at[ok] * a + sym[ok]) * k + lang[ok], return_inverse=True)
-            seen = np.bincount(where, n[ok], len(cell))
-            ctx_lang = cell // (a * k) * k + cell % k
-            total, kinds = np.bincount(ctx_lang, seen, len(ids) * k), np.bincount(ctx_lang, minlength=len(ids) * k)
+def _escapes(ctx_lang: np.ndarray, seen: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The escape cost of each context and language (0 where nothing was seen), and N + d."""
+    total, kinds = np.bincount(ctx_lang, seen, cells), np.bincount(ctx_lang, minlength=cells)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(total > 0, -np.log2(kinds / (total + kinds)), 0).astype(np.float32), total + kinds
+
+
+def _low_costs(lang: np.ndarray, pair: np.ndarray, n: np.ndarray, langs: int) -> np.ndarray:
+    """Costs of orders 0 and 1, shape (65536, langs): row = byte before x 256 + byte."""
+    out = np.empty((1 << 16, langs), np.float32)
+    for k in range(langs):
+        own = lang == k
+        seen = np.bincount(pair[own], n[own], 1 << 16).reshape(256, 256)
+        low = np.full(256, 8.0)
+        for counts in (seen.sum(0)[None], seen):
+            total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0).astype(np.float32)
-            out = below(ids)
-            out += escape.reshape(len(ids), 1, k)
-            out.reshape(-1)[cell] = -np.log2(seen / (total + kinds)[ctx_lang])
-            return ids, out
-
-        _, c0 = table_of(np.zeros(len(gram), np.int64), lambda ids: np.full((1, a, k), 8, np.float32), 1)
-        i1, c1 = table_of(b1, lambda ids: c0[[0] * len(ids)], a)
-        row1 = np.full(a, -1)
-        row1[i1] = np.arange(len(i1))
-        most = max(1, MAX_CELLS // (a * k))
-        low1 = np.concatenate([c1, c0])  # row -1 is order 0
-        i2, c2 = table_of(b2 * a + b1, lambda ids: low1[row1[ids % a]], most // 4)
-        row2 = np.full(a * a, -1)
-        row2[i2] = np.arange(len(i2))
-        # an index of order-2 contexts for lookups: the unseen ones share the last
-        self.n2 = len(i2) + a
-        self.ctx2 = np.where(row2 >= 0, row2, len(i2) + np.tile(np.arange(a), a)).astype(np.int32)
-        self_rows2 = np.concatenate([c2, low1[row1]])  # one row for every order-2 index
-        i3, c3 = table_of(b3 * self.n2 + self.ctx2[b2 * a + b1], lambda ids: self_rows2[ids % self.n2], max(1, most - len(self_rows2)))
-        self.row3 = np.tile(np.arange(self.n2, dtype=np.int32), a)
-        self.row3[i3] = self.n2 + np.arange(len(i3), dtype=np.int32)
-        self.cost = np.concatenate([self_rows2, c3]).reshape(-1, k)
+                low = np.where(counts > 0, -np.log2(counts / (total + kinds)), low + np.where(total > 0, -np.log2(kinds / (total + kinds)), 0))
+        out[:, k] = low.reshape(-1)
+    return out
+
+
+def _slice_costs(gram: np.ndarray, lang: np.ndarray, n: np.ndarray, low: np.ndarray) -> dict[str, np.ndarray]:
+    """Orders 2 and 3 of the grams of some contexts of two bytes: sorted keys, their costs and the contexts' escapes."""
+    k = low.shape[1]
+    out, below = {}, lambda keys: low[keys & 0xFFFF]
+    for order, mask in ((2, 0xFFFFFF), (3, 0xFFFFFFFF)):
+        cell, where = np.unique((gram & mask) * k + lang, return_inverse=True)
+        seen = np.bincount(where, n, len(cell))
+        keys, row = np.unique(cell // k, return_inverse=True)
+        ctx, of = np.unique(keys >> 8, return_inverse=True)
+        ctx_lang = of[row] * k + cell % k
+        escape, whole = _escapes(ctx_lang, seen, len(ctx) * k)
+        escape = escape.reshape(-1, k)
+        cost = below(keys) + escape[of]
+        cost[row, cell % k] = -np.log2(seen / whole[ctx_lang])
+        out |= {f"key{order}": keys.astype(np.uint32), f"cost{order}": cost, f"ctx{order}": ctx.astype(np.uint32), f"escape{order}": escape}
+        lower, lower_cost = keys, cost
+        below = lambda keys: lower_cost[np.searchsorted(lower, keys & 0xFFFFFF)]  # noqa: B023, E731
+    return out
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in sorted_keys, and whether they are."""
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _file(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a file in the shared folder."""
+    return (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
+class Model:
+    """Code lengths in bits. `low` has orders 0 and 1; slice i has orders 2 and 3 of the contexts of two bytes from `bounds[i]` on."""
+
+    def __init__(self, langs: list[str], low: np.ndarray, bounds: np.ndarray, files: list[str]):
+        self.langs, self.low, self.bounds, self.files = langs, low, bounds, files
+        self.kept: dict[int, dict[str, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": {}}
+
+    def slice(self, i: int) -> dict[str, np.ndarray]:
+        if i not in self.kept:
+            while len(self.kept) >= KEPT:
+                del self.kept[next(iter(self.kept))]
+            store, path = _file(self.files[i])
+            with store.open_input_file(path) as f, np.load(io.BytesIO(f.read())) as arrays:
+                self.kept[i] = dict(arrays)
+        return self.kept[i]
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each of the distinct `grams` under each language."""
+        out = self.low[grams & 0xFFFF]
+        of = np.searchsorted(self.bounds, grams >> 8 & 0xFFFF, "right") - 1
+        for i in np.unique(of):
+            own = np.flatnonzero(of == i)
+            x, s = grams[own], self.slice(int(i))
+            cost = out[own]
+            for order, mask in ((2, 0xFFFFFF), (3, 0xFFFFFFFF)):
+                keys = x & np.uint32(mask)
+                at, there = _find(s[f"ctx{order}"], keys >> np.uint32(8))
+                cost[there] += s[f"escape{order}"][at[there]]
+                at, there = _find(s[f"key{order}"], keys)
+                cost[there] = s[f"cost{order}"][at[there]]
+            out[own] = cost
+        return out
+
+    def bits_of(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """Code length of each whole text under each language, and its bytes."""
+        total, size = np.zeros((len(texts), len(self.langs))), []
+        held: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> None:
+            grams, at = np.unique(np.concatenate([g for _, g in held]), return_inverse=True)
+            cost, end = self.costs(grams), 0
+            for i, g in held:
+                for start in range(end, end + len(g), PIECE):
+                    total[i] += cost[at[start : min(start + PIECE, end + len(g))]].sum(0, dtype=np.float64)
+                end += len(g)
+            held.clear()
+
+        waiting = 0
+        for i, text in enumerate(texts):
+            raw = np.frombuffer(START + text.lower().encode("utf-8", "replace"), np.uint8)
+            size.append(len(raw) - len(START))
+            for at in range(0, len(raw) - 3, CHUNK):
+                held.append((i, _grams(raw[at : at + CHUNK + 3])))
+                waiting += len(held[-1][1])
+                if waiting > 2 * CHUNK:
+                    flush()
+                    waiting = 0
+        if held:
+            flush()
+        return list(zip(total, size, strict=True))
 
     def bits(self, text: str) -> tuple[np.ndarray, int]:
-        """Code length of the whole text under each language, and its bytes."""
-        raw = np.frombuffer(START + text.lower().encode("utf-8", "replace"), np.uint8)
-        total = np.zeros(len(self.langs))
-        for at in range(0, len(raw) - 3, CHUNK):
-            x = self.code[raw[at : at + CHUNK + 3]]
-            two = self.ctx2[x[1:-2] * self.width + x[2:-1]]
-            cell = self.row3[x[:-3] * self.n2 + two].astype(np.int64) * self.width + x[3:]
-            total += self.cost[cell].sum(0, dtype=np.float64)
-        return total, len(raw) - len(START)
-
-
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The grams of each language whose counts are among its `limit` highest; a count that passes the limit goes as a whole.
-
-    The least count to keep comes from a histogram of the counts, so that no language is sorted in one task;
-    what is broadcast is one number for each language.
-    """
-    levels = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams"))
-    upto = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    least = levels.withColumn("upto", upto).filter(F.col("upto") <= limit).groupBy("lang").agg(F.min("n").alias("least"))
-    return counts.join(F.broadcast(least), "lang").filter("n >= least").select("lang", "gram", "n")
+        return self.bits_of([text])[0]
 
 
 def train(docs: DataFrame) -> Model | None:
     """The model of docs' languages (columns text, lang), or None if there is nothing to learn from."""
+    spark = docs.sparkSession
     counts = checkpointed(count_grams(docs))
-    langs = counts.select("lang").distinct().count()
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
-    return Model(most_frequent(counts, MAX_GRAMS // langs).toPandas().sort_values(["lang", "gram"], ignore_index=True))
+    counts = counts.join(F.broadcast(spark.createDataFrame(list(enumerate(langs)), "k int, lang string")), "lang").select("k", "gram", "n")
+    pairs = counts.groupBy("k", F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toPandas()
+    low = _low_costs(*(pairs[c].to_numpy() for c in ("k", "pair", "n")), len(langs))
+    # contexts of two bytes, 65 536 at most, in runs of up to MAX_CELLS cells
+    ctx = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    sizes = counts.select("gram").distinct().groupBy(ctx.alias("ctx")).count().toPandas().sort_values("ctx")
+    bounds, cells = [0], 0
+    for c, n in zip(sizes["ctx"], sizes["count"] * len(langs), strict=True):
+        if cells and cells + n > MAX_CELLS:
+            bounds.append(int(c))
+            cells = 0
+        cells += n
+    bounds = np.array(bounds)
+    of = np.searchsorted(bounds, sizes["ctx"].to_numpy(), "right") - 1
+    slices = spark.createDataFrame(list(zip(sizes["ctx"].tolist(), of.tolist(), strict=True)), "ctx int, slice int")
+    folder, shared = new_folder(spark, "language"), spark.sparkContext.broadcast(low)
+
+    def save(rows: pd.DataFrame) -> pd.DataFrame:
+        i = int(rows["slice"].iloc[0])
+        arrays = _slice_costs(rows["gram"].to_numpy(), rows["k"].to_numpy(), rows["n"].to_numpy(), shared.value)
+        # a name of its own for each attempt of the task
+        uri = f"{folder}/{i}-{uuid.uuid4().hex}.npz"
+        buffer = io.BytesIO()
+        np.savez(buffer, **arrays)
+        store, path = _file(uri)
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(path) as f:
+            f.write(buffer.getvalue())
+        return pd.DataFrame({"slice": [i], "file": [uri]})
+
+    dealt = counts.withColumn("ctx", ctx.cast("int")).join(F.broadcast(slices), "ctx").select("slice", "k", "gram", "n")
+    files = {r["slice"]: r["file"] for r in dealt.groupBy("slice").applyInPandas(save, "slice int, file string").collect()}
+    return Model(langs, low, bounds, [files[i] for i in range(len(bounds))])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -168,14 +251,15 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     def make():
         m = shared.value
 
-        def one(value):
-            if m is None or value is None or not any(map(str.isalpha, value)):
-                return "und", 0.0, 0.0
-            bits, n = m.bits(value)
-            best = int(bits.argmin())
-            return m.langs[best], float(1 / np.exp2(bits[best] - bits).sum()), float(bits[best] / n)
+        def each(values):
+            out = [("und", 0.0, 0.0)] * len(values)
+            scored = [] if m is None else [i for i, v in enumerate(values) if v is not None and any(map(str.isalpha, v))]
+            for i, (bits, n) in zip(scored, m.bits_of([values[i] for i in scored]) if scored else [], strict=True):
+                best = int(bits.argmin())
+                out[i] = m.langs[best], float(1 / np.exp2(bits[best] - bits).sum()), float(bits[best] / n)
+            return out
 
-        return lambda values: [one(v) for v in values]
+        return each
 
     return with_columns_from(docs, text, RESULT, make)
 
