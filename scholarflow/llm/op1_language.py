@@ -243,7 +243,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     """`docs` with a struct `_out` (lang_pred, score, bits_per_byte).
 
     score is the winner's share of the summed probabilities that all languages give to the text.
-    A null, empty or letterless text, and any text when there is no model, gives ("und", 0.0, 0.0).
+    A null, empty or letterless text gives ("und", 0.0, 0.0), any other (null, 0.0, 0.0) when there is no model.
     Ties go to the language that sorts first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -253,8 +253,12 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
         def each(values):
             out = [("und", 0.0, 0.0)] * len(values)
-            scored = [] if m is None else [i for i, v in enumerate(values) if v is not None and any(map(str.isalpha, v))]
-            for i, (bits, n) in zip(scored, m.bits_of([values[i] for i in scored]) if scored else [], strict=True):
+            lettered = [i for i, v in enumerate(values) if v is not None and any(map(str.isalpha, v))]
+            if m is None:
+                for i in lettered:
+                    out[i] = None, 0.0, 0.0
+                return out
+            for i, (bits, n) in zip(lettered, m.bits_of([values[i] for i in lettered]) if lettered else [], strict=True):
                 best = int(bits.argmin())
                 out[i] = m.langs[best], float(1 / np.exp2(bits[best] - bits).sum()), float(bits[best] / n)
             return out
