@@ -4,12 +4,13 @@ Four kinds are found by pattern alone (assign, access, hex). The other kinds are
 their structure has been confirmed: runs of base64 or hex are decoded, and the bytes must parse as
 
 * `der`: an ASN.1 SEQUENCE whose nested lengths fill it exactly and that holds the fields of a private
-  key (a version INTEGER followed by an INTEGER, SEQUENCE or OCTET STRING) or of a public key;
+  key (a version INTEGER followed by an INTEGER, SEQUENCE or OCTET STRING), of an encrypted private key
+  (an algorithm SEQUENCE and an OCTET STRING) or of a public key;
 * `openssh`: the OpenSSH key container, with its length-prefixed fields inside the data;
 * `token`: three base64url parts joined by dots, whose first two decode to JSON objects, the first
   with a known signing algorithm, and whose signature decodes to bytes.
 
-PEM bodies may be wrapped over lines.
+PEM bodies may be wrapped over lines; a line break may be escaped (a backslash and n), as in JSON.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{48,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
 #: Base64 that starts like a DER SEQUENCE or the OpenSSH magic, perhaps wrapped over lines.
-KEY = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3BlbnNzaC1rZXktdj)[A-Za-z0-9+/]{38,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+KEY = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:M[A-P]|b3BlbnNzaC1rZXktdj)[A-Za-z0-9+/]{38,}(?:(?:\r?\n|(?:\\+r)?\\+n)[A-Za-z0-9+/]+)*={0,2}")
 ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none"}
 MAGIC = b"openssh-key-v1\x00"
 
@@ -76,7 +77,7 @@ def der_key(data: bytes) -> bool:
         tags.append(tag)
     if tags[:1] == [0x02]:
         return len(tags) >= 2 and tags[1] in (0x02, 0x04, 0x30)
-    return tags == [0x30, 0x03]
+    return tags in ([0x30, 0x03], [0x30, 0x04])
 
 
 def openssh_key(data: bytes) -> bool:
@@ -97,7 +98,7 @@ def openssh_key(data: bytes) -> bool:
 
 
 def _base64(s: str) -> bytes:
-    s = re.sub(r"\s", "", s).rstrip("=").replace("-", "+").replace("_", "/")
+    s = re.sub(r"\\+[nr]|\s", "", s).rstrip("=").replace("-", "+").replace("_", "/")
     if len(s) % 4 == 1:
         s = s[:-1]
     try:
