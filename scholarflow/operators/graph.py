@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RELATIONS
 from ..store import checkpointed, small
+from .components import components
 
 
 def prerequisite_closure(edges: DataFrame, hops: int = 3) -> DataFrame:
@@ -93,23 +94,68 @@ def easiest_roots(concepts: DataFrame, edges: DataFrame, limit: int = 10) -> Dat
     return concepts.join(needs, "concept_id", "left_anti").orderBy("difficulty", "concept_id").limit(limit).select("concept_id", "name", "difficulty")
 
 
-def peel_cycles(edges: DataFrame, kinds: tuple[str, ...] = ("REQUIRES", "NEXT", "IS_SUB_CONCEPT_OF"), rounds: int = 30) -> DataFrame:
-    """Edges that lie on a cycle or between cycles: nodes without an edge in or out are peeled off, round by round.
+def peel_cycles(edges: DataFrame, kinds: tuple[str, ...] = ("REQUIRES", "NEXT", "IS_SUB_CONCEPT_OF"), rounds: int = 8) -> DataFrame:
+    """(source, target, component): the edges that lie on a cycle or between cycles, and their part's least node.
 
-    `rounds` bounds the peeling; the edges are checkpointed, and one count a round reaches the driver.
-    A chain peels one node from each end in a round, so long chains need many rounds; two-hop shortcuts
-    would not help, because only the ends are known to be free.
+    Nodes without an edge in or out are peeled off until none is left, whatever that takes. Peeling eats one
+    node from each end of a chain in a round, so after `rounds` rounds every chain of nodes with one edge in
+    and one out becomes a single node: long chains go in a few rounds, and a ring becomes a loop, which stays.
+    Edges are checkpointed, and one count a round reaches the driver.
     """
-    e = edges.filter(F.col("rel_type").isin(*kinds)).select("source", "target").distinct()
-    n = -1
+    all_edges = checkpointed(edges.filter(F.col("rel_type").isin(*kinds)).select("source", "target").distinct())
+    e, names = all_edges, None
+    while True:
+        e, done = _peel(e, rounds)
+        if done:
+            break
+        e, merged = _contract(e)
+        merged = merged.select("node", F.col("component").alias("name"))
+        if names is None:
+            names = merged
+        else:
+            old = names.join(merged.select(F.col("node").alias("name"), F.col("name").alias("newer")), "name", "left").select("node", F.coalesce("newer", "name").alias("name"))
+            names = checkpointed(old.unionByName(merged.join(names.select("node"), "node", "left_anti")))
+    if names is None:
+        left = e
+    else:
+        name = lambda end: names.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name"))
+        named = all_edges.join(name("source"), "source", "left").join(name("target"), "target", "left")
+        named = named.withColumns({f"{end}_name": F.coalesce(f"{end}_name", end) for end in ("source", "target")})
+        alive = e.select(F.col("source").alias("source_name"), F.col("target").alias("target_name")).unionByName(e.select(F.col("source").alias("source_name"), F.col("source").alias("target_name")))
+        left = checkpointed(named.join(alive.distinct(), ["source_name", "target_name"], "left_semi").select("source", "target"))
+    parts = components(left, "source", "target").select(F.col("node").alias("source"), "component")
+    return left.join(parts, "source", "left").select("source", "target", F.coalesce("component", "source").alias("component"))
+
+
+def _peel(e: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """`e` after at most `rounds` rounds of peeling, and whether nothing more can be peeled."""
+    n = e.count()
     for _ in range(rounds):
         e = e.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        e = checkpointed(e)
+        e = checkpointed(e.select("source", "target"))
         left = e.count()
         if left in (0, n):
-            break
+            return e, True
         n = left
-    return e.select("source", "target")
+    return e, False
+
+
+def _contract(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with each chain of nodes that have one edge in and one out as a single node, and (node, component) of the chains."""
+    one = lambda end, other: e.groupBy(F.col(end).alias("node")).agg(F.count(F.lit(1)).alias(other)).filter(f"{other} = 1").select("node")
+    plain = checkpointed(one("source", "outs").join(one("target", "ins"), "node"))
+    inner = e.join(plain.select(F.col("node").alias("source")), "source", "left_semi").join(plain.select(F.col("node").alias("target")), "target", "left_semi")
+    inner = checkpointed(inner.select("source", "target"))
+    chains = checkpointed(components(inner, "source", "target"))
+    label = lambda end: chains.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    rest = e.join(inner, ["source", "target"], "left_anti").join(label("source"), "source", "left").join(label("target"), "target", "left")
+    rest = rest.select(F.coalesce("source_c", "source").alias("source"), F.coalesce("target_c", "target").alias("target"))
+    # a ring has as many edges as nodes
+    edges_of = inner.filter("source <> target").join(label("source"), "source").groupBy("source_c").agg(F.count(F.lit(1)).alias("k"))
+    nodes_of = chains.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    rings = edges_of.join(nodes_of, (F.col("source_c") == F.col("component")) & (F.col("k") == F.col("n"))).select(F.col("component").alias("source"), F.col("component").alias("target"))
+    loops = inner.filter("source = target")
+    return checkpointed(rest.unionByName(rings).unionByName(loops).distinct()), chains
 
 
 # --- curation -------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import checkpointed
+from .components import components
 
 
 def topk_similar(queries: DataFrame, items: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
@@ -44,21 +45,6 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 20, block: int =
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def label_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): smallest node reachable over edges (a, b), by rounds of taking the neighbours' least label."""
-    both = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = both.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    before = None
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
-        labels = checkpointed(labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("component")))
-        now = labels.agg(F.sum("component")).first()[0]
-        if now == before:
-            break
-        before = now
-    return labels
-
-
 def clusters(pairs: DataFrame, threshold: float = 0.8, most: int = 200_000) -> DataFrame:
     """Average-linkage clusters of nodes from scored pairs (a, b, score); unscored pairs count 0.
 
@@ -67,7 +53,7 @@ def clusters(pairs: DataFrame, threshold: float = 0.8, most: int = 200_000) -> D
     such a block needs a stricter threshold or a finer blocking key.
     """
     strong = pairs.filter(F.col("score") >= threshold).select("a", "b")
-    of = label_components(strong)
+    of = components(strong)
     inside = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").filter("ca = cb")
     inside = checkpointed(inside.select(F.col("ca").alias("component"), "a", "b", "score"))
     largest = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -79,18 +65,19 @@ def clusters(pairs: DataFrame, threshold: float = 0.8, most: int = 200_000) -> D
         s = np.zeros((len(nodes), len(nodes)))
         i, j = np.searchsorted(nodes, rows["a"]), np.searchsorted(nodes, rows["b"])
         s[i, j] = s[j, i] = rows["score"]
-        groups = [[k] for k in range(len(nodes))]
-        while len(groups) > 1:
-            best, at = threshold, None
-            for x in range(len(groups)):
-                for y in range(x + 1, len(groups)):
-                    v = s[np.ix_(groups[x], groups[y])].mean()
-                    if v > best or (v == best and at is None):
-                        best, at = v, (x, y)
-            if at is None:
+        np.fill_diagonal(s, -np.inf)
+        size, root = np.ones(len(nodes)), np.arange(len(nodes))
+        while len(nodes) > 1:
+            x, y = sorted(divmod(int(s.argmax()), len(nodes)))
+            if s[x, y] < threshold:
                 break
-            groups[at[0]] += groups.pop(at[1])
-        return pd.DataFrame([(int(nodes[k]), int(nodes[min(g)])) for g in groups for k in g], columns=["node", "cluster"])
+            # Lance-Williams update of average linkage
+            merged = (size[x] * s[x] + size[y] * s[y]) / (size[x] + size[y])
+            s[x], s[:, x], s[x, x] = merged, merged, -np.inf
+            s[y], s[:, y] = -np.inf, -np.inf
+            size[x] += size[y]
+            root[root == y] = x
+        return pd.DataFrame({"node": nodes.astype("int64"), "cluster": nodes[root].astype("int64")})
 
     return inside.groupBy("component").applyInPandas(linkage, "node long, cluster long")
 
