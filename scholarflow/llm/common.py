@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -11,12 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import checkpointed, shared_folder, written  # noqa: F401
+from .. import store
+from ..operators.components import components  # noqa: F401
 
 #: Characters or bytes of a batch that are worked on at a time.
 SLICE = 2_000_000
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 8 << 20
+#: Bits of the filters that keep rows out of joins in which they have no part: 2 MB.
+FILTER_BITS = 1 << 24
 #: ASCII white space, the only separators of words here.
 SPACE = r"\x20\x09-\x0D"
 
@@ -36,11 +40,55 @@ def release_memory() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lets an Arrow batch hold `BATCH_BYTES` at most, unless the session asks for less: texts can be long."""
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, an Arrow batch holds `BATCH_BYTES` at most: texts can be long. The session's setting comes back."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key, "67108864")).rstrip("bB")) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`store.checkpointed` with small Arrow batches."""
+    with _small_batches(df.sparkSession):
+        return store.checkpointed(df)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`store.written` with small Arrow batches."""
+    with _small_batches(df.sparkSession):
+        return store.written(df)
+
+
+def packed(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """`columns` of `df`, and each whole row as a struct `row`: what is added beside them can clash with no column."""
+    return df.select(*columns, F.struct("*").alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The rows of `packed`, with some columns changed; each other value comes back as it was."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns])
+
+
+def flagged(df: DataFrame, key: str, keys: DataFrame, flag: str = "maybe", bits: int = FILTER_BITS) -> DataFrame:
+    """`df` with a boolean `flag`: false only where the long `key` is in no row of the one column of `keys`.
+
+    A Bloom filter of one hash: the keys set bits in at most `bits` / 64 words, which is the bound of what is
+    broadcast, whatever the number of keys. The more keys, the more other rows pass; a full filter passes all.
+    """
+    place = lambda k: F.pmod(k, F.lit(bits))
+    k = keys.select(place(F.col(keys.columns[0])).alias("k"))
+    words = k.groupBy(F.shiftright("k", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("_bits"))
+    of = df.withColumn("_place", place(F.col(key))).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.expr("shiftright(_bits, cast(_place & 63 as int)) & 1 = 1"), F.lit(False))
+    return of.withColumn(flag, hit).drop("_word", "_place", "_bits")
 
 
 def with_columns_from(
@@ -49,7 +97,7 @@ def with_columns_from(
     """`df` with a struct column `_out` of `fields`, made from one column by an Arrow-batched function.
 
     `make()` runs once per task and returns a function that takes the values of a batch (None for null)
-    and gives a tuple for each. The other columns never leave the JVM.
+    and gives a tuple for each. The other columns never leave the JVM. A column `_out` of `df` is replaced.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -70,7 +118,6 @@ def with_columns_from(
         del each, values, held
         release_memory()
 
-    bound_batches(df.sparkSession)
     # the hints are read when the function is registered
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     # else a filter on the result would run the function twice, in two more workers
@@ -78,53 +125,20 @@ def with_columns_from(
     return df.withColumn("_out", once(F.col(column)))
 
 
-def block_pairs(df: DataFrame, key: str, order: Column, limit: int) -> DataFrame:
-    """Deals the rows of each bucket `key` to tasks of at most about 2 x `limit` rows.
+def block_pairs(df: DataFrame, key: str, order: Column, limit: int, weight: Column | int = 1) -> DataFrame:
+    """Deals the rows of each bucket `key` to tasks of at most about 2 x `limit` rows, or as much `weight` of rows.
 
     A bucket of n rows is cut into b = ceil(n / limit) blocks by `order` (a hash column), and every
     pair of blocks (i <= j) becomes one task, so that any two rows of the bucket meet in exactly one
     task with i < j or, for rows of one block, in the task i = j. Buckets of one row are dropped.
     Adds block_i, block_j and own (this row's block).
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    blocks = df.join(sizes, key).withColumn("_b", F.ceil(F.col("_n") / limit).cast("int"))
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.lit(weight) if isinstance(weight, int) else weight).alias("_w")).filter("_n > 1")
+    blocks = df.join(sizes, key).withColumn("_b", F.ceil(F.col("_w") / limit).cast("int"))
     blocks = blocks.withColumn("own", F.when(F.col("_b") == 1, 0).otherwise(F.pmod(order, F.col("_b"))).cast("int"))
     return (
         blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
         .withColumn("block_i", F.least("own", "_other"))
         .withColumn("block_j", F.greatest("own", "_other"))
-        .drop("_n", "_b", "_other")
-    )
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node that has an edge; component is its smallest reachable node.
-
-    Alternates large-star and small-star rounds ("Connected components in MapReduce
-    and beyond") until no edge changes; each round is two grouped aggregations, checkpointed, and the
-    driver sees one count. Hubs are safe: a node's neighbours are only joined to their minimum, never listed.
-    """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(100):
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(down, "u")
-            .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .filter("u <> v")
-            .distinct()
-        )
-        e = checkpointed(small)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    stars = e.groupBy("u").agg(F.min("v").alias("component"))
-    return stars.select(F.col("u").alias("node"), "component").unionAll(
-        e.select(F.col("v").alias("node")).distinct().join(stars.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
+        .drop("_n", "_w", "_b", "_other")
     )

@@ -8,6 +8,9 @@ every distance in it exceeds the radius, and columns of 64 that do are dropped o
 Candidates are exact: of the radius + 2 parts of a fingerprint, two must agree between fingerprints
 that differ in at most `radius` bits, so each pair of parts is a bucket key. Only distinct fingerprints
 are compared, and each task reports a spanning forest of the links it finds, never all pairs.
+
+`near_duplicates` links by fingerprints alone; `keep_one` (in `near_copies`) takes five-word shingles and a
+similarity of 0.8, for which the planes only choose the pairs whose shingle sets are compared.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from pyspark.sql import types as T
 
 from .buckets import forest, small_pairs, stream
 from .common import block_pairs, checkpointed, components, table, with_columns_from
+from .near_copies import keep_one  # noqa: F401
+from .planes import BITS, planes_of, within
 
-SEED, BITS, SHINGLE, RADIUS = 42, 64, 3, 2
+SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Rows of a block of a large bucket, and up to how many rows a bucket counts as small.
 BLOCK, SMALL = 4096, 48
-ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -57,39 +61,6 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_columns_from(docs, text, T.StructType([T.StructField("fingerprint", T.LongType())]), lambda: lambda values: [(fingerprint(v),) for v in values])
 
 
-def planes_of(x: np.ndarray) -> np.ndarray:
-    """The vertical planes, shape (64, words), of fingerprints; the last word is padded with zeros."""
-    bits = np.unpackbits(x.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    bits = np.concatenate([bits, np.zeros((-len(x) % 64, BITS), np.uint8)])
-    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
-
-
-def within(planes: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, column) of all distances of at most `radius` (0 to 3) between queries and a block's planes."""
-    masks = np.where(np.unpackbits(queries.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool), ONES, np.uint64(0))
-    columns = np.arange(planes.shape[1])
-    zero = np.zeros((len(queries), len(columns)), np.uint64)
-    one, two, four = zero, zero.copy(), zero.copy()
-    far = zero
-    for b in range(0, BITS, 2):
-        x, y = planes[b] ^ masks[:, b, None], planes[b + 1] ^ masks[:, b + 1, None]
-        carry = (one & x) | (y & (one ^ x))
-        one = one ^ x ^ y
-        four |= two & carry
-        two ^= carry
-        if b % 8 == 6 or b == BITS - 2:
-            far = four | (one | two if radius == 0 else two if radius == 1 else two & one if radius == 2 else zero[:, : len(columns)])
-            live = ~(far == ONES).all(0)
-            if not live.any():
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if live.mean() < 0.7:
-                planes, columns = planes[:, live], columns[live]
-                one, two, four, far = one[:, live], two[:, live], four[:, live], far[:, live]
-    bits = np.unpackbits(np.ascontiguousarray(~far).view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little")
-    q, c = np.nonzero(bits)
-    return q, columns[c // 64] * 64 + c % 64
-
-
 def _links(rows: pd.DataFrame, group: np.ndarray, large: bool) -> pd.DataFrame | None:
     """A spanning forest (a, b) of the links between the rows of small groups, or between the blocks of a large one."""
     x = rows["fp"].to_numpy()
@@ -148,20 +119,12 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest doc_id that links reach; null only if no id of the group is known.
+    component_id is the smallest doc_id that links reach; null only if no id of the group is known. Null and
+    empty texts, and texts without a word, have fingerprint zero and are linked like any other; equal rows
+    come back as often as they are there. Other columns are not read; an empty table gives none.
     """
     return groups(docs, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` without near duplicates: of each group, one row with its smallest doc_id."""
-    kept = groups(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_h"))
-    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    # the same row may be there more than once
-    return rows.dropDuplicates(["_id", "_h"]).select(*docs.columns)
-
-
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
