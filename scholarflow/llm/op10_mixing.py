@@ -10,8 +10,6 @@ sorted as a whole.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,64 +52,60 @@ def targets(sizes: list[tuple[object, int]], weights: tuple[float, ...] = WEIGHT
 def route(patterns: dict[tuple, int], quotas: dict[object, float], repeats: int = REPEATS) -> dict[tuple, dict[object, float]]:
     """Words that each pattern (tuple of sources) sends to each of its sources; min-cost flow.
 
-    Successive shortest paths over source -> pattern -> quota -> sink. A pattern's r-th repetition of
-    its words costs 2 r - 1 a word, so total cost is the sum of squares of repetitions: convex, hence
-    the arcs fill in order and the greedy path is the cheapest.
+    The network is start -> pattern -> source -> sink. A pattern has `repeats` arcs from the start, each as wide
+    as its words; the r-th costs 2 r - 1 a word, so total cost is the sum of squares of repetitions. All other
+    arcs are free, so the cheapest augmenting paths are those that begin with the cheapest arc left: arcs are
+    opened level by level, and each level is augmented until no path is left, straight ones first, then, breadth
+    first, those that move what other patterns send to a source that they share.
     """
     sent = {p: dict.fromkeys(p, 0.0) for p in patterns}
-    total = dict.fromkeys(patterns, 0.0)
     need = dict(quotas)
     members: dict[object, list[tuple]] = {}
     for p in patterns:
         for s in p:
             members.setdefault(s, []).append(p)
     tiny = 1e-6 * max(1.0, sum(quotas.values()))
+    room = dict.fromkeys(patterns, 0.0)
 
-    def level(p: tuple) -> int:
-        return int((total[p] + tiny * 1e-3) // patterns[p]) if patterns[p] else repeats
-
-    # patterns of one source have one way to go
-    for p, n in patterns.items():
-        if len(p) == 1 and len(members[p[0]]) == 1:
-            sent[p][p[0]] = total[p] = min(need[p[0]], float(repeats * n))
-            need[p[0]] -= total[p]
-            if need[p[0]] > tiny:
-                need[p[0]] = 0.0  # unreachable: all its copies are used
-    while True:
-        # Dijkstra over patterns, by marginal cost; from a pattern, flow may be moved on through a source it serves
-        open_ = [(2 * level(p) + 1, k, p, None) for k, p in enumerate(patterns) if patterns[p] and level(p) < repeats]
-        heapq.heapify(open_)
-        back: dict = {}
-        goal = None
-        while open_:
-            cost, k, p, via = heapq.heappop(open_)
-            if p in back:
-                continue
-            back[p] = via
-            goal = next((s for s in p if need.get(s, 0) > tiny), None)
-            if goal is not None:
-                break
-            for s in p:
-                for q in members[s]:
-                    if q not in back and q is not p and sent[q][s] > tiny * 1e-3:
-                        heapq.heappush(open_, (cost, k, q, (p, s)))
-        if goal is None:
-            return sent
-        path, p = [], p
-        while back[p] is not None:
-            path.append((p, *back[p]))
-            p = back[p][0]
-        room = patterns[p] * (level(p) + 1) - total[p]
-        amount = min([need[goal], room, *(sent[q][s] for q, _, s in path)])
-        total[p] += amount
+    def send(p: tuple, path: list[tuple[tuple, object]], goal: object) -> None:
+        """Augments from pattern `p`; `path` lists (pattern, source that its words leave) in order from the goal."""
+        amount = min([need[goal], room[p], *(sent[q][s] for q, s in path)])
         need[goal] -= amount
-        last = goal
-        for q, before, s in path:
-            sent[q][last] += amount
+        room[p] -= amount
+        for q, s in path:
+            sent[q][goal] += amount
             sent[q][s] -= amount
-            last = s
-            p = before
-        sent[p][last] += amount
+            goal = s
+        sent[p][goal] += amount
+
+    for _ in range(repeats):
+        for p, n in patterns.items():
+            room[p] += n
+            for s in p:
+                if room[p] > 0 and need[s] > 0:
+                    send(p, [], s)
+        while True:
+            back: dict = {p: None for p in patterns if room[p] > tiny}
+            queue, found = list(back), None
+            for p in queue:
+                found = next(((p, s) for s in p if need[s] > tiny), None)
+                if found:
+                    break
+                for s in p:
+                    for q in members[s]:
+                        if q not in back and sent[q][s] > tiny * 1e-3:
+                            back[q] = p, s
+                            queue.append(q)
+            if not found:
+                break
+            p, goal = found
+            path = []
+            while back[p]:
+                before, s = back[p]
+                path.append((p, s))
+                p = before
+            send(p, path, goal)
+    return sent
 
 
 def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
@@ -119,13 +113,14 @@ def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = WEIGHTS,
 
     `sources` is an array of source names; a null name is a source of its own that sorts last, and
     source_size and target are sums over a document's sources. taken = copies x size, and copies is at most
-    `repeats`. A document of size 0 has no copies. Same rows, same seed: same mix, in any partitioning.
+    `repeats`. A document of size 0 (null and empty texts) has no copies; a null id is an id, and repeated rows get
+    the same copies. Same rows, same seed: same mix, in any partitioning. Columns come back as they were,
+    whatever their names, but for `_out`, which is replaced. An empty table gives none.
     """
-    rows = docs.withColumn("_size", size_of(F.col("text"))).withColumn("_p", F.array_sort(F.array_distinct(sources)))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_d"), size_of(F.col("text")).alias("_n"), F.xxhash64("text").alias("_t"), F.array_sort(F.array_distinct(sources)).alias("_p"))
     # nulls sort last in array_sort; a hash of what the row is orders documents, repeated rows stay together
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")))
-    rows = rows.withColumn("_bin", F.pmod(F.col("_h"), F.lit(BINS)))
-    keyed = checkpointed(rows.select("_p", "_bin", "_h", F.col("doc_id").alias("_d"), F.col("_size").alias("_n")))
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "_d", "_t")).withColumn("_bin", F.pmod(F.col("_h"), F.lit(BINS)))
+    keyed = checkpointed(rows.select("_p", "_bin", "_h", "_d", "_n"))
     bins = checkpointed(keyed.groupBy("_p", "_bin").agg(F.sum("_n").alias("words")))
     per_pattern = bins.groupBy("_p").agg(F.sum("words").alias("words"))
     arcs = per_pattern.agg(F.sum(F.size("_p"))).first()[0] or 0
@@ -175,10 +170,10 @@ def mix(docs: DataFrame, sources: Column, weights: tuple[float, ...] = WEIGHTS,
     picks = picks.groupBy("_p").agg(F.collect_list(F.struct("_eh", "_ed")).alias("picks"))
     plan = checkpointed(plan.join(picks, "_p", "left"))
     out = rows.join(F.broadcast(plan.withColumnRenamed("_p", "_q")), F.col("_p") == F.col("_q"))
-    extra = F.size(F.filter(F.coalesce("picks", F.array()), lambda x: (x["_eh"] == F.col("_h")) & x["_ed"].eqNullSafe(F.col("doc_id"))))
-    copies = F.when(F.col("_size") > 0, F.col("full") + inside.cast("int") + extra).otherwise(0).cast("int")
-    fields = F.struct(F.col("_size").alias("size"), "source_size", "target", (copies * F.col("_size")).cast("long").alias("taken"), copies.alias("copies"))
-    return out.withColumn("_out", fields).select(*docs.columns, "_out")
+    extra = F.size(F.filter(F.coalesce("picks", F.array()), lambda x: (x["_eh"] == F.col("_h")) & x["_ed"].eqNullSafe(F.col("_d"))))
+    copies = F.when(F.col("_n") > 0, F.col("full") + inside.cast("int") + extra).otherwise(0).cast("int")
+    fields = F.struct(F.col("_n").alias("size"), "source_size", "target", (copies * F.col("_n")).cast("long").alias("taken"), copies.alias("copies"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "_out"], fields.alias("_out"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scholarflow.llm import buckets, op1_language, op2_secrets, op3_quality, op4_matroska, op5_urls, op6_suffixes, op7_pieces, op8_embeddings, op9_simhash, op10_mixing
 
@@ -426,3 +427,51 @@ def test_mix_of_documents(spark, odd, empty):
         own = [r for r in rows if r["source"] == s]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 13 and all(r["taken"] <= 3 * r["size"] for r in own)
     assert op10_mixing.mix(odd, F.array("source")).count() == len(ODD) and op10_mixing.mix(empty, F.array("source")).count() == 0
+
+
+def test_mix_of_overlapping_sources(spark):
+    """Sources that share documents: what each pattern sends is the cheapest flow, and whole documents come near it."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        of = [s for s, p in (("a", 0.15), ("b", 0.6), ("c", 0.5)) if rng.random() < p] or ["c"]
+        rows.append((i, " ".join(["w"] * rng.randrange(1, 60)), of, f"t{i}", f"r{i}", f"o{i}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>, target string, rest string, full string")
+    got = op10_mixing.mix(docs, F.col("sources")).collect()
+    patterns, sizes = Counter(), Counter()
+    for r in rows:
+        n = len(r[1].split())
+        patterns[tuple(sorted(r[2]))] += n
+        for s in r[2]:
+            sizes[s] += n
+    quota = op10_mixing.targets(sorted(sizes.items()))
+    sent = op10_mixing.route(dict(patterns), quota)
+    assert len(patterns) > 5 and max(sum(x.values()) / patterns[p] for p, x in sent.items()) > 1.5
+    for s, q in quota.items():
+        assert abs(sum(x.get(s, 0) for x in sent.values()) - q) < 1e-3 * q
+    taken = Counter()
+    for r in got:
+        assert (r["target"], r["rest"], r["full"]) == (f"t{r['doc_id']}", f"r{r['doc_id']}", f"o{r['doc_id']}")
+        assert r["_out"]["taken"] == r["_out"]["copies"] * r["_out"]["size"] and r["_out"]["copies"] <= 3
+        assert r["_out"]["source_size"] == sum(sizes[s] for s in r["sources"])
+        taken[tuple(sorted(r["sources"]))] += r["_out"]["taken"]
+    for p, x in sent.items():
+        assert abs(taken[p] - sum(x.values())) <= 60
+    # no cheaper flow: moving a word from one pattern to another that serves the same source never helps
+    level = {p: -(-sum(x.values()) // n) for (p, x), n in zip(sent.items(), (patterns[p] for p in sent))}
+    for p in sent:
+        for q in sent:
+            if any(sent[p][s] > 1 and s in q for s in p):
+                assert sum(sent[p].values()) / patterns[p] <= max(level[q], sum(sent[q].values()) / patterns[q]) + 1 + 1e-6
+
+
+def test_one_source_patterns_go_through_the_arcs():
+    sent = op10_mixing.route({("a",): 10, ("b",): 100}, {"a": 25.0, "b": 60.0})
+    assert sent == {("a",): {"a": 25.0}, ("b",): {"b": 60.0}}
+
+
+def test_mix_keeps_clashing_columns(spark):
+    names = ["_p", "_size", "_h", "_bin", "_d", "_n", "_q", "_t", "row", "target", "source_size", "full", "rest", "picks", "end_bin", "end_h", "over_h", "words", "copies"]
+    docs = spark.createDataFrame([(i, "one two three " * (i + 1), "s", *[f"{n}{i}" for n in names]) for i in range(30)], f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    for r in op10_mixing.mix(docs, F.array("source")).collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
