@@ -1,22 +1,23 @@
 """Removal of repeated passages with a distributed difference-cover suffix sort.
 
-A passage of `LENGTH` bytes that also starts anywhere else is repeated, and every byte of it goes.
+A passage of `LENGTH` bytes that also starts anywhere else is repeated, and every byte of it goes. Beside that,
+bytes of shorter repeats, of `PASSAGE` bytes or more (about 50 words), are counted but not removed.
 
-1. Anchors. Each start of a 400-byte window belongs to the least hashed 128-byte gram inside the window
-   (the leftmost, on ties). Equal windows have equal grams at equal places, so two windows can only be
-   equal if they belong to the same gram. A run of starts with one anchor is a row: the gram, the
-   document, the place, and a digest of all bytes that the run's windows cover (its span).
+1. Cover. Each start of a `PASSAGE`-byte window belongs to the least hashed 128-byte gram inside the window (the
+   leftmost, on ties). Like a difference cover, these places are few, and any two equal windows have one at
+   equal offset, so two windows can only be equal if they belong to the same gram. A run of starts with one
+   gram is a row: the gram, the document, the place, and a digest of all bytes that its windows cover (its span).
 2. Grams that occur once are dropped; nothing that they own can be repeated. Runs with the same gram and
-   the same span are one class. All windows of a class with two members are repeated.
-3. Classes that share a gram but differ in their spans may still share windows. The spans of one member
-   each are dealt to tasks by gram and their suffixes are sorted by the difference-cover algorithm
-   (`suffix_order`): sort the sampled triples (positions 1 and 2 modulo 3), recurse on their names until
-   the names are unique or reach past 400 bytes, sort the rest by the ranks of their successors, merge,
-   and compare the prefixes of adjacent suffixes. Grams with too many classes for one task are compared
-   by grouping digests of their windows instead, which Spark deals out evenly.
+   span get one name, a class; its members are equal suffixes, neighbours in any order.
+3. Classes that share a gram are sorted: the spans of one member each are dealt to tasks by gram, bytes that
+   no window with a hash met twice covers are cut off, and the suffixes of the rest are ordered by the difference-cover algorithm (`suffix_order`): sort the sampled triples (positions
+   1 and 2 modulo 3), recurse on their names until the names are unique or reach past 400 bytes, sort the rest
+   by the ranks of their successors, merge, and compare the prefixes of adjacent suffixes. Grams with too many
+   classes for one task are compared by grouping digests of their windows, which Spark deals out evenly.
 4. Repeated starts are joined back to every member of their class, and the covered bytes are cut out.
 
-All of it is exact up to 128-bit digests. Texts are read twice for anchors and once for the cut.
+All of it is exact up to 128-bit digests. Texts are read twice for the cover. A text is only shuffled if a filter
+says that a task may need its bytes: once for the spans of 3, once for the cut of 4.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, table
+from .common import checkpointed, flagged, table
 
-LENGTH, GRAM = 400, 128
+LENGTH, PASSAGE, GRAM = 400, 300, 128
 #: Starts of one long text that are looked at together; bytes whose suffixes are sorted together.
 CHUNK, BATCH = 1 << 21, 2_500_000
 #: Classes of a gram up to which one task sorts them.
@@ -51,7 +52,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Anchors:
     """Anchor runs of the windows of texts, with tables of powers that are made once."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK):
+    def __init__(self, length: int = PASSAGE, gram: int = GRAM, chunk: int = CHUNK):
         self.length, self.gram, self.chunk = length, gram, chunk
         self.n = 0
 
@@ -60,12 +61,12 @@ class Anchors:
             self.n = max(n, min(2 * n, self.chunk + self.length))
             self.up, self.down = _powers(_MULTIPLIER, self.n), _powers(pow(_MULTIPLIER, -1, 2**64), self.n)
 
-    def runs(self, raw: bytes) -> Iterator[tuple[int, int, int, int]]:
-        """(gram hash, first start, last start, anchor) of each run, in order."""
+    def runs(self, raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """First start, last start, anchor and gram hash of the runs, in order, a chunk at a time."""
         for at in range(0, len(raw) - self.length + 1, self.chunk):
             part = np.frombuffer(raw, np.uint8, min(self.chunk + self.length - 1, len(raw) - at), at)
             lo, hi, a, h = self._runs(part)
-            yield from zip(h.tolist(), (lo + at).tolist(), (hi + at).tolist(), (a + at).tolist(), strict=True)
+            yield lo + at, hi + at, a + at, h
 
     def _runs(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         n, k = len(x), self.gram
@@ -91,35 +92,65 @@ class Anchors:
         return lo, hi, own[lo], h[own[lo]].view(np.int64)
 
 
-ANCHORS = "gram long, s1 long, s2 long, shape long, d1 long, d2 long, start long"
+KEY = ["gram", "s1", "s2", "shape"]
+#: shape packs the bytes of the span, the starts of the run, and how far its anchor is from the first of them.
+SPAN_BITS, START_BITS = 40, 20
 
 
-def _digest(raw: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(raw)
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+def _gram_of(passage: int) -> int:
+    return min(GRAM, max(1, passage * 3 // 7))
 
 
-def anchors(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The anchor runs of `texts` (d1, d2, text): gram, digest and shape of the span, document, first start.
+def grams(texts: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """The gram hash of each anchor run of `texts` (text)."""
 
-    shape holds the number of starts of the run, and how far its anchor is from the first of them.
-    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = Anchors(passage, _gram_of(passage))
+        for batch in batches:
+            out, size = [], 0
+            for text in batch["text"]:
+                for _, _, _, h in found.runs(text.encode("utf-8", "replace")):
+                    out.append(h)
+                    size += len(h)
+                if size > 200_000:
+                    yield pd.DataFrame({"gram": np.concatenate(out)})
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame({"gram": np.concatenate(out)})
+
+    return texts.select("text").filter(F.octet_length("text") >= passage).mapInPandas(run, "gram long")
+
+
+def anchors(texts: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """The anchor runs of `texts` (d1, d2, text): gram, digest and shape of the span, document, first start."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = Anchors(length, min(GRAM, length * 8 // 25))
+        found = Anchors(passage, _gram_of(passage))
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             out: list[tuple] = []
+            size = 0
+
+            def rows() -> pd.DataFrame:
+                gram, spans, shape, d1, d2, start = zip(*out, strict=True)  # noqa: B023
+                s = np.frombuffer(b"".join(spans), ">i8").reshape(-1, 2).astype(np.int64)
+                n = [len(g) for g in gram]
+                return pd.DataFrame({"gram": np.concatenate(gram), "s1": s[:, 0], "s2": s[:, 1], "shape": np.concatenate(shape), "d1": np.repeat(d1, n), "d2": np.repeat(d2, n), "start": np.concatenate(start)})
+
             for d1, d2, text in zip(batch["d1"], batch["d2"], batch["text"], strict=True):
                 raw = text.encode("utf-8", "replace")
-                for gram, lo, hi, a in found.runs(raw):
-                    out.append((gram, *_digest(raw[lo : hi + length]), (hi - lo + 1) << 20 | a - lo, d1, d2, lo))
-                if len(out) > 200_000:
-                    yield pd.DataFrame(out, columns=ANCHORS.replace(" long", "").split(", "))
-                    out = []
+                for lo, hi, a, h in found.runs(raw):
+                    end = np.minimum(hi + length, len(raw))
+                    spans = b"".join([digest(raw[i:j]) for i, j in zip(lo.tolist(), end.tolist(), strict=True)])
+                    out.append((h, spans, (end - lo) << SPAN_BITS | (hi - lo + 1) << START_BITS | a - lo, d1, d2, lo))
+                    size += len(h)
+                if size > 200_000:
+                    yield rows()
+                    out, size = [], 0
             if out:
-                yield pd.DataFrame(out, columns=ANCHORS.replace(" long", "").split(", "))
+                yield rows()
 
-    return texts.filter(F.octet_length("text") >= length).mapInPandas(run, ANCHORS)
+    return texts.filter(F.octet_length("text") >= passage).mapInPandas(run, "gram long, s1 long, s2 long, shape long, d1 long, d2 long, start long")
 
 
 def suffix_order(x: np.ndarray, need: int) -> np.ndarray:
@@ -166,27 +197,68 @@ def suffix_order(x: np.ndarray, need: int) -> np.ndarray:
     return out
 
 
-def repeated_starts(spans: list[bytes], starts: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(span, start in it) of all windows among the first `starts` of each span that occur twice in the spans."""
+_tables = [np.ones(1, np.uint64)] * 2
+
+
+def _can_repeat(spans: list[bytes], starts: list[int], lengths: set[int]) -> list[tuple[int, int, int]]:
+    """(span, from, to) of the spans that hold windows whose rolling hash occurs twice, without the bytes that no such window covers."""
+    global _tables
+    raw = np.frombuffer(b"".join(spans), np.uint8)
+    if len(raw) >= len(_tables[0]):
+        _tables = [_powers(base, 2 * len(raw)) for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 2**64))]
+    up, down = _tables
+    sizes = np.array([len(s) for s in spans])
+    first = np.cumsum(sizes) - sizes
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    lo, hi = np.full(len(spans), np.iinfo(np.int64).max), np.zeros(len(spans), np.int64)
+    for n in lengths:
+        fits = np.minimum(np.array(starts), np.maximum(0, sizes - n + 1))
+        of = np.repeat(np.arange(len(spans)), fits)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(fits) - fits, fits)
+        pos = first[of] + at
+        h = (sums[pos + n] - sums[pos]) * down[pos]
+        order = np.argsort(h)
+        equal = h[order[1:]] == h[order[:-1]]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+        np.minimum.at(lo, of[twice], at[twice])
+        np.maximum.at(hi, of[twice], at[twice] + n)
+    return [(int(k), int(lo[k]), int(hi[k])) for k in np.flatnonzero(hi)]
+
+
+def repeated_starts(spans: list[bytes], starts: list[int], length: int = LENGTH, passage: int = PASSAGE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For both lengths, (span, start in it) of all windows among the first `starts` of each span that occur twice in the spans."""
+    none = np.zeros(0, np.int64)
+    left = _can_repeat(spans, starts, {length, passage})
+    if not left:
+        return {n: (none, none) for n in {length, passage}}
+    names, cut = np.array([k for k, _, _ in left]), np.array([a for _, a, _ in left])
+    spans, starts = [spans[k][a:b] for k, a, b in left], [starts[k] - a for k, a, b in left]
+    sizes = np.array([len(s) for s in spans])
     text = np.frombuffer(b"".join(s + b"\0" for s in spans), np.uint8).astype(np.int64) + 1
-    ends = np.cumsum([len(s) + 1 for s in spans])
+    ends = np.cumsum(sizes + 1)
     text[ends - 1] = 1
-    first = ends - np.array([len(s) + 1 for s in spans])
-    is_start = np.zeros(len(text) + 1, np.int64)
-    np.add.at(is_start, first, 1)
-    np.add.at(is_start, first + np.array(starts), -1)
-    is_start = np.cumsum(is_start)[:-1] > 0
+    first = ends - sizes - 1
     order = suffix_order(text, length)
-    order = order[is_start[order]]
-    # adjacent prefixes, 8 bytes at a time
     flat = np.concatenate([text.astype(np.uint8) - np.uint8(1), np.zeros(8, np.uint8)])
     words = np.ndarray((len(flat) - 7,), "<u8", flat.data, strides=(1,))
-    same = np.arange(len(order) - 1)
-    for k in [*range(0, length - 7, 8), length - 8]:
-        same = same[words[order[same] + k] == words[order[same + 1] + k]]
-    twice = np.unique(np.concatenate([order[same], order[same + 1]]))
-    span = np.searchsorted(ends, twice, "right")
-    return span, twice - first[span]
+    out = {}
+    for n in {length, passage}:
+        # the starts whose windows fit into their span
+        fits = np.minimum(np.array(starts), np.maximum(0, sizes - n + 1))
+        is_start = np.zeros(len(text) + 1, np.int64)
+        np.add.at(is_start, first, 1)
+        np.add.at(is_start, first + fits, -1)
+        own = order[(np.cumsum(is_start)[:-1] > 0)[order]]
+        # adjacent prefixes, 8 bytes at a time
+        same = np.arange(max(0, len(own) - 1))
+        for k in [*range(0, n - 7, 8), n - 8]:
+            same = same[words[own[same] + k] == words[own[same + 1] + k]]
+        twice = np.unique(np.concatenate([own[same], own[same + 1]]))
+        span = np.searchsorted(ends, twice, "right")
+        out[n] = names[span], twice - first[span] + cut[span]
+    return out
 
 
 def _as_runs(span: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,56 +268,72 @@ def _as_runs(span: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (span[lo], start[lo], start[hi]) if len(span) else (span, start, start)
 
 
-KEY = ["gram", "s1", "s2", "shape"]
+RUNS = "gram long, s1 long, s2 long, shape long, length int, a long, b long"
 
 
-def _sorted_within(spans: DataFrame, length: int) -> DataFrame:
+def _sorted_within(spans: DataFrame, length: int, passage: int) -> DataFrame:
     """Runs of repeated starts in each class of `spans` (key, span), by sorting the suffixes of each gram."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []  # rows of whole grams, then of the last, which may go on
         size = 0
 
-        def solve(rows: list[tuple]) -> pd.DataFrame:
-            span, start = repeated_starts([r[4] for r in rows], [r[3] >> 20 for r in rows], length)
-            span, a, b = _as_runs(span, start)
-            keys = np.array([r[:4] for r in rows], np.int64).reshape(-1, 4)[span]
-            return pd.DataFrame({**{k: keys[:, i] for i, k in enumerate(KEY)}, "a": a, "b": b})
+        def solve(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+            starts = [r[3] >> START_BITS & ((1 << SPAN_BITS - START_BITS) - 1) for r in rows]
+            for n, (span, start) in repeated_starts([r[4] for r in rows], starts, length, passage).items():
+                span, a, b = _as_runs(span, start)
+                keys = np.array([r[:4] for r in rows], np.int64).reshape(-1, 4)[span]
+                yield pd.DataFrame({**{k: keys[:, i] for i, k in enumerate(KEY)}, "length": n, "a": a, "b": b})
 
         for batch in batches:
             for row in zip(*(batch[c] for c in KEY), batch["span"], strict=True):
                 if size > BATCH // 2 and row[0] != held[-1][0]:
-                    yield solve(held)
+                    yield from solve(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[4]) + 1
         if held:
-            yield solve(held)
+            yield from solve(held)
 
-    rows = spans.repartition("gram").sortWithinPartitions("gram")
-    return rows.select(*KEY, "span").mapInPandas(run, "gram long, s1 long, s2 long, shape long, a long, b long")
+    return spans.repartition("gram").sortWithinPartitions("gram").select(*KEY, "span").mapInPandas(run, RUNS)
 
 
-def _grouped(spans: DataFrame, length: int) -> DataFrame:
+def _grouped(spans: DataFrame, length: int, passage: int) -> DataFrame:
     """The same for grams with more classes than one task sorts: windows with equal digests, found by grouping."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in zip(*(batch[c] for c in KEY), batch["span"], strict=True):
-                n, raw = row[3] >> 20, row[4]
-                digests = np.array([_digest(raw[i : i + length]) for i in range(n)], np.int64).reshape(-1, 2)
-                yield pd.DataFrame({**dict(zip(KEY, row[:4], strict=True)), "a": np.arange(n), "w1": digests[:, 0], "w2": digests[:, 1]})
-
-    windows = spans.select(*KEY, "span").mapInPandas(run, "gram long, s1 long, s2 long, shape long, a long, w1 long, w2 long")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    return windows.join(twice, ["w1", "w2"]).select(*KEY, "a", F.col("a").alias("b"))
-
-
-def repeats(texts: DataFrame, length: int = LENGTH, classes: int = CLASSES) -> DataFrame:
-    """(d1, d2, a, b): runs of starts of repeated windows in `texts` (d1, d2, text)."""
-    found = anchors(texts, length)
+            for n in {length, passage}:
+                keys, at, digests, size = [], [], [], 0
+
+                def rows() -> pd.DataFrame:
+                    k = np.repeat(np.array(keys, np.int64).reshape(-1, 4), [len(a) for a in at], 0)  # noqa: B023
+                    w = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)  # noqa: B023
+                    return pd.DataFrame({**{c: k[:, i] for i, c in enumerate(KEY)}, "length": n, "a": np.concatenate(at), "w1": w[:, 0], "w2": w[:, 1]})  # noqa: B023
+
+                for *key, raw in zip(*(batch[c] for c in KEY), batch["span"], strict=True):
+                    starts = min(key[3] >> START_BITS & ((1 << SPAN_BITS - START_BITS) - 1), len(raw) - n + 1)
+                    if starts > 0:
+                        keys.append(key)
+                        at.append(np.arange(starts))
+                        digests += [xxhash.xxh3_128_digest(raw[i : i + n]) for i in range(starts)]
+                        size += starts
+                    if size > 100_000:
+                        yield rows()
+                        keys, at, digests, size = [], [], [], 0
+                if keys:
+                    yield rows()
+
+    windows = spans.select(*KEY, "span").mapInPandas(run, "gram long, s1 long, s2 long, shape long, length int, a long, w1 long, w2 long")
+    twice = windows.groupBy("length", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("length", "w1", "w2")
+    return windows.join(twice, ["length", "w1", "w2"]).select(*KEY, "length", "a", F.col("a").alias("b"))
+
+
+def repeats(texts: DataFrame, length: int = LENGTH, passage: int = PASSAGE, classes: int = CLASSES) -> DataFrame:
+    """(d1, d2, length, a, b): runs of starts of repeated windows of both lengths in `texts` (d1, d2, text)."""
     # the lists of grams are kept, so that a join with them is a plain one whose frequent grams Spark can split
-    often = checkpointed(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
+    often = checkpointed(grams(texts, passage).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
+    found = flagged(anchors(texts, length, passage), "gram", often).filter("maybe").drop("maybe")
     kept = checkpointed(found.join(often, "gram"))
     of_class = kept.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d1", "d2", "start")).alias("member"))
     of_class = checkpointed(of_class)
@@ -253,6 +341,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, classes: int = CLASSES) -> D
     mixed = of_class.join(several, "gram")
     # the bytes of one member of each class
     wanted = mixed.groupBy("member.d1", "member.d2").agg(F.collect_list(F.struct(*KEY, "classes", F.col("member.start").alias("start"))).alias("wanted"))
+    wanted = checkpointed(wanted)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -260,7 +349,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, classes: int = CLASSES) -> D
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
                 raw = text.encode("utf-8", "replace")
                 for w in wanted:
-                    span = raw[w["start"] : w["start"] + (w["shape"] >> 20) - 1 + length]
+                    span = raw[w["start"] : w["start"] + (w["shape"] >> SPAN_BITS)]
                     out.append((*(w[k] for k in KEY), w["classes"], span))
                     size += len(span)
                 if size > 16_000_000:
@@ -269,15 +358,18 @@ def repeats(texts: DataFrame, length: int = LENGTH, classes: int = CLASSES) -> D
             if out:
                 yield pd.DataFrame(out, columns=[*KEY, "classes", "span"])
 
-    one = texts.join(wanted, ["d1", "d2"]).dropDuplicates(["d1", "d2"]).select("text", "wanted")
+    one = flagged(texts, "d1", wanted.select("d1")).filter("maybe").select("d1", "d2", "text").dropDuplicates(["d1", "d2"]).join(wanted, ["d1", "d2"]).select("text", "wanted")
     spans = checkpointed(one.mapInPandas(cut, "gram long, s1 long, s2 long, shape long, classes long, span binary"))
-    shared = _sorted_within(spans.filter(F.col("classes") <= classes), length).unionByName(_grouped(spans.filter(F.col("classes") > classes), length))
-    whole = of_class.filter("n > 1").select(*KEY, F.lit(0).cast("long").alias("a"), (F.shiftright("shape", 20) - 1).alias("b"))
+    shared = _sorted_within(spans.filter(F.col("classes") <= classes), length, passage).unionByName(_grouped(spans.filter(F.col("classes") > classes), length, passage))
+    starts = F.shiftright("shape", START_BITS).bitwiseAND(F.lit((1 << SPAN_BITS - START_BITS) - 1))
+    lengths = F.explode(F.array(*[F.lit(n) for n in sorted({length, passage})])).alias("length")
+    whole = of_class.filter("n > 1").select(*KEY, lengths, F.lit(0).cast("long").alias("a"))
+    whole = whole.withColumn("b", F.least(starts, F.shiftright("shape", SPAN_BITS) - F.col("length") + 1) - 1).filter("b >= 0")
     runs = whole.unionByName(shared)
-    return kept.join(runs, KEY).select("d1", "d2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    return kept.join(runs, KEY).select("d1", "d2", "length", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 
-RESULT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
+RESULT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType()), T.StructField("n_repeated", T.LongType())])
 
 
 def _without(raw: bytes, runs: list[tuple[int, int]]) -> tuple[list[bytes], int, int]:
@@ -294,32 +386,39 @@ def _without(raw: bytes, runs: list[tuple[int, int]]) -> tuple[list[bytes], int,
     return [*out, raw[at:]], removed, spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, classes: int = CLASSES) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, classes: int = CLASSES, passage: int = PASSAGE) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated.
 
     Every byte covered by a `length`-byte string that also starts anywhere else is removed; windows never
-    cross documents. A null text counts as empty and keeps the empty string.
+    cross documents. n_repeated counts the bytes covered by such strings of `passage` bytes (8 at least, `length`
+    at most), which are not removed. A null text counts as empty and keeps the empty string; a text shorter than
+    a window keeps all. Rows with equal texts repeat each other and lose all that reaches `length` bytes; rows come
+    back as often as they are there, null ids too. Other columns are not read; an empty table gives none.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(length), "text").alias("d2"))
-    runs = repeats(keyed.select("d1", "d2", "text"), length, classes)
-    by_text = runs.groupBy("d1", "d2").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    runs = repeats(keyed.select("d1", "d2", "text"), length, passage, classes)
+    by_text = checkpointed(runs.groupBy("d1", "d2").agg(F.collect_set(F.struct("length", "a", "b")).alias("runs")))
 
     def finish(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, found in batches:
             out = []
             for t, r in zip(texts, found, strict=True):
                 raw = t.encode("utf-8", "replace")
-                kept, removed, spans = _without(raw, [] if r is None else [(x["a"], x["b"] + length) for x in r])
+                ranges = {n: [(x["a"], x["b"] + n) for x in r if x["length"] == n] if r is not None else [] for n in {length, passage}}
+                kept, removed, spans = _without(raw, ranges[length])
                 sha = hashlib.sha256()
                 for part in kept:
                     sha.update(part)
-                out.append((len(raw), removed, spans, sha.hexdigest()))
+                out.append((len(raw), removed, spans, sha.hexdigest(), _without(raw, ranges[passage])[1] if ranges[passage] else 0))
             yield pd.DataFrame(out, columns=RESULT.names)
 
     finish.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    done = keyed.join(by_text, ["d1", "d2"], "left").withColumn("_out", F.pandas_udf(finish, RESULT)("text", "runs"))
-    return done.select("doc_id", "_out.*")
+    done = F.pandas_udf(finish, RESULT)
+    rows = flagged(keyed, "d1", by_text.select("d1"))
+    joined = rows.filter("maybe").join(by_text, ["d1", "d2"], "left").select("doc_id", "text", "runs")
+    alone = rows.filter("not maybe").select("doc_id", "text", F.lit(None).cast(by_text.schema["runs"].dataType).alias("runs"))
+    return joined.unionByName(alone).select("doc_id", done("text", "runs").alias("out")).select("doc_id", "out.*")
 
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -99,7 +99,8 @@ def _der(tag: int, body: bytes) -> bytes:
 
 
 def test_structure_is_confirmed():
-    key = _der(0x30, _der(2, b"\0") + _der(2, bytes(range(1, 200))) + _der(2, b"\1\0\1"))
+    # a whole PKCS#1 key: version and eight numbers
+    key = _der(0x30, _der(2, b"\0") + _der(2, bytes(range(1, 200))) + _der(2, b"\1\0\1") + b"".join(_der(2, bytes([k]) * 60) for k in range(1, 7)))
     assert op2_secrets.der_key(key) and not op2_secrets.der_key(key[:-1]) and not op2_secrets.der_key(b"\x30" + key[1:40])
     s = lambda b: struct.pack(">I", len(b)) + b
     ssh = b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + struct.pack(">I", 1) + s(b"k" * 51)
@@ -282,7 +283,40 @@ def test_repeats_match_brute_force(spark, classes):
     texts += [texts[10], texts[11][:300] + "é" + texts[11][300:], "q" * 50 + texts[12] + "r"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = op6_suffixes.remove_repeats(docs, classes=classes).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in rows] == _repeats_brute(texts, 400)
+    shorter = [x[1] for x in _repeats_brute(texts, op6_suffixes.PASSAGE)]
+    assert [tuple(r)[1:] for r in rows] == [(*x, n) for x, n in zip(_repeats_brute(texts, 400), shorter, strict=True)]
+
+
+def test_planted_passages_by_length(spark):
+    """Passages of 40 to 120 words that two documents share: those of 400 bytes go, those of 300 are counted, clean texts stay."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows, planted = [], {}
+    for k, n in enumerate(range(40, 121, 2)):
+        passage = prose(n)
+        planted[2 * k] = planted[2 * k + 1] = len(passage)
+        rows += [(2 * k, f"{prose(80)} {passage} {prose(60)}"), (2 * k + 1, f"{prose(30)} {passage} {prose(90)}")]
+    rows += [(1000 + i, prose(200)) for i in range(30)]
+    got = {r["doc_id"]: r for r in op6_suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, n in planted.items():
+        # the spaces around a passage repeat, too
+        assert got[i]["n_removed"] in ((0,) if n + 2 < 400 else range(n, n + 6)) or n in (398, 399)
+        assert got[i]["n_repeated"] in ((0,) if n + 2 < 300 else range(n, n + 6)) or n in (298, 299)
+    assert min(planted.values()) < 300 and max(planted.values()) > 600
+    assert all(got[1000 + i]["n_repeated"] == 0 for i in range(30))
+
+
+def test_repeats_in_a_text_over_a_chunk(spark):
+    rng = np.random.default_rng(5)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = noise(500)
+    at = (op6_suffixes.CHUNK - 200, op6_suffixes.CHUNK + 300_000)
+    text = noise(at[0]) + passage + noise(at[1] - at[0] - 500) + passage + noise(1000)
+    long, short = op6_suffixes.remove_repeats(spark.createDataFrame([(1, text), (2, "a" + passage[:450] + "b")], "doc_id long, text string")).orderBy("doc_id").collect()
+    want = text.replace(passage, "")
+    # a neighbour may agree with its copy by chance
+    assert len(text) - long["n_removed"] in range(len(want) - 8, len(want) + 1) and long["n_spans"] == 2
+    assert short["n_removed"] == short["n_repeated"] == 450 and short["n_spans"] == 1
 
 
 def test_repeats_of_odd_rows(odd, empty):
@@ -334,6 +368,26 @@ def test_embeddings_match_brute_force(spark, block):
     assert got[905]["n_links"] == got[906]["n_links"] == 1 and got[906]["component_id"] == 905 and not got[906]["kept"]
 
 
+def test_repeated_ids_and_extra_columns(spark):
+    v = [float(k) for k in range(1, 9)]
+    rows = [(1, v, "x", 5), (1, v, "x", 5), (1, v[::-1], "y", 6), (2, [2 * x for x in v], "z", 7), (None, v, "n", 8), (3, None, "o", 9)]
+    got = op8_embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cls string, key long")).collect()
+    # the three equal ones and the longer one link with each other; the reversed one with none
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == sorted([(1, 3, 1, True), (1, 3, 1, True), (1, 0, 1, True), (2, 3, 1, False), (None, 3, 1, False), (3, 0, 3, True)], key=str)
+
+
+@pytest.mark.parametrize(("d", "least"), [(64, 0.97), (384, 0.94), (1024, 0.91)])
+def test_recall_at_the_threshold(d, least):
+    """Pairs at cosine 0.9001 that meet in a bucket."""
+    rng = np.random.default_rng(d)
+    a, noise = rng.normal(size=(400, d)), rng.normal(size=(400, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    b = 0.9001 * a + np.sqrt(1 - 0.9001**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    met = op8_embeddings._first_meeting(op8_embeddings.keys_of(a), op8_embeddings.keys_of(b)) < np.iinfo(np.int64).max
+    assert met.mean() >= least, met.mean()
+
+
 def test_no_embeddings(spark):
     assert op8_embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
