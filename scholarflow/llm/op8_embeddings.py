@@ -5,9 +5,11 @@ transform; its hash is the axis, with sign, that it then lies closest to. A tabl
 hashes into a bucket key; each vector is stored under its key and probes the keys with the next best
 axis in one factor. All pairs that meet are verified by their cosine in double precision.
 
-Equal vectors are one class with a count. A pair that meets in several buckets is counted in the first
-of them only, which each bucket finds out by itself from the keys of the pair, so that links are summed
-in the buckets and never listed; components come from a spanning forest of each bucket.
+Equal vectors (by a digest of 128 bits) are one class with a count. Only keys are shuffled at first; buckets
+of one class, and those that are probed but store none, are dropped before any vector moves. A pair that
+meets in several buckets is counted in the first of them only, which each bucket finds out by itself from the
+keys of the pair, so that links are summed in the buckets and never listed; components come from a spanning
+forest of each bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import forest, small_pairs, stream
-from .common import block_pairs, checkpointed, components, table
+from .common import block_pairs, checkpointed, components, flagged, table
 
 COSINE, TABLES, FACTORS, SEED = 0.9, 8, 2, 20240517
 #: Rows of a block of a large bucket, and up to how many rows a bucket counts as small.
@@ -143,13 +145,16 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of `vectors`: vec_id, n_links, component_id, kept.
 
-    Vectors without a direction link with nothing and are their own component; so are rows with a null
-    id, whose component_id is the least known id of their group. Vectors of different length never link.
+    Vectors without a direction (null, empty or zero, or with null or non-finite components) link with nothing and
+    are their own component; so are rows with a null id, whose component_id is the least known id of their
+    group. Vectors of different length never link. Rows with the same id are rows of their own, each with its
+    own links; equal vectors link with each other. Other columns are not read; an empty table gives none.
     """
-    rows = vectors.select(F.col(ident).alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
-    rows = rows.withColumn("ok", usable(F.col("vec")))
-    classes = rows.filter("ok").groupBy("vec").agg(F.min(F.coalesce("vec_id", F.lit(0))).alias("cls"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
-    classes = checkpointed(classes.withColumn("cls", F.xxhash64("vec")))
+    rows = vectors.select(F.col(ident).alias("vec_id"), F.col(vector).alias("vec")).withColumn("ok", usable(F.col("vec")))
+    rows = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(SEED), "vec")})
+    classes = rows.filter("ok").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("vec").alias("vec"))
+    # the checkpoint fixes the numbers of the classes
+    classes = checkpointed(classes.withColumn("cls", F.monotonically_increasing_id()))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -163,12 +168,13 @@ def near_duplicates(
                 keys = keys_of(unit, tables, factors)
                 width = keys.shape[2]
                 at = np.repeat(own, tables * width)
-                yield pd.DataFrame(
-                    {"cls": batch["cls"].to_numpy()[at], "n": batch["n"].to_numpy()[at], "key": keys.ravel(), "base": np.tile(np.arange(width) == 0, len(own) * tables), "vec": [raw[k] for k in at]}
-                )
+                yield pd.DataFrame({"cls": batch["cls"].to_numpy()[at], "key": keys.ravel(), "base": np.tile(np.arange(width) == 0, len(own) * tables)})
 
-    keyed = classes.select("cls", "n", "vec").mapInPandas(hashed, "cls long, n long, key long, base boolean, vec array<double>")
-    dealt = block_pairs(keyed, "key", F.xxhash64("cls", "base"), block).repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
+    keyed = checkpointed(classes.select("cls", "vec").mapInPandas(hashed, "cls long, key long, base boolean"))
+    shared = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("base").alias("stored")).filter("k > 1 and stored").select("key"))
+    meeting = flagged(keyed, "key", shared).filter("maybe").select("cls", "key", "base").join(shared, "key", "left_semi")
+    dealt = block_pairs(checkpointed(meeting), "key", F.xxhash64("cls", "base"), block).join(classes.select("cls", "n", "vec"), "cls")
+    dealt = dealt.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from stream(batches, ["key", "block_i", "block_j"], SMALL, lambda r, g, large: _compare(r, g, large, cosine, tables, factors))
@@ -178,10 +184,10 @@ def near_duplicates(
     sums = met.groupBy("cls").agg(F.sum("linked").alias("linked"))
     roots = components(met.filter("cls <> root"), "cls", "root")
     placed = classes.join(sums, "cls", "left").join(roots, classes["cls"] == roots["node"], "left")
-    placed = placed.select("vec", "least", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("root"))
+    placed = placed.select("h1", "h2", "least", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "root").select("vec", "n_links", "component_id")
-    linked = rows.filter("ok").select("vec_id", "vec").join(placed, "vec").select("vec_id", "n_links", "component_id")
+    placed = placed.join(least, "root").select("h1", "h2", "n_links", "component_id")
+    linked = rows.filter("ok").select("vec_id", "h1", "h2").join(placed, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
