@@ -1,16 +1,18 @@
 """Secret scans with structural confirmation.
 
 Four kinds are found by pattern alone (assign, access, hex). The other kinds are reported only after
-their structure has been confirmed: runs of base64 or hex are decoded, and the bytes must parse as
+their structure has been confirmed: runs of base64, base64url or hex are decoded, and the bytes must parse as
 
-* `der`: an ASN.1 SEQUENCE whose nested lengths fill it exactly and that holds the fields of a private
-  key (a version INTEGER followed by an INTEGER, SEQUENCE or OCTET STRING), of an encrypted private key
-  (an algorithm SEQUENCE and an OCTET STRING) or of a public key;
-* `openssh`: the OpenSSH key container, with its length-prefixed fields inside the data;
+* `der`: an ASN.1 SEQUENCE whose nested lengths all agree, level by level, with the whole field sequence of a private
+  key: PKCS#1 (version 0 or 1 and eight more INTEGERs), DSA (version and five), SEC 1 (version 1, OCTET STRING),
+  PKCS#8 (version 0 or 1, algorithm with an OID, OCTET STRING) or encrypted PKCS#8;
+* `openssh`: the OpenSSH private key container, with all its length-prefixed fields inside the data;
 * `token`: three base64url parts joined by dots, whose first two decode to JSON objects, the first
   with a known signing algorithm, and whose signature decodes to bytes.
 
-PEM bodies may be wrapped over lines; a line break may be escaped (a backslash and n), as in JSON.
+Public keys, signatures and certificates are no secrets and are not reported. A span ends where the decoded
+structure ends. PEM bodies may be wrapped over lines; a line break may be escaped (a backslash and n), as in
+JSON; a PEM file may itself be base64, and is then reported as the kind that it holds.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{48,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
-#: Base64 that starts like a DER SEQUENCE or the OpenSSH magic, perhaps wrapped over lines.
-KEY = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:M[A-P]|b3BlbnNzaC1rZXktdj)[A-Za-z0-9+/]{38,}(?:(?:\r?\n|(?:\\+r)?\\+n)[A-Za-z0-9+/]+)*={0,2}")
+#: A line break inside a wrapped body, real or escaped.
+BREAK = r"(?:\r?\n|(?:\\+r)?\\+n)"
+BREAKS = re.compile(BREAK)
+#: Base64 that starts like a DER SEQUENCE, the OpenSSH magic or a PEM header, perhaps wrapped over lines.
+KEY = re.compile(rf"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:M[A-P]|b3BlbnNzaC1rZXktdj|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{{38,}}(?:{BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
 ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none"}
 MAGIC = b"openssh-key-v1\x00"
 
@@ -56,45 +61,73 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def der_key(data: bytes) -> bool:
-    """True if `data` starts with an ASN.1 private or public key whose nested lengths all agree."""
+def _elements(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the DER elements that fill data[start:end], constructed ones filled in turn; else None."""
+    out, todo = None, [(start, end)]
+    while todo:
+        at, stop = todo.pop()
+        found = []
+        while at < stop:
+            part = _tlv(data, at, stop)
+            if not part:
+                return None
+            found.append(part)
+            if part[0] & 0x20:
+                todo.append(part[1:])
+            at = part[2]
+        out = found if out is None else out
+    return out
+
+
+def der_key(data: bytes) -> int:
+    """Bytes of the ASN.1 private key that `data` starts with, 0 if there is none."""
     top = _tlv(data, 0, len(data))
     if not top or top[0] != 0x30 or top[2] - top[1] < 16:
-        return False
-    tags, at = [], top[1]
-    while at < top[2]:
-        part = _tlv(data, at, top[2])
-        if not part or len(tags) > 64:
-            return False
-        tag, start, at = part
-        if tag == 0x30:  # contents must be elements, too
-            inner = start
-            while inner < at:
-                sub = _tlv(data, inner, at)
-                if not sub:
-                    return False
-                inner = sub[2]
-        tags.append(tag)
-    if tags[:1] == [0x02]:
-        return len(tags) >= 2 and tags[1] in (0x02, 0x04, 0x30)
-    return tags in ([0x30, 0x03], [0x30, 0x04])
-
-
-def openssh_key(data: bytes) -> bool:
-    """True if `data` is an OpenSSH key container: cipher, kdf, kdf options, number of keys, first public key."""
+        return 0
+    parts = _elements(data, top[1], top[2])
+    if not parts:
+        return 0
+    tags = [t for t, _, _ in parts]
+    body = lambda k: data[parts[k][1] : parts[k][2]]
+    has_oid = lambda k: (x := _elements(data, *parts[k][1:])) and x[0][0] == 0x06
+    ok = False
+    if tags[0] == 0x02 and body(0) in (b"\0", b"\1"):
+        if tags[1:2] == [0x02]:
+            numbers = all(t == 0x02 and 0 < b - a and data[a] < 128 for t, a, b in parts[:9])
+            ok = numbers and (tags in ([0x02] * 9, [0x02] * 6) or body(0) == b"\1" and tags == [0x02] * 9 + [0x30])
+        elif tags[1:2] == [0x04]:
+            ok = body(0) == b"\1" and len(body(1)) >= 16 and tags[2:] in ([], [0xA0], [0xA1], [0xA0, 0xA1])
+        elif tags[1:3] == [0x30, 0x04]:
+            ok = bool(has_oid(1)) and len(body(2)) >= 16 and tags[3:] in ([], [0xA0], [0x81], [0xA1], [0xA0, 0x81], [0xA0, 0xA1])
+    elif tags == [0x30, 0x04]:
+        ok = bool(has_oid(0)) and len(body(1)) >= 16
+    return top[2] if ok else 0
+
+
+def openssh_key(data: bytes) -> int:
+    """Bytes of the OpenSSH key container that `data` starts with, 0 if there is none.
+
+    Its fields: cipher, kdf, kdf options, number of keys, that many public keys, and, if it is whole, the private part.
+    """
     if not data.startswith(MAGIC):
-        return False
-    at = len(MAGIC)
-    for field in range(5):
-        if at + 4 > len(data):
-            return False
-        n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-        if field == 3:
-            if not 1 <= n <= 16:
-                return False
-        else:
-            at += n
-    return at <= len(data)
+        return 0
+
+    def field(at: int) -> int | None:
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        return end if at + 4 <= end <= len(data) else None
+
+    at: int | None = len(MAGIC)
+    for _ in range(3):
+        at = None if at is None else field(at)
+    if at is None or at + 4 > len(data) or not 1 <= (keys := int.from_bytes(data[at : at + 4], "big")) <= 16:
+        return 0
+    at += 4
+    for _ in range(keys):
+        at = None if at is None else field(at)
+    if at is None:
+        return 0
+    private = field(at)
+    return private if private and (private - at - 4) % 8 == 0 else at
 
 
 def _base64(s: str) -> bytes:
@@ -115,6 +148,40 @@ def signed_token(header: str, payload: str, signature: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and head.get("alg") in ALGORITHMS and len(signature) % 4 != 1
 
 
+def _key_in(run: str, depth: int = 0) -> tuple[str, int] | None:
+    """Kind and length in characters of the key that a run of base64 starts with; its line breaks count, its padding too."""
+    places, letters, at = [], [], 0
+    for m in [*BREAKS.finditer(run), None]:
+        end = m.start() if m else len(run.rstrip("="))
+        places.append((at, end - at))
+        letters.append(run[at:end])
+        at = m.end() if m else end
+    letters = "".join(letters)
+    if run.startswith("LS0t"):
+        inner = _base64(letters).decode("utf-8", "replace") if depth == 0 else ""
+        kinds = [found[0] for m in KEY.finditer(inner) if (found := _key_in(m[0], 1))]
+        return (kinds[0], len(run)) if kinds else None
+    if run.startswith("M"):
+        head = _base64(letters[:12])
+        top = _tlv(head + b"\0" * 8, 0, 1 << 32) if len(head) > 8 else None
+        need = -(-top[2] * 8 // 6) if top else 0
+        if not 0 < need <= len(letters):
+            return None
+        kind, n = "der", der_key(_base64(letters[:need]))
+    else:
+        kind, n = "openssh", openssh_key(_base64(re.split("[_-]", letters)[0]))
+    if not n:
+        return None
+    need = -(-n * 8 // 6)
+    for start, many in places:
+        if need <= many:
+            end = start + need
+            pad = re.compile("=*").match(run, end)[0]
+            return kind, end + min(len(pad), -(-n // 3) * 4 - -(-n * 8 // 6))
+        need -= many
+    return None
+
+
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and confirmed spans (kind, start, end in code points, end exclusive); null is empty."""
     text = text or ""
@@ -129,17 +196,13 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     if "eyJ" in text:
         more += [("token", *m.span()) for m in TOKEN.finditer(text) if signed_token(*m.groups())]
     for m in KEY.finditer(text):
-        data = _base64(m[0])
-        if openssh_key(data):
-            more.append(("openssh", *m.span()))
-        elif der_key(data):
-            more.append(("der", *m.span()))
+        if found := _key_in(m[0]):
+            more.append((found[0], m.start(), m.start() + found[1]))
     for m in HEX_ANY.finditer(text) if "30" in text or "6f70656e737368" in low else ():
         data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
-        if openssh_key(data):
-            more.append(("openssh", *m.span()))
-        elif der_key(data):
-            more.append(("der", *m.span()))
+        for kind, n in (("openssh", openssh_key(data)), ("der", der_key(data))):
+            if n:
+                more.append((kind, m.start(), m.start() + 2 * n))
     return base, more
 
 
@@ -177,7 +240,11 @@ def redact(text: str | None) -> tuple:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with a struct `_out`: spans (array of kind, start, end) and the redacted text."""
+    """`docs` with a struct `_out`: spans (array of kind, start, end) and the redacted text.
+
+    A null text has no spans and stays null; an empty one stays empty. Spans may overlap: what they cover
+    together is replaced once. Equal texts give equal rows; other columns stay, but for `_out`, which is replaced.
+    """
     return with_columns_from(docs, text, FOUND, lambda: lambda values: [redact(v) for v in values])
 
 
