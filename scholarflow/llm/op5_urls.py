@@ -99,12 +99,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     learn = F.crc32("url") % 3 != 1
     urls = parsed.filter("url is not null").groupBy("url").agg(F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
     urls = urls.select("url", "kind", learn.alias("learn"), *[F.when(learn & (F.col("kind") == k), F.col("n")).otherwise(0).alias(f"n_{k}") for k in ("allow", "block")])
-    urls = checkpointed(urls)
+    # the checkpoint fixes the numbers of the urls, which stand for them in the exploded rows
+    urls = checkpointed(urls.withColumn("uid", F.monotonically_increasing_id()))
     ratios = checkpointed(log_ratios(urls))
     salted = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    of = grams(urls.withColumn("salt", F.pmod(F.crc32("url"), F.lit(SALT)).cast("int")), "url", "salt").join(salted, ["gram", "salt"])
-    scores = of.groupBy("url").agg(F.round(F.sum("ratio") / F.count(F.lit(1)), 9).alias("score"))
-    scored = checkpointed(urls.join(scores, "url").select("url", "kind", "learn", "score"))
+    of = grams(urls.withColumn("salt", F.pmod(F.crc32("url"), F.lit(SALT)).cast("int")), "uid", "salt").join(salted, ["gram", "salt"])
+    scores = of.groupBy("uid").agg(F.round(F.sum("ratio") / F.count(F.lit(1)), 9).alias("score"))
+    scored = checkpointed(urls.join(scores, "uid").select("url", "kind", "learn", "score"))
     of_kind = lambda k: F.when(F.col("kind") == k, F.col("score"))
     stats = scored.filter("not learn").agg(*[f(of_kind(k)).alias(f"{n}_{k}") for k in ("allow", "block") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     spread = F.col("s_allow") + F.col("s_block")
