@@ -31,6 +31,8 @@ from .common import checkpointed, held_out, table, with_columns_from
 
 #: Most cells (4-grams x languages) of a slice of the model, unless one context of two bytes has more; 4 bytes each.
 MAX_CELLS = 8_000_000
+#: Distinct grams that a counting task holds before it passes them on.
+HELD = 2_000_000
 #: How many slices a task keeps.
 KEPT = 2
 START = b"\n\n\n"
@@ -46,7 +48,11 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each 4-gram of bytes occurs in the lower-cased texts of each language."""
+    """(lang, gram, n): how often each 4-gram of bytes occurs in the lower-cased texts of each language.
+
+    Rows with a null lang, and null or empty texts, teach nothing; repeated rows each count. Long texts are read
+    in parts, with no gram lost between them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[np.ndarray]] = {}
@@ -59,7 +65,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
             sums[lang] = sums[lang].add(new, fill_value=0) if lang in sums else new
             size[lang] = 0
 
+        def passed() -> Iterator[pd.DataFrame]:
+            for lang in list(sums):
+                s = sums.pop(lang)
+                yield pd.DataFrame({"lang": lang, "gram": s.index.astype("int64"), "n": s.to_numpy().astype("int64")})
+
         for batch in batches:
+            if sum(map(len, sums.values())) > HELD:
+                yield from passed()
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 raw = START + text.lower().encode("utf-8", "replace")
                 for at in range(0, len(raw) - 3, CHUNK):
@@ -69,8 +82,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         fold(lang)
         for lang in list(held):
             fold(lang)
-        for lang, s in sums.items():
-            yield pd.DataFrame({"lang": lang, "gram": s.index.astype("int64"), "n": s.to_numpy().astype("int64")})
+        yield from passed()
 
     rows = docs.select("lang", "text").filter("lang is not null and text is not null and text <> ''")
     return rows.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -269,7 +281,12 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:
-    """Trains on the rows of `docs` that are not held out and predicts all of them."""
+    """Trains on the rows of `docs` that are not held out and predicts all of them.
+
+    A null text, or one without a letter, is `und` with score 0; if nothing can be learned, other texts get null and 0.
+    Ties go to the language that sorts first. Rows come back as often as they are there; a null id is not held
+    out. Other columns are not read; an empty table gives none.
+    """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_out.lang_pred", "_out.score", "_out.bits_per_byte")
