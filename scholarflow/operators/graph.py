@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RELATIONS
-from ..store import checkpointed, small
+from ..store import checkpointed
 from .components import components
 
 
@@ -203,13 +203,14 @@ def affected(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("concept_id").union(new.select("concept_id")).distinct()
 
 
-def sync_delta(course: DataFrame, personal: DataFrame) -> DataFrame:
-    """Per learner: course concepts that are new, kept, or deleted against the personal ones, in one pass.
+def sync_delta(course: DataFrame, personal: DataFrame, enrolled: DataFrame) -> DataFrame:
+    """Per learner: concepts of their courses that are new, kept, or deleted against the personal ones, in one pass.
 
-    Every learner is held against every concept of the course, which is what the result lists.
+    course: (course_id, concept_id); personal: (learner_id, concept_id); enrolled: (learner_id, course_id). A learner meets
+    the concepts of their own courses only.
     """
-    wanted = personal.select("learner_id").distinct().join(small(course.select("concept_id"), 100_000, "concepts in a course"))
-    both = wanted.withColumn("c", F.lit(1)).join(personal.select("learner_id", "concept_id").withColumn("p", F.lit(1)), ["learner_id", "concept_id"], "full_outer")
+    wanted = enrolled.join(course, "course_id").select("learner_id", "concept_id", F.lit(1).alias("c")).distinct()
+    both = wanted.join(personal.select("learner_id", "concept_id").withColumn("p", F.lit(1)), ["learner_id", "concept_id"], "full_outer")
     kind = F.when(F.col("p").isNull(), "new").when(F.col("c").isNull(), "deleted").otherwise("existing")
     return both.select("learner_id", "concept_id", kind.alias("change"))
 

@@ -130,21 +130,39 @@ def success_probability(steps: DataFrame, hours_available: float) -> DataFrame:
     return out.select("learner_id", clamp(CONFIG.success_mastery * F.col("m") + CONFIG.success_time * fit - CONFIG.success_difficulty * penalty).alias("probability"))
 
 
-def beam_search(starts: DataFrame, edges: DataFrame, mastery: DataFrame, width: int = 3, depth: int = 3) -> DataFrame:
-    """Paths over NEXT and SIMILAR_TO edges, the best `width` of each learner at every depth.
+def beam_search(starts: DataFrame, edges: DataFrame, mastery: DataFrame, concepts: DataFrame, hours_available: float = 20.0, width: int = 3, depth: int = 3) -> DataFrame:
+    """Paths over NEXT and SIMILAR_TO edges, the best `width` of each learner at every depth: learner_id, path, score.
 
-    A step's score is 1 minus what the learner knows of it; a path's is the mean of its steps.
+    A path scores 0 if a prerequisite of its last concept is not mastered, or if it has no way on; else the chance to
+    complete it (`success_probability`) from the sums that it carries: mastery, hours and difficulty of its steps.
     """
     step = edges.filter("rel_type in ('NEXT', 'SIMILAR_TO')").select(F.col("source").alias("last"), F.col("target").alias("to")).distinct()
+    step = step.join(concepts.select(F.col("concept_id").alias("to"), (F.col("time_estimate") / 60.0).alias("hours"), "difficulty"), "to")
     level = mastery.select("learner_id", F.col("concept_id").cast("long").alias("to"), "level")
-    paths = starts.select("learner_id", F.col("concept_id").alias("last"), F.array("concept_id").alias("path"), F.lit(0.0).alias("score"))
+    need = edges.filter("rel_type = 'REQUIRES'").select(F.col("source").alias("to"), F.col("target").alias("needed")).distinct()
+    need = need.join(concepts.select(F.col("concept_id").alias("needed")), "needed")
+    known = mastery.filter(F.col("level") >= CONFIG.prerequisite).select("learner_id", F.col("concept_id").cast("long").alias("needed"))
+    met = known.join(need, "needed").groupBy("learner_id", "to").agg(F.count(F.lit(1)).alias("met"))
+    needs = need.groupBy("to").agg(F.count(F.lit(1)).alias("needs"))
+    first = starts.join(concepts.select("concept_id", (F.col("time_estimate") / 60.0).alias("h"), F.col("difficulty").cast("double").alias("d")), "concept_id")
+    first = first.join(level.withColumnRenamed("to", "concept_id"), ["learner_id", "concept_id"], "left")
+    paths = first.select("learner_id", F.col("concept_id").alias("last"), F.array("concept_id").alias("path"), F.coalesce("level", F.lit(0.0)).alias("m"), "h", "d", F.lit(0.0).alias("score"))
     best = Window.partitionBy("learner_id").orderBy(F.desc(F.round("score", 9)), "key")
-    for d in range(1, depth + 1):
-        longer = paths.join(step, "last").filter(~F.array_contains("path", F.col("to"))).join(level, ["learner_id", "to"], "left")
-        score = (F.col("score") * (d - 1) + 1 - F.coalesce("level", F.lit(0.0))) / d
-        longer = longer.select("learner_id", F.col("to").alias("last"), F.concat("path", F.array("to")).alias("path"), score.alias("score"))
+    for _ in range(depth - 1):
+        longer = paths.join(step, "last", "left").filter(F.col("to").isNull() | ~F.array_contains("path", F.col("to")))
+        longer = longer.join(level, ["learner_id", "to"], "left").join(needs, "to", "left").join(met, ["learner_id", "to"], "left")
+        on = F.col("to").isNotNull()
+        plus = lambda a, b: F.when(on, F.col(a) + F.coalesce(b, F.lit(0.0))).otherwise(F.col(a))  # noqa: B023, E731
+        longer = longer.select(
+            "learner_id", F.coalesce("to", "last").alias("last"), F.when(on, F.concat("path", F.array("to"))).otherwise(F.col("path")).alias("path"),
+            plus("m", "level").alias("m"), plus("h", "hours").alias("h"), plus("d", "difficulty").alias("d"), (on & (F.coalesce("met", F.lit(0)) >= F.coalesce("needs", F.lit(0)))).alias("open"),
+        )
+        n = F.size("path")
+        fit = F.when(F.col("h") > 0, F.least(F.lit(1.0), hours_available / F.col("h"))).otherwise(1.0)
+        chance = clamp(CONFIG.success_mastery * F.col("m") / n + CONFIG.success_time * fit - CONFIG.success_difficulty * F.greatest(F.lit(0.0), (F.col("d") / n - 3.0) * 0.1))
+        longer = longer.withColumn("score", F.when(F.col("open"), chance).otherwise(0.0))
         longer = longer.withColumn("key", F.array_join(F.transform("path", lambda x: F.lpad(x.cast("string"), 10, "0")), ">"))
-        paths = longer.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width).drop("rank", "key")
+        paths = longer.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width).drop("rank", "key", "open")
     return paths.select("learner_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("score", 6).alias("score"))
 
 

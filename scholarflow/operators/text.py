@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import small
+from ..store import checkpointed, small
 
 
 def register(docs: DataFrame) -> DataFrame:
@@ -74,14 +74,34 @@ def names_containing(names: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def fuzzy_names(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs of distinct names with edit similarity of at least `least`, blocked by shared two-letter ends.
+    """All pairs a < b of distinct names with edit similarity of at least `least`; names of one letter or more.
 
-    The block key is the first two letters, or the last two: an edit of a fifth of a name leaves one of them.
+    A pair whose longer name has n letters may differ in k = (1 - least) n edits. Cut into k + 1 segments, the longer
+    name has one that the shorter holds unchanged, at most k places from where it was: so segments of the
+    longer names meet the substrings of the shorter ones at those shifts, and what meets is measured.
     """
-    keys = lambda df, n: df.select(F.col("name").alias(n), F.explode(F.array(F.concat(F.lit("<"), F.substring("name", 1, 2)), F.concat(F.lit(">"), F.substring("name", -2, 2)))).alias("k"))
-    pairs = keys(left, "a").join(keys(right, "b"), "k").filter("a < b").select("a", "b").distinct()
+    edits = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
+    cut = lambda i, n, k: F.floor(i * n / (k + 1)).cast("int")
+
+    def spread(names: DataFrame) -> DataFrame:
+        """name, n (length of the longer name), k, i (segment), at and size of the segment."""
+        rows = names.withColumn("k", edits(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+        rows = rows.withColumn("at", cut(F.col("i"), F.col("n"), F.col("k")))
+        return rows.withColumn("size", cut(F.col("i") + 1, F.col("n"), F.col("k")) - F.col("at"))
+
+    names = left.select("name").distinct().filter("name <> ''")
+    other = right.select("name").distinct().filter("name <> ''")
+    found = []
+    for longer, shorter in ((names, other), (other, names)):
+        whole = spread(longer.withColumn("n", F.length("name"))).select(F.col("name").alias("x"), "n", "i", F.expr("substring(name, at + 1, size)").alias("part"))
+        lengths = F.sequence(F.length("name"), F.floor(F.length("name") / least + 1e-9).cast("int"))
+        tried = spread(shorter.withColumn("n", F.explode(lengths))).withColumn("shift", F.explode(F.sequence(-F.col("k"), F.col("k"))))
+        tried = tried.withColumn("at", F.col("at") + F.col("shift")).filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.length("name")))
+        parts = tried.select(F.col("name").alias("y"), "n", "i", F.expr("substring(name, at + 1, size)").alias("part")).distinct()
+        found.append(whole.join(parts, ["n", "i", "part"]).select("x", "y"))
+    pairs = found[0].select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(found[1].select(F.col("y").alias("a"), F.col("x").alias("b")))
     score = 1.0 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    return pairs.withColumn("similarity", score).filter(F.col("similarity") >= least)
+    return pairs.filter("a < b").distinct().withColumn("similarity", score).filter(F.col("similarity") >= least - 1e-9)
 
 
 def hybrid_search(vector: DataFrame, keyword: DataFrame, page: int = 5) -> DataFrame:
@@ -151,14 +171,22 @@ def apply_context_actions(aliases: DataFrame, actions: DataFrame) -> DataFrame:
     return rows.filter("action is null or action = 'approve'").select("alias", F.when(F.col("action") == "approve", F.col("to_key")).otherwise(F.col("key")).alias("key"))
 
 
-def tree_sections(nodes: DataFrame, depth: int = 4) -> DataFrame:
-    """Sections (doc_id, node, path, title) in depth-first order, from rows (doc_id, node, parent, title); roots have no parent."""
+def tree_sections(nodes: DataFrame) -> DataFrame:
+    """Sections (doc_id, node, path, pos) in depth-first order, from rows (doc_id, node, parent, title); roots have no parent.
+
+    As many rounds as the deepest tree has levels. Nodes that no root reaches (their parent is missing, or they lie
+    on a loop) are in no section.
+    """
     pad = lambda c: F.lpad(c.cast("string"), 8, "0")
+    nodes = checkpointed(nodes.select("doc_id", "node", "parent", "title"))
     level = nodes.filter("parent is null").select("doc_id", "node", pad(F.col("node")).alias("sort"), F.col("title").alias("path"))
+    child = nodes.filter("parent is not null").select("doc_id", F.col("node").alias("c"), F.col("parent").alias("node"), "title")
     out = level
-    for _ in range(depth - 1):
-        child = nodes.filter("parent is not null").select("doc_id", F.col("node").alias("c"), F.col("parent").alias("node"), "title")
+    while True:
         level = level.join(child, ["doc_id", "node"]).select("doc_id", F.col("c").alias("node"), F.concat_ws(".", "sort", pad(F.col("c"))).alias("sort"), F.concat_ws(" > ", "path", "title").alias("path"))
+        level = checkpointed(level)
+        if not level.head(1):
+            break
         out = out.unionAll(level)
     order = Window.partitionBy("doc_id").orderBy("sort")
     return out.select("doc_id", "node", "path", F.row_number().over(order).alias("pos"))
@@ -179,8 +207,13 @@ def locate_sections(docs: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def misconceptions(answers: DataFrame, catalogue: DataFrame, least: float = 0.65) -> DataFrame:
-    """Catalogue entries (concept_id, category, kind, description) that an answer (id, concept_id, category, text) resembles."""
+    """Catalogue entries (concept_id, category, kind, description) that an answer (id, concept_id, category, text) resembles.
+
+    An answer to a concept without any entry gets one of kind `unknown_conceptual` if its category is CONCEPTUAL.
+    """
     from ..functions.rules import edit_similarity
 
     rows = answers.join(catalogue, ["concept_id", "category"]).withColumn("confidence", edit_similarity(F.col("text"), F.col("description")))
-    return rows.filter(F.col("confidence") >= least).select("id", "kind", F.when(F.col("category") == "CONCEPTUAL", "HIGH").otherwise("MEDIUM").alias("severity"), "confidence")
+    found = rows.filter(F.col("confidence") >= least).select("id", "kind", F.when(F.col("category") == "CONCEPTUAL", "HIGH").otherwise("MEDIUM").alias("severity"), "confidence")
+    bare = answers.filter("category = 'CONCEPTUAL'").join(catalogue.select("concept_id").distinct(), "concept_id", "left_anti")
+    return found.unionByName(bare.select("id", F.lit("unknown_conceptual").alias("kind"), F.lit("HIGH").alias("severity"), F.lit(0.6).alias("confidence")))

@@ -56,9 +56,11 @@ RANK = "row_number() over (partition by {} order by confidence desc, uploaded_at
 add("win_canonical_concepts", lambda v: G.canonical(v.snapshots, ["concept_id"]).select("concept_id", "doc_id", "confidence", "price"), f"select concept_id, doc_id, confidence, price from (select *, {RANK.format('concept_id')} as r from {{snapshots}} where status = 'COMMITTED') x where r = 1", "confidence price")
 add("win_canonical_edges", lambda v: G.canonical(v.snapshots, ["concept_id", "supp_id", "line"]).select("concept_id", "supp_id", "line", "doc_id", "confidence"), f"select concept_id, supp_id, line, doc_id, confidence from (select *, {RANK.format('concept_id, supp_id, line')} as r from {{snapshots}} where status = 'COMMITTED') x where r = 1", "confidence")
 add("set_affected_concepts", lambda v: G.affected(v.snapshots.filter("doc_id = 3"), v.snapshots.filter("doc_id = 4")), "select distinct concept_id from {snapshots} where doc_id in (3, 4)")
-_course = lambda v: v.concepts.filter("concept_id < 12").select("concept_id")
+# courses of concepts, and the course that each learner follows
+_course = lambda v: v.concepts.select((F.col("concept_id") % 100).alias("course_id"), "concept_id")
+_enrolled = lambda v: v.mastery.select("learner_id", (F.col("learner_id") % 100).alias("course_id")).distinct()
 _own = lambda v: v.mastery.select("learner_id", F.col("concept_id").cast("long").alias("concept_id"))
-add("set_sync_delta", lambda v: G.sync_delta(_course(v), _own(v)), """with p as (select learner_id, cast(concept_id as bigint) as concept_id, 1 as p from {mastery}), c as (select distinct learner_id, c.concept_id, 1 as c from {mastery} m, (select concept_id from {concepts} where concept_id < 12) c)
+add("set_sync_delta", lambda v: G.sync_delta(_course(v), _own(v), _enrolled(v)), """with p as (select learner_id, cast(concept_id as bigint) as concept_id, 1 as p from {mastery}), c as (select l.learner_id, c.concept_id, 1 as c from (select distinct learner_id from {mastery}) l join {concepts} c on c.concept_id % 100 = l.learner_id % 100)
 select learner_id, concept_id, case when p is null then 'new' when c is null then 'deleted' else 'existing' end as change from p full join c using (learner_id, concept_id)""")
 add("agg_concept_sources", lambda v: v.snapshots.groupBy("concept_id").agg(F.countDistinct("doc_id").alias("docs"), F.max("confidence").alias("best")), "select concept_id, count(distinct doc_id) as docs, max(confidence) as best from {snapshots} group by 1", "best")
 add("agg_doc_contributions", lambda v: v.snapshots.groupBy("doc_id").agg(F.countDistinct("concept_id").alias("concepts"), F.count(F.lit(1)).alias("rows")), "select doc_id, count(distinct concept_id) as concepts, count(*) as \"rows\" from {snapshots} group by 1")
@@ -117,7 +119,27 @@ _steps = lambda v: v.attempts.join(v.mastery, ["learner_id", "concept_id"]).sele
 STEPS = "select learner_id, attempt_id as pos, 0.5::double * list_extract([0.5, 0.8, 1.0, 1.5, 2.0], difficulty)::double as hours, level, difficulty from {attempts} join {mastery} using (learner_id, concept_id)"
 add("win_path_schedule", lambda v: P.schedule(_steps(v), 2.0, 24.0), f"select learner_id, pos, hours, cast(floor(before / 2.0) as bigint) + 1 as day from (select *, coalesce(round(sum(hours) over (partition by learner_id order by pos rows between unbounded preceding and 1 preceding), 6), 0) as before from ({STEPS}) s) x where before < 0.8 * 24.0", "hours")
 add("mth_success_probability", lambda v: P.success_probability(_steps(v), 60.0), f"select learner_id, least(1.0, greatest(0.0, 0.4 * avg(level) + 0.4 * least(1.0, 60.0 / sum(hours)) - 0.2 * greatest(0.0, (avg(difficulty) - 3.0) * 0.1))) as probability from ({STEPS}) s group by 1", "probability")
-add("grf_beam_search", lambda v: P.beam_search(_pairs(v).filter("concept_id = 3").select("learner_id", "concept_id"), v.edges, v.mastery))
+_best_known = lambda v: v.mastery.groupBy("learner_id").agg(F.max_by(F.col("concept_id").cast("long"), F.struct("level", -F.col("concept_id"))).alias("concept_id"))
+
+
+def _beam_sql(depth: int = 3, width: int = 3) -> str:
+    out = """with st as (select learner_id, cast(arg_max(concept_id, (level, -concept_id)) as bigint) as concept_id from {mastery} group by 1),
+step as (select distinct e.source as last, e.target as nxt, c.time_estimate / 60.0::double as hours, c.difficulty from {edges} e join {concepts} c on c.concept_id = e.target where e.rel_type in ('NEXT', 'SIMILAR_TO')),
+need as (select distinct e.source as nxt, e.target as needed from {edges} e join {concepts} c on c.concept_id = e.target where e.rel_type = 'REQUIRES'),
+needs as (select nxt, count(*) as needs from need group by 1),
+met as (select m.learner_id, n.nxt, count(*) as met from {mastery} m join need n on n.needed = m.concept_id where m.level >= 0.7 group by 1, 2),
+p0 as (select s.learner_id, s.concept_id as last, [s.concept_id] as path, coalesce(m.level, 0)::double as m, c.time_estimate / 60.0::double as h, c.difficulty::double as d, 0.0::double as score from st s join {concepts} c on c.concept_id = s.concept_id left join {mastery} m on m.learner_id = s.learner_id and m.concept_id = s.concept_id)"""
+    for k in range(1, depth):
+        out += f""",
+l{k} as (select p.learner_id, coalesce(t.nxt, p.last) as last, case when t.nxt is not null then list_append(p.path, t.nxt) else p.path end as path, p.m + case when t.nxt is not null then coalesce(m.level, 0) else 0 end as m, p.h + coalesce(t.hours, 0) as h, p.d + coalesce(t.difficulty, 0) as d,
+  t.nxt is not null and coalesce(met.met, 0) >= coalesce(needs.needs, 0) as open from p{k - 1} p left join step t on t.last = p.last left join {{mastery}} m on m.learner_id = p.learner_id and m.concept_id = t.nxt left join needs on needs.nxt = t.nxt left join met on met.learner_id = p.learner_id and met.nxt = t.nxt
+  where t.nxt is null or not list_contains(p.path, t.nxt)),
+s{k} as (select *, case when open then least(1.0, greatest(0.0, 0.4 * m / len(path) + 0.4 * case when h > 0 then least(1.0, 20.0 / h) else 1.0 end - 0.2 * greatest(0.0, (d / len(path) - 3.0) * 0.1))) else 0.0 end as score from l{k}),
+p{k} as (select * exclude (r) from (select *, row_number() over (partition by learner_id order by round(score, 9) desc, array_to_string(list_transform(path, lambda x: lpad(x::varchar, 10, '0')), '>')) as r from s{k}) x where r <= {width})"""
+    return out + f" select learner_id, array_to_string(list_transform(path, lambda x: x::varchar), '>') as path, score from p{depth - 1}"
+
+
+add("grf_beam_search", lambda v: P.beam_search(_best_known(v), v.edges, v.mastery, v.concepts), _beam_sql(), "score")
 _sel = lambda v: v.attempts.filter("attempt_id % 2 = 0").select("concept_id", "ts", F.col("score").alias("context"))
 _fb = lambda v: v.attempts.filter("attempt_id % 2 = 1").select("concept_id", "ts", F.col("attempt_id").alias("feedback_id"))
 add("join_context_asof", lambda v: P.context_asof(_sel(v), _fb(v)), """select f.attempt_id as feedback_id, case when floor(epoch(f.ts)) - floor(epoch(s.ts)) <= 86400 then s.score end as context from {attempts} f left join lateral (
@@ -134,8 +156,7 @@ add("doc_paragraphs", lambda v: D.paragraphs(v.documents))
 add("doc_paragraph_summary", lambda v: D.first_sentences(v.documents).withColumn("summary", F.md5("summary")), "select doc_id, md5(substring(array_to_string(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' '), 1, 400)) as summary from documents")
 add("join_name_contains", lambda v: D.names_containing(v.concepts, v.spark.sql("select * from (values ('gear'), ('widget'), ('bolt')) as t(topic)")), "select concept_id, topic from {concepts} c, (values ('gear'), ('widget'), ('bolt')) as t(topic) where list_contains(string_split(lower(name), ' '), topic)")
 _names = lambda v: v.concepts.select("name").distinct()
-add("join_fuzzy_name", lambda v: D.fuzzy_names(_names(v), _names(v)), """with n as (select distinct name from {concepts}) select a.name as a, b.name as b, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::double as similarity from n a join n b on a.name < b.name
-  and (substring(a.name, 1, 2) = substring(b.name, 1, 2) or right(a.name, 2) = right(b.name, 2)) where 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::double >= 0.8""", "similarity")
+add("join_fuzzy_name", lambda v: D.fuzzy_names(_names(v), _names(v)), "with n as (select distinct name from {concepts}) select a.name as a, b.name as b, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::double as similarity from n a join n b on a.name < b.name where levenshtein(a.name, b.name) <= 0.2 * greatest(length(a.name), length(b.name)) + 1e-9", "similarity")
 _hits = lambda v, c: v.notes.filter(c).groupBy("content").agg((F.count(F.lit(1)) / 100.0).alias("score"))
 add("set_hybrid_fusion", lambda v: D.hybrid_search(_hits(v, "note_type <> 'SUMMARY_NOTE'").withColumn("score", F.least(F.lit(1.0), F.col("score") * 3)), _hits(v, "note_type = 'SUMMARY_NOTE'")), """with h as (select content, least(1.0, count(*) / 100.0 * 3) as score, 0 as p from {notes} where note_type <> 'SUMMARY_NOTE' group by 1 having least(1.0, count(*) / 100.0 * 3) > 0.7 union all select content, count(*) / 100.0, 1 from {notes} where note_type = 'SUMMARY_NOTE' group by 1),
 b as (select content, arg_min(p, (p, -score)) as p, arg_min(score, (p, -score)) as score from h group by 1), r as (select *, row_number() over (order by p, score desc, content) as rank from b) select content, p, score, cast(rank as int) as rank, (rank - 1) // 5 as page from r where rank <= 20""", "score")

@@ -12,6 +12,7 @@ from ..operators import resolve as E
 from ..operators import text as D
 from ..sources import tables
 from ..store import new_folder
+from .catalog_graph import _course, _enrolled, _own
 from .registry import add
 
 # --- scalar rules ---------------------------------------------------------------------------------
@@ -66,12 +67,12 @@ LINKS = "select n.note_id, n.learner_id, m.note_id as linked, m.concept_id as ot
 add("join_link_notes", lambda v: _links(v).select("note_id", "linked"), f"select note_id, linked from ({LINKS}) l")
 add("join_related_notes", lambda v: M.keep_last(_links(v).select("note_id", "linked").distinct(), "note_id", [F.col("linked")], 5), f"select * from (select note_id, linked, cast(row_number() over (partition by note_id order by linked) as int) as rank from (select distinct note_id, linked from ({LINKS}) l) d) x where rank <= 5")
 add("agg_note_synthesis", lambda v: M.keep_last(_links(v).groupBy("learner_id", "other").agg(F.count(F.lit(1)).alias("n")), "learner_id", [F.desc("n"), F.col("other")], 10), f"select * from (select learner_id, other, n, cast(row_number() over (partition by learner_id order by n desc, other) as int) as rank from (select learner_id, other, count(*) as n from ({LINKS}) l group by 1, 2) c) x where rank <= 10")
-add("join_bottleneck_flags", lambda v: v.concepts.filter("concept_id < 40").select(F.col("concept_id").cast("int").alias("concept_id")).join(v.mastery.groupBy("concept_id").agg(F.avg("level").alias("a")).filter("a < 0.4"), "concept_id", "left").select("concept_id", F.col("a").isNotNull().alias("is_bottleneck"), F.coalesce("a", F.lit(0.0)).alias("avg_mastery")), "select c.concept_id::int as concept_id, a is not null as is_bottleneck, coalesce(a, 0) as avg_mastery from {concepts} c left join (select concept_id, avg(level) as a from {mastery} group by 1 having avg(level) < 0.4) m on m.concept_id = c.concept_id where c.concept_id < 40", "avg_mastery")
+add("join_bottleneck_flags", lambda v: v.concepts.select(F.col("concept_id").cast("int").alias("concept_id")).join(v.mastery.groupBy("concept_id").agg(F.avg("level").alias("a")).filter("a < 0.4"), "concept_id", "left").select("concept_id", F.col("a").isNotNull().alias("is_bottleneck"), F.coalesce("a", F.lit(0.0)).alias("avg_mastery")), "select c.concept_id::int as concept_id, a is not null as is_bottleneck, coalesce(a, 0) as avg_mastery from {concepts} c left join (select concept_id, avg(level) as a from {mastery} group by 1 having avg(level) < 0.4) m on m.concept_id = c.concept_id", "avg_mastery")
 _vec = lambda v: v.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 add("join_topk_candidates", lambda v: E.topk_similar(_vec(v).filter("id % 100 = 0"), _vec(v), 20).drop("cos"), """select query, item, cast(rank as int) as rank from (select a.vec_id as query, b.vec_id as item, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) as rank
   from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) x where rank <= 20""")
-add("doc_topk_chunks", lambda v: E.topk_similar(_vec(v).filter("id % 100 = 0"), _vec(v).filter("label < 5"), 3).drop("cos"), """select query, item, cast(rank as int) as rank from (select a.vec_id as query, b.vec_id as item, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) as rank
-  from embeddings a join embeddings b on a.vec_id <> b.vec_id and b.label < 5 where a.vec_id % 100 = 0) x where rank <= 3""")
+add("doc_topk_chunks", lambda v: E.topk_similar(_vec(v).filter("id % 100 = 0"), _vec(v), 3).drop("cos"), """select query, item, cast(rank as int) as rank from (select a.vec_id as query, b.vec_id as item, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) as rank
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) x where rank <= 3""")
 add("srt_goal_concepts", lambda v: E.topk_similar(_vec(v).filter("id % 100 = 0"), _vec(v), 3).select("query", "item", "rank", (F.col("cos") * F.when(F.col("item") % 4 == 0, 1.2).when(F.col("item") % 4 == 1, 1.1).otherwise(1.0)).alias("boosted")), """select query, item, cast(rank as int) as rank, c * case item % 4 when 0 then 1.2 when 1 then 1.1 else 1.0 end as boosted from (select *, row_number() over (partition by query order by round(c, 9) desc, item) as rank from (
   select a.vec_id as query, b.vec_id as item, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) p) x where rank <= 3""", "boosted")
 _pairs = lambda v: v.concepts.select(F.col("concept_id").alias("a"), "name", "brand", "difficulty").join(v.concepts.select(F.col("concept_id").alias("b"), "name", "brand", F.col("difficulty").alias("d2")), ["name", "brand"]).filter("a < b").select("a", "b", F.when(F.col("difficulty") == F.col("d2"), 1.0).otherwise(0.7).alias("score"))
@@ -82,8 +83,7 @@ add("grf_resolve", lambda v: E.resolve(_pairs(v).select(F.col("b").alias("new_id
 add("grf_greedy_path", lambda v: E.greedy_paths(v.mastery.groupBy("learner_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("concept_id").cast("long"), "level"))).alias("known")), v.concepts, 20.0))
 add("set_concept_union", lambda v: v.concepts.filter("concept_id % 2 = 0").select("concept_id").unionAll(v.concepts.select("concept_id").join(v.concepts.filter("concept_id % 2 = 0").select("concept_id"), "concept_id", "left_anti").filter("concept_id % 3 = 0")), "select concept_id from {concepts} where concept_id % 2 = 0 or concept_id % 3 = 0")
 add("set_tag_union", lambda v: v.concepts.groupBy("name").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("kind"), F.collect_set("bloom"))), ",").alias("tags")), "select name, array_to_string(list_sort(list_distinct(list_concat(list(distinct kind), list(distinct bloom)))), ',') as tags from {concepts} group by 1")
-_own = lambda v: v.mastery.select("learner_id", F.col("concept_id").cast("long").alias("concept_id"))
-add("set_sync_apply", lambda v: G.sync_delta(v.concepts.filter("concept_id < 12").select("concept_id"), _own(v)).filter("change <> 'deleted'").select("learner_id", "concept_id", F.when(F.col("change") == "new", 0.0).alias("level")), """with c as (select distinct learner_id, c.concept_id from {mastery} m, (select concept_id from {concepts} where concept_id < 12) c)
+add("set_sync_apply", lambda v: G.sync_delta(_course(v), _own(v), _enrolled(v)).filter("change <> 'deleted'").select("learner_id", "concept_id", F.when(F.col("change") == "new", 0.0).alias("level")), """with c as (select l.learner_id, c.concept_id from (select distinct learner_id from {mastery}) l join {concepts} c on c.concept_id % 100 = l.learner_id % 100)
 select c.learner_id, c.concept_id, case when m.learner_id is null then 0.0::double end as level from c left join {mastery} m on m.learner_id = c.learner_id and m.concept_id = c.concept_id""")
 add("win_latest_document", lambda v: M.latest(v.documents.select(F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("filename"), "doc_id"), ["filename"], [F.desc("doc_id")]), "select concat(source, '/', doc_id % 50) as filename, max(doc_id) as doc_id from documents group by 1")
 add("win_latest_consent", lambda v: v.runs.groupBy("learner_id").agg(F.max_by("status", F.struct("started_at", "run_id")).alias("consent")), "select learner_id, arg_max(status, (started_at, run_id)) as consent from {runs} group by 1")
@@ -102,23 +102,27 @@ add("map_metadata_merge", lambda v: v.concepts.select("concept_id", F.coalesce(F
 
 def _paths(v):
     steps = F.to_json(F.array(F.struct(F.col("c").alias("concept"), F.lit(1).alias("day"), F.lit(0.5).alias("estimated_hours"), F.col("d").alias("difficulty")), F.struct(F.lit("z").alias("concept"), F.lit(2).alias("day"), F.lit(1.0).alias("estimated_hours"), F.lit(3).alias("difficulty"))))
-    rows = v.attempts.filter("attempt_id % 10 = 0").select(F.col("learner_id").cast("string").alias("learner_id"), F.col("ts").cast("timestamp").alias("created_at"), F.concat(F.lit("c"), F.col("concept_id").cast("string")).alias("c"), F.col("difficulty").alias("d"))
+    rows = v.attempts.select(F.col("learner_id").cast("string").alias("learner_id"), F.col("ts").cast("timestamp").alias("created_at"), F.concat(F.lit("c"), F.col("concept_id").cast("string")).alias("c"), F.col("difficulty").alias("d"))
     return tables.path_steps(rows.select("learner_id", "created_at", steps.alias("path"))).groupBy("concept", "day", "difficulty").agg(F.count(F.lit(1)).alias("n"))
 
 
-add("src_paths", _paths, "select concept, day, difficulty, count(*) as n from (select concat('c', concept_id) as concept, 1 as day, difficulty from {attempts} where attempt_id % 10 = 0 union all select 'z', 2, 3 from {attempts} where attempt_id % 10 = 0) x group by 1, 2, 3")
+add("src_paths", _paths, "select concept, day, difficulty, count(*) as n from (select concat('c', concept_id) as concept, 1 as day, difficulty from {attempts} union all select 'z', 2, 3 from {attempts}) x group by 1, 2, 3")
 
 
 def _learners(v):
     """Learner profiles as JSON files, read with their schema and brought up to date by later rows."""
     where = new_folder(v.spark, "learners")
-    v.customer.select(F.col("c_custkey").cast("string").alias("learner_id"), F.to_json(F.struct("c_acctbal", "c_mktsegment")).alias("profile"), F.lit("2024-01-01 00:00:00").alias("created_at")).write.json(where)
+    profile = lambda balance: F.to_json(F.struct(balance.alias("c_acctbal"), "c_mktsegment")).alias("profile")
+    learner, at = F.col("c_custkey").cast("string").alias("learner_id"), lambda t: F.lit(t).alias("created_at")
+    v.customer.select(learner, profile(F.col("c_acctbal")), at("2024-01-01 00:00:00")).write.json(where)
+    v.customer.filter("c_custkey % 3 = 0").select(learner, profile(F.col("c_acctbal") + 100), at("2024-02-01 00:00:00")).write.mode("append").json(where)
     rows = v.spark.read.schema(tables.LEARNERS).json(where)
+    latest = rows.groupBy("learner_id").agg(F.max_by("profile", "created_at").alias("profile"))
     p = F.from_json("profile", "c_acctbal double, c_mktsegment string")
-    return rows.select("learner_id", p.alias("p")).groupBy("p.c_mktsegment").agg(F.count(F.lit(1)).alias("learners"), F.avg("p.c_acctbal").alias("mean"))
+    return latest.select("learner_id", p.alias("p")).groupBy("p.c_mktsegment").agg(F.count(F.lit(1)).alias("learners"), F.avg("p.c_acctbal").alias("mean"))
 
 
-add("src_learners", _learners, "select c_mktsegment, count(*) as learners, avg(c_acctbal) as mean from customer group by 1", "mean")
+add("src_learners", _learners, "select c_mktsegment, count(*) as learners, avg(c_acctbal + case when c_custkey % 3 = 0 then 100 else 0 end) as mean from customer group by 1", "mean")
 
 
 def _run_json(v):

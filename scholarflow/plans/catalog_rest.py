@@ -30,16 +30,17 @@ _action = lambda v: v.concepts.select(F.col("name").alias("alias")).distinct().s
 add("str_context_lifecycle", lambda v: D.apply_context_actions(_alias(v), _action(v)), "select name as alias, case when name not like 'r%' then 'merged' else brand end as key from (select distinct name, brand from {concepts}) a where name like 'r%' or length(name) % 3 = 0")
 _tree = lambda v: v.lineitem.select((F.col("l_orderkey") % 200).alias("doc_id"), F.col("l_linenumber").cast("long").alias("node")).distinct().select("doc_id", "node", F.when(F.col("node") > 1, F.floor(F.col("node") / 2)).alias("parent"), F.concat(F.lit("s"), F.col("node").cast("string")).alias("title"))
 add("doc_tree_sections", lambda v: D.tree_sections(_tree(v)), """with recursive n as (select distinct l_orderkey % 200 as doc_id, cast(l_linenumber as bigint) as node from lineitem), t as (select doc_id, node, lpad(cast(node as varchar), 8, '0') as sort, concat('s', node) as path, 1 as d from n where node = 1
-  union all select n.doc_id, n.node, concat(t.sort, '.', lpad(cast(n.node as varchar), 8, '0')), concat(t.path, ' > s', n.node), d + 1 from t join n on n.doc_id = t.doc_id and n.node > 1 and n.node // 2 = t.node where d < 4)
+  union all select n.doc_id, n.node, concat(t.sort, '.', lpad(cast(n.node as varchar), 8, '0')), concat(t.path, ' > s', n.node), d + 1 from t join n on n.doc_id = t.doc_id and n.node > 1 and n.node // 2 = t.node)
 select doc_id, node, path, cast(row_number() over (partition by doc_id order by sort) as int) as pos from t""")
 _starts = lambda v: v.documents.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.substring("text", 1, 30).alias("s")), F.struct(F.lit(1).alias("pos"), F.lower(F.substring("text", 40, 60)).alias("s")), F.struct(F.lit(2).alias("pos"), F.lit("no such text in it at all").alias("s")))).alias("x")).select("doc_id", "x.pos", F.col("x.s").alias("start_text"))
 add("doc_locate_sections", lambda v: D.locate_sections(v.documents, _starts(v).filter("start_text <> ''")), """with s as (select doc_id, 0 as pos, substring(text, 1, 30) as s, text from documents union all select doc_id, 1, lower(substring(text, 40, 60)), text from documents union all select doc_id, 2, 'no such text in it at all', text from documents),
 f as (select doc_id, pos, case when instr(text, s) > 0 then instr(text, s) else instr(lower(text), array_to_string(string_split(lower(s), ' ')[1:5], ' ')) end as start, length(text) as n from s where s <> ''), k as (select * from f where start > 0)
 select doc_id, pos, cast(start as int) as start, cast(coalesce(lead(start) over (partition by doc_id order by pos) - 1, n) as int) as "end" from k""")
-_catalogue = lambda v: v.part.select((F.col("p_partkey") % 20).cast("int").alias("concept_id"), F.when(F.col("p_size") % 2 == 0, "CONCEPTUAL").otherwise("CARELESS").alias("category"), F.col("p_type").alias("kind"), F.col("p_name").alias("description")).filter("concept_id < 5").distinct()
-_answers = lambda v: v.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 5).cast("int").alias("concept_id"), F.lit("CONCEPTUAL").alias("category"), F.concat(F.lit("a "), F.col("p_name")).alias("text"))
-add("mth_misconceptions", lambda v: D.misconceptions(_answers(v), _catalogue(v)), """select id, kind, 'HIGH' as severity, 1 - levenshtein(text, description) / greatest(length(text), length(description))::double as confidence from (select p_partkey as id, cast(p_partkey % 5 as int) as concept_id, concat('a ', p_name) as text from part) a
-  join (select distinct cast(p_partkey % 20 as int) as concept_id, p_type as kind, p_name as description from part where p_size % 2 = 0 and p_partkey % 20 < 5) c using (concept_id) where 1 - levenshtein(text, description) / greatest(length(text), length(description))::double >= 0.65""", "confidence")
+_catalogue = lambda v: v.part.select((F.col("p_partkey") % 20).cast("int").alias("concept_id"), F.when(F.col("p_size") % 2 == 0, "CONCEPTUAL").otherwise("CARELESS").alias("category"), F.col("p_type").alias("kind"), F.col("p_name").alias("description")).distinct()
+_answers = lambda v: v.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 25).cast("int").alias("concept_id"), F.lit("CONCEPTUAL").alias("category"), F.concat(F.lit("a "), F.col("p_name")).alias("text"))
+add("mth_misconceptions", lambda v: D.misconceptions(_answers(v), _catalogue(v)), """with a as (select p_partkey as id, cast(p_partkey % 25 as int) as concept_id, concat('a ', p_name) as text from part), c as (select distinct cast(p_partkey % 20 as int) as concept_id, p_size % 2 = 0 as conceptual, p_type as kind, p_name as description from part)
+select id, kind, 'HIGH' as severity, 1 - levenshtein(text, description) / greatest(length(text), length(description))::double as confidence from a join c using (concept_id) where conceptual and 1 - levenshtein(text, description) / greatest(length(text), length(description))::double >= 0.65
+union all select id, 'unknown_conceptual', 'HIGH', 0.6::double from a where concept_id not in (select concept_id from c)""", "confidence")
 _grades = lambda v: v.attempts.select("concept_id", F.col("score").alias("grade"), (F.col("difficulty") * 1.0 + F.col("score")).alias("reference"), (F.col("attempt_id") % 37).alias("length"))
 add("agg_grader_quality", lambda v: A.grader_quality(_grades(v), ["concept_id"]), """with g as (select concept_id, score as grade, difficulty * 1.0::double + score as reference, attempt_id % 37 as len from {attempts}), n as (select *, row_number() over (partition by concept_id order by grade) as a, row_number() over (partition by concept_id order by reference) as b, row_number() over (partition by concept_id order by len) as c from g),
 r as (select concept_id, grade, avg(a) over (partition by concept_id, grade) as rg, avg(b) over (partition by concept_id, reference) as rr, avg(c) over (partition by concept_id, len) as rl from n) select concept_id, corr(rg, rr) as rho, corr(rg, rl) as length_bias, stddev_samp(grade) as spread from r group by 1""", "rho length_bias spread")
@@ -68,13 +69,13 @@ add("src_experiment", _experiment, "select cohort as group_id, count(*) as learn
 def _tests(v):
     """Course tests as JSON documents with an array of questions."""
     where = new_folder(v.spark, "tests")
-    q = F.collect_list(F.struct(F.col("item_id").cast("string").alias("id"), F.lit("mcq").alias("type"), F.substring("text", 1, 20).alias("question"), F.lit("a").alias("correct_answer"), (F.col("item_id") % 3 + 1).cast("int").alias("points")))
+    q = F.collect_list(F.struct(F.col("item_id").cast("string").alias("id"), F.lit("mcq").alias("type"), F.col("text").alias("question"), F.lit("a").alias("correct_answer"), (F.col("item_id") % 3 + 1).cast("int").alias("points")))
     v.benchmark.groupBy((F.col("item_id") % 4).cast("string").alias("test_id")).agg(q.alias("questions")).write.option("lineSep", "\n").json(where)
     rows = v.spark.read.schema(tables.TESTS).json(where).select("test_id", F.explode("questions").alias("q"))
-    return rows.groupBy("test_id").agg(F.count(F.lit(1)).alias("questions"), F.sum("q.points").alias("points"))
+    return rows.groupBy("test_id").agg(F.count(F.lit(1)).alias("questions"), F.sum("q.points").alias("points"), F.sum(F.length("q.question")).alias("letters"))
 
 
-add("src_course_tests", _tests, "select cast(item_id % 4 as varchar) as test_id, count(*) as questions, cast(sum(item_id % 3 + 1) as bigint) as points from benchmark group by 1")
+add("src_course_tests", _tests, "select cast(item_id % 4 as varchar) as test_id, count(*) as questions, cast(sum(item_id % 3 + 1) as bigint) as points, cast(sum(length(text)) as bigint) as letters from benchmark group by 1")
 
 
 def _taxonomy(v):

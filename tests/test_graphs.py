@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from scholarflow.operators import graph, resolve
+from scholarflow.operators import graph, planning, resolve, text
 from scholarflow.operators.components import components
 
 
@@ -70,3 +70,47 @@ def test_clusters_by_average_linkage(spark):
         groups[-best[1]] += groups.pop(-best[2])
     got = {r["node"]: r["cluster"] for r in resolve.clusters(spark.createDataFrame(pairs, "a long, b long, score double")).collect()}
     assert got == {k: min(g) for g in groups for k in g if k in got}
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_fuzzy_names_miss_no_pair(spark):
+    rng = random.Random(1)
+    names = {"photosynthesis", "fhotosynthesia", "gear", "gears", "a", "ab", "abcde", "abcdf", "xbcde"}
+    for _ in range(60):
+        base = [rng.choice("abc") for _ in range(rng.randint(1, 16))]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(copy) + 1)
+                copy[at : at + rng.randint(0, 1)] = [rng.choice("abc")] * rng.randint(0, 1)
+            names.add("".join(copy))
+    names = sorted(names - {""})
+    want = {(a, b) for a in names for b in names if a < b and 5 * _edits(a, b) <= max(len(a), len(b))}
+    df = spark.createDataFrame([(x,) for x in [*names, ""]], "name string")
+    got = {(r["a"], r["b"]) for r in text.fuzzy_names(df, df).collect()}
+    assert got == want and ("fhotosynthesia", "photosynthesis") in got
+
+
+def test_sections_of_a_deep_tree(spark):
+    rows = [(1, k, k - 1 if k > 1 else None, f"t{k}") for k in range(1, 9)] + [(2, 5, 4, "lost")]
+    got = text.tree_sections(spark.createDataFrame(rows, "doc_id long, node long, parent long, title string")).orderBy("pos").collect()
+    assert [r["node"] for r in got] == list(range(1, 9)) and got[-1]["path"].count(" > ") == 7
+
+
+def test_beam_search_stops_at_unmet_prerequisites(spark):
+    concepts = spark.createDataFrame([(k, 60, 1) for k in range(1, 6)], "concept_id long, time_estimate int, difficulty int")
+    edges = spark.createDataFrame([(1, 2, "NEXT"), (1, 3, "NEXT"), (2, 5, "REQUIRES"), (3, 1, "REQUIRES"), (3, 4, "NEXT")], "source long, target long, rel_type string")
+    mastery = spark.createDataFrame([(7, 1, 0.9), (7, 4, 0.5)], "learner_id long, concept_id long, level double")
+    starts = spark.createDataFrame([(7, 1)], "learner_id long, concept_id long")
+    got = {r["path"]: r["score"] for r in planning.beam_search(starts, edges, mastery, concepts).collect()}
+    # 2 needs 5, which is not mastered; 3 needs 1, which is; 2 has no way on
+    assert got == {"1>3>4": round(0.4 * (0.9 + 0.5) / 3 + 0.4, 6), "1>2": 0.0}
