@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from .common import checkpointed, held_out, table, with_columns_from
 
 STATISTICS = (
-    "log_bytes", "log_words", "word_length", "word_length_sd", "symbols", "upper", "digits", "marked_words", "distinct_words",
-    "top_word", "short_words", "repeated_lines", "log_line_length", "repeated_triples", "entropy", "bare_pipes",
+    "log_bytes", "log_words", "word_length", "word_length_sd", "symbols", "upper", "digits", "distinct_words",
+    "top_word", "short_words", "repeated_lines", "log_line_length", "repeated_triples", "entropy",
 )
 FIELDS = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
 #: Weight of the pooled diagonal in a class covariance, besides d / (n + d); and the least variance.
@@ -46,13 +46,12 @@ def statistics(text: str | None) -> list[float]:
     counts = Counter(words)
     triples = len(set(zip(words, words[1:], words[2:]))) if len(words) > 2 else 1
     lines = raw.split(b"\n")
-    marked = sum(x[-1] in b"#$%&*!|" for x in words)
     share = lambda a, b: float(np.arcsin(np.sqrt(min(1.0, a / max(1, b)))))
     return [
         float(np.log1p(len(raw))), float(np.log1p(len(words))), float(np.log1p(lengths.mean())), float(np.log1p(lengths.std())),
-        share(symbols, n), share(upper, letters), share(digits, n), share(marked, w), share(len(counts), w),
+        share(symbols, n), share(upper, letters), share(digits, n), share(len(counts), w),
         share(max(counts.values(), default=0), w), share(float((lengths <= 3).sum()), w), share(len(lines) - len(set(lines)), len(lines)),
-        float(np.log1p(n / len(lines))), share(max(1, len(words) - 2) - triples, max(1, len(words) - 2)), float(-(p * np.log2(p)).sum()), share(counts.get(b"|", 0), w),
+        float(np.log1p(n / len(lines))), share(max(1, len(words) - 2) - triples, max(1, len(words) - 2)), float(-(p * np.log2(p)).sum()),
     ]
 
 
