@@ -113,3 +113,17 @@ def weight_sweep(scores: DataFrame, weights: DataFrame) -> DataFrame:
     rows = scores.join(small(weights, 1000, "weight vectors"))
     q = F.col("w1") * F.col("feasibility") + F.col("w2") * F.col("coherence") + F.col("w3") * F.col("relevance")
     return rows.groupBy("vector").agg(F.avg(q).alias("mean_quality"), F.coalesce(F.stddev_samp(q), F.lit(0.0)).alias("sd_quality"))
+
+
+def weight_ablation(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(metric, delta_score, percentage_change): what the mean weighted score loses without each of its weights.
+
+    A weight goes to zero and the others are scaled up to a sum of one. The score is linear, so one pass takes the means.
+    """
+    total = sum(weights.values())
+    means = scores.agg(*[F.avg(c).alias(c) for c in weights])
+    score = lambda some: sum(F.col(c) * w for c, w in some.items()) / sum(some.values())
+    full = score(weights) * total
+    rows = [F.struct(F.lit(c).alias("metric"), (score({k: w for k, w in weights.items() if k != c}) - full).alias("delta_score"), full.alias("full")) for c in weights]
+    out = means.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    return out.select("metric", "delta_score", F.when(F.col("full") != 0, 100 * F.col("delta_score") / F.col("full")).otherwise(0.0).alias("percentage_change"))

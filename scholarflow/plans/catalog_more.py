@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import more_rules as S
 from ..functions import rules as R
+from ..operators import experiments as X
 from ..operators import graph as G
 from ..operators import mastery as M
 from ..operators import resolve as E
@@ -90,7 +91,11 @@ add("win_latest_consent", lambda v: v.runs.groupBy("learner_id").agg(F.max_by("s
 add("srt_recent_notes", lambda v: v.notes.filter("created_at >= timestamp '2024-01-24 00:00:00'").select("note_id", "learner_id"), "select note_id, learner_id from {notes} where created_at >= timestamp '2024-01-24 00:00:00'")
 add("srt_notes_by_concept", lambda v: v.notes.filter("concept_id = 4").select("note_id", "note_type"), "select note_id, note_type from {notes} where concept_id = 4")
 add("agg_concept_provenance", lambda v: v.snapshots.groupBy("concept_id").agg(F.countDistinct("doc_id").alias("sources"), F.min("uploaded_at").alias("created"), F.max("uploaded_at").alias("updated")), "select concept_id, count(distinct doc_id) as sources, min(uploaded_at) as created, max(uploaded_at) as updated from {snapshots} group by 1", times="created updated")
-add("exp_weight_ablation", lambda v: v.attempts.groupBy("learner_id").agg(F.avg("score").alias("s"), F.avg("difficulty").alias("d")).agg(F.avg(0.6 * F.col("s") + 0.08 * F.col("d")).alias("full_score"), F.avg("s").alias("without_difficulty"), F.avg(0.2 * F.col("d")).alias("without_score")), "select avg(0.6 * s + 0.08 * d) as full_score, avg(s) as without_difficulty, avg(0.2 * d) as without_score from (select learner_id, avg(score) as s, avg(difficulty) as d from {attempts} group by 1) x", "full_score without_difficulty without_score")
+_objectives = lambda v: v.attempts.groupBy("learner_id").agg(F.avg((F.col("bloom") == "APPLY").cast("double")).alias("relevance"), F.avg(1 - F.abs(F.col("score") - F.col("difficulty") / 5.0)).alias("adaptivity"), F.avg((F.col("difficulty") <= 3).cast("double")).alias("coherence"), F.avg("score").alias("feasibility"))
+add("exp_weight_ablation", lambda v: X.weight_ablation(_objectives(v), {"relevance": 0.3, "adaptivity": 0.3, "coherence": 0.2, "feasibility": 0.2}), """with q as (select learner_id, avg(case when bloom = 'APPLY' then 1.0 else 0.0 end) as r, avg(1 - abs(score - difficulty / 5.0)) as a, avg(case when difficulty <= 3 then 1.0 else 0.0 end) as c, avg(score) as f from {attempts} group by 1),
+m as (select avg(r) as r, avg(a) as a, avg(c) as c, avg(f) as f from q), b as (select *, 0.3 * r + 0.3 * a + 0.2 * c + 0.2 * f as s from m),
+d as (select 'relevance' as metric, (0.3 * a + 0.2 * c + 0.2 * f) / 0.7 as x, s from b union all select 'adaptivity', (0.3 * r + 0.2 * c + 0.2 * f) / 0.7, s from b union all select 'coherence', (0.3 * r + 0.3 * a + 0.2 * f) / 0.8, s from b union all select 'feasibility', (0.3 * r + 0.3 * a + 0.2 * c) / 0.8, s from b)
+select metric, x - s as delta_score, 100 * (x - s) / s as percentage_change from d""", "delta_score percentage_change")
 add("doc_overwrite", lambda v: G.canonical(v.snapshots.filter("doc_id <> 9").unionByName(v.snapshots.filter("doc_id = 10").withColumns({"doc_id": F.lit(9).cast("long"), "confidence": F.lit(2.0)})), ["concept_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("best_of")), """with s as (select * from {snapshots} where doc_id <> 9 union all select 9, concept_id, line, 2.0, uploaded_at, price, quantity, status, order_id, supp_id from {snapshots} where doc_id = 10)
 select doc_id, count(*) as best_of from (select *, row_number() over (partition by concept_id order by confidence desc, uploaded_at desc, doc_id, line, order_id, supp_id, price, quantity) as r from s where status = 'COMMITTED') x where r = 1 group by 1""")
 add("doc_status_final", lambda v: v.snapshots.groupBy("doc_id").agg(F.count(F.when(F.col("confidence") < 0.92, 1)).alias("failed"), F.count(F.lit(1)).alias("n")).select("doc_id", F.when(F.col("failed") == 0, "COMMITTED").when(F.col("failed") < F.col("n"), "PARTIAL_SUCCESS").otherwise("FAILED").alias("status")), "select doc_id, case when count(*) filter (confidence < 0.92) = 0 then 'COMMITTED' when count(*) filter (confidence < 0.92) < count(*) then 'PARTIAL_SUCCESS' else 'FAILED' end as status from {snapshots} group by 1")
@@ -126,14 +131,20 @@ add("src_learners", _learners, "select c_mktsegment, count(*) as learners, avg(c
 
 
 def _run_json(v):
+    """Run files with agents' latencies, some without metrics, some unreadable: all are read, and told apart by status."""
     where = new_folder(v.spark, "runs")
-    doc = F.struct(F.col("run_id").cast("string").alias("experiment_id"), F.struct((F.col("mode") == "real").alias("use_real_llm"), (F.col("kind") == "baseline").alias("use_baseline")).alias("config"), F.struct(F.col("duration").alias("experiment_duration_seconds")).alias("metrics"))
-    v.runs.select("run_id", doc.alias("d")).select("d.*").write.json(where)
-    rows = v.spark.read.schema(tables.RUNS).json(where)
-    return rows.groupBy(F.when(F.col("config.use_real_llm"), "real").otherwise("mock").alias("mode"), F.when(F.col("config.use_baseline"), "baseline").otherwise("full").alias("type")).agg(F.count(F.lit(1)).alias("runs"), F.avg("metrics.experiment_duration_seconds").alias("duration"))
-
-
-add("src_run_json", _run_json, "select mode, kind as type, count(*) as runs, avg(duration) as duration from {runs} group by 1, 2", "duration")
+    agent = lambda ms: F.struct(F.lit(1).alias("total_calls"), F.lit(1.0).alias("success_rate"), F.col(ms).alias("avg_latency_ms"))
+    agents = F.create_map(F.lit("knowledge_extraction"), agent("ke_ms"), F.lit("profiler"), agent("profiler_ms"), F.lit("tutor"), agent("tutor_ms"))
+    metrics = F.when(F.col("run_id") % 7 != 0, F.struct(F.col("duration").alias("experiment_duration_seconds"), agents.alias("agents")))
+    doc = F.struct(F.col("run_id").cast("string").alias("experiment_id"), F.struct((F.col("mode") == "real").alias("use_real_llm"), (F.col("kind") == "baseline").alias("use_baseline")).alias("config"), metrics.alias("metrics"))
+    v.runs.select(F.when(F.col("run_id") % 50 == 0, "{broken").otherwise(F.to_json(doc)).alias("value")).write.text(where)
+    rows = tables.runs(v.spark, where, multi_line=False)
+    return rows.groupBy("mode", "type", "status").agg(F.count(F.lit(1)).alias("runs"), F.avg("duration").alias("duration"), F.avg("knowledge_extraction_ms").alias("ke_ms"), F.avg("profiler_ms").alias("profiler_ms"), F.avg("tutor_ms").alias("tutor_ms"))
+
+
+add("src_run_json", _run_json, """with r as (select *, run_id % 50 = 0 as bad, run_id % 50 = 0 or run_id % 7 = 0 as bare from {runs})
+select case when bad then 'mock' else mode end as mode, case when bad then 'full' else kind end as type, case when bad then 'failed' else 'success' end as status, count(*) as runs, avg(case when bare then 0 else duration end) as duration,
+  avg(case when bare then 0 else ke_ms end) as ke_ms, avg(case when bare then 0 else profiler_ms end) as profiler_ms, avg(case when bare then 0 else tutor_ms end) as tutor_ms from r group by 1, 2, 3""", "duration ke_ms profiler_ms tutor_ms")
 
 
 def _materials(v):

@@ -13,9 +13,9 @@ RUNS = """experiment_id string, started_at timestamp, completed_at timestamp, co
 TESTS = "test_id string, test_name string, difficulty string, time_limit_minutes int, questions array<struct<id:string,type:string,question:string,options:array<string>,correct_answer:string,points:int>>"
 
 
-def runs(spark: SparkSession, path: str) -> DataFrame:
-    """Experiment runs (one JSON document per file) as a summary; missing numbers are 0, unreadable files fail."""
-    raw = spark.read.schema(RUNS).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Experiment runs (one JSON document per file, or else per line) as a summary; missing numbers are 0, unreadable documents fail."""
+    raw = spark.read.schema(RUNS).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
     agent = lambda n: F.coalesce(F.col("metrics.agents")[n]["avg_latency_ms"], F.lit(0.0)).alias(f"{n}_ms")
     return raw.select(
         "experiment_id", F.coalesce("started_at", "completed_at").alias("at"), F.when(F.col("config.use_real_llm"), "real").otherwise("mock").alias("mode"), F.when(F.col("config.use_baseline"), "baseline").otherwise("full").alias("type"),
