@@ -44,7 +44,9 @@ add("stm_alerts", lambda v: _replay(v, jobs.alerts), "select attempt_id, learner
 add("stm_note_events", lambda v: _replay(v, jobs.note_events), "select attempt_id, learner_id, case when score < 0.8 then 'MISCONCEPTION_NOTE' else 'ATOMIC_NOTE' end as note_type from {attempts}")
 add("stm_dedup", lambda v: _replay(v, lambda s: jobs.deduplicated(s).select("attempt_id")), "select distinct attempt_id from {attempts}")
 add("stm_rate_window", lambda v: _replay(v, jobs.rate_window, "update", ["learner_id", "start"]), "select learner_id, date_trunc('hour', ts) as start, count(*) as n from {attempts} group by 1, 2", times="start")
-add("stm_sessions", lambda v: _replay(v, jobs.sessions))
+add("stm_sessions", lambda v: _replay(v, jobs.sessions), """select learner_id, min(ts) as started, count(*) as events from (select *, sum(opens) over (partition by learner_id order by ts, attempt_id) as session from (
+  select *, case when ts - lag(ts) over (partition by learner_id order by ts, attempt_id) <= interval 30 minutes then 0 else 1 end as opens from {attempts}) a) b group by learner_id, session
+  having max(ts) + interval 30 minutes <= (select max(ts) from {attempts}) - interval 10 minutes""", times="started")
 add("stm_context_freq", lambda v: _replay(v, jobs.context_frequency, "update", ["concept_id", "start"]).select("concept_id", "start", "n"), "select concept_id, date_trunc('day', ts) - to_days(i::int) as start, count(*) as n from {attempts}, unnest(range(7)) as t(i) group by 1, 2", times="start")
 
 
@@ -54,7 +56,7 @@ def _context(v):
     return jobs.replay(fb, lambda s: jobs.context_join(sel, s), new_folder(v.spark, "replay"))
 
 
-add("stm_context_join", _context)
+add("stm_context_join", _context, """select f.attempt_id as feedback_id, s.score as context from {attempts} f join {attempts} s on s.concept_id = f.concept_id and s.ts <= f.ts and s.ts >= f.ts - interval 24 hours where f.attempt_id % 2 = 1 and s.attempt_id % 2 = 0""", "context")
 
 
 def _written(v, name: str, write):

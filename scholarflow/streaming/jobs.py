@@ -36,8 +36,8 @@ def context_frequency(attempts: DataFrame) -> DataFrame:
     return out.select("concept_id", F.col("window.start").alias("start"), "n", "learners", ((F.col("n") >= 5) & (F.col("learners") >= 2)).alias("review"))
 
 
-def sessions(attempts: DataFrame, gap: str = "12 hours") -> DataFrame:
-    """Sessions of each learner, closed by a gap."""
+def sessions(attempts: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of each learner, closed by a gap without an event."""
     out = attempts.withWatermark("ts", LATE).groupBy("learner_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events"))
     return out.select("learner_id", F.col("session_window.start").alias("started"), "events")
 
