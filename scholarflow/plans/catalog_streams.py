@@ -39,7 +39,7 @@ def _replay(v, job, mode="append", key=None):
 
 add("stm_bandit", lambda v: _replay(v, jobs.bandit, "complete"), "select concept_id, count(*) as pulls, sum(score) as total_reward from {attempts} group by 1", "total_reward")
 add("stm_mastery", lambda v: _replay(v, jobs.mastery, "update", ["learner_id", "concept_id"]))
-add("stm_profile", lambda v: _replay(v, jobs.profile, "update", ["learner_id"]))
+add("stm_profile", lambda v: _replay(v, jobs.profile, "update", ["learner_id"]), "select learner_id, avg(score) as mean_score, cast(count(distinct case when score >= 0.8 then concept_id end) as int) as completed, count(*) as version from {attempts} group by 1", "mean_score")
 add("stm_alerts", lambda v: _replay(v, jobs.alerts), "select attempt_id, learner_id, concept_id, 'CRITICAL_FAILURE' as alert from {attempts} where score < 0.4")
 add("stm_note_events", lambda v: _replay(v, jobs.note_events), "select attempt_id, learner_id, case when score < 0.8 then 'MISCONCEPTION_NOTE' else 'ATOMIC_NOTE' end as note_type from {attempts}")
 add("stm_dedup", lambda v: _replay(v, lambda s: jobs.deduplicated(s).select("attempt_id")), "select distinct attempt_id from {attempts}")
