@@ -218,49 +218,81 @@ def sync_delta(course: DataFrame, personal: DataFrame, enrolled: DataFrame) -> D
 # --- validation -----------------------------------------------------------------------------------
 
 
-def _issue(rows: DataFrame, rule: str, severity: str, ident: Column) -> DataFrame:
-    return rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), ident.cast("string").alias("item"))
+def _node_rules() -> dict[str, tuple[str, Column, Column]]:
+    """Rules on one node: severity, what is wrong, and how an issue names the node."""
+    c = F.col
+    blank = lambda x: F.trim(F.coalesce(c(x).cast("string"), F.lit(""))) == ""
+    outside = lambda x, low, high: ~F.coalesce(c(x).between(low, high), F.lit(False))
+    ident = c("concept_id").cast("string")
+    return {
+        "required": ("ERROR", blank("concept_id") | blank("name"), c("pos").cast("string")),
+        "id_format": ("WARNING", ~blank("concept_id") & ~ident.rlike("^[A-Za-z0-9_]+$"), ident),
+        "bloom_enum": ("WARNING", ~F.coalesce(F.upper("bloom").isin("REMEMBER", "UNDERSTAND", "APPLY", "ANALYZE", "EVALUATE", "CREATE"), F.lit(True)), ident),
+        "difficulty": ("WARNING", outside("difficulty", 1, 5), ident),
+        "time_range": ("WARNING", outside("time_estimate", 15, 120), ident),
+        "description": ("WARNING", F.coalesce(F.length("description"), F.lit(0)) < 10, ident),
+    }
 
 
-def node_issues(nodes: DataFrame) -> dict[str, DataFrame]:
-    """Rules over nodes (concept_id string, name, description, difficulty, time_estimate, bloom, pos)."""
-    c = F.col
-    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
-    dup = nodes.withColumn("r", F.row_number().over(Window.partitionBy("concept_id").orderBy("pos"))).filter("r > 1")
+def _edge_rules() -> dict[str, tuple[str, Column, Column]]:
+    """Rules on one edge, as in `_node_rules`."""
+    ident = F.concat_ws(">", F.col("source").cast("string"), F.col("target").cast("string"), "rel_type")
     return {
-        "required": _issue(nodes.filter(blank(c("concept_id")) | blank(c("name"))), "required", "ERROR", c("pos")),
-        "id_format": _issue(nodes.filter(~blank(c("concept_id")) & ~c("concept_id").rlike("^[A-Za-z0-9_]+$")), "id_format", "WARNING", c("concept_id")),
-        "unique": _issue(dup, "unique", "ERROR", c("concept_id")),
-        "bloom_enum": _issue(nodes.filter(~F.upper("bloom").isin("REMEMBER", "UNDERSTAND", "APPLY", "ANALYZE", "EVALUATE", "CREATE")), "bloom_enum", "WARNING", c("concept_id")),
-        "difficulty": _issue(nodes.filter(~F.coalesce(c("difficulty").between(1, 5), F.lit(False))), "difficulty", "WARNING", c("concept_id")),
-        "time_range": _issue(nodes.filter(~F.coalesce(c("time_estimate").between(15, 120), F.lit(False))), "time_range", "WARNING", c("concept_id")),
-        "description": _issue(nodes.filter(F.coalesce(F.length("description"), F.lit(0)) < 10), "description", "WARNING", c("concept_id")),
+        "self_loop": ("ERROR", F.coalesce(F.col("source") == F.col("target"), F.lit(False)), ident),
+        "rel_type": ("WARNING", ~F.coalesce(F.col("rel_type").isin(*RELATIONS), F.lit(True)), ident),
+        "weight": ("WARNING", ~F.coalesce(F.col("weight").between(0, 1), F.lit(False)), ident),
     }
 
 
+def _issues(rows: DataFrame, rules: dict[str, tuple[str, Column, Column]]) -> dict[str, DataFrame]:
+    return {rule: rows.filter(wrong).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), ident.alias("item")) for rule, (severity, wrong, ident) in rules.items()}
+
+
+def node_issues(nodes: DataFrame) -> dict[str, DataFrame]:
+    """Rules over nodes (concept_id, name, description, difficulty, time_estimate, bloom, pos)."""
+    dup = nodes.withColumn("r", F.row_number().over(Window.partitionBy("concept_id").orderBy("pos"))).filter("r > 1")
+    return _issues(nodes, _node_rules()) | _issues(dup, {"unique": ("ERROR", F.lit(True), F.col("concept_id").cast("string"))})
+
+
+def _lost(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct edges with an end that is no node."""
+    known = nodes.select(F.col("concept_id").alias("_end")).distinct()
+    ends = edges.distinct().withColumn("_end", F.explode(F.array_distinct(F.array("source", "target"))))
+    return ends.join(known, "_end", "left_anti").drop("_end").distinct()
+
+
+def _orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    ends = edges.select(F.explode(F.array("source", "target")).alias("concept_id")).distinct()
+    return nodes.select("concept_id").join(ends, "concept_id", "left_anti")
+
+
 def edge_issues(edges: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
     """Rules over edges (source, target, rel_type, weight) against nodes (concept_id)."""
-    c = F.col
-    ident = F.concat_ws(">", c("source").cast("string"), c("target").cast("string"), "rel_type")
-    known = nodes.select(F.col("concept_id").alias("k")).distinct()
-    lost = edges.join(known, c("source") == c("k"), "left_anti").unionByName(edges.join(known, c("target") == c("k"), "left_anti")).distinct()
-    ends = edges.select(c("source").alias("concept_id")).unionAll(edges.select("target")).distinct()
-    return {
-        "ref_exists": _issue(lost, "ref_exists", "ERROR", ident),
-        "self_loop": _issue(edges.filter("source = target"), "self_loop", "ERROR", ident),
-        "rel_type": _issue(edges.filter(~c("rel_type").isin(*RELATIONS)), "rel_type", "WARNING", ident),
-        "weight": _issue(edges.filter(~F.coalesce(c("weight").between(0, 1), F.lit(False))), "weight", "WARNING", ident),
-        "orphans": _issue(nodes.select("concept_id").join(ends, "concept_id", "left_anti"), "orphans", "WARNING", c("concept_id")),
-    }
+    rules = _edge_rules()
+    lost = {"ref_exists": ("ERROR", F.lit(True), rules["rel_type"][2])}
+    orphans = {"orphans": ("WARNING", F.lit(True), F.col("concept_id").cast("string"))}
+    return _issues(edges, rules) | _issues(_lost(edges, nodes), lost) | _issues(_orphans(edges, nodes), orphans)
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All issues of a graph, counted by rule."""
-    found = [*node_issues(nodes.withColumn("concept_id", F.col("concept_id").cast("string"))).values(), *edge_issues(edges, nodes).values()]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("issues"))
+    """All issues of a graph, counted by rule: (rule, severity, issues), rules without an issue left out.
+
+    Rules on single rows are counted in one pass over the nodes and one over the edges, with nothing to shuffle
+    but a row a task; repeated ids, lost ends and orphans are one grouping or join each.
+    """
+
+    def counted(rows: DataFrame, rules: dict[str, tuple[str, Column, Column]]) -> DataFrame:
+        sums = rows.agg(*[F.count_if(wrong).alias(rule) for rule, (_, wrong, _) in rules.items()])
+        return sums.select(F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(rule).alias("issues")) for rule, (severity, _, _) in rules.items()])))
+
+    def number(rows: DataFrame, rule: str, severity: str, issues: Column) -> DataFrame:
+        return rows.agg(issues.alias("issues")).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "issues")
+
+    repeats = nodes.groupBy("concept_id").agg((F.count(F.lit(1)) - 1).alias("n"))
+    every = F.count(F.lit(1))
+    out = counted(nodes, _node_rules()).unionAll(counted(edges, _edge_rules())).unionAll(number(repeats, "unique", "ERROR", F.sum("n")))
+    out = out.unionAll(number(_lost(edges, nodes), "ref_exists", "ERROR", every)).unionAll(number(_orphans(edges, nodes), "orphans", "WARNING", every))
+    return out.filter("issues > 0")
 
 
 def autofix_nodes(nodes: DataFrame) -> DataFrame:

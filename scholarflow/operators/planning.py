@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHAIN_MODES, CONFIG
-from ..functions.rules import clamp, review_priority
+from ..functions.rules import clamp, content_type, review_priority
 
 
 def eligible(concepts: DataFrame, mastery: DataFrame, minutes_left: int) -> DataFrame:
@@ -20,6 +20,16 @@ def eligible(concepts: DataFrame, mastery: DataFrame, minutes_left: int) -> Data
     return level.join(fit, "concept_id").filter(F.col("level") < CONFIG.mastered)
 
 
+def recommend_resources(steps: DataFrame) -> DataFrame:
+    """Three resources of each step (learner_id, concept_id, name, difficulty, style) of a path, ranked by the learner's style."""
+    style = F.coalesce("style", F.lit("VISUAL"))
+    of = lambda kind, priority, text: F.struct(F.lit(kind).alias("kind"), priority.alias("priority"), F.concat(F.lit(text), F.col("name")).alias("description"))
+    listed = F.array(
+        of("VIDEO", F.when(style == "VISUAL", 1).otherwise(2), "Video tutorial on "), of("EXERCISE", F.lit(1), "Practice exercises for "), of("ARTICLE", F.when(style == "READING", 2).otherwise(3), "Detailed article on ")
+    )
+    return steps.select("learner_id", "concept_id", content_type(F.col("difficulty"), style).alias("primary_type"), F.explode(listed).alias("r")).select("learner_id", "concept_id", "primary_type", "r.*")
+
+
 def ucb_select(stats: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidate concept of each learner with the best upper confidence bound; untried ones first, ties by id."""
     t = stats.agg((F.sum("pulls") + 1).alias("t"))

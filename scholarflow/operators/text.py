@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.more_rules import normalize_context
 from ..store import checkpointed, small
 
 
@@ -165,6 +166,51 @@ def map_domains(inputs: DataFrame, domains: DataFrame, least: float = 0.7) -> Da
     return best.select("id", F.when(F.col("score") > 0, F.col("key")).otherwise("general").alias("domain"), "score", (F.col("score") < least).alias("needs_confirmation"))
 
 
+def _listed(df: DataFrame, most: int, what: str, name: str) -> DataFrame:
+    """A list of a few rows, checked, as one row with one array column in the order of `ordinal`."""
+    fields = ["ordinal", *[c for c in df.columns if c != "ordinal"]]
+    return F.broadcast(small(df, most, what).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)))
+
+
+def suggest_domains(texts: DataFrame, domains: DataFrame, least: int = 2) -> DataFrame:
+    """(id, domain, score) of each text (id, text): 10 for a domain's code in it, 8 for its name, 2 for each keyword.
+
+    domains (code, display_name, keywords, ordinal) are a list of at most 1 000 rows, which one row carries to
+    the texts, so that no text is shuffled. The first of equal domains wins; below `least` there is none (null).
+    """
+    has = lambda x: F.contains(F.lower("text"), F.lower(x))
+    score = lambda d: F.when(has(d["code"]), 10).otherwise(0) + F.when(has(d["display_name"]), 8).otherwise(0) + 2 * F.size(F.filter(d["keywords"], has))
+    scored = F.transform("_domains", lambda d: F.struct(F.coalesce(score(d), F.lit(0)).alias("score"), (-d["ordinal"]).alias("first"), d["code"].alias("code")))
+    rows = texts.select("id", "text").join(_listed(domains, 1000, "domains", "_domains")).select("id", F.array_max(scored).alias("best"))
+    found = F.col("best.score") >= least
+    return rows.select("id", F.when(found, F.col("best.code")).alias("domain"), F.when(found, F.col("best.score")).otherwise(0).alias("score"))
+
+
+def keyword_domains(titles: DataFrame, keywords: DataFrame, default: str = "general") -> DataFrame:
+    """(id, domain): the domain of the first keyword, in the order of `ordinal`, that a title (id, title) contains."""
+    first = F.get(F.filter("_keywords", lambda k: F.contains(F.lower("title"), k["keyword"])), F.lit(0))["domain"]
+    return titles.select("id", "title").join(_listed(keywords, 10_000, "keywords", "_keywords")).select("id", F.coalesce(first, F.lit(default)).alias("domain"))
+
+
+def resolve_contexts(inputs: DataFrame, registry: DataFrame, most: int = 3) -> DataFrame:
+    """(id, key, context_key, suggestions, needs_refine) of raw contexts (id, domain, context).
+
+    registry: (domain, context_key, aliases, ordinal), at most 100 000 rows. A key or an alias that equals the
+    normalised context is its context_key; else up to `most` keys of the domain are suggested, in the order of
+    `ordinal`: those that start with the same three letters or contain one of its words. Each
+    distinct key of a domain is compared once.
+    """
+    key, words, _ = normalize_context(F.col("context"))
+    rows = inputs.select("id", "domain", key.alias("key"), (words == 1).alias("needs_refine"))
+    near = F.startswith("context_key", F.substring("key", 1, 3)) | F.exists(F.split("key", "_"), lambda w: F.contains("context_key", w))
+    hit = (F.col("key") == F.col("context_key")) | F.coalesce(F.array_contains("aliases", F.col("key")), F.lit(False))
+    entry = F.struct("ordinal", "context_key")
+    met = rows.select("domain", "key").distinct().join(small(registry, 100_000, "registered contexts"), "domain")
+    found = met.groupBy("domain", "key").agg(F.min(F.when(hit, entry)).alias("hit"), F.slice(F.array_sort(F.collect_list(F.when(near, entry))), 1, most).alias("near"))
+    near_keys = F.when(F.col("hit").isNull(), F.array_join("near.context_key", ",")).otherwise("")
+    return rows.join(found, ["domain", "key"], "left").select("id", "key", F.col("hit.context_key").alias("context_key"), F.coalesce(near_keys, F.lit("")).alias("suggestions"), "needs_refine")
+
+
 def apply_context_actions(aliases: DataFrame, actions: DataFrame) -> DataFrame:
     """Aliases (alias, key) after review: approved ones move to the action's key, rejected and deprecated ones go."""
     rows = aliases.join(actions.select("alias", "action", F.col("key").alias("to_key")), "alias", "left")

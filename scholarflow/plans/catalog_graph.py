@@ -66,8 +66,8 @@ add("agg_concept_sources", lambda v: v.snapshots.groupBy("concept_id").agg(F.cou
 add("agg_doc_contributions", lambda v: v.snapshots.groupBy("doc_id").agg(F.countDistinct("concept_id").alias("concepts"), F.count(F.lit(1)).alias("rows")), "select doc_id, count(distinct concept_id) as concepts, count(*) as \"rows\" from {snapshots} group by 1")
 
 # --- validation -----------------------------------------------------------------------------------
-_nodes = lambda v: v.pages.select(F.regexp_extract("url", "://([^/]*)", 1).alias("concept_id"), F.regexp_extract("url", r"\.(com|net|org)/", 1).alias("name"), F.regexp_extract("url", "/(en|de|fr|es)/", 1).alias("description"), (F.col("page_id") % 8).cast("int").alias("difficulty"), (F.col("page_id") % 140).cast("int").alias("time_estimate"), F.when(F.col("page_id") % 9 == 0, "GUESS").otherwise("apply").alias("bloom"), F.col("page_id").alias("pos"))
-NODES = "select regexp_extract(url, '://([^/]*)', 1) as concept_id, regexp_extract(url, '\\.(com|net|org)/', 1) as name, regexp_extract(url, '/(en|de|fr|es)/', 1) as description, cast(page_id % 8 as int) as difficulty, cast(page_id % 140 as int) as time_estimate, case when page_id % 9 = 0 then 'GUESS' else 'apply' end as bloom, page_id as pos from pages"
+_nodes = lambda v: v.pages.select(F.regexp_extract("url", "://([^/]*)", 1).alias("concept_id"), F.when(F.col("page_id") % 13 > 0, F.regexp_extract("url", r"\.(com|net|org)/", 1)).alias("name"), F.regexp_extract("url", "/(en|de|fr|es)/", 1).alias("description"), (F.col("page_id") % 8).cast("int").alias("difficulty"), (F.col("page_id") % 140).cast("int").alias("time_estimate"), F.when(F.col("page_id") % 9 == 0, "GUESS").otherwise("apply").alias("bloom"), F.col("page_id").alias("pos"))
+NODES = "select regexp_extract(url, '://([^/]*)', 1) as concept_id, case when page_id % 13 > 0 then regexp_extract(url, '\\.(com|net|org)/', 1) end as name, regexp_extract(url, '/(en|de|fr|es)/', 1) as description, cast(page_id % 8 as int) as difficulty, cast(page_id % 140 as int) as time_estimate, case when page_id % 9 = 0 then 'GUESS' else 'apply' end as bloom, page_id as pos from pages"
 _RULES = {
     "required": ("ERROR", "pos", "trim(coalesce(concept_id, '')) = '' or trim(coalesce(name, '')) = ''"), "id_format": ("WARNING", "concept_id", "trim(coalesce(concept_id, '')) <> '' and not regexp_full_match(concept_id, '[A-Za-z0-9_]+')"),
     "bloom_enum": ("WARNING", "concept_id", "upper(bloom) not in ('REMEMBER', 'UNDERSTAND', 'APPLY', 'ANALYZE', 'EVALUATE', 'CREATE')"), "difficulty": ("WARNING", "concept_id", "difficulty not between 1 and 5"),
@@ -78,18 +78,15 @@ for _name, (_severity, _item, _where) in _RULES.items():
 add("dq_unique", lambda v: G.node_issues(_nodes(v))["unique"], f"select 'unique' as rule, 'ERROR' as severity, concept_id as item from (select *, row_number() over (partition by concept_id order by pos) as r from ({NODES}) n) x where r > 1")
 _ITEM = "concat(source, '>', target, '>', rel_type)"
 _EDGE_RULES = {
-    "ref_exists": ("ERROR", f"select distinct {_ITEM} as item from {{edges}} where source not in (select concept_id from {{concepts}}) or target not in (select concept_id from {{concepts}})"),
-    "self_loop": ("ERROR", f"select {_ITEM} as item from {{edges}} where source = target"), "rel_type": ("WARNING", f"select {_ITEM} as item from {{edges}} where rel_type not in ('REQUIRES', 'IS_PREREQUISITE_OF', 'NEXT', 'REMEDIATES', 'HAS_ALTERNATIVE_PATH', 'SIMILAR_TO', 'IS_SUB_CONCEPT_OF')"),
-    "weight": ("WARNING", f"select {_ITEM} as item from {{edges}} where weight not between 0 and 1"), "orphans": ("WARNING", "select cast(concept_id as varchar) as item from {concepts} where concept_id not in (select source from {edges} union all select target from {edges})"),
+    "ref_exists": ("ERROR", f"select distinct {_ITEM} as item from {{raw_edges}} where source not in (select concept_id from {{raw_nodes}}) or target not in (select concept_id from {{raw_nodes}})"),
+    "self_loop": ("ERROR", f"select {_ITEM} as item from {{raw_edges}} where source = target"), "rel_type": ("WARNING", f"select {_ITEM} as item from {{raw_edges}} where rel_type not in ('REQUIRES', 'IS_PREREQUISITE_OF', 'NEXT', 'REMEDIATES', 'HAS_ALTERNATIVE_PATH', 'SIMILAR_TO', 'IS_SUB_CONCEPT_OF')"),
+    "weight": ("WARNING", f"select {_ITEM} as item from {{raw_edges}} where weight not between 0 and 1"), "orphans": ("WARNING", "select cast(concept_id as varchar) as item from {raw_nodes} where concept_id not in (select source from {raw_edges} union all select target from {raw_edges})"),
 }
 for _name, (_severity, _sql) in _EDGE_RULES.items():
-    add(f"dq_{_name}", lambda v, n=_name: G.edge_issues(v.edges, v.concepts)[n], f"select '{_name}' as rule, '{_severity}' as severity, item from ({_sql}) q")
-add("dq_validate", lambda v: G.validate(v.concepts.withColumn("pos", F.col("concept_id")), v.edges), """with r as (select 'description' as rule, 'WARNING' as severity, count(*) as issues from {concepts} where length(description) < 10 union all
-  select 'ref_exists', 'ERROR', count(*) from (select distinct source, target, rel_type, weight from {edges} where source not in (select concept_id from {concepts}) or target not in (select concept_id from {concepts})) x union all
-  select 'orphans', 'WARNING', count(*) from {concepts} where concept_id not in (select source from {edges} union all select target from {edges}) union all select 'self_loop', 'ERROR', count(*) from {edges} where source = target union all
-  select 'time_range', 'WARNING', count(*) from {concepts} where time_estimate not between 15 and 120) select * from r where issues > 0""")
+    add(f"dq_{_name}", lambda v, n=_name: G.edge_issues(v.raw_edges, v.raw_nodes)[n], f"select '{_name}' as rule, '{_severity}' as severity, item from ({_sql}) q")
+add("dq_validate", lambda v: G.validate(v.raw_nodes, v.raw_edges), "with q as (" + " union all ".join([f"select '{n}' as rule, '{a}' as severity from {{raw_nodes}} n where {w}" for n, (a, _, w) in _RULES.items()] + [f"select '{n}', '{a}' from ({q}) e" for n, (a, q) in _EDGE_RULES.items()] + ["select 'unique', 'ERROR' from (select row_number() over (partition by concept_id) as r from {raw_nodes}) u where r > 1"]).replace("coalesce(concept_id, '')", "coalesce(cast(concept_id as varchar), '')").replace("regexp_full_match(concept_id,", "regexp_full_match(cast(concept_id as varchar),") + ") select rule, severity, count(*) as issues from q group by 1, 2")
 add("dq_autofix_nodes", lambda v: G.autofix_nodes(_nodes(v)).select("pos", "concept_id", "bloom", "difficulty", "time_estimate"), f"select pos, regexp_replace(concept_id, '[^A-Za-z0-9_]', '_', 'g') as concept_id, case when bloom = 'apply' then 'APPLY' else 'UNDERSTAND' end as bloom, least(5, greatest(1, difficulty)) as difficulty, least(120, greatest(15, time_estimate)) as time_estimate from ({NODES}) n")
-add("dq_autofix_edges", lambda v: G.autofix_edges(v.edges, v.concepts), "select * from {edges} where source <> target and source in (select concept_id from {concepts}) and target in (select concept_id from {concepts})", "weight")
+add("dq_autofix_edges", lambda v: G.autofix_edges(v.raw_edges, v.raw_nodes), "select * replace (case when rel_type = 'LIKES' then 'SIMILAR_TO' else rel_type end as rel_type) from {raw_edges} where source <> target and source in (select concept_id from {raw_nodes}) and target in (select concept_id from {raw_nodes})", "weight")
 add("dq_uniqueness_constraints", lambda v: v.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
 add("dq_consent_before_use", lambda v: v.attempts.select("learner_id").distinct().join(v.runs.filter("status = 'success' and mode = 'real'").select("learner_id").distinct(), "learner_id", "left_anti"), "select distinct learner_id from {attempts} where learner_id not in (select learner_id from {runs} where status = 'success' and mode = 'real')")
 

@@ -9,10 +9,11 @@ from ..functions import rules as R
 from ..operators import experiments as X
 from ..operators import graph as G
 from ..operators import mastery as M
+from ..operators import planning as P
 from ..operators import resolve as E
 from ..operators import text as D
 from ..sources import tables
-from ..store import new_folder
+from ..store import new_folder, small
 from .catalog_graph import _course, _enrolled, _own
 from .registry import add
 
@@ -31,12 +32,27 @@ add("str_generate_tags", lambda v: v.notes.select("note_id", F.array_join(S.tags
 add("str_note_markdown", lambda v: v.notes.select("note_id", F.md5(S.note_markdown(F.col("note_type"), F.col("content"), F.when(F.col("concept_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")))).alias("digest")),
     "select note_id, md5(concat('# ', note_type, chr(10), chr(10), '## Key insight', chr(10), content, case when concept_id % 2 = 0 then concat(chr(10), chr(10), '## Connections', chr(10), '- a', chr(10), '- b') else '' end)) as digest from {notes}")
 add("str_sanitize_prompt", lambda v: v.pages.select("page_id", F.md5(S.sanitize_prompt(F.replace("html", F.lit("<p>"), F.lit("<system>")))).alias("digest")), "select page_id, md5(replace(replace(replace(replace(html, '<p>', '<system>'), '<system>', '[system]'), '</system>', '[/system]'), '```', '''''''')) as digest from pages")
-_domains = "select * from (values ('sql', 'gear', 1), ('python', 'widget', 2), ('stats', 'bolt', 3), ('sql', 'ring', 4)) as t(domain, keyword, ordinal)"
-add("str_domain_suggest", lambda v: v.concepts.select("concept_id", F.explode(F.split(F.lower("name"), " ")).alias("keyword")).join(F.broadcast(v.spark.sql(_domains)), "keyword").groupBy("concept_id", "domain").agg((2 * F.count(F.lit(1))).alias("score")), f"select concept_id, domain, 2 * count(*) as score from (select concept_id, unnest(string_split(lower(name), ' ')) as keyword from {{concepts}}) w join ({_domains}) d using (keyword) group by 1, 2")
-add("str_domain_keyword", lambda v: v.concepts.select("concept_id", F.when(F.contains("name", F.lit("gear")), "sql").when(F.contains("name", F.lit("widget")), "python").otherwise("general").alias("domain")), "select concept_id, case when contains(name, 'gear') then 'sql' when contains(name, 'widget') then 'python' else 'general' end as domain from {concepts}")
-add("join_alias_lookup", lambda v: v.concepts.select("concept_id", F.element_at(F.split("name", " "), -1).alias("keyword")).join(F.broadcast(v.spark.sql(_domains)), "keyword", "left").select("concept_id", "domain"), f"select concept_id, domain from (select concept_id, string_split(name, ' ')[-1] as keyword from {{concepts}}) c left join ({_domains}) d using (keyword)")
-add("str_context_resolve", lambda v: v.concepts.select("concept_id", S.normalize_context(F.col("name"))[0].alias("key")).join(F.broadcast(v.spark.sql(_domains).withColumn("prefix", F.substring("keyword", 1, 3))), F.substring("key", 1, 3) == F.col("prefix"), "left").groupBy("concept_id").agg(F.array_join(F.array_sort(F.collect_set("keyword")), ",").alias("suggestions")),
-    f"select concept_id, coalesce(array_to_string(list_sort(list(distinct keyword) filter (keyword is not null)), ','), '') as suggestions from {{concepts}} c left join ({_domains}) d on substring(replace(c.name, ' ', '_'), 1, 3) = substring(keyword, 1, 3) group by 1")
+# a domain is a part type: its code, its first brand as a name, and as keywords the last words of its three cheapest parts
+_catalogue = """select lower(p_type) as code, min(p_brand) as display_name, {collect}(distinct case when r <= 3 then w end) as keywords, row_number() over (order by p_type) as ordinal from (
+  select *, {last} as w, row_number() over (partition by p_type order by p_retailprice, p_partkey) as r from {part}) p group by p_type"""
+CATALOGUE = _catalogue.replace("{collect}", "list").replace("{last}", "string_split(p_name, ' ')[-1]")
+_domain_list = lambda v: v.spark.sql(_catalogue.replace("{collect}", "collect_set").replace("{last}", "element_at(split(p_name, ' '), -1)"), part=v.part)
+add("str_domain_suggest", lambda v: D.suggest_domains(v.concepts.select(F.col("concept_id").alias("id"), F.concat_ws(" ", "name", "brand").alias("text")), _domain_list(v)), f"""with d as ({CATALOGUE}), c as (select concept_id as id, lower(concat(name, ' ', brand)) as text from {{concepts}}),
+s as (select id, code, ordinal, case when contains(text, code) then 10 else 0 end + case when contains(text, lower(display_name)) then 8 else 0 end + 2 * len(list_filter(keywords, lambda k: k is not null and contains(text, k))) as score from c, d),
+b as (select id, arg_max(code, (score, -ordinal)) as code, max(score) as score from s group by 1) select id, case when score >= 2 then code end as domain, case when score >= 2 then score else 0 end as score from b""")
+# a word's domain is the type of the cheapest part with it; words of ECONOMY parts are unknown
+_known = """select keyword, {best} as domain, row_number() over (order by keyword desc) as ordinal from (select p_type, p_retailprice, p_partkey, {words} as keyword from {part}) w group by keyword having {best} <> 'ECONOMY'"""
+KNOWN = _known.replace("{best}", "arg_min(p_type, (p_retailprice, p_partkey))").replace("{words}", "unnest(string_split(p_name, ' '))")
+_known_words = lambda v: v.spark.sql(_known.replace("{best}", "min_by(p_type, struct(p_retailprice, p_partkey))").replace("{words}", "explode(split(p_name, ' '))"), part=v.part)
+add("str_domain_keyword", lambda v: D.keyword_domains(v.concepts.select(F.col("concept_id").alias("id"), F.col("name").alias("title")), _known_words(v)), f"with k as ({KNOWN}) select concept_id as id, coalesce(arg_min(k.domain, k.ordinal), 'general') as domain from {{concepts}} c left join k on contains(c.name, k.keyword) group by 1")
+# each brand registers a context for each of its types and last words; ECONOMY contexts are also known as cold ones
+_registry = """select p_brand as domain, context_key, {arr} as aliases, row_number() over (partition by p_brand order by context_key) as ordinal from (select distinct p_brand, concat(lower(p_type), '_', {last}) as context_key from {part} where p_type <> 'PROMO') p"""
+REGISTRY = _registry.replace("{arr}", "[replace(context_key, 'economy', 'cold')]").replace("{last}", "string_split(p_name, ' ')[-1]")
+_contexts = lambda v: v.spark.sql(_registry.replace("{arr}", "array(replace(context_key, 'economy', 'cold'))").replace("{last}", "element_at(split(p_name, ' '), -1)"), part=v.part)
+add("str_context_resolve", lambda v: D.resolve_contexts(v.concepts.select(F.col("concept_id").alias("id"), F.col("brand").alias("domain"), F.when(F.col("difficulty") == 5, F.element_at(F.split("name", " "), -1)).otherwise(F.initcap("name")).alias("context")), _contexts(v)), f"""with r as ({REGISTRY}), c as (select concept_id as id, brand, case when difficulty = 5 then string_split(name, ' ')[-1] else replace(name, ' ', '_') end as key, difficulty = 5 as needs_refine from {{concepts}}),
+m as (select id, key, needs_refine, arg_min(context_key, ordinal) filter (key = context_key or list_contains(aliases, key)) as context_key,
+  list(context_key order by ordinal) filter (starts_with(context_key, key[1:3]) or len(list_filter(string_split(key, '_'), lambda w: contains(context_key, w))) > 0) as near from c left join r on r.domain = c.brand group by 1, 2, 3)
+select id, key, context_key, case when context_key is null then coalesce(array_to_string(near[1:3], ','), '') else '' end as suggestions, needs_refine from m""")
 add("mth_three_way_score", lambda v: v.concepts.select("concept_id", S.three_way(R.word_jaccard(F.col("name"), F.col("description")), F.col("difficulty") / 5.0, F.lit(0.5)).alias("score")), "select concept_id, 0.6 * (len(list_intersect(string_split(lower(name), ' '), string_split(lower(description), ' '))) / len(list_distinct(list_concat(string_split(lower(name), ' '), string_split(lower(description), ' '))))::double) + 0.3 * difficulty / 5.0 + 0.05 as score from {concepts}", "score")
 add("mth_grounding_boost", lambda v: v.concepts.select("concept_id", S.grounding_boost(F.col("difficulty") > 1, F.col("difficulty"), F.col("time_estimate") > 60, F.col("bloom")).alias("boost")), "select concept_id, case when difficulty > 1 then 0.3 else 0 end + case when difficulty >= 2 then 0.3 else 0 end + case when time_estimate > 60 then 0.2 else 0 end + case when bloom in ('APPLY', 'ANALYZE', 'EVALUATE') then 0.2 else 0 end as boost from {concepts}", "boost")
 add("mth_grounding_confidence", lambda v: v.attempts.select("attempt_id", S.grounding_confidence(F.when(F.col("difficulty") > 1, F.col("score")), F.col("difficulty") % 4, F.col("concept_id") > 5).alias("confidence")), "select attempt_id, 0.4 * case when difficulty > 1 then 1.0 / (1.0 + score) else 0 end + 0.35 * (difficulty % 4) / 3.0 + 0.25 * case when concept_id > 5 then 1 else 0 end as confidence from {attempts}", "confidence")
@@ -55,7 +71,11 @@ add("mth_error_type", lambda v: v.attempts.select("attempt_id", S.error_type(F.c
   when score * 0.8 < 0.3 then case when err = 'CONCEPTUAL' then 'CONCEPTUAL' else 'PROCEDURAL' end else 'INCOMPLETE' end as kind from {attempts}""")
 _judged = lambda: F.when(F.col("attempt_id") % 4 == 0, "no verdict").otherwise(F.concat(F.lit("score: "), (F.col("attempt_id") % 101).cast("string"), F.lit("\nJUSTIFICATION: row "), F.col("concept_id").cast("string"), F.lit(" \nend")))
 add("jsn_simple_score", lambda v: v.attempts.select("attempt_id", *[c.alias(n) for c, n in zip(S.simple_score(_judged()), ("score", "why"), strict=True)]), "select attempt_id, case when attempt_id % 4 = 0 then 0.5 else (attempt_id % 101) / 100.0 end as score, case when attempt_id % 4 = 0 then 'Could not parse' else concat('row ', concept_id) end as why from {attempts}", "score")
-add("prj_resources", lambda v: v.concepts.select("concept_id", F.explode(F.array(*[F.struct(F.lit(t).alias("kind"), F.when(F.col("difficulty") <= 2, a).otherwise(b).alias("priority")) for t, a, b in (("VIDEO", 1, 2), ("EXERCISE", 1, 1), ("ARTICLE", 3, 2))])).alias("r")).select("concept_id", "r.*"), "select concept_id, t.kind, case when difficulty <= 2 then a else b end as priority from {concepts}, (values ('VIDEO', 1, 2), ('EXERCISE', 1, 1), ('ARTICLE', 3, 2)) as t(kind, a, b)")
+add("join_alias_lookup", lambda v: v.concepts.select("concept_id", F.col("brand").alias("domain"), F.replace("name", F.lit(" "), F.lit("_")).alias("alias")).join(small(_contexts(v).select("domain", "context_key", F.explode("aliases").alias("alias")), 100_000, "aliases"), ["domain", "alias"], "left").select("concept_id", "context_key"), f"select concept_id, context_key from {{concepts}} c left join (select domain, context_key, unnest(aliases) as alias from ({REGISTRY}) r) a on a.domain = c.brand and a.alias = replace(c.name, ' ', '_')")
+_steps = lambda v: v.mastery.select("learner_id", F.col("concept_id").cast("long").alias("concept_id"), F.when(F.col("learner_id") % 4 == 0, "READING").when(F.col("learner_id") % 4 == 1, "AUDITORY").when(F.col("learner_id") % 4 == 2, "VISUAL").alias("style")).join(v.concepts.select("concept_id", "name", "difficulty"), "concept_id")
+add("prj_resources", lambda v: P.recommend_resources(_steps(v)), """with s as (select m.learner_id, c.concept_id, c.name, c.difficulty, case m.learner_id % 4 when 0 then 'READING' when 1 then 'AUDITORY' else 'VISUAL' end as style from {mastery} m join {concepts} c on c.concept_id = m.concept_id)
+select learner_id, concept_id, case when difficulty <= 2 then 'TUTORIAL' when style = 'VISUAL' then 'VIDEO' when style = 'READING' then 'ARTICLE' else 'EXERCISE' end as primary_type, kind, cast(case kind when 'VIDEO' then case style when 'VISUAL' then 1 else 2 end when 'EXERCISE' then 1 else case style when 'READING' then 2 else 3 end end as int) as priority, concat(lead, name) as description
+from s, (values ('VIDEO', 'Video tutorial on '), ('EXERCISE', 'Practice exercises for '), ('ARTICLE', 'Detailed article on ')) as t(kind, lead)""")
 add("prj_progress_cards", lambda v: v.mastery.groupBy("learner_id", F.floor(F.col("concept_id") / 2).alias("phase")).agg(F.bool_and(F.col("level") >= 0.8).alias("all_done"), F.bool_or(F.col("level") > 0).alias("any")).select("learner_id", "phase", F.when(F.col("all_done"), "completed").when(F.col("any"), "current").otherwise("upcoming").alias("status")), "select learner_id, cast(floor(concept_id / 2) as bigint) as phase, case when bool_and(level >= 0.8) then 'completed' when bool_or(level > 0) then 'current' else 'upcoming' end as status from {mastery} group by 1, 2")
 
 # --- joins over notes and concepts ----------------------------------------------------------------

@@ -100,10 +100,12 @@ add("sink_analysis", _analysis, "select count(*) filter (a < 0.4) as bottlenecks
 
 
 def _staging(v):
-    """Rows of one extraction, written to a staging folder; a commit is the path that readers are given."""
-    where = new_folder(v.spark, "staging")
-    v.concepts.select("concept_id", "name").write.parquet(f"{where}/extraction=1")
-    return v.spark.read.parquet(f"{where}/extraction=1").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    """Two extractions, staged and committed one after the other: the second changes some rows of the first and adds others."""
+    where = new_folder(v.spark, "extractions")
+    for extraction, rows, suffix in (("1", v.concepts.filter("difficulty <= 3"), ""), ("2", v.concepts.filter("difficulty >= 3"), " (2)")):
+        tables.stage(rows.select("concept_id", F.concat("name", F.lit(suffix)).alias("name")), where, extraction)
+        tables.commit(v.spark, where, extraction, "concept_id")
+    return tables.published(v.spark, where)
 
 
-add("sink_staging", _staging, "select name, count(*) as n from {concepts} group by 1")
+add("sink_staging", _staging, "select concept_id, case when difficulty >= 3 then concat(name, ' (2)') else name end as name from {concepts}")

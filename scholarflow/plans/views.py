@@ -42,6 +42,17 @@ union all
 select p_partkey, p_partkey + 7, 'IS_SUB_CONCEPT_OF', 0.7E0 from {part} where p_partkey % 11 = 3
 union all
 select p_partkey, p_partkey - 5, 'REMEDIATES', 0.4E0 from {part} where p_partkey % 13 = 6""",
+    # edges and nodes as an extraction may leave them: loops, unknown relations, weights beyond 1, nodes that nothing links
+    "raw_edges": """
+select * from {edges}
+union all
+select p_partkey, p_partkey, 'NEXT', 0.9E0 from {part} where p_partkey % 97 = 5
+union all
+select p_partkey, p_partkey + 3, case when p_partkey % 2 = 0 then 'LIKES' else 'NEXT' end, 1.0E0 + p_partkey % 3 / 10.0E0 from {part} where p_partkey % 89 in (4, 5)""",
+    "raw_nodes": """
+select concept_id, name, description, difficulty, time_estimate, bloom, concept_id as pos from {concepts}
+union all
+select -1 - s_suppkey, case when s_suppkey % 5 = 0 then ' ' else s_name end, null, cast(s_nationkey % 7 as int), 10, 'APPLY', -1 - s_suppkey from {supplier}""",
     "snapshots": """
 select l_orderkey % 500 as doc_id, l_partkey as concept_id, l_linenumber as line, 1.0E0 - l_discount as confidence, l_shipdate as uploaded_at,
   l_extendedprice as price, l_quantity as quantity, case when l_orderkey % 500 % 17 = 0 then 'DELETED' else 'COMMITTED' end as status, l_orderkey as order_id, l_suppkey as supp_id

@@ -53,6 +53,40 @@ def chunk_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def stage(df: DataFrame, folder: str, extraction: str) -> None:
+    """Writes the rows of one extraction to the staging part of `folder`; nobody reads them before the commit."""
+    df.write.mode("overwrite").parquet(f"{folder}/staging/extraction={extraction}")
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/published")
+
+
+def commit(spark: SparkSession, folder: str, extraction: str, key: str) -> None:
+    """Merges a staged extraction into the published table by `key` (its rows win), swaps the table, deletes the staging rows.
+
+    The merged table is written beside the published one and takes its place by a rename, so that readers see
+    whole tables only; a commit that dies before the swap leaves the staging rows, and can be run again.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged, now, merged, before = (path(f"{folder}/{p}") for p in (f"staging/extraction={extraction}", "published", "merged", "before"))
+    if not fs.exists(now) and fs.exists(before):
+        fs.rename(before, now)  # a commit died between the two renames
+    fs.delete(before, True)
+    new = spark.read.parquet(staged.toString())
+    if fs.exists(now):
+        new = published(spark, folder).join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    new.write.mode("overwrite").parquet(merged.toString())
+    if fs.exists(now):
+        fs.rename(now, before)
+    if not fs.rename(merged, now):
+        raise OSError(f"{merged.toString()} could not be renamed")
+    fs.delete(before, True)
+    fs.delete(staged, True)
+
+
 def alerts(df: DataFrame, path: str) -> None:
     """JSON lines."""
     df.write.mode("append").json(path)
