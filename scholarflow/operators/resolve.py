@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import merge
 
 import numpy as np
 import pandas as pd
@@ -88,36 +89,72 @@ def resolve(scored: DataFrame, threshold: float = 0.8) -> DataFrame:
     return best.select("new_id", "x.*")
 
 
-def greedy_paths(learners: DataFrame, concepts: DataFrame, budget: float, most: int = 50_000) -> DataFrame:
-    """Repeated choice of the concept with most to gain until 80 % of the hours are used; one learner at a time.
+def _walk(candidates: Iterable[tuple[float, int, float]], budget: float) -> list[tuple[int, int, float]]:
+    """(pos, concept, hours before) of the concepts taken from (-gain, concept, hours) in this order, until 80 % of the budget are used."""
+    used, out = 0.0, []
+    for _, concept, hours in candidates:
+        if used >= 0.8 * budget:
+            break
+        if used + hours <= budget:
+            out.append((len(out), concept, used))
+            used += hours
+    return out
 
-    learners: (learner_id, known map of concept to mastery). Concepts are a lookup of a checked size.
+
+def greedy_paths(mastery: DataFrame, concepts: DataFrame, budget: float, light: int = 200) -> DataFrame:
+    """Repeated choice of the concept with most to gain until 80 % of the hours are used, for each learner.
+
+    mastery: (learner_id, concept_id, level), the highest level of a pair counts and a null one is 0; unseen concepts
+    are at 0. Ties go to the lesser id. Concepts without a time or a difficulty, or longer than the budget, are
+    never taken. Of the concepts of equal length at most n = budget / length fit, always the first ones, so
+    that the first n + k of each length are enough for a learner who knows k: this list does not grow with
+    the concepts. It is broadcast for learners who know up to `light` concepts (at most 60 x budget lengths with
+    60 x budget + light + 1 rows each); the others join it by length.
     """
-    n = concepts.count()
-    if n > most:
-        raise ValueError(f"{n} concepts; at most {most} are broadcast, cut them by topic first")
-    shared = learners.sparkSession.sparkContext.broadcast(concepts.select("concept_id", "difficulty", "time_estimate").toPandas().sort_values("concept_id"))
+    most = int(60 * budget) + 1
+    worth = 1 - F.abs(F.col("difficulty") / 5.0 - 0.5)
+    c = concepts.select(F.col("concept_id").cast("long").alias("concept_id"), F.col("time_estimate").cast("int").alias("minutes"), worth.alias("worth")).filter(F.col("minutes").between(1, most - 1) & (F.col("worth") > 0))
+    fits = F.floor(F.lit(60 * budget) / F.col("minutes")) + 1
+    levels = mastery.groupBy("learner_id", F.col("concept_id").cast("long").alias("concept_id")).agg(F.coalesce(F.max("level"), F.lit(0.0)).alias("level"))
+    known = levels.join(c, "concept_id", "left")
+    sizes = checkpointed(known.groupBy("learner_id").agg(F.count("minutes").alias("n")))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+
+    def ranked(n: int) -> DataFrame:
+        by_length = Window.partitionBy("minutes").orderBy(F.desc("worth"), "concept_id")
+        return c.withColumn("r", F.row_number().over(by_length)).filter(F.col("r") <= most + n)
+
+    shared = ranked(light).filter(F.col("r") <= fits + light).select("worth", "concept_id", "minutes").toPandas()
+    order = mastery.sparkSession.sparkContext.broadcast(sorted((-w, k, m / 60) for w, k, m in zip(*(shared[x].tolist() for x in shared.columns), strict=True)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        ids, d, h = c["concept_id"].to_numpy(), c["difficulty"].to_numpy(), c["time_estimate"].to_numpy() / 60
-        at = {x: k for k, x in enumerate(ids.tolist())}
         for batch in batches:
             out = []
-            for learner, known in zip(batch["learner_id"], batch["known"], strict=True):
-                m = np.zeros(len(ids))
-                for x, level in known.items() if isinstance(known, dict) else known:
-                    if x in at:
-                        m[at[x]] = level
-                gain = np.where(m < 0.9, (1 - m) * (1 - np.abs(d / 5 - 0.5)), -1)
-                used, pos = 0.0, 0
-                while used < 0.8 * budget and gain.max() > 0:
-                    k = int(gain.argmax())
-                    gain[k] = -1
-                    if used + h[k] > budget:
-                        continue
-                    out.append((learner, pos, int(ids[k]), used))
-                    used, pos = used + h[k], pos + 1
+            for learner, rows in zip(batch["learner_id"], batch["known"], strict=True):
+                seen = {r["concept_id"] for r in rows}
+                own = sorted(((r["level"] - 1) * r["worth"], r["concept_id"], r["minutes"] / 60) for r in rows if r["level"] < 0.9)
+                out += [(learner, *step) for step in _walk(merge((x for x in order.value if x[1] not in seen), own), budget)]
             yield pd.DataFrame(out, columns=["learner_id", "pos", "concept_id", "hours_before"])
 
-    return learners.mapInPandas(run, "learner_id long, pos int, concept_id long, hours_before double")
+    schema = "learner_id long, pos int, concept_id long, hours_before double"
+    few = known.join(sizes.filter(F.col("n") <= light).select("learner_id"), "learner_id", "left_semi")
+    entry = F.when(F.col("minutes").isNotNull(), F.struct("concept_id", "level", "minutes", "worth"))
+    paths = few.groupBy("learner_id").agg(F.collect_list(entry).alias("known")).mapInPandas(run, schema)
+    if largest <= light:
+        return paths
+
+    many = sizes.filter(F.col("n") > light).select("learner_id")
+    held = known.filter("minutes is not null").join(many, "learner_id", "left_semi")
+    lengths = F.broadcast(c.agg(F.collect_set("minutes").alias("lengths")))  # one row
+    wants = many.join(lengths).select("learner_id", F.explode("lengths").alias("minutes")).join(held.groupBy("learner_id", "minutes").agg(F.count(F.lit(1)).alias("k")), ["learner_id", "minutes"], "left")
+    near = wants.join(ranked(largest), "minutes").filter(F.col("r") <= fits + F.coalesce("k", F.lit(0)))
+    unseen = near.select("learner_id", "concept_id", "minutes", F.col("worth").alias("gain")).join(held.select("learner_id", "concept_id"), ["learner_id", "concept_id"], "left_anti")
+    gains = unseen.unionByName(held.filter("level < 0.9").select("learner_id", "concept_id", "minutes", ((1 - F.col("level")) * F.col("worth")).alias("gain")))
+    best = Window.partitionBy("learner_id", "minutes").orderBy(F.desc("gain"), "concept_id")
+    first = gains.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).filter(F.col("r") <= fits)
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        order = sorted((-g, k, m / 60) for g, k, m in zip(rows["gain"].tolist(), rows["concept_id"].tolist(), rows["minutes"].tolist(), strict=True))
+        return pd.DataFrame([(rows["learner_id"].iloc[0], *step) for step in _walk(order, budget)], columns=["learner_id", "pos", "concept_id", "hours_before"])
+
+    return paths.unionByName(first.groupBy("learner_id").applyInPandas(choose, schema))

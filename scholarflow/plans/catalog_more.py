@@ -101,7 +101,7 @@ PAIRS = "select x.concept_id as a, y.concept_id as b, case when x.difficulty = y
 add("join_pairs_within", _pairs, PAIRS, "score")
 add("grf_cluster", lambda v: E.clusters(_pairs(v)))
 add("grf_resolve", lambda v: E.resolve(_pairs(v).select(F.col("b").alias("new_id"), F.col("a").alias("existing_id"), "score")), f"select b as new_id, arg_max(a, (score, -a)) as existing_id, max(score) as score from ({PAIRS}) p where score >= 0.8 group by 1", "score")
-add("grf_greedy_path", lambda v: E.greedy_paths(v.mastery.groupBy("learner_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("concept_id").cast("long"), "level"))).alias("known")), v.concepts, 20.0))
+add("grf_greedy_path", lambda v: E.greedy_paths(v.mastery, v.concepts, 20.0))
 add("set_concept_union", lambda v: v.concepts.filter("concept_id % 2 = 0").select("concept_id").unionAll(v.concepts.select("concept_id").join(v.concepts.filter("concept_id % 2 = 0").select("concept_id"), "concept_id", "left_anti").filter("concept_id % 3 = 0")), "select concept_id from {concepts} where concept_id % 2 = 0 or concept_id % 3 = 0")
 add("set_tag_union", lambda v: v.concepts.groupBy("name").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("kind"), F.collect_set("bloom"))), ",").alias("tags")), "select name, array_to_string(list_sort(list_distinct(list_concat(list(distinct kind), list(distinct bloom)))), ',') as tags from {concepts} group by 1")
 add("set_sync_apply", lambda v: G.sync_delta(_course(v), _own(v), _enrolled(v)).filter("change <> 'deleted'").select("learner_id", "concept_id", F.when(F.col("change") == "new", 0.0).alias("level")), """with c as (select l.learner_id, c.concept_id from (select distinct learner_id from {mastery}) l join {concepts} c on c.concept_id % 100 = l.learner_id % 100)
