@@ -13,6 +13,8 @@ from .op7_pieces import op7_pieces
 from .op8_embeddings import op8_embeddings
 from .op9_simhash import op9_simhash
 from .op10_mixing import op10_mixing
+from .op12_sources import SQL as OP12_SQL
+from .op12_sources import op12_sources
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_secrets, op3_quality, op4_matroska, op5_urls, op6_suffixes, op7_pieces, op8_embeddings, op9_simhash, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {"op5_urls": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_language, op2_secrets, op3_quality, op4_matroska, op5_urls, op6_suffixes, op7_pieces, op8_embeddings, op9_simhash, op10_mixing, op12_sources)}
+ORACLE_SQL: dict[str, str] = {"op5_urls": OP5_SQL, "op12_sources": OP12_SQL}
