@@ -198,6 +198,16 @@ def groups(docs: DataFrame) -> DataFrame:
     members = classes.select("cls", F.explode("keys").alias("key"))
     # nearly all blocks have one member; only the others go on
     members = checkpointed(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "key"))
+    roots = joined(members, classes, docs).withColumnRenamed("node", "cls")
+    return prints.select("doc_id", "text_hash", "cls").join(roots, "cls", "left").select("doc_id", "text_hash", F.coalesce("component", "cls").alias("root"))
+
+
+def joined(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of the classes that verified links join.
+
+    `members` (key, cls, k: members of the block) are the blocks of more than one class; `classes` has cls, hash (of one of its
+    texts in `docs`), n (shingles), fp and keys (in one order for all) of these classes at least. Equal fp pass every comparison of bits.
+    """
     active = checkpointed(members.groupBy("cls").agg(F.sum("k").alias("met")).join(classes, "cls"))
     members = checkpointed(members.select("key", "cls").join(active.select("cls", "met", "n", "fp"), "cls"))
     centre = members.groupBy("key").agg(F.max(F.struct("met", "cls", "n", "fp")).alias("c"))
@@ -219,8 +229,7 @@ def groups(docs: DataFrame) -> DataFrame:
         release_memory()
 
     more = dealt.select("key", "block_i", "block_j", "own", "cls", "root", "n", "fp", "keys", "text").mapInPandas(run, "a long, b long")
-    roots = components(links.unionByName(checkpointed(more))).withColumnRenamed("node", "cls")
-    return prints.select("doc_id", "text_hash", "cls").join(roots, "cls", "left").select("doc_id", "text_hash", F.coalesce("component", "cls").alias("root"))
+    return components(links.unionByName(checkpointed(more)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ from .op7_pieces import op7_pieces
 from .op8_embeddings import op8_embeddings
 from .op9_simhash import op9_simhash
 from .op10_mixing import op10_mixing
+from .op11_minhash import op11_minhash
 from .op12_sources import SQL as OP12_SQL
 from .op12_sources import op12_sources
 from .op13_prefixes import SQL as OP13_SQL
 from .op13_prefixes import op13_prefixes
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_secrets, op3_quality, op4_matroska, op5_urls, op6_suffixes, op7_pieces, op8_embeddings, op9_simhash, op10_mixing, op12_sources, op13_prefixes)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_secrets, op3_quality, op4_matroska, op5_urls, op6_suffixes, op7_pieces, op8_embeddings, op9_simhash, op10_mixing, op11_minhash, op12_sources, op13_prefixes)}
 ORACLE_SQL: dict[str, str] = {"op5_urls": OP5_SQL, "op12_sources": OP12_SQL, "op13_prefixes": OP13_SQL}
