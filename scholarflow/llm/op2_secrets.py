@@ -11,8 +11,9 @@ their structure has been confirmed: runs of base64, base64url or hex are decoded
   with a known signing algorithm, and whose signature decodes to bytes.
 
 Public keys, signatures and certificates are no secrets and are not reported. A span ends where the decoded
-structure ends. PEM bodies may be wrapped over lines; a line break may be escaped (a backslash and n), as in
-JSON; a PEM file may itself be base64, and is then reported as the kind that it holds.
+structure ends, and the search goes on there. PEM bodies may be wrapped over lines, indented or not; a line break may
+be escaped (a backslash and n), as in JSON, or have become blanks; a PEM file may itself be base64, and is then
+reported as the kind that it holds. A key in hex may have other hex digits before it.
 """
 
 from __future__ import annotations
@@ -35,12 +36,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{48,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
-#: A line break inside a wrapped body, real or escaped.
-BREAK = r"(?:\r?\n|(?:\\+r)?\\+n)"
-BREAKS = re.compile(BREAK)
-#: Base64 that starts like a DER SEQUENCE, the OpenSSH magic or a PEM header, perhaps wrapped over lines.
-KEY = re.compile(rf"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:M[A-P]|b3BlbnNzaC1rZXktdj|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{{38,}}(?:{BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+#: What starts in hex like the DER of a private key (a SEQUENCE, its length, and a version 0 or 1 or another SEQUENCE), or is the OpenSSH magic.
+HEX_START = re.compile(r"30(?=(?:[0-7][0-9a-f]|81[0-9a-f]{2}|82[0-9a-f]{4}|83[0-9a-f]{6}|84[0-9a-f]{8})(?:02010[01]|30))|6f70656e7373682d6b65792d763100", re.IGNORECASE)
+#: The next line of a wrapped body after a break, real or escaped, and its indentation; and after blanks that took a break's place.
+LINE = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*([A-Za-z0-9+/_-]+)")
+JOINED_LINE = re.compile(r"[ \t]+([A-Za-z0-9+/_-]+)")
+#: Characters of a line that can be followed by another without a break.
+FULL = 40
+#: The first line of base64 that starts like a DER SEQUENCE, the OpenSSH magic or a PEM header.
+KEY = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:M[A-P]|b3BlbnNzaC1rZXktdj|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{38,}")
+PADDING = re.compile("={0,2}")
 ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none"}
+#: Most fields of a private key.
+FIELDS = 10
 MAGIC = b"openssh-key-v1\x00"
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -62,7 +70,7 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def _elements(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the DER elements that fill data[start:end], constructed ones filled in turn; else None."""
+    """(tag, start, end) of the up to `FIELDS` DER elements that fill data[start:end], constructed ones filled in turn; else None."""
     out, todo = None, [(start, end)]
     while todo:
         at, stop = todo.pop()
@@ -72,6 +80,8 @@ def _elements(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
             if not part:
                 return None
             found.append(part)
+            if out is None and len(found) > FIELDS:
+                return None
             if part[0] & 0x20:
                 todo.append(part[1:])
             at = part[2]
@@ -79,6 +89,22 @@ def _elements(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return out
 
 
+def _filled(data: bytes) -> bool:
+    """True if `data` is one DER element, filled exactly by the up to `FIELDS` elements of its first level."""
+    part = _tlv(data, 0, len(data))
+    if not part or part[2] != len(data):
+        return False
+    at = part[1]
+    for _ in range(FIELDS):
+        inner = _tlv(data, at, part[2])
+        if not inner:
+            return False
+        at = inner[2]
+        if at == part[2]:
+            return True
+    return False
+
+
 def der_key(data: bytes) -> int:
     """Bytes of the ASN.1 private key that `data` starts with, 0 if there is none."""
     top = _tlv(data, 0, len(data))
@@ -148,40 +174,89 @@ def signed_token(header: str, payload: str, signature: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and head.get("alg") in ALGORITHMS and len(signature) % 4 != 1
 
 
-def _key_in(run: str, depth: int = 0) -> tuple[str, int] | None:
-    """Kind and length in characters of the key that a run of base64 starts with; its line breaks count, its padding too."""
-    places, letters, at = [], [], 0
-    for m in [*BREAKS.finditer(run), None]:
-        end = m.start() if m else len(run.rstrip("="))
-        places.append((at, end - at))
-        letters.append(run[at:end])
-        at = m.end() if m else end
-    letters = "".join(letters)
-    if run.startswith("LS0t"):
-        inner = _base64(letters).decode("utf-8", "replace") if depth == 0 else ""
-        kinds = [found[0] for m in KEY.finditer(inner) if (found := _key_in(m[0], 1))]
-        return (kinds[0], len(run)) if kinds else None
-    if run.startswith("M"):
-        head = _base64(letters[:12])
-        top = _tlv(head + b"\0" * 8, 0, 1 << 32) if len(head) > 8 else None
-        need = -(-top[2] * 8 // 6) if top else 0
-        if not 0 < need <= len(letters):
+def _lines(text: str, start: int, end: int, wanted: int | None, joined: bool) -> list[tuple[int, int]]:
+    """(start, end) of the lines of a wrapped body whose first is given, up to `wanted` letters if that is known."""
+    lines, letters = [(start, end)], end - start
+    while wanted is None or letters < wanted:
+        m = LINE.match(text, lines[-1][1])
+        if not m and joined and lines[-1][1] - lines[-1][0] >= FULL:
+            m = JOINED_LINE.match(text, lines[-1][1])
+        if not m:
+            break
+        lines.append(m.span(1))
+        letters += m.end(1) - m.start(1)
+    return lines
+
+
+def _key_at(text: str, start: int, end: int, depth: int = 0) -> tuple[str, int] | None:
+    """Kind of the key whose base64 starts with the line text[start:end], and its end; breaks within it count, its padding too."""
+    head = text[start:end]
+    if head.startswith("LS0t"):
+        lines = _lines(text, start, end, None, False)
+        inner = _base64("".join(text[a:b] for a, b in lines)).decode("utf-8", "replace") if depth == 0 else ""
+        kinds = [k for k, _, _ in _base64_keys(inner, 1)]
+        return (kinds[0], PADDING.match(text, lines[-1][1]).end()) if kinds else None
+    if head.startswith("M"):
+        first = _base64(head[:12])
+        top = _tlv(first + b"\0" * 8, 0, 1 << 32) if len(first) > 8 else None
+        if not top:
+            return None
+        need = -(-top[2] * 8 // 6)
+        lines = _lines(text, start, end, need, True)
+        letters = "".join(text[a:b] for a, b in lines)
+        if need > len(letters):
             return None
         kind, n = "der", der_key(_base64(letters[:need]))
     else:
-        kind, n = "openssh", openssh_key(_base64(re.split("[_-]", letters)[0]))
+        lines = _lines(text, start, end, None, True)
+        kind, n = "openssh", openssh_key(_base64(re.split("[_-]", "".join(text[a:b] for a, b in lines))[0]))
     if not n:
         return None
     need = -(-n * 8 // 6)
-    for start, many in places:
-        if need <= many:
-            end = start + need
-            pad = re.compile("=*").match(run, end)[0]
-            return kind, end + min(len(pad), -(-n // 3) * 4 - -(-n * 8 // 6))
-        need -= many
+    for a, b in lines:
+        if need <= b - a:
+            end = a + need
+            return kind, end + min(len(PADDING.match(text, end)[0]), -(-n // 3) * 4 - -(-n * 8 // 6))
+        need -= b - a
     return None
 
 
+def _base64_keys(text: str, depth: int = 0) -> list[tuple[str, int, int]]:
+    """Keys in base64. The search goes on where a confirmed key ends, or after the first line of what is none."""
+    out, at = [], 0
+    while m := KEY.search(text, at):
+        found = _key_at(text, m.start(), m.end(), depth)
+        if found:
+            out.append((found[0], m.start(), found[1]))
+        at = max(found[1], m.start() + 1) if found else m.end()
+    return out
+
+
+def _hex_keys(text: str) -> list[tuple[str, int, int]]:
+    """Keys in hexadecimal, wherever they start in a run of it."""
+    out = []
+    for run in HEX_ANY.finditer(text):
+        at, first = run.start(), run.start()
+        halves: dict[int, memoryview] = {}  # the run's bytes, if they begin at its first or second digit
+        while m := HEX_START.search(text, at, run.end()):
+            at = m.start()
+            odd = (at - first) & 1
+            if odd not in halves:
+                halves[odd] = memoryview(bytes.fromhex(text[first + odd : run.end() - (run.end() - first - odd) % 2]))
+            data = halves[odd][(at - first) // 2 :]
+            if text.startswith("30", at):
+                top = _tlv(data, 0, len(data))
+                kind, data = "der", data[: top[2] if top else 0]
+                n = der_key(data)
+            else:
+                kind, n = "openssh", openssh_key(bytes(data))
+            if n:
+                out.append((kind, at, at + 2 * n))
+            # what is DER but no key is not searched within
+            at += 2 * n or (2 * len(data) if kind == "der" and _filled(data) else 1)
+    return out
+
+
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and confirmed spans (kind, start, end in code points, end exclusive); null is empty."""
     text = text or ""
@@ -195,14 +270,8 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     more = []
     if "eyJ" in text:
         more += [("token", *m.span()) for m in TOKEN.finditer(text) if signed_token(*m.groups())]
-    for m in KEY.finditer(text):
-        if found := _key_in(m[0]):
-            more.append((found[0], m.start(), m.start() + found[1]))
-    for m in HEX_ANY.finditer(text) if "30" in text or "6f70656e737368" in low else ():
-        data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
-        for kind, n in (("openssh", openssh_key(data)), ("der", der_key(data))):
-            if n:
-                more.append((kind, m.start(), m.start() + 2 * n))
+    more += _base64_keys(text)
+    more += _hex_keys(text) if "30" in text or "6f70656e737368" in low else []
     return base, more
 
 
