@@ -148,8 +148,9 @@ class Model:
         self.langs, self.low, self.bounds, self.files = langs, low, bounds, files
         self.kept: dict[int, dict[str, np.ndarray]] = {}
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"kept": {}}
+    def plain(self) -> tuple:
+        """What `Model` takes, without a class of this package: a broadcast is read where the package may be missing."""
+        return self.langs, self.low, self.bounds, self.files
 
     def slice(self, i: int) -> dict[str, np.ndarray]:
         if i not in self.kept:
@@ -258,10 +259,10 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     A null, empty or letterless text gives ("und", 0.0, 0.0), any other (null, 0.0, 0.0) when there is no model.
     Ties go to the language that sorts first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model and model.plain())
 
     def make():
-        m = shared.value
+        m = shared.value and Model(*shared.value)
 
         def each(values):
             out = [("und", 0.0, 0.0)] * len(values)
