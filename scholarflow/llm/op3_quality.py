@@ -107,6 +107,12 @@ class Discriminant:
             self.inverse.append(np.linalg.inv(chol))
             self.constant.append(np.log(n / total) - np.log(np.diag(chol)).sum())
 
+    @classmethod
+    def of(cls, fields: dict) -> Discriminant:
+        out = cls.__new__(cls)
+        out.__dict__.update(fields)
+        return out
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 for each row of statistics."""
         if self.only is not None:
@@ -124,11 +130,13 @@ def quality_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = checkpointed(document_statistics(docs.select("doc_id", "text")).select("doc_id", F.col("_out.x").alias("x")))
     y = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").filter(~held_out(F.col("_id")))
     model = Discriminant(moments(stats.join(y, stats["doc_id"] == y["_id"])))
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    # its plain fields: a broadcast is read where the package may be missing
+    shared = stats.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Discriminant.of(shared.value)
         for x in batches:
-            yield pd.Series(shared.value.scores(np.array(x.tolist()).reshape(len(x), len(STATISTICS))))
+            yield pd.Series(own.scores(np.array(x.tolist()).reshape(len(x), len(STATISTICS))))
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     score = F.round(F.pandas_udf(run, T.DoubleType())("x"), 9)
