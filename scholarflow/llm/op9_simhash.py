@@ -16,6 +16,7 @@ similarity of 0.8, for which the planes only choose the pairs whose shingle sets
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -61,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_columns_from(docs, text, T.StructType([T.StructField("fingerprint", T.LongType())]), lambda: lambda values: [(fingerprint(v),) for v in values])
 
 
-def _links(rows: pd.DataFrame, group: np.ndarray, large: bool) -> pd.DataFrame | None:
+def _links(rows: pd.DataFrame, group: np.ndarray, large: bool, radius: int = RADIUS) -> pd.DataFrame | None:
     """A spanning forest (a, b) of the links between the rows of small groups, or between the blocks of a large one."""
     x = rows["fp"].to_numpy()
     if large:
@@ -70,7 +71,7 @@ def _links(rows: pd.DataFrame, group: np.ndarray, large: bool) -> pd.DataFrame |
         planes = planes_of(x[right])
         found = []
         for at in range(0, len(left), 64):
-            q, c = within(planes, x[left[at : at + 64]], RADIUS)
+            q, c = within(planes, x[left[at : at + 64]], radius)
             keep = c < len(right)
             found.append((left[at + q[keep]], right[c[keep]]))
         i, j = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
@@ -81,7 +82,7 @@ def _links(rows: pd.DataFrame, group: np.ndarray, large: bool) -> pd.DataFrame |
         near = []
         for at in range(0, len(i), 1 << 17):
             # the planes of the differences, against a query of zero
-            _, c = within(planes_of(x[i[at : at + (1 << 17)]] ^ x[j[at : at + (1 << 17)]]), np.zeros(1, np.uint64), RADIUS)
+            _, c = within(planes_of(x[i[at : at + (1 << 17)]] ^ x[j[at : at + (1 << 17)]]), np.zeros(1, np.uint64), radius)
             near.append(c[c < min(1 << 17, len(i) - at)] + at)
         near = np.concatenate(near)
         i, j = i[near], j[near]
@@ -100,7 +101,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     dealt = dealt.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from stream(batches, ["key", "block_i", "block_j"], SMALL, _links)
+        yield from stream(batches, ["key", "block_i", "block_j"], SMALL, partial(_links, radius=radius))
 
     return dealt.select("key", "block_i", "block_j", "own", "fp").mapInPandas(run, "a long, b long").distinct()
 

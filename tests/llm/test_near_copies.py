@@ -64,3 +64,12 @@ def test_documents_against_brute_force(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_links_take_the_radius_that_is_asked_for(spark):
+    from scholarflow.llm import op9_simhash
+
+    distinct = spark.createDataFrame([(0,), (7,), (0x3F,)], "fp long")
+    for radius, joined in ((2, set()), (3, {(0, 7), (7, 0x3F)}), (6, {(0, 7), (7, 0x3F), (0, 0x3F)})):
+        got = {tuple(sorted(r)) for r in op9_simhash.links(distinct, radius).collect()}
+        assert got <= joined and bool(got) == bool(joined)
