@@ -31,7 +31,6 @@ from .common import checkpointed, table
 PIECE, ROW_BITS = 4096, 33
 #: The contract's rebuilding: conversations of a block share turns of the first, up to `SHARED` - 1 of them.
 CONVERSATIONS, SHARED = 5, 9
-ROOT = F.lit(b"")
 
 
 def _digest(data: Column) -> Column:
@@ -76,7 +75,7 @@ def prefixes(convs: DataFrame, turns: DataFrame, longest: int) -> DataFrame:
         left, right = (blocks[-1].filter(F.col("q") % 2 == k).select("conv_id", half, F.col("name").alias(n)) for k, n in ((0, "a"), (1, "b")))
         blocks.append(checkpointed(left.join(right, ["conv_id", "q"]).select("conv_id", "q", _digest(F.concat("a", "b")).alias("name"))))
         size *= 2
-    found = convs.select("conv_id", F.lit(0).cast("long").alias("d"), ROOT.alias("name"))
+    found = convs.select("conv_id", F.lit(0).cast("long").alias("d"), F.lit(b"").alias("name"))
     for block in reversed(blocks):
         # cuts of this level: the block after a named beginning that ends where the block begins
         after = block.filter("q % 2 = 0").select("conv_id", (F.col("q") * size).alias("d"), F.col("name").alias("block"))
@@ -134,7 +133,7 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     own = own.join(turns.select("conv_id", "d", "bytes"), ["conv_id", "d"])
     parents = found.select("conv_id", (F.col("d") + 1).alias("d"), F.col("name").alias("parent"))
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).filter("n_convs > 0")
-    root = root.select("conv_id", F.lit(0).cast("long").alias("d"), ROOT.alias("name"), "n_convs", F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("binary").alias("parent"))
+    root = root.select("conv_id", F.lit(0).cast("long").alias("d"), F.lit(b"").alias("name"), "n_convs", F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("binary").alias("parent"))
     nodes = checkpointed(own.join(parents, ["conv_id", "d"]).select(*root.columns).unionByName(root))
     children = nodes.filter("d > 0").groupBy((F.col("d") - 1).alias("d"), F.col("parent").alias("name")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = checkpointed(nodes.join(children, node, "left").fillna(0, ["n_children"]))
