@@ -19,6 +19,7 @@ parts, and no task lists pairs: each returns a spanning forest of the links that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -187,6 +188,27 @@ def _links(rows: pd.DataFrame, group: np.ndarray, large: bool) -> pd.DataFrame |
     return pd.DataFrame({"a": cls[own], "b": cls[tree[own]]}) if len(own) else None
 
 
+def _with_partners(rows: pd.DataFrame, group: np.ndarray, large: bool, likely: int) -> pd.DataFrame | None:
+    """The rows (key, cls) of blocks that have a partner with another root and at least `likely` equal parts."""
+    x, root = np.array([np.frombuffer(p, np.uint16) for p in rows["parts"]]), rows["root"].to_numpy()
+    good = np.zeros(len(rows), bool)
+    if large:
+        bi, bj = rows["block_i"].iloc[0], rows["block_j"].iloc[0]
+        left, right = (np.flatnonzero(rows["own"].to_numpy() == b) for b in (bi, bj))
+        for at in range(0, len(left), 16):
+            some = left[at : at + 16]
+            near = ((x[some, None] == x[right]).sum(2) >= likely) & (root[some, None] != root[right])
+            good[some] |= near.any(1)
+            good[right] |= near.any(0)
+    else:
+        i, j = small_pairs(group)
+        for at in range(0, len(i), SLICE):
+            a, b = i[at : at + SLICE], j[at : at + SLICE]
+            near = ((x[a] == x[b]).sum(1) >= likely) & (root[a] != root[b])
+            good[a[near]] = good[b[near]] = True
+    return rows.loc[good, ["key", "cls"]] if good.any() else None
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """Rows of `docs` (doc_id, text) as doc_id, text_hash, root (the same for all that links of near copies join).
 
@@ -202,11 +224,13 @@ def groups(docs: DataFrame) -> DataFrame:
     return prints.select("doc_id", "text_hash", "cls").join(roots, "cls", "left").select("doc_id", "text_hash", F.coalesce("component", "cls").alias("root"))
 
 
-def joined(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int = 0) -> DataFrame:
     """(node, component) of the classes that verified links join.
 
     `members` (key, cls, k: members of the block) are the blocks of more than one class; `classes` has cls, hash (of one of its
     texts in `docs`), n (shingles), fp and keys (in one order for all) of these classes at least. Equal fp pass every comparison of bits.
+    With a column `parts` (2-byte parts of a MinHash fingerprint), only texts with a partner in their block that has `likely` equal
+    parts are compared whole; the others' texts don't move.
     """
     active = checkpointed(members.groupBy("cls").agg(F.sum("k").alias("met")).join(classes, "cls"))
     members = checkpointed(members.select("key", "cls").join(active.select("cls", "met", "n", "fp"), "cls"))
@@ -220,7 +244,18 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("root"))
     # blocks whose members are all joined need no second look
     unjoined = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = placed.join(unjoined, "key").join(active.select("cls", "n", "fp", "keys"), "cls")
+    rest = placed.join(unjoined, "key")
+    if "parts" in classes.columns:
+        rest = checkpointed(rest)
+        some = block_pairs(rest.join(active.select("cls", "parts"), "cls"), "key", F.xxhash64("cls"), BLOCK)
+        some = some.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
+
+        def run_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from stream(batches, ["key", "block_i", "block_j"], SMALL, partial(_with_partners, likely=likely))
+
+        some = some.select("key", "block_i", "block_j", "own", "cls", "root", "parts").mapInPandas(run_parts, "key long, cls long")
+        rest = rest.join(checkpointed(some.distinct()), ["key", "cls"])
+    rest = rest.join(active.select("cls", "n", "fp", "keys"), "cls")
     dealt = block_pairs(checkpointed(rest), "key", F.xxhash64("cls"), BLOCK, 1 + F.floor(F.col("n") / 256)).join(texts, "cls")
     dealt = dealt.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
 

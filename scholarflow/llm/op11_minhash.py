@@ -31,6 +31,8 @@ from .near_copies import SEED, SHINGLE, joined
 HASHES, BANDS, ROWS = 130, 26, 5
 #: Bytes of a fingerprint, and shingles that are permuted at a time.
 WIDTH, SLICE = 2 * HASHES, 1024
+#: Equal parts of two fingerprints that are compared whole; at a similarity of 0.8 fewer are equal about once in 100 million pairs.
+LIKELY = 77
 #: Up to how many rows are sorted in one part.
 FEW = 2000
 A, B = (np.random.default_rng(SEED).integers(0, 1 << 32, (2, HASHES), np.uint64) | np.array([[1], [0]], np.uint64)).astype(np.uint32)
@@ -238,7 +240,7 @@ def near_classes(prints: DataFrame, docs: DataFrame) -> DataFrame:
     Texts whose shingle sets have a Jaccard similarity of 0.8 or more are linked; texts without a word are copies of each other.
     """
     band = lambda k: F.xxhash64(F.lit(k), F.substring("fingerprint", 2 * ROWS * k + 1, 2 * ROWS))
-    texts = prints.filter("n_shingles > 0").select(F.col("hash").alias("cls"), F.col("n_shingles").alias("n"), F.array(*map(band, range(BANDS))).alias("keys"))
+    texts = prints.filter("n_shingles > 0").select(F.col("hash").alias("cls"), F.col("n_shingles").alias("n"), F.array(*map(band, range(BANDS))).alias("keys"), F.col("fingerprint").alias("parts"))
     members = texts.select("cls", F.explode("keys").alias("key"))
     shared = checkpointed(members.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("key"))
     members = flagged(members, "key", shared).filter("maybe").drop("maybe").join(shared, "key").distinct()
@@ -247,7 +249,7 @@ def near_classes(prints: DataFrame, docs: DataFrame) -> DataFrame:
     active = members.select("cls").distinct()
     classes = flagged(texts, "cls", active).filter("maybe").drop("maybe").dropDuplicates(["cls"]).join(active, "cls")
     classes = checkpointed(classes.withColumn("hash", F.col("cls")).withColumn("fp", F.lit(0).cast("long")))
-    roots = joined(members, classes, docs)
+    roots = joined(members, classes, docs, LIKELY)
     of = prints.select("doc_id", "hash", F.when(F.col("n_shingles") == 0, 0).otherwise(F.col("hash")).alias("node"))
     of = of.groupBy("node", "hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")).join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     of = checkpointed(of.select("root", "hash", "doc_id", "rows"))
@@ -260,7 +262,7 @@ def fingerprints_of_documents(docs: DataFrame) -> DataFrame:
 
     Nulls, ties, repeated rows and an empty table as in `edited_fingerprints`; the class of rows whose ids are all null has a null class_id.
     """
-    prints = checkpointed(edited_fingerprints(docs))
+    prints = edited_fingerprints(docs)
     classes = near_classes(prints, docs)
     marked = flagged(prints, "hash", classes.select("hash"))
     some = marked.filter("maybe").drop("maybe").join(classes, "hash", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
