@@ -6,37 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.rules import clamp
+from .ordered import fold
 
 PAIR = ["learner_id", "concept_id"]
 
 
-def _ordered(attempts: DataFrame, *columns: str) -> DataFrame:
-    """Attempts of each learner and concept as one array in the order of (ts, attempt_id)."""
-    return attempts.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("ts", "attempt_id", *columns))).alias("a"))
-
-
 def ewma(attempts: DataFrame) -> DataFrame:
-    """Moving average of the scores from 0, with a Bloom step up or down, clamped after every attempt."""
-    step = lambda x: (
-        F.when((x["score"] >= 0.9) & x["bloom"].isin("UNDERSTAND", "APPLY", "ANALYZE"), CONFIG.bloom_step)
-        .when((x["score"] < 0.4) & x["bloom"].isin("ANALYZE", "EVALUATE", "CREATE"), -CONFIG.bloom_step)
+    """Moving average of the scores from 0, with a Bloom step up or down, clamped after every attempt.
+
+    An attempt takes mastery x to clamp(a x + b, low, high), and two such steps are one of the same form, so a history
+    is composed in parts (`ordered.fold`) and only then applied to 0.
+    """
+    bloom = (
+        F.when((F.col("score") >= 0.9) & F.col("bloom").isin("UNDERSTAND", "APPLY", "ANALYZE"), CONFIG.bloom_step)
+        .when((F.col("score") < 0.4) & F.col("bloom").isin("ANALYZE", "EVALUATE", "CREATE"), -CONFIG.bloom_step)
         .otherwise(0.0)
     )
-    fold = lambda m, x: clamp(m * CONFIG.history_weight + x["score"] * CONFIG.session_weight + step(x))
-    return _ordered(attempts, "score", "bloom").select(*PAIR, F.aggregate("a", F.lit(0.0), fold).alias("mastery"), F.size("a").alias("attempts"))
+    add = F.col("score") * CONFIG.session_weight + bloom
+    step = F.struct(F.lit(CONFIG.history_weight).alias("a"), add.alias("b"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    within = lambda x, s: F.greatest(s["low"], F.least(s["high"], x))
+
+    def compose(f: Column, g: Column) -> Column:
+        ends = [within(g["a"] * f[c] + g["b"], g).alias(c) for c in ("low", "high")]
+        return F.struct((g["a"] * f["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), *ends)
+
+    out = fold(attempts, PAIR, ["ts", "attempt_id"], step, compose)
+    return out.select(*PAIR, within(F.col("composed.b"), F.col("composed")).alias("mastery"), F.col("n").cast("int").alias("attempts"))
 
 
 def bkt(attempts: DataFrame, prior: float = 0.3) -> DataFrame:
-    """Bayesian knowledge tracing; an attempt with a score of 0.6 or more counts as right."""
+    """Bayesian knowledge tracing; an attempt with a score of 0.6 or more counts as right.
+
+    An attempt takes the chance p to (a p + b) / (c p + d): steps are 2 x 2 matrices, composed in parts by products
+    (`ordered.fold`), each divided by its sum, since only ratios count.
+    """
 
-    def fold(p: Column, x: Column) -> Column:
-        right = p * (1 - CONFIG.slip) / (p * (1 - CONFIG.slip) + (1 - p) * CONFIG.guess)
-        wrong = p * CONFIG.slip / (p * CONFIG.slip + (1 - p) * (1 - CONFIG.guess))
-        seen = F.when(x["score"] >= 0.6, right).otherwise(wrong)
-        return seen + (1 - seen) * CONFIG.learn
+    def matrix(known: float, unknown: float) -> Column:
+        # seen = known p / (known p + unknown (1 - p)), then learning: learn + (1 - learn) seen
+        c, d = known - unknown, unknown
+        a, b = CONFIG.learn * c + (1 - CONFIG.learn) * known, CONFIG.learn * d
+        return F.struct(*[F.lit(float(x)).alias(n) for n, x in (("a", a), ("b", b), ("c", c), ("d", d))])
 
-    return _ordered(attempts, "score").select(*PAIR, F.aggregate("a", F.lit(prior), fold).alias("p_known"))
+    right, wrong = matrix(1 - CONFIG.slip, CONFIG.guess), matrix(CONFIG.slip, 1 - CONFIG.guess)
+
+    def compose(f: Column, g: Column) -> Column:
+        cells = {"a": ("a", "a", "b", "c"), "b": ("a", "b", "b", "d"), "c": ("c", "a", "d", "c"), "d": ("c", "b", "d", "d")}
+        m = {n: g[w] * f[x] + g[y] * f[z] for n, (w, x, y, z) in cells.items()}
+        size = sum(map(F.abs, m.values()), F.lit(0.0))
+        return F.struct(*[(m[n] / size).alias(n) for n in "abcd"])
+
+    out = fold(attempts, PAIR, ["ts", "attempt_id"], F.when(F.col("score") >= 0.6, right).otherwise(wrong), compose)
+    m = F.col("composed")
+    return out.select(*PAIR, ((m["a"] * prior + m["b"]) / (m["c"] * prior + m["d"])).alias("p_known"))
 
 
 def trend(attempts: DataFrame) -> DataFrame:
@@ -101,21 +122,27 @@ def concept_episodes(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy(*PAIR).agg(F.min("ts").alias("first_seen"), (F.count(F.lit(1)) - 1).alias("revisits"), F.max_by("bloom", at).alias("level"), F.max_by("score", at).alias("last_score"))
 
 
-def dialogue_phases(turns: DataFrame) -> DataFrame:
-    """The four-phase tutoring machine over the ordered turns of a conversation.
+#: States of the tutoring machine: phase, tries in it, and right ones in questioning.
+STATES = [(0, 0, 0), (0, 1, 0), *[(1, t, r) for t in range(3) for r in range(2) if r <= t], *[(2, t, 0) for t in range(3)], (3, 0, 0)]
 
-    Explanation ends after 2 turns, questioning after 2 right answers or 3 tries, practice after 3 tries.
-    """
-    zero = F.struct(F.lit(0).alias("phase"), F.lit(0).alias("tries"), F.lit(0).alias("right"))
 
-    def fold(s: Column, x: Column) -> Column:
-        tries, right = s["tries"] + 1, s["right"] + x["is_correct"].cast("int")
-        done = F.when(s["phase"] == 0, tries >= 2).when(s["phase"] == 1, (right >= 2) | (tries >= 3)).when(s["phase"] == 2, tries >= 3).otherwise(False)
-        return F.struct((s["phase"] + done.cast("int")).alias("phase"), F.when(done, 0).otherwise(tries).alias("tries"), F.when(done, 0).otherwise(right).alias("right"))
+def tutored(state: tuple[int, int, int], right: bool) -> tuple[int, int, int]:
+    """The state after one more turn: explanation ends after 2 turns, questioning after 2 right answers or 3 tries, practice after 3 tries."""
+    phase, tries, good = state[0], state[1] + 1, state[2] + (state[0] == 1 and right)
+    done = (phase == 0 and tries >= 2) or (phase == 1 and (good >= 2 or tries >= 3)) or (phase == 2 and tries >= 3)
+    return (phase + 1, 0, 0) if done else (3, 0, 0) if phase == 3 else (phase, tries, good)
 
-    names = F.array(*map(F.lit, ("EXPLANATION", "QUESTIONING", "PRACTICE", "ASSESSMENT")))
-    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "is_correct"))).alias("a"))
-    return ordered.select("conv_id", F.size("a").alias("turns"), F.element_at(names, F.aggregate("a", zero, fold)["phase"] + 1).alias("phase"))
+
+def dialogue_phases(turns: DataFrame) -> DataFrame:
+    """The four-phase tutoring machine over the ordered turns of a conversation (see `tutored`).
+
+    A turn is a table from state to state, and two tables are one table, so conversations of any length are composed in parts.
+    """
+    table = lambda right: F.array(*[F.lit(STATES.index(tutored(s, right))) for s in STATES])
+    step = F.when(F.col("is_correct"), table(True)).otherwise(table(False))
+    out = fold(turns, ["conv_id"], ["turn"], step, lambda f, g: F.transform(f, lambda x: F.element_at(g, x + 1)))
+    names = F.array(*[F.lit(("EXPLANATION", "QUESTIONING", "PRACTICE", "ASSESSMENT")[s[0]]) for s in STATES])
+    return out.select("conv_id", F.col("n").cast("int").alias("turns"), F.element_at(names, F.col("composed")[0] + 1).alias("phase"))
 
 
 def interest_decay(attempts: DataFrame, rate: float = 0.95, drop: float = 0.1) -> DataFrame:

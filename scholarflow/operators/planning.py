@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHAIN_MODES, CONFIG
 from ..functions.rules import clamp, content_type, review_priority
+from .ordered import carried_last
 
 
 def eligible(concepts: DataFrame, mastery: DataFrame, minutes_left: int) -> DataFrame:
@@ -179,13 +180,14 @@ def beam_search(starts: DataFrame, edges: DataFrame, mastery: DataFrame, concept
 def context_asof(selections: DataFrame, feedback: DataFrame, hours: int = 24) -> DataFrame:
     """Feedback (feedback_id, concept_id, ts) with the newest context saved for its concept in the hours before.
 
-    One union, sorted once per concept: no pair of rows is ever formed.
+    Of contexts saved at one time the largest counts; a context saved at the time of the feedback counts. One union, sorted by range:
+    a concept's rows lie in as many tasks as they fill, the last context of each range is carried over to the next ones
+    (`ordered.carried_last`), and no pair of rows is ever formed.
     """
-    rows = selections.select("concept_id", "ts", F.lit(0).alias("kind"), F.col("context"), F.lit(None).cast("long").alias("feedback_id")).unionByName(
-        feedback.select("concept_id", "ts", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("context"), "feedback_id")
+    saved = F.struct("ts", "context")
+    rows = selections.select("concept_id", "ts", F.lit(0).alias("kind"), F.col("context").alias("tie"), F.lit(None).cast("long").alias("feedback_id"), saved.alias("saved")).unionByName(
+        feedback.select("concept_id", "ts", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("tie"), "feedback_id").withColumn("saved", F.lit(None)), allowMissingColumns=True
     )
-    order = Window.partitionBy("concept_id").orderBy("ts", "kind", "context", "feedback_id").rowsBetween(Window.unboundedPreceding, 0)
-    saved = F.last(F.when(F.col("kind") == 0, F.struct("ts", "context")), ignorenulls=True).over(order)
-    rows = rows.withColumn("saved", saved).filter("kind = 1")
-    fresh = F.unix_timestamp("ts") - F.unix_timestamp("saved.ts") <= hours * 3600
-    return rows.select("feedback_id", F.when(fresh, F.col("saved.context")).alias("context"))
+    rows = carried_last(rows, ["concept_id"], ["ts", "kind", "tie", "feedback_id"], "saved").filter("kind = 1")
+    fresh = F.unix_timestamp("ts") - F.unix_timestamp("last.ts") <= hours * 3600
+    return rows.select("feedback_id", F.when(fresh, F.col("last.context")).alias("context"))
