@@ -37,6 +37,8 @@ SEED, SHINGLE, BANDS, ROWS, RADIUS = 42, 5, 32, 4, 28
 NUM, DEN = 4, 5
 #: Weight of a part of a large block (a text weighs 1, and 1 more for each 256 shingles), and up to how many rows a block is small.
 BLOCK, SMALL = 512, 24
+#: Bits of a key that hold its band's number, where they are needed.
+BAND_BITS = 31
 #: Members that are held against one copy of their centre.
 STAR = 500
 #: Shingles, or pairs, that are worked on at a time.
@@ -188,24 +190,34 @@ def _links(rows: pd.DataFrame, group: np.ndarray, large: bool) -> pd.DataFrame |
     return pd.DataFrame({"a": cls[own], "b": cls[tree[own]]}) if len(own) else None
 
 
-def _with_partners(rows: pd.DataFrame, group: np.ndarray, large: bool, likely: int) -> pd.DataFrame | None:
-    """The rows (key, cls) of blocks that have a partner with another root and at least `likely` equal parts."""
+def _with_partners(rows: pd.DataFrame, group: np.ndarray, large: bool, likely: int, width: int) -> pd.DataFrame | None:
+    """The rows (key, cls) of blocks that have a partner with another root, at least `likely` equal parts, and no earlier band of `width` parts in common."""
     x, root = np.array([np.frombuffer(p, np.uint16) for p in rows["parts"]]), rows["root"].to_numpy()
+    band = rows["key"].to_numpy() & BAND_BITS
     good = np.zeros(len(rows), bool)
+
+    def mark(i: np.ndarray, j: np.ndarray) -> None:
+        first = (x[i] == x[j]).reshape(len(i), -1, width).all(2).argmax(1) == band[i]
+        good[i[first]] = good[j[first]] = True
+
     if large:
         bi, bj = rows["block_i"].iloc[0], rows["block_j"].iloc[0]
         left, right = (np.flatnonzero(rows["own"].to_numpy() == b) for b in (bi, bj))
-        for at in range(0, len(left), 16):
-            some = left[at : at + 16]
-            near = ((x[some, None] == x[right]).sum(2) >= likely) & (root[some, None] != root[right])
-            good[some] |= near.any(1)
-            good[right] |= near.any(0)
+        columns = np.ascontiguousarray(x[right].T)
+        for at in left.tolist():
+            equal = np.zeros(len(right), np.uint8)
+            for k, part in enumerate(x[at]):
+                equal += columns[k] == part
+            j = right[(equal >= likely) & (root[right] != root[at])]
+            if len(j):
+                mark(np.full(len(j), at), j)
     else:
         i, j = small_pairs(group)
         for at in range(0, len(i), SLICE):
             a, b = i[at : at + SLICE], j[at : at + SLICE]
             near = ((x[a] == x[b]).sum(1) >= likely) & (root[a] != root[b])
-            good[a[near]] = good[b[near]] = True
+            if near.any():
+                mark(a[near], b[near])
     return rows.loc[good, ["key", "cls"]] if good.any() else None
 
 
@@ -224,13 +236,13 @@ def groups(docs: DataFrame) -> DataFrame:
     return prints.select("doc_id", "text_hash", "cls").join(roots, "cls", "left").select("doc_id", "text_hash", F.coalesce("component", "cls").alias("root"))
 
 
-def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int = 0) -> DataFrame:
+def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int = 0, width: int = 1) -> DataFrame:
     """(node, component) of the classes that verified links join.
 
     `members` (key, cls, k: members of the block) are the blocks of more than one class; `classes` has cls, hash (of one of its
     texts in `docs`), n (shingles), fp and keys (in one order for all) of these classes at least. Equal fp pass every comparison of bits.
-    With a column `parts` (2-byte parts of a MinHash fingerprint), only texts with a partner in their block that has `likely` equal
-    parts are compared whole; the others' texts don't move.
+    With a column `parts` (2-byte parts of a MinHash fingerprint, `width` a band, 255 at most; the lowest bits of a key are its band's number), only texts
+    with a partner that has `likely` equal parts, and meets them in this block first, are compared whole; the others' texts don't move.
     """
     active = checkpointed(members.groupBy("cls").agg(F.sum("k").alias("met")).join(classes, "cls"))
     members = checkpointed(members.select("key", "cls").join(active.select("cls", "met", "n", "fp"), "cls"))
@@ -247,11 +259,11 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int
     rest = placed.join(unjoined, "key")
     if "parts" in classes.columns:
         rest = checkpointed(rest)
-        some = block_pairs(rest.join(active.select("cls", "parts"), "cls"), "key", F.xxhash64("cls"), BLOCK)
+        some = block_pairs(rest.join(active.select("cls", "parts"), "cls"), "key", F.xxhash64("cls"), 8 * BLOCK)
         some = some.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
 
         def run_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield from stream(batches, ["key", "block_i", "block_j"], SMALL, partial(_with_partners, likely=likely))
+            yield from stream(batches, ["key", "block_i", "block_j"], SMALL, partial(_with_partners, likely=likely, width=width))
 
         some = some.select("key", "block_i", "block_j", "own", "cls", "root", "parts").mapInPandas(run_parts, "key long, cls long")
         rest = rest.join(checkpointed(some.distinct()), ["key", "cls"])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, flagged, release_memory, table, written
-from .near_copies import SEED, SHINGLE, joined
+from .near_copies import BAND_BITS, SEED, SHINGLE, joined
 
 HASHES, BANDS, ROWS = 130, 26, 5
 #: Bytes of a fingerprint, and shingles that are permuted at a time.
@@ -239,7 +239,7 @@ def near_classes(prints: DataFrame, docs: DataFrame) -> DataFrame:
 
     Texts whose shingle sets have a Jaccard similarity of 0.8 or more are linked; texts without a word are copies of each other.
     """
-    band = lambda k: F.xxhash64(F.lit(k), F.substring("fingerprint", 2 * ROWS * k + 1, 2 * ROWS))
+    band = lambda k: F.xxhash64(F.substring("fingerprint", 2 * ROWS * k + 1, 2 * ROWS)).bitwiseAND(F.lit(~BAND_BITS)).bitwiseOR(F.lit(k))
     texts = prints.filter("n_shingles > 0").select(F.col("hash").alias("cls"), F.col("n_shingles").alias("n"), F.array(*map(band, range(BANDS))).alias("keys"), F.col("fingerprint").alias("parts"))
     members = texts.select("cls", F.explode("keys").alias("key"))
     shared = checkpointed(members.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("key"))
@@ -249,7 +249,7 @@ def near_classes(prints: DataFrame, docs: DataFrame) -> DataFrame:
     active = members.select("cls").distinct()
     classes = flagged(texts, "cls", active).filter("maybe").drop("maybe").dropDuplicates(["cls"]).join(active, "cls")
     classes = checkpointed(classes.withColumn("hash", F.col("cls")).withColumn("fp", F.lit(0).cast("long")))
-    roots = joined(members, classes, docs, LIKELY)
+    roots = joined(members, classes, docs, LIKELY, ROWS)
     of = prints.select("doc_id", "hash", F.when(F.col("n_shingles") == 0, 0).otherwise(F.col("hash")).alias("node"))
     of = of.groupBy("node", "hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")).join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     of = checkpointed(of.select("root", "hash", "doc_id", "rows"))
