@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +39,8 @@ def release_memory() -> None:
     """Gives memory that a task no longer needs back to the system: Python workers are kept for later tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # where there is no GNU library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 @contextmanager
