@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tables
 from ..store import new_folder
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from .registry import add
 from .views import VIEWS
 
@@ -33,14 +33,12 @@ def _folder(v) -> str:
     return where
 
 
-def _replay(v, job, mode="append", key=None):
-    return jobs.replay(_stream(v), job, new_folder(v.spark, "replay"), mode, key)
+def _replay(v, job, mode="append", key=None, composite=False):
+    return jobs.replay(_stream(v), job, new_folder(v.spark, "replay"), mode, key, composite)
 
 
 add("stm_bandit", lambda v: _replay(v, jobs.bandit, "complete"), "select concept_id, count(*) as pulls, sum(score) as total_reward from {attempts} group by 1", "total_reward")
 add("stm_mastery", lambda v: _replay(v, jobs.mastery, "update", ["learner_id", "concept_id"]))
-add("stm_profile", lambda v: _replay(v, jobs.profile, "update", ["learner_id"]), "select learner_id, avg(score) as mean_score, cast(count(distinct case when score >= 0.8 then concept_id end) as int) as completed, count(*) as version from {attempts} group by 1", "mean_score")
-add("stm_alerts", lambda v: _replay(v, jobs.alerts), "select attempt_id, learner_id, concept_id, 'CRITICAL_FAILURE' as alert from {attempts} where score < 0.4")
 add("stm_note_events", lambda v: _replay(v, jobs.note_events), "select attempt_id, learner_id, case when score < 0.8 then 'MISCONCEPTION_NOTE' else 'ATOMIC_NOTE' end as note_type from {attempts}")
 add("stm_dedup", lambda v: _replay(v, lambda s: jobs.deduplicated(s).select("attempt_id")), "select distinct attempt_id from {attempts}")
 add("stm_rate_window", lambda v: _replay(v, jobs.rate_window, "update", ["learner_id", "start"]), "select learner_id, date_trunc('hour', ts) as start, count(*) as n from {attempts} group by 1, 2", times="start")
@@ -71,7 +69,7 @@ def _progress(v):
 
 
 add("sink_progress", _progress, "select cast(cast(ts as date) as varchar) as day, count(*) as n from {attempts} group by 1")
-add("sink_alerts", lambda v: v.spark.read.schema("attempt_id long, alert string").json(_written(v, "alerts", lambda p: tables.alerts(jobs.alerts(v.attempts), p))), "select attempt_id, 'CRITICAL_FAILURE' as alert from {attempts} where score < 0.4")
+add("sink_alerts", lambda v: v.spark.read.schema("attempt_id long, alert string").json(_written(v, "alerts", lambda p: tables.alerts(jobs.critical_failures(v.attempts), p))), "select attempt_id, 'CRITICAL_FAILURE' as alert from {attempts} where score < 0.4")
 
 
 def _index(v):
@@ -93,7 +91,6 @@ add("stm_tutor_events", lambda v: _replay(v, jobs.tutor_events, "update", ["conc
 _KEPT = "select learner_id, cast(len(a) as int) as kept, a[1] as newest, a[-1] as oldest from (select learner_id, list(attempt_id order by ts desc, attempt_id desc)[1:{}] as a from {{attempts}} {} group by 1) x"
 add("stm_sync_history", lambda v: _replay(v, jobs.sync_history, "update", ["learner_id"]), _KEPT.format(50, ""))
 add("stm_failures", lambda v: _replay(v, jobs.failures, "update", ["learner_id"]), _KEPT.format(20, "where score < 0.4"))
-add("stm_pace", lambda v: _replay(v, jobs.pace, "complete"), "select learner_id, count(*) as n, count(*) filter (score >= 0.6) as passed from {attempts} group by 1")
 
 
 def _dialogue(v):
@@ -125,3 +122,34 @@ def _analysis(v):
 
 add("stm_system_analysis", _analysis, "select concept_id, case when avg(level) < 0.4 then 'difficult' else 'easy' end as kind, avg(level) as avg_mastery from {mastery} group by 1 having avg(level) < 0.4 or avg(level) > 0.8", "avg_mastery")
 add("stm_artifacts", lambda v: _replay(v, jobs.artifacts, "complete"), "select learner_id, count(*) filter (score >= 0.8) as atomic, count(*) filter (score < 0.8) as misconception from {attempts} group by 1")
+
+add("stm_alerts", lambda v: _replay(v, stateful.alerts, composite=True), f"""with a as (select *, row_number() over (partition by learner_id, concept_id order by ts, attempt_id) as n from {{attempts}}),
+f as (select learner_id, concept_id, min(ts) + to_minutes({stateful.STUCK_MINUTES}) as until from a group by 1, 2),
+s as (select learner_id, concept_id, until, count(*) as n from a join f using (learner_id, concept_id) where ts <= until group by 1, 2, 3 having max(score) < 0.9)
+select 'CRITICAL_FAILURE' as alert, learner_id, concept_id::bigint as concept_id, attempt_id, n as attempts, score, null::bigint as minutes from a where score < 0.4
+union all select 'LEARNER_STUCK', learner_id, concept_id, null, n, null, {stateful.STUCK_MINUTES} from s where until <= (select max(ts) from a) - interval 10 minutes""", "score")
+
+
+def _profile(v):
+    people, concepts = stateful.snapshots(_replay(v, stateful.profile, composite=True))
+    everyone = people.select("learner_id", F.lit(None).cast("long").alias("concept_id"), F.col("mean_level").alias("level"), F.lit(None).cast("string").alias("bloom"), "completed", F.lit(None).cast("double").alias("interest"), "version", "errors", "advanced")
+    return everyone.unionByName(concepts, allowMissingColumns=True)
+
+
+#: Attempts with the running numbers of a learner's profile.
+_RUNNING = """select *, lag(mean, 1, 0.0) over (partition by learner_id order by ts, attempt_id) as mean_before from (select *, sum(delta) over w / sum(first) over w as mean, row_number() over w as version, sum(new_done) over w as done_so_far, sum(5.0 + difficulty) over w as minutes, count(*) filter (score >= 0.6) over w as passed from (
+  select *, score - coalesce(lag(score) over c, 0) as delta, case when lag(score) over c is null then 1 else 0 end as first,
+    case when score >= 0.8 and coalesce(max(score) over (partition by learner_id, concept_id order by ts, attempt_id rows between unbounded preceding and 1 preceding), 0) < 0.8 then 1 else 0 end as new_done
+  from {{attempts}} window c as (partition by learner_id, concept_id order by ts, attempt_id)) x window w as (partition by learner_id order by ts, attempt_id rows unbounded preceding)) y"""
+_BLOOM = """['REMEMBER', 'UNDERSTAND', 'APPLY', 'ANALYZE', 'EVALUATE', 'CREATE'][cast(round_even(least(6.0, greatest(1.0, 0.60::double * b + 0.25::double * (b + s) + 0.15::double * (b + q))), 0) as int)]"""
+add("stm_profile", _profile, f"""with r as ({_RUNNING.replace("{{", "{").replace("}}", "}")}),
+p as (select learner_id, max(version) as version, arg_max(mean, version) as level, cast(sum(new_done) as bigint) as completed, count(*) filter (err = 'CONCEPTUAL') as errors, count(*) filter (abs(mean - mean_before) > 0.1 + 1e-9) as advanced from r group by 1),
+k as (select learner_id, concept_id, arg_max(score, version) as level, arg_max(difficulty, version) as d, arg_max(qtype, version) as t, max(version) as seen, cast(max(case when score >= 0.8 then 1 else 0 end) as bigint) as completed from r group by 1, 2),
+g as (select *, case when level < 0.2 then 1 when level < 0.4 then 2 when level < 0.6 then 3 when level < 0.8 then 4 when level < 0.9 then 5 else 6 end as b, case when d >= 4 then -0.5::double when d <= 2 then 0.5 else 0 end as s,
+  case t when 'conceptual' then 0.3::double when 'application' then 0.7 when 'synthesis' then 1.0 else 0 end as q from k)
+select learner_id, null::bigint as concept_id, level, null as bloom, completed, null::double as interest, version, errors, advanced from p
+union all select learner_id, concept_id, g.level, {_BLOOM}, g.completed, case when pow(0.95, p.version - seen) >= 0.1 then pow(0.95, p.version - seen) end, null, null, null from g join p using (learner_id)""", "level interest")
+add("stm_pace", lambda v: _replay(v, stateful.profile, composite=True).filter("kind = 'PACE'").select("learner_id", "version", F.col("level").alias("velocity"), F.col("text").alias("prefers"), "event"), f"""with r as ({_RUNNING.replace("{{", "{").replace("}}", "}")}),
+p as (select learner_id, version, done_so_far / (minutes / 60) as velocity, 2.0 * passed / version as ratio from r where version % {stateful.PACE_EVERY} = 0)
+select learner_id, version, velocity, case when ratio > 1.2 + 1e-9 then 'HARD' when ratio < 0.8 - 1e-9 then 'EASY' else 'MEDIUM' end as prefers,
+  case when abs(velocity - 1) > 0.3 + 1e-9 then case when velocity > 1 then 'LEARNER_ACCELERATING' else 'LEARNER_SLOWING' end end as event from p""", "velocity")

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import CONFIG
 
 LATE = "10 minutes"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def bandit(attempts: DataFrame) -> DataFrame:
@@ -53,8 +54,8 @@ def context_join(selections: DataFrame, feedback: DataFrame) -> DataFrame:
     return f.join(s, F.expr("concept_id = s_concept and s_ts <= ts and s_ts >= ts - interval 24 hours")).select("feedback_id", "context")
 
 
-def alerts(attempts: DataFrame) -> DataFrame:
-    """Critical failures; stateless."""
+def critical_failures(attempts: DataFrame) -> DataFrame:
+    """Attempts below the alert score; stateless (`stateful.alerts` numbers them)."""
     return attempts.filter(F.col("score") < CONFIG.alert).select("attempt_id", "learner_id", "concept_id", F.lit("CRITICAL_FAILURE").alias("alert"))
 
 
@@ -84,27 +85,17 @@ def mastery(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("learner_id", "concept_id").applyInPandasWithState(fold, "learner_id long, concept_id int, mastery double, attempts int", "m double, n int", "update", GroupStateTimeout.NoTimeout)
 
 
-def profile(attempts: DataFrame) -> DataFrame:
-    """Running mean score, completed concepts and version of each learner after every batch; update mode."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, n, version, done = state.get if state.exists else (0.0, 0, 0, [])
-        rows = pd.concat(list(batches)).sort_values(["ts", "attempt_id"])
-        total, n, version = total + float(rows["score"].sum()), n + len(rows), version + len(rows)
-        done = sorted({*done, *rows.loc[rows["score"] >= CONFIG.proceed, "concept_id"].tolist()})
-        state.update((total, n, version, done))
-        yield pd.DataFrame({"learner_id": [key[0]], "mean_score": [total / n], "completed": [len(done)], "version": [version]})
-
-    return attempts.groupBy("learner_id").applyInPandasWithState(fold, "learner_id long, mean_score double, completed int, version long", "total double, n long, version long, done array<int>", "update", GroupStateTimeout.NoTimeout)
-
-
-def replay(stream: DataFrame, job: Callable[[DataFrame], DataFrame], where: str, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+def replay(stream: DataFrame, job: Callable[[DataFrame], DataFrame], where: str, mode: str = "append", key: list[str] | None = None, composite: bool = False) -> DataFrame:
     """Runs `job` over all that `stream` has now, into Parquet under `where`, and reads the result.
 
     In update mode each batch goes to a folder of its own, and the last row of each key is read: results
-    of a batch that is run again replace the first, so a lost driver repeats nothing.
+    of a batch that is run again replace the first, so a lost driver repeats nothing. `composite` jobs are those of `stateful`.
     """
     spark = stream.sparkSession
+    if composite:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    else:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     writer = job(stream).writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").outputMode("append").start(f"{where}/out")
@@ -156,11 +147,6 @@ def failures(attempts: DataFrame) -> DataFrame:
     return _kept(attempts.filter(F.col("score") < CONFIG.alert), 20)
 
 
-def pace(attempts: DataFrame) -> DataFrame:
-    """Attempts and passed ones of each learner; the ratio to a plan of half is the pace. Update or complete mode."""
-    return attempts.groupBy("learner_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("score") >= 0.6, 1)).alias("passed"))
-
-
 def dialogue(turns: DataFrame) -> DataFrame:
     """Tutoring phase of each conversation after every batch of turns (conv_id, turn, is_correct); update mode."""
 
