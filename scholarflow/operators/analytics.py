@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..store import small
+from .ordered import running_sum
 
 
 def concept_stats(mastery: DataFrame) -> DataFrame:
@@ -196,10 +197,41 @@ def rubric_score(levels: DataFrame, weights: DataFrame) -> DataFrame:
     return score.withColumn("band", F.when(F.col("score") >= 0.8, "excellent").when(F.col("score") >= 0.6, "good").when(F.col("score") >= 0.4, "fair").otherwise("poor"))
 
 
+def fractional_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, `value` and `rank` for each distinct value of a key: the place of its rows in ascending order, ties averaged.
+
+    Equal values are counted before anything is ordered, and the counts are summed over ranges of the order (`ordered.running_sum`),
+    so a key with most of the rows, or a value with most of them, is in no single task. A null value comes first.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return running_sum(counts, keys, [value], "n").select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+
+
 def grader_quality(grades: DataFrame, keys: list[str]) -> DataFrame:
-    """Spearman correlation of grades with reference grades, and of grades with answer length (grade, reference, length)."""
-    rank = lambda c: F.avg("_rn").over(Window.partitionBy(*keys, c))
-    rows = grades
-    for c in ("grade", "reference", "length"):
-        rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(c))).withColumn(f"r_{c}", rank(c)).drop("_rn")
-    return rows.groupBy(*keys).agg(F.corr("r_grade", "r_reference").alias("rho"), F.corr("r_grade", "r_length").alias("length_bias"), F.stddev_samp("grade").alias("spread"))
+    """Spearman correlation of grades with reference grades, and of grades with answer length (grade, reference, length).
+
+    Rows with the same three values are one row with a weight, to which the ranks are joined.
+    """
+    columns = ["grade", "reference", "length"]
+    rows = grades.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("w"))
+    for c in columns:
+        ranks = fractional_ranks(grades, keys, c).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(c).alias("_value"), F.col("rank").alias(f"r_{c}"))
+        same = F.col(c).eqNullSafe(F.col("_value"))
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rows = rows.join(ranks, same, "left").drop("_value", *[f"_{k}" for k in keys])
+    total = lambda x: F.sum(F.col("w") * x)
+
+    def weighted(a: str, b: str) -> Column:
+        """Correlation of ranks, which have the mean (n + 1) / 2 whatever the ties."""
+        mean = (F.sum("w") + 1) / 2
+        part = lambda x, y: total(F.col(x) * F.col(y)) - F.sum("w") * mean * mean
+        spread = F.sqrt(part(a, a) * part(b, b))
+        return F.when(spread > 0, part(a, b) / spread)
+
+    rho = rows.groupBy(*keys).agg(weighted("r_grade", "r_reference").alias("rho"), weighted("r_grade", "r_length").alias("length_bias"))
+    spread = grades.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.stddev_samp("grade").alias("spread"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rho.join(spread, same).select(*rho.columns, "spread")

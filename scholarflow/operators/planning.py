@@ -158,7 +158,7 @@ def beam_search(starts: DataFrame, edges: DataFrame, mastery: DataFrame, concept
     first = starts.join(concepts.select("concept_id", (F.col("time_estimate") / 60.0).alias("h"), F.col("difficulty").cast("double").alias("d")), "concept_id")
     first = first.join(level.withColumnRenamed("to", "concept_id"), ["learner_id", "concept_id"], "left")
     paths = first.select("learner_id", F.col("concept_id").alias("last"), F.array("concept_id").alias("path"), F.coalesce("level", F.lit(0.0)).alias("m"), "h", "d", F.lit(0.0).alias("score"))
-    best = Window.partitionBy("learner_id").orderBy(F.desc(F.round("score", 9)), "key")
+    best = Window.partitionBy("learner_id").orderBy(F.desc(F.round("score", 9)), "path")
     for _ in range(depth - 1):
         longer = paths.join(step, "last", "left").filter(F.col("to").isNull() | ~F.array_contains("path", F.col("to")))
         longer = longer.join(level, ["learner_id", "to"], "left").join(needs, "to", "left").join(met, ["learner_id", "to"], "left")
@@ -172,8 +172,7 @@ def beam_search(starts: DataFrame, edges: DataFrame, mastery: DataFrame, concept
         fit = F.when(F.col("h") > 0, F.least(F.lit(1.0), hours_available / F.col("h"))).otherwise(1.0)
         chance = clamp(CONFIG.success_mastery * F.col("m") / n + CONFIG.success_time * fit - CONFIG.success_difficulty * F.greatest(F.lit(0.0), (F.col("d") / n - 3.0) * 0.1))
         longer = longer.withColumn("score", F.when(F.col("open"), chance).otherwise(0.0))
-        longer = longer.withColumn("key", F.array_join(F.transform("path", lambda x: F.lpad(x.cast("string"), 10, "0")), ">"))
-        paths = longer.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width).drop("rank", "key", "open")
+        paths = longer.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width).drop("rank", "open")
     return paths.select("learner_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("score", 6).alias("score"))
 
 

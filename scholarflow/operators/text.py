@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.more_rules import normalize_context
@@ -68,10 +68,27 @@ def token_estimate(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tokens.alias("tokens"), F.when(tokens > 2000, "large").otherwise("small").alias("route"))
 
 
-def names_containing(names: DataFrame, topics: DataFrame) -> DataFrame:
-    """Pairs of concept and topic where a word of the name is the topic: blocked by word, so no nested loop."""
-    words = names.select("concept_id", F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("topic"))
-    return words.join(topics, "topic").select("concept_id", "topic")
+def containing_names(names: DataFrame, gram: int = 3, split: int = 20_000) -> DataFrame:
+    """All pairs (outer, inner) of different names, lower-cased, of which the first holds the second.
+
+    An index by rarest gram: a name of `gram` letters or more is looked for among the names that have the rarest of its grams, a shorter
+    one among those that have it as a gram of its own length. The names with a gram are dealt to parts of about `split`, whatever their
+    number; what is looked for meets each part once. Null and empty names are no names; repeated ones are one.
+    """
+    n = checkpointed(names.select(F.lower("name").alias("name")).filter("name <> ''").distinct())
+
+    def grams(size: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length("name") - size + 1), lambda i: F.substring("name", i, size))
+        return F.when(F.length("name") >= size, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    held = n.select("name", F.explode(F.concat(*[grams(k) for k in range(1, gram + 1)])).alias("gram"))
+    often = checkpointed(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    own = F.when(F.length("name") >= gram, grams(gram)).otherwise(F.array("name"))
+    wanted = n.select(F.col("name").alias("inner"), F.explode(own).alias("gram")).join(often, "gram")
+    wanted = checkpointed(wanted.groupBy("inner").agg(F.min(F.struct("n", "gram")).alias("x")).select("inner", "x.gram", F.ceil(F.col("x.n") / split).cast("int").alias("parts")))
+    outer = held.join(wanted.select("gram", "parts").distinct(), "gram").select(F.col("name").alias("outer"), "gram", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"))
+    inner = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return outer.join(inner, ["gram", "part"]).filter(F.contains("outer", "inner") & (F.col("outer") != F.col("inner"))).select("outer", "inner")
 
 
 def fuzzy_names(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
@@ -105,13 +122,18 @@ def fuzzy_names(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFr
     return pairs.filter("a < b").distinct().withColumn("similarity", score).filter(F.col("similarity") >= least - 1e-9)
 
 
-def hybrid_search(vector: DataFrame, keyword: DataFrame, page: int = 5) -> DataFrame:
-    """Vector hits, then keyword hits (content, score), one of each content, numbered over pages."""
-    rows = vector.filter("score > 0.7").select("content", "score", F.lit(0).alias("p")).unionAll(keyword.select("content", "score", F.lit(1).alias("p")))
-    best = rows.groupBy("content").agg(F.min_by(F.struct("p", "score"), F.struct("p", -F.col("score"))).alias("x")).select("content", "x.*")
-    top = best.orderBy("p", F.desc("score"), "content").limit(20)  # ten of each at most, so one small sort
-    rank = F.row_number().over(Window.orderBy("p", F.desc("score"), "content"))
-    return top.withColumn("rank", rank).withColumn("page", F.floor((F.col("rank") - 1) / page))
+def hybrid_search(vector: DataFrame, keyword: DataFrame, top: int = 10, least: float = 0.7, page: int = 5) -> DataFrame:
+    """Archive search of many queries: query, content, source, score, rank and page.
+
+    vector: (query, content, score), of which the `top` best are taken and then those over `least`; keyword: (query, content, date) of rows that hold
+    the query, of which the `top` newest are taken, at a score of 1. Vector hits come first; of a content that comes again the first hit
+    stays. Ties are ordered by content.
+    """
+    first = lambda *by: F.row_number().over(Window.partitionBy("query").orderBy(*by))
+    v = vector.withColumn("r", first(F.desc("score"), "content")).filter((F.col("r") <= top) & (F.col("score") > least)).select("query", "content", F.lit("vector").alias("source"), "score", F.lit(0).alias("p"), "r")
+    k = keyword.withColumn("r", first(F.desc("date"), "content")).filter(F.col("r") <= top).select("query", "content", F.lit("keyword").alias("source"), F.lit(1.0).alias("score"), F.lit(1).alias("p"), "r")
+    one = v.unionByName(k).groupBy("query", "content").agg(F.min(F.struct("p", "r", "source", "score")).alias("x")).select("query", "content", "x.*")
+    return one.withColumn("rank", first("p", "r")).select("query", "content", "source", "score", "rank", F.floor((F.col("rank") - 1) / page).alias("page"))
 
 
 def leak_guard(docs: DataFrame, words: tuple[str, ...]) -> DataFrame:
@@ -223,18 +245,17 @@ def tree_sections(nodes: DataFrame) -> DataFrame:
     As many rounds as the deepest tree has levels. Nodes that no root reaches (their parent is missing, or they lie
     on a loop) are in no section.
     """
-    pad = lambda c: F.lpad(c.cast("string"), 8, "0")
     nodes = checkpointed(nodes.select("doc_id", "node", "parent", "title"))
-    level = nodes.filter("parent is null").select("doc_id", "node", pad(F.col("node")).alias("sort"), F.col("title").alias("path"))
+    level = nodes.filter("parent is null").select("doc_id", "node", F.array("node").alias("sort"), F.col("title").alias("path"))
     child = nodes.filter("parent is not null").select("doc_id", F.col("node").alias("c"), F.col("parent").alias("node"), "title")
     out = level
     while True:
-        level = level.join(child, ["doc_id", "node"]).select("doc_id", F.col("c").alias("node"), F.concat_ws(".", "sort", pad(F.col("c"))).alias("sort"), F.concat_ws(" > ", "path", "title").alias("path"))
+        level = level.join(child, ["doc_id", "node"]).select("doc_id", F.col("c").alias("node"), F.concat("sort", F.array("c")).alias("sort"), F.concat_ws(" > ", "path", "title").alias("path"))
         level = checkpointed(level)
         if not level.head(1):
             break
         out = out.unionAll(level)
-    order = Window.partitionBy("doc_id").orderBy("sort")
+    order = Window.partitionBy("doc_id").orderBy("sort")  # numbers, from the root down
     return out.select("doc_id", "node", "path", F.row_number().over(order).alias("pos"))
 
 

@@ -9,6 +9,8 @@ from ..operators import analytics as A
 from ..operators import graph as G
 from ..operators import planning as P
 from ..operators import text as D
+from ..operators.resolve import topk_similar
+from ..store import small
 from .registry import add
 
 LIST = "coalesce(array_to_string(list_sort(list(distinct target) filter (rel_type = '{}')), ','), '')"
@@ -132,7 +134,7 @@ l{k} as (select p.learner_id, coalesce(t.nxt, p.last) as last, case when t.nxt i
   t.nxt is not null and coalesce(met.met, 0) >= coalesce(needs.needs, 0) as open from p{k - 1} p left join step t on t.last = p.last left join {{mastery}} m on m.learner_id = p.learner_id and m.concept_id = t.nxt left join needs on needs.nxt = t.nxt left join met on met.learner_id = p.learner_id and met.nxt = t.nxt
   where t.nxt is null or not list_contains(p.path, t.nxt)),
 s{k} as (select *, case when open then least(1.0, greatest(0.0, 0.4 * m / len(path) + 0.4 * case when h > 0 then least(1.0, 20.0 / h) else 1.0 end - 0.2 * greatest(0.0, (d / len(path) - 3.0) * 0.1))) else 0.0 end as score from l{k}),
-p{k} as (select * exclude (r) from (select *, row_number() over (partition by learner_id order by round(score, 9) desc, array_to_string(list_transform(path, lambda x: lpad(x::varchar, 10, '0')), '>')) as r from s{k}) x where r <= {width})"""
+p{k} as (select * exclude (r) from (select *, row_number() over (partition by learner_id order by round(score, 9) desc, path) as r from s{k}) x where r <= {width})"""
     return out + f" select learner_id, array_to_string(list_transform(path, lambda x: x::varchar), '>') as path, score from p{depth - 1}"
 
 
@@ -151,12 +153,30 @@ add("doc_fixed_chunks", lambda v: D.fixed_chunks(v.documents).withColumn("text",
 add("agg_chunk_stats", lambda v: A.chunk_stats(D.fixed_chunks(v.documents)), f"select doc_id, count(*) as chunks, cast(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) as bigint) as words, cast(sum(length(text)) as bigint) as chars, avg(length(text)) as avg_chars, min(length(text)) as min_chars, max(length(text)) as max_chars from ({CHUNKS}) c group by 1", "avg_chars")
 add("doc_paragraphs", lambda v: D.paragraphs(v.documents))
 add("doc_paragraph_summary", lambda v: D.first_sentences(v.documents).withColumn("summary", F.md5("summary")), "select doc_id, md5(substring(array_to_string(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' '), 1, 400)) as summary from documents")
-add("join_name_contains", lambda v: D.names_containing(v.concepts, v.spark.sql("select * from (values ('gear'), ('widget'), ('bolt')) as t(topic)")), "select concept_id, topic from {concepts} c, (values ('gear'), ('widget'), ('bolt')) as t(topic) where list_contains(string_split(lower(name), ' '), topic)")
+_NAMES = "select distinct lower(name) as name from (select name from {concepts} union all select brand from {concepts} union all select kind from {concepts} union all select description from {concepts} union all select concat(brand, ' ', name) from {concepts}) n"
+add("join_name_contains", lambda v: D.containing_names(v.spark.sql(_NAMES, concepts=v.concepts)), f"with n as ({_NAMES}) select a.name as outer, b.name as inner from n a join n b on a.name <> b.name and contains(a.name, b.name)")
 _names = lambda v: v.concepts.select("name").distinct()
 add("join_fuzzy_name", lambda v: D.fuzzy_names(_names(v), _names(v)), "with n as (select distinct name from {concepts}) select a.name as a, b.name as b, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::double as similarity from n a join n b on a.name < b.name where levenshtein(a.name, b.name) <= 0.2 * greatest(length(a.name), length(b.name)) + 1e-9", "similarity")
-_hits = lambda v, c: v.notes.filter(c).groupBy("content").agg((F.count(F.lit(1)) / 100.0).alias("score"))
-add("set_hybrid_fusion", lambda v: D.hybrid_search(_hits(v, "note_type <> 'SUMMARY_NOTE'").withColumn("score", F.least(F.lit(1.0), F.col("score") * 3)), _hits(v, "note_type = 'SUMMARY_NOTE'")), """with h as (select content, least(1.0, count(*) / 100.0 * 3) as score, 0 as p from {notes} where note_type <> 'SUMMARY_NOTE' group by 1 having least(1.0, count(*) / 100.0 * 3) > 0.7 union all select content, count(*) / 100.0, 1 from {notes} where note_type = 'SUMMARY_NOTE' group by 1),
-b as (select content, arg_min(p, (p, -score)) as p, arg_min(score, (p, -score)) as score from h group by 1), r as (select *, row_number() over (order by p, score desc, content) as rank from b) select content, p, score, cast(rank as int) as rank, (rank - 1) // 5 as page from r where rank <= 20""", "score")
+#: Every hundredth embedding, without its first eight numbers, asks for its like and for a topic among the notes.
+_ask = lambda v: v.embeddings.filter("vec_id % 100 = 0").select((-1 - F.col("vec_id")).alias("query"), F.concat(F.array_repeat(F.lit(0.0), 8).cast("array<float>"), F.slice("embedding", 9, 100_000)).alias("vec"), F.concat(F.lit("topic "), (F.floor(F.col("vec_id") / 100) % 7).cast("string")).alias("asked"))
+
+
+def _fused(v):
+    items = v.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    items = items.join(v.notes.select(F.col("note_id").alias("id"), "content"), "id")
+    near = topk_similar(_ask(v).select(F.col("query").alias("id"), "vec"), items, 10).join(items.select(F.col("id").alias("item"), "content"), "item")
+    asked = small(_ask(v).select("query", "asked"), 100_000, "queries")  # the stated queries, against all notes
+    held = v.notes.join(asked, F.contains("content", "asked")).select("query", "content", F.col("created_at").alias("date"))
+    return D.hybrid_search(near.select("query", "content", F.col("cos").alias("score")), held)
+
+
+add("set_hybrid_fusion", _fused, """with e as (select vec_id as id, embedding::double[] as vec, content from embeddings join {notes} on note_id = vec_id),
+q as (select -1 - vec_id as query, list_concat([0.0::double, 0, 0, 0, 0, 0, 0, 0], embedding[9:]::double[]) as vec, concat('topic ', vec_id // 100 % 7) as asked from embeddings where vec_id % 100 = 0),
+v as (select query, content, cos as score from (select *, row_number() over (partition by query order by cos desc, id) as r from (select query, e.id, content, round(list_cosine_similarity(q.vec, e.vec), 9) as cos from q, e) a) b where r <= 10),
+h as (select query, content, 'vector' as source, score, 0 as p, row_number() over (partition by query order by score desc, content) as r from v where score > 0.7
+  union all select * from (select query, content, 'keyword', 1.0, 1, row_number() over (partition by query order by created_at desc, content) as r from q join {notes} on contains(content, asked)) k where r <= 10),
+b as (select * from (select *, row_number() over (partition by query, content order by p, r) as o from h) o where o = 1)
+select query, content, source, score, cast(rank as int) as rank, (rank - 1) // 5 as page from (select *, row_number() over (partition by query order by p, r) as rank from b) x""", "score")
 add("str_leak_guard", lambda v: D.leak_guard(v.documents, ("Therefore", "The answer is", "So", "Thus", "Hence")), "select doc_id, len(l) as lines, md5(array_to_string(l, chr(10))) as digest from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, 'Therefore|The answer is|So|Thus|Hence')) as l from documents) x")
 add("str_pedagogy_check", lambda v: D.pedagogy_check(v.conversations), """with w as (select conv_id, turn, lower(text) as t, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as n from conversations),
 x as (select conv_id, turn, list_filter([case when not regexp_matches(t, '\\?|try|think') then 'active_learning' end, case when n > 120 then 'cognitive_load' end, case when not regexp_matches(t, 'first|next|step|then') then 'scaffolding' end, case when regexp_matches(t, 'the answer is|solution is') then 'no_answer' end,

@@ -168,10 +168,12 @@ select case when bad then 'mock' else mode end as mode, case when bad then 'full
 
 
 def _materials(v):
-    """Documents as text files in folders of their source, read back whole."""
+    """Documents as Markdown files in folders of their source, read back whole."""
     where = new_folder(v.spark, "materials")
-    v.documents.filter("text is not null").select(F.col("source").alias("course"), F.regexp_replace("text", "[\r\n]", " ").alias("value")).groupBy("course").agg(F.count(F.lit(1)).alias("n")).select("course", F.col("n").cast("string").alias("value")).write.partitionBy("course").text(where)
-    return tables.materials(v.spark, where).select(F.regexp_replace("course_id", "^course-", "").alias("course"), F.trim(F.replace("content", F.lit("\n"), F.lit(""))).cast("long").alias("n"))
+    docs = v.documents.filter("text <> ''").select(F.col("source").alias("course"), F.concat(F.lit("lesson_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.col("text").alias("content"))
+    tables.write_materials(docs, where)
+    found = tables.materials(v.spark, where)
+    return found.select("course_id", "filename", "title", F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("digest"))
 
 
-add("src_materials", _materials, "select source as course, count(*) as n from documents where text is not null group by 1")
+add("src_materials", _materials, "select regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') as course_id, concat('lesson_', doc_id, '.md') as filename, concat('Lesson ', doc_id) as title, length(text) as n_chars, sha256(text) as digest from documents where text <> ''")

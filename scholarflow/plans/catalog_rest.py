@@ -28,10 +28,10 @@ b as (select id, arg_max(key, (score, -ordinal)) as key, max(score) as score fro
 _alias = lambda v: v.concepts.select(F.col("name").alias("alias"), F.col("brand").alias("key")).distinct()
 _action = lambda v: v.concepts.select(F.col("name").alias("alias")).distinct().select("alias", F.when(F.length("alias") % 3 == 0, "approve").when(F.length("alias") % 3 == 1, "reject").otherwise("deprecate").alias("action"), F.lit("merged").alias("key")).filter("alias not like 'r%'")
 add("str_context_lifecycle", lambda v: D.apply_context_actions(_alias(v), _action(v)), "select name as alias, case when name not like 'r%' then 'merged' else brand end as key from (select distinct name, brand from {concepts}) a where name like 'r%' or length(name) % 3 = 0")
-_tree = lambda v: v.lineitem.select((F.col("l_orderkey") % 200).alias("doc_id"), F.col("l_linenumber").cast("long").alias("node")).distinct().select("doc_id", "node", F.when(F.col("node") > 1, F.floor(F.col("node") / 2)).alias("parent"), F.concat(F.lit("s"), F.col("node").cast("string")).alias("title"))
-add("doc_tree_sections", lambda v: D.tree_sections(_tree(v)), """with recursive n as (select distinct l_orderkey % 200 as doc_id, cast(l_linenumber as bigint) as node from lineitem), t as (select doc_id, node, lpad(cast(node as varchar), 8, '0') as sort, concat('s', node) as path, 1 as d from n where node = 1
-  union all select n.doc_id, n.node, concat(t.sort, '.', lpad(cast(n.node as varchar), 8, '0')), concat(t.path, ' > s', n.node), d + 1 from t join n on n.doc_id = t.doc_id and n.node > 1 and n.node // 2 = t.node)
-select doc_id, node, path, cast(row_number() over (partition by doc_id order by sort) as int) as pos from t""")
+_tree = lambda v: v.lineitem.select((F.col("l_orderkey") % 200).alias("doc_id"), F.col("l_linenumber").cast("long").alias("n")).distinct().select("doc_id", (F.col("n") * F.col("n") * 30_000_000_000).alias("node"), F.when(F.col("n") > 1, F.floor(F.col("n") / 2) * F.floor(F.col("n") / 2) * 30_000_000_000).alias("parent"), F.concat(F.lit("s"), F.col("n").cast("string")).alias("title"))
+add("doc_tree_sections", lambda v: D.tree_sections(_tree(v)), """with recursive n as (select distinct l_orderkey % 200 as doc_id, cast(l_linenumber as bigint) as n from lineitem), t as (select doc_id, n, [n] as sort, concat('s', n) as path from n where n = 1
+  union all select n.doc_id, n.n, list_append(t.sort, n.n), concat(t.path, ' > s', n.n) from t join n on n.doc_id = t.doc_id and n.n > 1 and n.n // 2 = t.n)
+select doc_id, n * n * 30000000000 as node, path, cast(row_number() over (partition by doc_id order by sort) as int) as pos from t""")
 _starts = lambda v: v.documents.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.substring("text", 1, 30).alias("s")), F.struct(F.lit(1).alias("pos"), F.lower(F.substring("text", 40, 60)).alias("s")), F.struct(F.lit(2).alias("pos"), F.lit("no such text in it at all").alias("s")))).alias("x")).select("doc_id", "x.pos", F.col("x.s").alias("start_text"))
 add("doc_locate_sections", lambda v: D.locate_sections(v.documents, _starts(v).filter("start_text <> ''")), """with s as (select doc_id, 0 as pos, substring(text, 1, 30) as s, text from documents union all select doc_id, 1, lower(substring(text, 40, 60)), text from documents union all select doc_id, 2, 'no such text in it at all', text from documents),
 f as (select doc_id, pos, case when instr(text, s) > 0 then instr(text, s) else instr(lower(text), array_to_string(string_split(lower(s), ' ')[1:5], ' ')) end as start, length(text) as n from s where s <> ''), k as (select * from f where start > 0)

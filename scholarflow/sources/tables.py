@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +35,43 @@ def course_tests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def materials(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files with a title from the file name, and the course and concept ids of the path."""
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    """Whole text files with a title from the file name, and the course and concept ids of the path. An empty file gives no row: Spark reads none of it."""
+    # the path is a uri, in which a plus sign stands for itself
+    parts = F.split(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
     slug = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return raw.select(F.element_at(parts, -1).alias("filename"), F.initcap(F.translate(stem, "_-", "  ")).alias("title"), slug(F.element_at(parts, -2)).alias("course_id"), slug(stem).alias("concept_id"), F.col("value").alias("content"))
 
 
+def write_materials(rows: DataFrame, path: str) -> int:
+    """Writes each row (course, filename, content) to `path`/course/filename as UTF-8; the number of files.
+
+    `path` is in a folder that all executors share. A file appears under its name when it is whole, so a task that runs twice, or two rows
+    of one name, leave one of the contents. A null content is an empty file; a null course or file name is an error.
+    """
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = _file_system(path)
+        for batch in batches:
+            for course, name, content in zip(batch["course"], batch["filename"], batch["content"], strict=True):
+                if "/" in f"{course}{name}" or course is None or name is None:
+                    raise ValueError(f"no file name: {course}, {name}")
+                store.create_dir(f"{top}/{course}", recursive=True)
+                part = f"{top}/{course}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write((content or "").encode("utf-8"))
+                store.move(part, f"{top}/{course}/{name}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.select("course", "filename", "content").mapInPandas(save, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it of a folder that executors share."""
+    return (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
 def path_steps(paths: DataFrame) -> DataFrame:
     """Saved paths (learner_id, created_at, path JSON) as one row per step."""
     return paths.select("learner_id", "created_at", F.posexplode(F.from_json("path", PATH_STEPS)).alias("pos", "s")).select("learner_id", "created_at", "pos", "s.*")
