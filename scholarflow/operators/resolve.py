@@ -46,41 +46,77 @@ def topk_similar(queries: DataFrame, items: DataFrame, k: int = 20, block: int =
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def clusters(pairs: DataFrame, threshold: float = 0.8, most: int = 200_000) -> DataFrame:
-    """Average-linkage clusters of nodes from scored pairs (a, b, score); unscored pairs count 0.
-
-    A merge needs one pair at the threshold or above, so components of those pairs bound every cluster;
-    each component is clustered by itself. A component of more than `most` pairs is an error, not a cut:
-    such a block needs a stricter threshold or a finer blocking key.
+def _tie(a, b):
+    """What decides between pairs of clusters of equal average; Spark and numpy compute it alike."""
+    return (a % 1_000_003 * 7_919 + b % 1_000_003 * 104_729) % 1_000_033
+
+
+def _linked(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(old, new) of the clusters of one component (a, b, total, na, nb) that the best merges, one after the other, join to a lesser one."""
+    ids = np.unique(rows[["a", "b"]].to_numpy())
+    i, j = np.searchsorted(ids, rows["a"]), np.searchsorted(ids, rows["b"])
+    total, size, root = np.zeros((len(ids), len(ids))), np.ones(len(ids), np.int64), np.arange(len(ids))
+    total[i, j] = total[j, i] = rows["total"]
+    size[i], size[j] = rows["na"], rows["nb"]
+    tie = _tie(np.minimum(ids[:, None], ids), np.maximum(ids[:, None], ids))
+    mean = np.round(total / np.outer(size, size), 12)
+    np.fill_diagonal(mean, -1)
+    while len(ids) > 1 and (best := mean.max()) >= threshold - 1e-12:
+        at = np.flatnonzero(mean == best)
+        x, y = sorted(divmod(int(at[tie.ravel()[at].argmax()]), len(ids)))
+        total[x] += total[y]
+        total[:, x] = total[x]
+        size[x] += size[y]
+        mean[x] = mean[:, x] = np.where(mean[x] < 0, -1, np.round(total[x] / (size[x] * size), 12))
+        mean[y] = mean[:, y] = mean[x, x] = -1
+        root[root == y] = x
+    gone = root != np.arange(len(ids))
+    return pd.DataFrame({"old": ids[gone], "new": ids[root[gone]]})
+
+
+def clusters(pairs: DataFrame, threshold: float = 0.8, in_task: int = 2000) -> DataFrame:
+    """Average-linkage clusters (node, cluster: its smallest node) from scored pairs (a, b, score); unscored pairs count 0.
+
+    A merge needs one pair at the threshold or above, so components of those pairs bound every cluster, and only pairs within
+    one are looked at. A component of up to `in_task` clusters is merged in one task. In larger ones each round on Spark merges all pairs of
+    clusters that are each other's nearest neighbour at an average of `threshold` or more: a merge never brings a third cluster nearer
+    to either, so the order among them doesn't matter and the result is that of merging the best pair each time. Pairs of clusters carry
+    the sum of their scores (the update of Lance and Williams for averages), which is added up where clusters were joined, until no
+    more can be or few enough are left. Ties are broken by `_tie`, so that many equal pairs merge in one round. Nodes without a partner
+    in their component have no row; of repeated pairs the highest score counts, loops and null ends don't.
     """
-    strong = pairs.filter(F.col("score") >= threshold).select("a", "b")
-    of = components(strong)
-    inside = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").filter("ca = cb")
-    inside = checkpointed(inside.select(F.col("ca").alias("component"), "a", "b", "score"))
-    largest = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a component of {largest} pairs; at most {most} are clustered in one task")
-
-    def linkage(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(rows[["a", "b"]].to_numpy())
-        s = np.zeros((len(nodes), len(nodes)))
-        i, j = np.searchsorted(nodes, rows["a"]), np.searchsorted(nodes, rows["b"])
-        s[i, j] = s[j, i] = rows["score"]
-        np.fill_diagonal(s, -np.inf)
-        size, root = np.ones(len(nodes)), np.arange(len(nodes))
-        while len(nodes) > 1:
-            x, y = sorted(divmod(int(s.argmax()), len(nodes)))
-            if s[x, y] < threshold:
-                break
-            # Lance-Williams update of average linkage
-            merged = (size[x] * s[x] + size[y] * s[y]) / (size[x] + size[y])
-            s[x], s[:, x], s[x, x] = merged, merged, -np.inf
-            s[y], s[:, y] = -np.inf, -np.inf
-            size[x] += size[y]
-            root[root == y] = x
-        return pd.DataFrame({"node": nodes.astype("int64"), "cluster": nodes[root].astype("int64")})
-
-    return inside.groupBy("component").applyInPandas(linkage, "node long, cluster long")
+    pairs = pairs.filter("a <> b").groupBy(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).agg(F.max("score").alias("score"))
+    of = components(pairs.filter(F.col("score") >= threshold).select("a", "b"))
+    inside = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("part")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").filter("part = cb")
+    one = F.lit(1).cast("long")
+    links = checkpointed(inside.select("part", "a", "b", F.col("score").cast("double").alias("total"), one.alias("na"), one.alias("nb")))
+    nodes = checkpointed(links.select("part", F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("cluster"), "part"))
+
+    def joined(nodes: DataFrame, merged: DataFrame) -> DataFrame:
+        return checkpointed(nodes.join(merged.select(F.col("old").alias("cluster"), "new"), "cluster", "left").select("node", F.coalesce("new", "cluster").alias("cluster"), "part"))
+
+    while True:
+        large = nodes.select("part", "cluster").distinct().groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > in_task).select("part")
+        now = checkpointed(links.join(large, "part", "left_semi"))
+        mean = F.round(F.col("total") / (F.col("na") * F.col("nb")), 12)
+        near = now.withColumn("mean", mean).filter("mean > 0").withColumn("tie", _tie(F.col("a"), F.col("b")))
+        best = near.select(F.explode(F.array("a", "b")).alias("c"), F.struct("mean", "tie", "a", "b", "na", "nb").alias("x")).groupBy("c").agg(F.max("x").alias("x"))
+        # a pair that is the best of both its ends
+        merged = best.filter(F.col("x.mean") >= threshold - 1e-12).groupBy("x").agg(F.count(F.lit(1)).alias("ends")).filter("ends = 2")
+        merged = checkpointed(merged.select(F.explode(F.array("x.a", "x.b")).alias("old"), F.col("x.a").alias("new"), (F.col("x.na") + F.col("x.nb")).alias("n")))
+        if not merged.head(1):
+            break
+        for end in "ab":
+            to = merged.select(F.col("old").alias(end), F.col("new").alias(f"new_{end}"), F.col("n").alias(f"n_{end}"))
+            links = links.join(to, end, "left").withColumn(end, F.coalesce(f"new_{end}", end)).withColumn(f"n{end}", F.coalesce(f"n_{end}", f"n{end}")).drop(f"new_{end}", f"n_{end}")
+        swap = F.col("a") > F.col("b")
+        turned = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]
+        links = checkpointed(links.filter("a <> b").select("part", *turned, "total").groupBy("part", "a", "b").agg(F.sum("total").alias("total"), F.first("na").alias("na"), F.first("nb").alias("nb")))
+        nodes = joined(nodes, merged)
+    # what is large still can't be merged any more
+    rest = links.join(now.select("part").distinct(), "part", "left_anti")
+    merged = rest.groupBy("part").applyInPandas(lambda rows: _linked(rows, threshold), "old long, new long")
+    return joined(nodes, merged).select("node", "cluster")
 
 
 def resolve(scored: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -99,7 +99,8 @@ add("srt_goal_concepts", lambda v: E.topk_similar(_vec(v).filter("id % 100 = 0")
 _pairs = lambda v: v.concepts.select(F.col("concept_id").alias("a"), "name", "brand", "difficulty").join(v.concepts.select(F.col("concept_id").alias("b"), "name", "brand", F.col("difficulty").alias("d2")), ["name", "brand"]).filter("a < b").select("a", "b", F.when(F.col("difficulty") == F.col("d2"), 1.0).otherwise(0.7).alias("score"))
 PAIRS = "select x.concept_id as a, y.concept_id as b, case when x.difficulty = y.difficulty then 1.0 else 0.7 end as score from {concepts} x join {concepts} y using (name, brand) where x.concept_id < y.concept_id"
 add("join_pairs_within", _pairs, PAIRS, "score")
-add("grf_cluster", lambda v: E.clusters(_pairs(v)))
+# clusters of the pairs above: concepts with other difficulties are at 0.7, which no average reaches the threshold with
+add("grf_cluster", lambda v: E.clusters(_pairs(v)), "select concept_id as node, min(concept_id) over (partition by name, brand, difficulty) as cluster from {concepts} qualify count(*) over (partition by name, brand, difficulty) > 1")
 add("grf_resolve", lambda v: E.resolve(_pairs(v).select(F.col("b").alias("new_id"), F.col("a").alias("existing_id"), "score")), f"select b as new_id, arg_max(a, (score, -a)) as existing_id, max(score) as score from ({PAIRS}) p where score >= 0.8 group by 1", "score")
 add("grf_greedy_path", lambda v: E.greedy_paths(v.mastery, v.concepts, 20.0))
 add("set_concept_union", lambda v: v.concepts.filter("concept_id % 2 = 0").select("concept_id").unionAll(v.concepts.select("concept_id").join(v.concepts.filter("concept_id % 2 = 0").select("concept_id"), "concept_id", "left_anti").filter("concept_id % 3 = 0")), "select concept_id from {concepts} where concept_id % 2 = 0 or concept_id % 3 = 0")

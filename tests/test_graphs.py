@@ -72,6 +72,20 @@ def test_clusters_by_average_linkage(spark):
     assert got == {k: min(g) for g in groups for k in g if k in got}
 
 
+def test_clusters_in_rounds_are_those_of_one_task(spark):
+    """Dense groups with loose links between them, in one component; equal pairs; loops, repeats and null ends."""
+    rng = np.random.default_rng(8)
+    n = 60
+    i, j = np.triu_indices(n, 1)
+    score = np.where(i // 20 == j // 20, rng.uniform(0.7, 1.0, len(i)), rng.uniform(0.2, 0.85, len(i)))
+    rows = [*zip(i.tolist(), j.tolist(), score.tolist(), strict=True), (3, 3, 1.0), (None, 4, 1.0), (2000, 2001, 0.5)]
+    rows += [(1000 + a, 1000 + b, 1.0) for a in range(16) for b in range(a)]
+    df = spark.createDataFrame(rows, "a long, b long, score double")
+    whole, rounds = ({r["node"]: r["cluster"] for r in resolve.clusters(df, in_task=k).collect()} for k in (2000, 30))
+    assert whole == rounds and {whole[1000 + k] for k in range(16)} == {1000} and 2000 not in whole
+    assert resolve.clusters(spark.createDataFrame([], "a long, b long, score double")).count() == 0
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
