@@ -68,6 +68,8 @@ def term_counts(texts: DataFrame) -> DataFrame:
             for group in list(n):
                 own, docs = n.pop(group), df.pop(group)
                 terms = list(own)
+                if not terms:
+                    continue
                 yield pd.DataFrame({"lang": group[0], "source": group[1], "term": [t.decode() for t in terms], "n": [own[t] for t in terms], "df": [docs[t] for t in terms]})
 
         for batch in batches:
