@@ -39,7 +39,6 @@ def _replay(v, job, mode="append", key=None, composite=False):
 
 add("stm_bandit", lambda v: _replay(v, jobs.bandit, "complete"), "select concept_id, count(*) as pulls, sum(score) as total_reward from {attempts} group by 1", "total_reward")
 add("stm_mastery", lambda v: _replay(v, jobs.mastery, "update", ["learner_id", "concept_id"]))
-add("stm_note_events", lambda v: _replay(v, jobs.note_events), "select attempt_id, learner_id, case when score < 0.8 then 'MISCONCEPTION_NOTE' else 'ATOMIC_NOTE' end as note_type from {attempts}")
 add("stm_dedup", lambda v: _replay(v, lambda s: jobs.deduplicated(s).select("attempt_id")), "select distinct attempt_id from {attempts}")
 add("stm_rate_window", lambda v: _replay(v, jobs.rate_window, "update", ["learner_id", "start"]), "select learner_id, date_trunc('hour', ts) as start, count(*) as n from {attempts} group by 1, 2", times="start")
 add("stm_sessions", lambda v: _replay(v, jobs.sessions), """select learner_id, min(ts) as started, count(*) as events from (select *, sum(opens) over (partition by learner_id order by ts, attempt_id) as session from (
@@ -153,3 +152,14 @@ add("stm_pace", lambda v: _replay(v, stateful.profile, composite=True).filter("k
 p as (select learner_id, version, done_so_far / (minutes / 60) as velocity, 2.0 * passed / version as ratio from r where version % {stateful.PACE_EVERY} = 0)
 select learner_id, version, velocity, case when ratio > 1.2 + 1e-9 then 'HARD' when ratio < 0.8 - 1e-9 then 'EASY' else 'MEDIUM' end as prefers,
   case when abs(velocity - 1) > 0.3 + 1e-9 then case when velocity > 1 then 'LEARNER_ACCELERATING' else 'LEARNER_SLOWING' end end as event from p""", "velocity")
+
+
+def _notes(v):
+    sink = jobs.merged_notes(_stream(v), new_folder(v.spark, "notes"))
+    sink.drained(v.spark)
+    parts = [df.select("attempt_id", "learner_id", "note_type", "about", "tried", F.lit(kind).alias("state")) for kind, df in sink.tables(v.spark).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+add("stm_note_events", _notes, """select attempt_id, learner_id, case when score < 0.8 then 'MISCONCEPTION_NOTE' else 'ATOMIC_NOTE' end as note_type, case when score >= 0.8 then concat('concept ', concept_id) when err <> 'INCOMPLETE' then err end as about,
+  case when score < 0.8 and err = 'INCOMPLETE' then 3 else 1 end as tried, case when score < 0.8 and err = 'INCOMPLETE' then 'aside' else 'merged' end as state from {attempts}""")

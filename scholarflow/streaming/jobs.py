@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import CONFIG
+from .sinks import MergeSink
 
 LATE = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -60,8 +61,17 @@ def critical_failures(attempts: DataFrame) -> DataFrame:
 
 
 def note_events(attempts: DataFrame) -> DataFrame:
+    """The note that each evaluation gives rise to, with what it is about: a misconception note needs a misconception."""
     kind = F.when(F.col("score") < CONFIG.proceed, "MISCONCEPTION_NOTE").otherwise("ATOMIC_NOTE")
-    return attempts.select("attempt_id", "learner_id", kind.alias("note_type"))
+    about = F.when(F.col("score") >= CONFIG.proceed, F.concat(F.lit("concept "), F.col("concept_id").cast("string"))).when(F.col("err") != "INCOMPLETE", F.col("err"))
+    return attempts.select("attempt_id", "learner_id", kind.alias("note_type"), about.alias("about"))
+
+
+def merged_notes(attempts: DataFrame, where: str) -> MergeSink:
+    """Runs the note events of a stream into a `MergeSink` under `where`; notes without a subject fail, are retried and then kept aside."""
+    sink = MergeSink(where, ["attempt_id"], lambda rows: F.col("about").isNotNull())
+    note_events(attempts).writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return sink
 
 
 def _step(score: float, bloom: str) -> float:
