@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,23 +63,33 @@ def component_contribution(table: DataFrame, baseline: int = 4) -> DataFrame:
     return out.select("condition", F.col("d_full").alias("delta_d"), F.when(F.col("d_base") != 0, 100 * F.col("d_full") / F.col("d_base")).alias("share_pct"))
 
 
-def bootstrap_ci(rows: DataFrame, value: str, treated: Column, key: str, resamples: int = 200) -> DataFrame:
-    """Percentile interval of Cohen's d from Poisson bootstrap weights of a seeded hash.
+def bootstrap_ci(rows: DataFrame, value: str, treated: Column, resamples: int = 10_000, seed: int = 7) -> DataFrame:
+    """Percentile interval (low, median, high) of Cohen's d from a Poisson bootstrap.
 
-    Each row is weighted for each resample where it is, and only weighted moments are shuffled.
+    Rows of a side with equal values are one row of n, whose weight in a resample is one Poisson(n) draw, as the sum of n Poisson(1)
+    draws is. Each value draws its weights in all resamples from a generator seeded by itself, so the result depends on neither order
+    nor partitions; a task adds up the moments of its values and passes on two rows for each resample. Rows with a null value or
+    side don't count; resamples in which a side is empty or nothing varies have no effect size and are left out.
     """
-    u = (F.pmod(F.xxhash64(key, "b"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    w, p, cum = F.lit(0.0), 0.36787944117144233, 0.0
-    for k in range(8):
-        cum += p
-        w = F.when(u > cum, float(k + 1)).otherwise(w)
-        p /= k + 1
-    rows = rows.select(key, F.col(value).alias("x"), treated.alias("t")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", w)
-    m = rows.groupBy("b", "t").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("s"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("q"))
+    counted = rows.select(F.col(value).cast("double").alias("x"), treated.cast("boolean").alias("t")).dropna().groupBy("x", "t").agg(F.count(F.lit(1)).alias("n"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, 3, resamples))
+        for batch in batches:
+            for x, t, n in zip(batch["x"].tolist(), batch["t"].tolist(), batch["n"].tolist(), strict=True):
+                key = int(np.float64(x + 0.0).view(np.uint64))
+                w = np.random.default_rng([seed, int(t), key]).poisson(n, resamples)
+                sums[int(t)] += w * np.array([[1.0], [x], [x * x]])
+        for t in (0, 1):
+            if sums[t].any():
+                yield pd.DataFrame({"b": np.arange(resamples), "t": t, "n": sums[t, 0], "s": sums[t, 1], "q": sums[t, 2]})
+
+    m = counted.mapInPandas(draw, "b int, t int, n double, s double, q double").groupBy("b", "t").agg(*[F.sum(c).alias(c) for c in "nsq"])
     of = lambda side, c: F.max(F.when(F.col("t") == side, F.col(c)))
-    m = m.groupBy("b").agg(*[of(side, c).alias(f"{c}{int(side)}") for side in (True, False) for c in "nsq"])
+    m = m.groupBy("b").agg(*[of(side, c).alias(f"{c}{side}") for side in (1, 0) for c in "nsq"]).filter("n1 > 0 and n0 > 0 and n1 + n0 > 2")
     ss = lambda k: F.col(f"q{k}") - F.col(f"s{k}") * F.col(f"s{k}") / F.col(f"n{k}")
-    d = (F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")) / F.sqrt((ss(1) + ss(0)) / (F.col("n1") + F.col("n0") - 2))
+    spread = F.sqrt(F.greatest(ss(1) + ss(0), F.lit(0.0)) / (F.col("n1") + F.col("n0") - 2))
+    d = F.when(spread > 0, (F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")) / spread)
     return m.select(d.alias("d")).agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(0.975)).alias("high"))
 
 

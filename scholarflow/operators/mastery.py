@@ -90,7 +90,7 @@ def history_text(attempts: DataFrame, last: int = 10) -> DataFrame:
     return rows.groupBy("learner_id").agg(F.concat(F.lit("[CLS] "), F.array_join(items, " \n ")).alias("history"))
 
 
-def keep_last(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+def keep_last(rows: DataFrame, key: str | list[str], order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= n)
 
 
@@ -157,3 +157,25 @@ def interest_decay(attempts: DataFrame, rate: float = 0.95, drop: float = 0.1) -
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in `order`."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def note_synthesis(notes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
+    """The concepts that the notes of a learner lead to most: learner_id, other, n (pairs of different notes, one of a concept with an edge
+    (source, target) to the other's), rank. Notes are counted by learner and concept, and counts are multiplied: no pair of notes is formed."""
+    counts = notes.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
+    e = edges.groupBy(F.col("source").alias("concept_id"), F.col("target").alias("other")).agg(F.count(F.lit(1)).alias("e"))
+    met = counts.join(e, "concept_id").join(counts.select("learner_id", F.col("concept_id").alias("other"), F.col("n").alias("m")), ["learner_id", "other"])
+    own = F.when(F.col("concept_id") == F.col("other"), F.col("m")).otherwise(0)  # a note is no partner of its own
+    n = met.groupBy("learner_id", "other").agg(F.sum(F.col("e") * (F.col("n") * F.col("m") - own)).alias("n")).filter("n > 0")
+    return keep_last(n, "learner_id", [F.desc("n"), F.col("other")], top)
+
+
+def related_notes(notes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """Up to `most` notes that a note is linked with by an edge between their concepts, the first by id: note_id, linked, rank.
+
+    Of each learner and concept only the first `most` + 1 notes enter the join (one may be the note itself), so a note meets no more for an edge.
+    """
+    first = keep_last(notes.select("note_id", *PAIR), PAIR, [F.col("note_id")], most + 1).select("learner_id", F.col("concept_id").alias("other"), F.col("note_id").alias("linked"))
+    e = edges.select(F.col("source").alias("concept_id"), F.col("target").alias("other")).distinct()
+    met = notes.select("note_id", *PAIR).join(e, "concept_id").join(first, ["learner_id", "other"]).filter("note_id <> linked")
+    return keep_last(met.select("note_id", "linked").distinct(), "note_id", [F.col("linked")], most)

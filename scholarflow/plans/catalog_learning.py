@@ -90,7 +90,7 @@ ABLATION = f"""select condition, n, mean_gain, mean_decay, case when sqrt(((n0 -
   select condition, avg(gain) as mean_gain, avg(decay) as mean_decay, var_samp(gain) as v, count(*) as n from ({GAINS}) g group by 1) a, (select avg(gain) as m0, var_samp(gain) as v0, count(*) as n0 from ({GAINS}) g where condition = 0) b"""
 add("exp_ablation_table", lambda v: X.ablation_table(gains(v)), ABLATION, "mean_gain mean_decay d_full")
 add("exp_component_contribution", lambda v: X.component_contribution(X.ablation_table(gains(v))), f"select a.condition, a.d_full as delta_d, 100 * a.d_full / b.d_full as share_pct from ({ABLATION}) a, ({ABLATION}) b where b.condition = 4 and a.condition not in (0, 4)", "delta_d share_pct")
-add("exp_bootstrap_ci", lambda v: X.bootstrap_ci(gains(v), "gain", F.col("cohort") == "treatment", "learner_id"))
+add("exp_bootstrap_ci", lambda v: X.bootstrap_ci(gains(v), "gain", F.col("cohort") == "treatment"))
 add("exp_time_to_mastery", lambda v: X.time_to_mastery(v.attempts), """select learner_id, cast(min(n) as int) as attempts_needed from (select learner_id, row_number() over w as n, avg(score) over (partition by learner_id order by ts, attempt_id rows unbounded preceding) as mean from {attempts} window w as (partition by learner_id order by ts, attempt_id)) x where mean >= 0.7 group by 1""")
 add("exp_retention_rate", lambda v: X.retention_rate(v.outcomes), "select condition, 100 * avg(retention) / avg(post) as retention_pct from {outcomes} group by 1", "retention_pct")
 add("exp_engagement", lambda v: X.engagement(v.attempts), "select avg(case when c >= 15 then 1.0 else 0.0 end) as completion_rate, avg(case when n < 60 then 1.0 else 0.0 end) as dropout_rate from (select learner_id, count(distinct concept_id) as c, count(*) as n from {attempts} group by 1) x", "completion_rate dropout_rate")

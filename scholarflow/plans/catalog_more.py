@@ -84,10 +84,11 @@ add("join_learner_context", lambda v: v.mastery.join(v.attempts.filter("score <
 _needs = lambda v: v.edges.filter("rel_type = 'REQUIRES'").groupBy("source").agg(F.count(F.lit(1)).alias("needs"))
 add("join_eval_concept", lambda v: v.attempts.join(v.concepts.select(F.col("concept_id").cast("int").alias("concept_id"), "name"), "concept_id", "left").join(_needs(v), F.col("concept_id") == F.col("source"), "left").select("attempt_id", "name", F.coalesce("needs", F.lit(0)).alias("needs")), "select attempt_id, c.name, coalesce(needs, 0) as needs from {attempts} a left join {concepts} c on c.concept_id = a.concept_id left join (select source, count(*) as needs from {edges} where rel_type = 'REQUIRES' group by 1) e on e.source = a.concept_id")
 _links = lambda v: v.notes.select("note_id", "learner_id", "concept_id").join(v.edges.filter("rel_type = 'NEXT'").select(F.col("source").cast("int").alias("concept_id"), F.col("target").cast("int").alias("other")), "concept_id").join(v.notes.select(F.col("note_id").alias("linked"), "learner_id", F.col("concept_id").alias("other")), ["learner_id", "other"]).filter("note_id <> linked")
+_next = lambda v: v.edges.filter("rel_type = 'NEXT'").select(F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"))
 LINKS = "select n.note_id, n.learner_id, m.note_id as linked, m.concept_id as other from {notes} n join {edges} e on e.rel_type = 'NEXT' and e.source = n.concept_id join {notes} m on m.learner_id = n.learner_id and m.concept_id = e.target where n.note_id <> m.note_id"
 add("join_link_notes", lambda v: _links(v).select("note_id", "linked"), f"select note_id, linked from ({LINKS}) l")
-add("join_related_notes", lambda v: M.keep_last(_links(v).select("note_id", "linked").distinct(), "note_id", [F.col("linked")], 5), f"select * from (select note_id, linked, cast(row_number() over (partition by note_id order by linked) as int) as rank from (select distinct note_id, linked from ({LINKS}) l) d) x where rank <= 5")
-add("agg_note_synthesis", lambda v: M.keep_last(_links(v).groupBy("learner_id", "other").agg(F.count(F.lit(1)).alias("n")), "learner_id", [F.desc("n"), F.col("other")], 10), f"select * from (select learner_id, other, n, cast(row_number() over (partition by learner_id order by n desc, other) as int) as rank from (select learner_id, other, count(*) as n from ({LINKS}) l group by 1, 2) c) x where rank <= 10")
+add("join_related_notes", lambda v: M.related_notes(v.notes, _next(v)), f"select * from (select note_id, linked, cast(row_number() over (partition by note_id order by linked) as int) as rank from (select distinct note_id, linked from ({LINKS}) l) d) x where rank <= 5")
+add("agg_note_synthesis", lambda v: M.note_synthesis(v.notes, _next(v)), f"select * from (select learner_id, other, n, cast(row_number() over (partition by learner_id order by n desc, other) as int) as rank from (select learner_id, other, count(*) as n from ({LINKS}) l group by 1, 2) c) x where rank <= 10")
 add("join_bottleneck_flags", lambda v: v.concepts.select(F.col("concept_id").cast("int").alias("concept_id")).join(v.mastery.groupBy("concept_id").agg(F.avg("level").alias("a")).filter("a < 0.4"), "concept_id", "left").select("concept_id", F.col("a").isNotNull().alias("is_bottleneck"), F.coalesce("a", F.lit(0.0)).alias("avg_mastery")), "select c.concept_id::int as concept_id, a is not null as is_bottleneck, coalesce(a, 0) as avg_mastery from {concepts} c left join (select concept_id, avg(level) as a from {mastery} group by 1 having avg(level) < 0.4) m on m.concept_id = c.concept_id", "avg_mastery")
 _vec = lambda v: v.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 add("join_topk_candidates", lambda v: E.topk_similar(_vec(v).filter("id % 100 = 0"), _vec(v), 20).drop("cos"), """select query, item, cast(rank as int) as rank from (select a.vec_id as query, b.vec_id as item, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) as rank
