@@ -128,6 +128,19 @@ def simple_score(text: Column) -> tuple[Column, Column]:
     return F.when(n == "", 0.5).otherwise(n.cast("double") / 100), F.when(why == "", "Could not parse").otherwise(why)
 
 
+def first_line_score(text: Column) -> Column:
+    """All digits of the first line as one number over 100, 1 at most; 0.5 if there are none, or no text."""
+    digits = F.regexp_replace(F.element_at(F.split(text, "\n"), 1), "[^0-9]", "")
+    number = F.regexp_replace(digits, "^0+", "")
+    return F.when(F.coalesce(digits, F.lit("")) == "", 0.5).when(F.length(number) > 3, 1.0).otherwise(F.least(F.lit(1.0), F.concat(F.lit("0"), number).cast("double") / 100))
+
+
+def probability(text: Column) -> Column:
+    """The first number from 0 to 1 that a text holds (a leading 0 or 1 of a longer number counts); 0.5 if there is none, or no text."""
+    found = F.regexp_extract(text, r"0\.[0-9]+|1\.0|0|1", 0)
+    return F.when(F.coalesce(found, F.lit("")) == "", 0.5).otherwise(F.least(F.lit(1.0), found.cast("double")))
+
+
 def parse_code(code: Column, default: str = "general") -> tuple[Column, Column, Column]:
     """Domain, context and concept of a dotted code; two parts are domain and concept."""
     p = F.split(code, r"\.")

@@ -89,7 +89,24 @@ for _name, (_severity, _sql) in _EDGE_RULES.items():
 add("dq_validate", lambda v: G.validate(v.raw_nodes, v.raw_edges), "with q as (" + " union all ".join([f"select '{n}' as rule, '{a}' as severity from {{raw_nodes}} n where {w}" for n, (a, _, w) in _RULES.items()] + [f"select '{n}', '{a}' from ({q}) e" for n, (a, q) in _EDGE_RULES.items()] + ["select 'unique', 'ERROR' from (select row_number() over (partition by concept_id) as r from {raw_nodes}) u where r > 1"]).replace("coalesce(concept_id, '')", "coalesce(cast(concept_id as varchar), '')").replace("regexp_full_match(concept_id,", "regexp_full_match(cast(concept_id as varchar),") + ") select rule, severity, count(*) as issues from q group by 1, 2")
 add("dq_autofix_nodes", lambda v: G.autofix_nodes(_nodes(v)).select("pos", "concept_id", "bloom", "difficulty", "time_estimate"), f"select pos, regexp_replace(concept_id, '[^A-Za-z0-9_]', '_', 'g') as concept_id, case when bloom = 'apply' then 'APPLY' else 'UNDERSTAND' end as bloom, least(5, greatest(1, difficulty)) as difficulty, least(120, greatest(15, time_estimate)) as time_estimate from ({NODES}) n")
 add("dq_autofix_edges", lambda v: G.autofix_edges(v.raw_edges, v.raw_nodes), "select * replace (case when rel_type = 'LIKES' then 'SIMILAR_TO' else rel_type end as rel_type) from {raw_edges} where source <> target and source in (select concept_id from {raw_nodes}) and target in (select concept_id from {raw_nodes})", "weight")
-add("dq_uniqueness_constraints", lambda v: v.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
+#: The declared unique keys, as SQL that both sides read: of concepts (two), learners, notes, staged concepts, documents, snapshots of concepts and of relations.
+_UNIQUE = {
+    "course_concept_id": ("concept_id", "concepts"), "course_concept_uuid": ("md5(concat(concept_id, ':', name))", "concepts"), "learner_id": ("c_custkey", "customer"), "note_id": ("note_id", "notes"),
+    "staging_concept_id": ("concept_id", "raw_nodes"), "source_document_id": ("doc_id", "documents"), "concept_snapshot_id": ("concat(order_id, '-', line)", "snapshots"), "relationship_snapshot_id": ("concat(source, '-', target, '-', rel_type)", "raw_edges"),
+}
+
+
+def _duplicates(v):
+    """How many keys of each declared unique key come more than once, and the rows that have them. A null key is unique."""
+    out = None
+    for name, (key, table) in _UNIQUE.items():
+        n = getattr(v, table).select(F.expr(key).cast("string").alias("k")).filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = n.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).select(F.lit(f"unique_{name}").alias("constraint_name"), "keys", "rows")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+add("dq_uniqueness_constraints", _duplicates, " union all ".join(f"select 'unique_{name}' as constraint_name, count(*) as keys, cast(coalesce(sum(n), 0) as bigint) as rows from (select {key} as k, count(*) as n from {table if table in ('customer', 'documents') else '{' + table + '}'} group by 1 having count(*) > 1 and {key} is not null) x" for name, (key, table) in _UNIQUE.items()))
 add("dq_consent_before_use", lambda v: v.attempts.select("learner_id").distinct().join(v.runs.filter("status = 'success' and mode = 'real'").select("learner_id").distinct(), "learner_id", "left_anti"), "select distinct learner_id from {attempts} where learner_id not in (select learner_id from {runs} where status = 'success' and mode = 'real')")
 
 # --- planning -------------------------------------------------------------------------------------

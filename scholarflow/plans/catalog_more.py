@@ -70,7 +70,20 @@ add("str_careless", lambda v: v.attempts.select("attempt_id", S.careless(_answer
 add("mth_error_type", lambda v: v.attempts.select("attempt_id", S.error_type(F.col("score"), F.col("difficulty") == 1, F.col("difficulty") == 2, F.col("score") * 0.8, F.col("err") == "CONCEPTUAL").alias("kind")), """select attempt_id, case when score >= 0.95 then 'CORRECT' when score >= 0.8 then case when difficulty = 1 then 'CARELESS' else 'INCOMPLETE' end when score >= 0.6 then case when difficulty = 2 then 'PROCEDURAL' else 'INCOMPLETE' end
   when score * 0.8 < 0.3 then case when err = 'CONCEPTUAL' then 'CONCEPTUAL' else 'PROCEDURAL' end else 'INCOMPLETE' end as kind from {attempts}""")
 _judged = lambda: F.when(F.col("attempt_id") % 4 == 0, "no verdict").otherwise(F.concat(F.lit("score: "), (F.col("attempt_id") % 101).cast("string"), F.lit("\nJUSTIFICATION: row "), F.col("concept_id").cast("string"), F.lit(" \nend")))
-add("jsn_simple_score", lambda v: v.attempts.select("attempt_id", *[c.alias(n) for c, n in zip(S.simple_score(_judged()), ("score", "why"), strict=True)]), "select attempt_id, case when attempt_id % 4 = 0 then 0.5 else (attempt_id % 101) / 100.0 end as score, case when attempt_id % 4 = 0 then 'Could not parse' else concat('row ', concept_id) end as why from {attempts}", "score")
+
+
+def _scores(v):
+    """A judge's score in its three forms: labelled lines, digits of a first line, and a probability in an answer."""
+    score, why = S.simple_score(_judged())
+    rows = [v.attempts.select(F.lit("labelled").alias("form"), F.col("attempt_id").alias("id"), F.lit(None).cast("long").alias("turn"), score.alias("score"), why.alias("why"))]
+    rows.append(v.documents.select(F.lit("first line").alias("form"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("turn"), S.first_line_score(F.col("text")).alias("score"), F.lit(None).cast("string").alias("why")))
+    rows.append(v.conversations.select(F.lit("probability").alias("form"), F.col("conv_id").alias("id"), "turn", S.probability(F.col("text")).alias("score"), F.lit(None).cast("string").alias("why")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+add("jsn_simple_score", _scores, """select 'labelled' as form, attempt_id as id, null::bigint as turn, case when attempt_id % 4 = 0 then 0.5 else (attempt_id % 101) / 100.0 end as score, case when attempt_id % 4 = 0 then 'Could not parse' else concat('row ', concept_id) end as why from {attempts}
+union all select 'first line', doc_id, null, case when coalesce(d, '') = '' then 0.5 when length(ltrim(d, '0')) > 3 then 1.0 else least(1.0, concat('0', ltrim(d, '0'))::double / 100) end, null from (select doc_id, regexp_replace(string_split(text, chr(10))[1], '[^0-9]', '', 'g') as d from documents) x
+union all select 'probability', conv_id, turn, case when coalesce(p, '') = '' then 0.5 else least(1.0, p::double) end, null from (select conv_id, turn, regexp_extract(text, '0\\.[0-9]+|1\\.0|0|1') as p from conversations) y""", "score")
 add("join_alias_lookup", lambda v: v.concepts.select("concept_id", F.col("brand").alias("domain"), F.replace("name", F.lit(" "), F.lit("_")).alias("alias")).join(small(_contexts(v).select("domain", "context_key", F.explode("aliases").alias("alias")), 100_000, "aliases"), ["domain", "alias"], "left").select("concept_id", "context_key"), f"select concept_id, context_key from {{concepts}} c left join (select domain, context_key, unnest(aliases) as alias from ({REGISTRY}) r) a on a.domain = c.brand and a.alias = replace(c.name, ' ', '_')")
 _steps = lambda v: v.mastery.select("learner_id", F.col("concept_id").cast("long").alias("concept_id"), F.when(F.col("learner_id") % 4 == 0, "READING").when(F.col("learner_id") % 4 == 1, "AUDITORY").when(F.col("learner_id") % 4 == 2, "VISUAL").alias("style")).join(v.concepts.select("concept_id", "name", "difficulty"), "concept_id")
 add("prj_resources", lambda v: P.recommend_resources(_steps(v)), """with s as (select m.learner_id, c.concept_id, c.name, c.difficulty, case m.learner_id % 4 when 0 then 'READING' when 1 then 'AUDITORY' else 'VISUAL' end as style from {mastery} m join {concepts} c on c.concept_id = m.concept_id)
@@ -110,8 +123,17 @@ add("set_sync_apply", lambda v: G.sync_delta(_course(v), _own(v), _enrolled(v)).
 select c.learner_id, c.concept_id, case when m.learner_id is null then 0.0::double end as level from c left join {mastery} m on m.learner_id = c.learner_id and m.concept_id = c.concept_id""")
 add("win_latest_document", lambda v: M.latest(v.documents.select(F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("filename"), "doc_id"), ["filename"], [F.desc("doc_id")]), "select concat(source, '/', doc_id % 50) as filename, max(doc_id) as doc_id from documents group by 1")
 add("win_latest_consent", lambda v: v.runs.groupBy("learner_id").agg(F.max_by("status", F.struct("started_at", "run_id")).alias("consent")), "select learner_id, arg_max(status, (started_at, run_id)) as consent from {runs} group by 1")
-add("srt_recent_notes", lambda v: v.notes.filter("created_at >= timestamp '2024-01-24 00:00:00'").select("note_id", "learner_id"), "select note_id, learner_id from {notes} where created_at >= timestamp '2024-01-24 00:00:00'")
-add("srt_notes_by_concept", lambda v: v.notes.filter("concept_id = 4").select("note_id", "note_type"), "select note_id, note_type from {notes} where concept_id = 4")
+
+
+def _recent(v):
+    """Notes of the seven days up to the newest one, newest first for each learner."""
+    newest = v.notes.agg(F.max("created_at").alias("now"))  # one row
+    rows = v.notes.join(F.broadcast(newest), F.col("created_at") >= F.col("now") - F.expr("interval 7 days"))
+    return M.keep_last(rows.select("learner_id", "note_id", "created_at"), "learner_id", [F.desc("created_at"), F.desc("note_id")], 1 << 30).drop("created_at")
+
+
+add("srt_recent_notes", _recent, "select learner_id, note_id, cast(row_number() over (partition by learner_id order by created_at desc, note_id desc) as int) as rank from {notes} where created_at >= (select max(created_at) from {notes}) - interval 7 days")
+add("srt_notes_by_concept", lambda v: M.keep_last(v.notes.select("concept_id", "learner_id", "note_id", "note_type", "created_at"), ["concept_id", "learner_id"], [F.desc("created_at"), F.desc("note_id")], 1 << 30).drop("created_at"), "select concept_id, learner_id, note_id, note_type, cast(row_number() over (partition by concept_id, learner_id order by created_at desc, note_id desc) as int) as rank from {notes}")
 add("agg_concept_provenance", lambda v: v.snapshots.groupBy("concept_id").agg(F.countDistinct("doc_id").alias("sources"), F.min("uploaded_at").alias("created"), F.max("uploaded_at").alias("updated")), "select concept_id, count(distinct doc_id) as sources, min(uploaded_at) as created, max(uploaded_at) as updated from {snapshots} group by 1", times="created updated")
 _objectives = lambda v: v.attempts.groupBy("learner_id").agg(F.avg((F.col("bloom") == "APPLY").cast("double")).alias("relevance"), F.avg(1 - F.abs(F.col("score") - F.col("difficulty") / 5.0)).alias("adaptivity"), F.avg((F.col("difficulty") <= 3).cast("double")).alias("coherence"), F.avg("score").alias("feasibility"))
 add("exp_weight_ablation", lambda v: X.weight_ablation(_objectives(v), {"relevance": 0.3, "adaptivity": 0.3, "coherence": 0.2, "feasibility": 0.2}), """with q as (select learner_id, avg(case when bloom = 'APPLY' then 1.0 else 0.0 end) as r, avg(1 - abs(score - difficulty / 5.0)) as a, avg(case when difficulty <= 3 then 1.0 else 0.0 end) as c, avg(score) as f from {attempts} group by 1),

@@ -86,3 +86,12 @@ def test_ranks_of_a_hot_key(spark, hot):
         r = rows.rank()
         assert abs(got[k]["rho"] - r["grade"].corr(r["reference"])) < 1e-9 and abs(got[k]["length_bias"] - r["grade"].corr(r["length"])) < 1e-9
         assert abs(got[k]["spread"] - rows["grade"].std()) < 1e-9
+
+
+def test_scores_of_free_answers(spark):
+    from scholarflow.functions import more_rules
+
+    cases = {"Score 8 of 10\n99": (1.0, 1.0), "7": (0.07, 0.5), "0.35 I think": (0.35, 0.35), "007": (0.07, 0.0), "none\n5": (0.5, 0.5), "": (0.5, 0.5), None: (0.5, 0.5), "12345678901234567890": (1.0, 1.0)}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r["t"]: (round(r["a"], 6), round(r["b"], 6)) for r in df.select("t", more_rules.first_line_score(F.col("t")).alias("a"), more_rules.probability(F.col("t")).alias("b")).collect()}
+    assert got == cases
