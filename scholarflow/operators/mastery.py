@@ -37,27 +37,26 @@ def ewma(attempts: DataFrame) -> DataFrame:
 def bkt(attempts: DataFrame, prior: float = 0.3) -> DataFrame:
     """Bayesian knowledge tracing; an attempt with a score of 0.6 or more counts as right.
 
-    An attempt takes the chance p to (a p + b) / (c p + d): steps are 2 x 2 matrices, composed in parts by products
-    (`ordered.fold`), each divided by its sum, since only ratios count.
+    An attempt multiplies the weights (p, 1 - p) of knowing and not knowing by a 2 x 2 matrix, so a history is composed in parts by products
+    (`ordered.fold`), each divided by its sum, since only ratios count. No number is negative, so nothing cancels out.
     """
 
     def matrix(known: float, unknown: float) -> Column:
-        # seen = known p / (known p + unknown (1 - p)), then learning: learn + (1 - learn) seen
-        c, d = known - unknown, unknown
-        a, b = CONFIG.learn * c + (1 - CONFIG.learn) * known, CONFIG.learn * d
-        return F.struct(*[F.lit(float(x)).alias(n) for n, x in (("a", a), ("b", b), ("c", c), ("d", d))])
+        # the odds of what was seen, and then a share of those who don't know learns
+        return F.struct(*[F.lit(float(x)).alias(n) for n, x in (("a", known), ("b", CONFIG.learn * unknown), ("c", 0), ("d", (1 - CONFIG.learn) * unknown))])
 
     right, wrong = matrix(1 - CONFIG.slip, CONFIG.guess), matrix(CONFIG.slip, 1 - CONFIG.guess)
 
     def compose(f: Column, g: Column) -> Column:
         cells = {"a": ("a", "a", "b", "c"), "b": ("a", "b", "b", "d"), "c": ("c", "a", "d", "c"), "d": ("c", "b", "d", "d")}
         m = {n: g[w] * f[x] + g[y] * f[z] for n, (w, x, y, z) in cells.items()}
-        size = sum(map(F.abs, m.values()), F.lit(0.0))
+        size = sum(m.values(), F.lit(0.0))
         return F.struct(*[(m[n] / size).alias(n) for n in "abcd"])
 
     out = fold(attempts, PAIR, ["ts", "attempt_id"], F.when(F.col("score") >= 0.6, right).otherwise(wrong), compose)
     m = F.col("composed")
-    return out.select(*PAIR, ((m["a"] * prior + m["b"]) / (m["c"] * prior + m["d"])).alias("p_known"))
+    known, unknown = (m[x] * prior + m[y] * (1 - prior) for x, y in ("ab", "cd"))
+    return out.select(*PAIR, (known / (known + unknown)).alias("p_known"))
 
 
 def trend(attempts: DataFrame) -> DataFrame:

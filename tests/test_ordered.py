@@ -44,7 +44,7 @@ def test_folds_equal_loops(spark, monkeypatch):
     known = {(r["learner_id"], r["concept_id"]): r["p_known"] for r in mastery.bkt(df).collect()}
     assert got.keys() == known.keys() == want.keys()
     for k, (m, p, n) in want.items():
-        assert got[k][1] == n and abs(got[k][0] - m) < 1e-12 and abs(known[k] - p) < 1e-9
+        assert got[k][1] == n and abs(got[k][0] - m) < 1e-12 and abs(known[k] - p) < 1e-12
 
 
 def test_a_pair_with_a_million_attempts_is_in_no_single_row(spark):
