@@ -95,3 +95,15 @@ def test_delta_of_learners_with_shared_courses(spark):
     # rows that are new come out of arrays: nothing is shuffled after that
     plan = df.filter("change = 'new'")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" in plan and "Join" not in plan.split("Generate explode")[0]
+
+
+def test_newest_rows_are_ranked_once_a_text(spark):
+    rows = spark.createDataFrame([(f"topic {k % 3} of {k}", k // 2) for k in range(90)], "content string, date int")
+    queries = spark.createDataFrame([(k, f"topic {k % 2}") for k in range(50)] + [(99, "nothing")], "query int, asked string")
+    got = {}
+    for r in text.newest_holding(rows, queries, 4).collect():
+        got.setdefault(r["query"], set()).add((r["content"], r["date"]))
+    for q in range(50):
+        held = sorted(((f"topic {k % 3} of {k}", k // 2) for k in range(90) if k % 3 == q % 2), key=lambda x: (-x[1], x[0]))
+        assert got[q] == set(held[:4])
+    assert 99 not in got
