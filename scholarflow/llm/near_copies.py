@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import compacted
 from .buckets import forest, small_pairs, stream
 from .common import block_pairs, checkpointed, components, flagged, packed, release_memory, unpacked, with_columns_from
 from .planes import planes_of, within
@@ -88,7 +89,8 @@ def sketch(text: str | None) -> tuple:
 def _texts(active: DataFrame, docs: DataFrame) -> DataFrame:
     """(cls, text) of the classes of `active` (cls, hash); only texts that may be needed are shuffled, one of each hash."""
     found = flagged(docs.select("text", F.xxhash64("text").alias("hash")), "hash", active.select("hash")).filter("maybe")
-    return checkpointed(found.select("text", "hash").dropDuplicates(["hash"]).join(active.select("hash", "cls"), "hash").select("cls", "text"))
+    texts = checkpointed(found.select("text", "hash").dropDuplicates(["hash"]).join(active.select("hash", "cls"), "hash").select("cls", "text"))
+    return compacted(texts, 64 + F.coalesce(F.length("text"), F.lit(0)))
 
 
 def _stars(stars: DataFrame, texts: DataFrame) -> DataFrame:
@@ -244,12 +246,12 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int
     With a column `parts` (2-byte parts of a MinHash fingerprint, `width` a band, 255 at most; the lowest bits of a key are its band's number), only texts
     with a partner that has `likely` equal parts, and meets them in this block first, are compared whole; the others' texts don't move.
     """
-    active = checkpointed(members.groupBy("cls").agg(F.sum("k").alias("met")).join(classes, "cls"))
-    members = checkpointed(members.select("key", "cls").join(active.select("cls", "met", "n", "fp"), "cls"))
+    active = compacted(checkpointed(members.groupBy("cls").agg(F.sum("k").alias("met")).join(classes, "cls")), 512)
+    members = compacted(checkpointed(members.select("key", "cls").join(active.select("cls", "met", "n", "fp"), "cls")), 64)
     centre = members.groupBy("key").agg(F.max(F.struct("met", "cls", "n", "fp")).alias("c"))
     held = members.join(centre, "key").filter("cls <> c.cls")
     held = held.filter((F.least("n", "c.n") * DEN >= F.greatest("n", "c.n") * NUM) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= RADIUS))
-    stars = checkpointed(held.groupBy("cls").agg(F.max(F.struct("c.met", "c.cls")).alias("c")).select(F.col("c.cls").alias("a"), F.col("cls").alias("b")))
+    stars = compacted(checkpointed(held.groupBy("cls").agg(F.max(F.struct("c.met", "c.cls")).alias("c")).select(F.col("c.cls").alias("a"), F.col("cls").alias("b"))), 32)
     texts = _texts(active.select("cls", "hash"), docs)
     links = _stars(stars, texts)
     roots = components(links)
@@ -258,7 +260,7 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int
     unjoined = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     rest = placed.join(unjoined, "key")
     if "parts" in classes.columns:
-        rest = checkpointed(rest)
+        rest = compacted(checkpointed(rest), 32)
         some = block_pairs(rest.join(active.select("cls", "parts"), "cls"), "key", F.xxhash64("cls"), 8 * BLOCK)
         some = some.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
 
@@ -266,9 +268,9 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int
             yield from stream(batches, ["key", "block_i", "block_j"], SMALL, partial(_with_partners, likely=likely, width=width))
 
         some = some.select("key", "block_i", "block_j", "own", "cls", "root", "parts").mapInPandas(run_parts, "key long, cls long")
-        rest = rest.join(checkpointed(some.distinct()), ["key", "cls"])
+        rest = rest.join(compacted(checkpointed(some.distinct()), 32), ["key", "cls"])
     rest = rest.join(active.select("cls", "n", "fp", "keys"), "cls")
-    dealt = block_pairs(checkpointed(rest), "key", F.xxhash64("cls"), BLOCK, 1 + F.floor(F.col("n") / 256)).join(texts, "cls")
+    dealt = block_pairs(compacted(checkpointed(rest), 512), "key", F.xxhash64("cls"), BLOCK, 1 + F.floor(F.col("n") / 256)).join(texts, "cls")
     dealt = dealt.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

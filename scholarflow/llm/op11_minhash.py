@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import compacted
 from .common import checkpointed, flagged, release_memory, table, written
 from .near_copies import BAND_BITS, SEED, SHINGLE, joined
 
@@ -173,7 +174,7 @@ def _followers(prints: DataFrame) -> DataFrame:
     """(uid, doc_id, hash, next_id, next_hash, right): each row's successor in the order of (doc_id, hash), the first after the last; right: the pass had it."""
     order = ["doc_id", "hash"]
     rows = prints.select("uid", *order, F.col("next_id").alias("had_id"), F.col("next_hash").alias("had_hash"))
-    rows = checkpointed(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("range")))
+    rows = compacted(checkpointed(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("range"))), 64)
     # one row a range
     firsts = rows.groupBy("range").agg(F.min(F.struct(*order)).alias("first")).orderBy("range").collect()
     ends = [(r["range"], after["first"]["doc_id"], after["first"]["hash"]) for r, after in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
@@ -204,10 +205,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     prints = written(rows.mapInArrow(_pass, FIELDS).withColumn("uid", F.monotonically_increasing_id()))
-    links = checkpointed(_followers(prints))
+    links = compacted(checkpointed(_followers(prints)), 64)
     wrong = links.filter("not right")
     key = ["link", "doc_id", "hash", "next_id", "next_hash"]
-    todo = checkpointed(wrong.select(*key).distinct())
+    todo = compacted(checkpointed(wrong.select(*key).distinct()), 64)
     marked = flagged(prints, "uid", wrong.select("uid"))
     good = marked.filter("not maybe").drop("maybe").unionByName(marked.filter("maybe").drop("maybe").join(wrong.select("uid"), "uid", "left_anti"))
 
@@ -222,8 +223,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         again = texts_of(todo).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pass, FIELDS)
         again = again.filter("edited_sha256 is not null").withColumn("link", F.xxhash64("doc_id", "hash", "next_id", "next_hash"))
         done.append(written(again))
-        todo = checkpointed(todo.join(done[0], _same(todo, done[0], *key), "left_anti"))
-    texts = checkpointed(texts_of(todo))
+        todo = compacted(checkpointed(todo.join(done[0], _same(todo, done[0], *key), "left_anti")), 64)
+    texts = compacted(checkpointed(texts_of(todo)), 64 + F.coalesce(F.length("text"), F.lit(0)))
     own, after = texts, texts.select(F.col("doc_id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("text").alias("next_text"))
     pairs = todo.join(own, _same(todo, own, "hash", "doc_id")).select(todo["*"], "text")
     pairs = pairs.join(after, _same(pairs, after, "next_hash", "next_id")).select(*[pairs[c] for c in key[1:]], "text", "next_text")
@@ -242,19 +243,19 @@ def near_classes(prints: DataFrame, docs: DataFrame) -> DataFrame:
     band = lambda k: F.xxhash64(F.substring("fingerprint", 2 * ROWS * k + 1, 2 * ROWS)).bitwiseAND(F.lit(~BAND_BITS)).bitwiseOR(F.lit(k))
     texts = prints.filter("n_shingles > 0").select(F.col("hash").alias("cls"), F.col("n_shingles").alias("n"), F.array(*map(band, range(BANDS))).alias("keys"), F.col("fingerprint").alias("parts"))
     members = texts.select("cls", F.explode("keys").alias("key"))
-    shared = checkpointed(members.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("key"))
+    shared = compacted(checkpointed(members.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("key")), 16)
     members = flagged(members, "key", shared).filter("maybe").drop("maybe").join(shared, "key").distinct()
-    members = checkpointed(members)
+    members = compacted(checkpointed(members), 32)
     members = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "key")
     active = members.select("cls").distinct()
     classes = flagged(texts, "cls", active).filter("maybe").drop("maybe").dropDuplicates(["cls"]).join(active, "cls")
-    classes = checkpointed(classes.withColumn("hash", F.col("cls")).withColumn("fp", F.lit(0).cast("long")))
+    classes = compacted(checkpointed(classes.withColumn("hash", F.col("cls")).withColumn("fp", F.lit(0).cast("long"))), 512)
     roots = joined(members, classes, docs, LIKELY, ROWS)
     of = prints.select("doc_id", "hash", F.when(F.col("n_shingles") == 0, 0).otherwise(F.col("hash")).alias("node"))
     of = of.groupBy("node", "hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")).join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    of = checkpointed(of.select("root", "hash", "doc_id", "rows"))
+    of = compacted(checkpointed(of.select("root", "hash", "doc_id", "rows")), 40)
     groups = of.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("rows")).filter("rows > 1")
-    return checkpointed(of.select("root", "hash").join(groups, "root").select("hash", "class_id"))
+    return compacted(checkpointed(of.select("root", "hash").join(groups, "root").select("hash", "class_id")), 24)
 
 
 def fingerprints_of_documents(docs: DataFrame) -> DataFrame:
