@@ -44,11 +44,10 @@ def release_memory() -> None:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, an Arrow batch holds `BATCH_BYTES` at most: texts can be long. The session's setting comes back."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """While it lasts, a setting of the session has another value; its own comes back."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -58,12 +57,27 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def _small_batches(spark: SparkSession):
+    """While it lasts, an Arrow batch holds `BATCH_BYTES` at most: texts can be long."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`store.checkpointed` with small Arrow batches."""
     with _small_batches(df.sparkSession):
         return store.checkpointed(df)
 
 
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """`df`, checkpointed and dealt by a column into the session's number of partitions: later joins on the column leave its rows where they lie.
+
+    A checkpoint that is taken under adaptive execution forgets how its rows were dealt, so this one is taken without.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with _setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
+        return checkpointed(df.repartition(parts, column))
+
+
 def written(df: DataFrame) -> DataFrame:
     """`store.written` with small Arrow batches."""
     with _small_batches(df.sparkSession):

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..store import compacted
 from .buckets import forest, small_pairs, stream
-from .common import block_pairs, checkpointed, components, flagged, packed, release_memory, unpacked, with_columns_from
+from .common import block_pairs, checkpointed, components, dealt, flagged, packed, release_memory, unpacked, with_columns_from
 from .planes import planes_of, within
 
 SEED, SHINGLE, BANDS, ROWS, RADIUS = 42, 5, 32, 4, 28
@@ -87,10 +87,14 @@ def sketch(text: str | None) -> tuple:
 
 
 def _texts(active: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, text) of the classes of `active` (cls, hash); only texts that may be needed are shuffled, one of each hash."""
-    found = flagged(docs.select("text", F.xxhash64("text").alias("hash")), "hash", active.select("hash")).filter("maybe")
-    texts = checkpointed(found.select("text", "hash").dropDuplicates(["hash"]).join(active.select("hash", "cls"), "hash").select("cls", "text"))
-    return compacted(texts, 64 + F.coalesce(F.length("text"), F.lit(0)))
+    """(cls, text) of the classes of `active` (cls, hash; without hash, cls is that of its text); only texts that may be needed are shuffled, one of each hash.
+
+    They are dealt by cls, so that later joins on cls leave them where they lie.
+    """
+    key = "hash" if "hash" in active.columns else "cls"
+    found = flagged(docs.select("text", F.xxhash64("text").alias(key)), key, active.select(key)).filter("maybe")
+    texts = found.select("text", key).dropDuplicates([key]).join(active.select(*dict.fromkeys((key, "cls"))), key).select("cls", "text")
+    return dealt(texts, "cls")
 
 
 def _stars(stars: DataFrame, texts: DataFrame) -> DataFrame:
@@ -242,7 +246,7 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int
     """(node, component) of the classes that verified links join.
 
     `members` (key, cls, k: members of the block) are the blocks of more than one class; `classes` has cls, hash (of one of its
-    texts in `docs`), n (shingles), fp and keys (in one order for all) of these classes at least. Equal fp pass every comparison of bits.
+    texts in `docs`; not needed if cls is that), n (shingles), fp and keys (in one order for all) of these classes at least. Equal fp pass every comparison of bits.
     With a column `parts` (2-byte parts of a MinHash fingerprint, `width` a band, 255 at most; the lowest bits of a key are its band's number), only texts
     with a partner that has `likely` equal parts, and meets them in this block first, are compared whole; the others' texts don't move.
     """
@@ -252,7 +256,7 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int
     held = members.join(centre, "key").filter("cls <> c.cls")
     held = held.filter((F.least("n", "c.n") * DEN >= F.greatest("n", "c.n") * NUM) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= RADIUS))
     stars = compacted(checkpointed(held.groupBy("cls").agg(F.max(F.struct("c.met", "c.cls")).alias("c")).select(F.col("c.cls").alias("a"), F.col("cls").alias("b"))), 32)
-    texts = _texts(active.select("cls", "hash"), docs)
+    texts = _texts(active.select(*[c for c in ("cls", "hash") if c in active.columns]), docs)
     links = _stars(stars, texts)
     roots = components(links)
     placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("root"))
@@ -261,7 +265,7 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int
     rest = placed.join(unjoined, "key")
     if "parts" in classes.columns:
         rest = compacted(checkpointed(rest), 32)
-        some = block_pairs(rest.join(active.select("cls", "parts"), "cls"), "key", F.xxhash64("cls"), 8 * BLOCK)
+        some = block_pairs(rest, "key", F.xxhash64("cls"), 8 * BLOCK).join(active.select("cls", "parts"), "cls")
         some = some.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
 
         def run_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,15 +273,15 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int
 
         some = some.select("key", "block_i", "block_j", "own", "cls", "root", "parts").mapInPandas(run_parts, "key long, cls long")
         rest = rest.join(compacted(checkpointed(some.distinct()), 32), ["key", "cls"])
-    rest = rest.join(active.select("cls", "n", "fp", "keys"), "cls")
-    dealt = block_pairs(compacted(checkpointed(rest), 512), "key", F.xxhash64("cls"), BLOCK, 1 + F.floor(F.col("n") / 256)).join(texts, "cls")
-    dealt = dealt.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
+    rest = compacted(checkpointed(rest.join(active.select("cls", "n"), "cls")), 40)
+    blocks = block_pairs(rest, "key", F.xxhash64("cls"), BLOCK, 1 + F.floor(F.col("n") / 256)).join(active.select("cls", "fp", "keys"), "cls").join(texts, "cls")
+    blocks = blocks.repartition("key", "block_i", "block_j").sortWithinPartitions("key", "block_i", "block_j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from stream(batches, ["key", "block_i", "block_j"], SMALL, _links)
         release_memory()
 
-    more = dealt.select("key", "block_i", "block_j", "own", "cls", "root", "n", "fp", "keys", "text").mapInPandas(run, "a long, b long")
+    more = blocks.select("key", "block_i", "block_j", "own", "cls", "root", "n", "fp", "keys", "text").mapInPandas(run, "a long, b long")
     return components(links.unionByName(checkpointed(more)))
 
 

@@ -249,7 +249,7 @@ def near_classes(prints: DataFrame, docs: DataFrame) -> DataFrame:
     members = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "key")
     active = members.select("cls").distinct()
     classes = flagged(texts, "cls", active).filter("maybe").drop("maybe").dropDuplicates(["cls"]).join(active, "cls")
-    classes = compacted(checkpointed(classes.withColumn("hash", F.col("cls")).withColumn("fp", F.lit(0).cast("long"))), 512)
+    classes = compacted(checkpointed(classes.withColumn("fp", F.lit(0).cast("long"))), 512)
     roots = joined(members, classes, docs, LIKELY, ROWS)
     of = prints.select("doc_id", "hash", F.when(F.col("n_shingles") == 0, 0).otherwise(F.col("hash")).alias("node"))
     of = of.groupBy("node", "hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")).join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
