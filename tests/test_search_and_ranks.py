@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,33 @@ def test_materials_come_back_whole(spark):
         tables.write_materials(rows.withColumn("filename", F.lit("../x")), where)
 
 
+def test_archived_materials_are_those_of_loose_files_in_few_files(spark):
+    texts = {"a_b.md": "# One\n\ntwo\r\nthree \u00e4\n", "long.md": "x y\n" * 50_000, "\u00e4 +%20-c.md": "\ufeffz", "n" * 150 + ".md": "\u6f22"}
+    rows = spark.createDataFrame([(c, k, v) for c in ("Course 1", "\u00d6") for k, v in texts.items()], "course string, filename string, content string")
+    loose = new_folder(spark, "materials-test")
+    tables.write_materials(rows, loose)
+    want = sorted(map(tuple, tables.materials(spark, loose).collect()))
+    for size, most in ((1 << 20, 2), (1000, 8)):
+        archives = tables.archive_materials(rows.repartition(2), new_folder(spark, "archives-test"), size)
+        assert archives.count() <= most and archives.agg(F.sum("n")).first()[0] == len(want) == 8
+        assert sorted(map(tuple, tables.archived_materials(archives).collect())) == want
+    odd = tables.archive_materials(spark.createDataFrame([("", "a.md", None), ("c", "b.md", "")], rows.schema), new_folder(spark, "archives-test"))
+    assert {(r["course_id"], r["filename"], r["content"]) for r in tables.archived_materials(odd).collect()} == {("", "a.md", ""), ("c", "b.md", "")}
+    for bad in ("../x", "", None):
+        with pytest.raises(Exception, match="no file name"):
+            tables.archive_materials(rows.withColumn("filename", F.lit(bad).cast("string")), new_folder(spark, "archives-test"))
+
+
+def test_the_query_of_materials_opens_no_file_a_document(spark, sf_dir):
+    import __spark_entry__ as entry
+    from scholarflow.store import shared_folder
+
+    before = {p for p in Path(shared_folder(spark).removeprefix("file:")).glob("materials-*/**/*") if p.is_file()}
+    rows = entry.queries()["src_materials"](spark, sf_dir).count()
+    made = {p for p in Path(shared_folder(spark).removeprefix("file:")).glob("materials-*/**/*") if p.is_file()} - before
+    assert 0 < len(made) < 50 < rows
+
+
 @pytest.mark.parametrize("hot", [0.1, 0.97])
 def test_ranks_of_a_hot_key(spark, hot):
     import pandas as pd
