@@ -8,7 +8,7 @@ probability (1 - 0.8 ** 4) ** 32, about 5e-8, a more similar one still less ofte
 
 1. Texts with equal sets are one class. Blocks of one class are dropped before anything else moves.
 2. Each class is held against one centre, the member of its blocks that most other blocks share (the
-   original, where copies were made of one): fingerprints first, then the two sets.
+   original, where copies were made of one): the bit planes of their fingerprints first, then the two sets.
 3. Blocks with classes that no link has joined yet are compared whole: bit planes give the pairs within the
    radius (`planes.within`), each pair in the first block where it meets only, and the sets decide.
 
@@ -97,6 +97,14 @@ def _texts(active: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt(texts, "cls")
 
 
+def _near_centres(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows whose differences (bits) from their centre are within the radius, by the planes of the differences against a query of zero."""
+    for batch in batches:
+        if len(batch):
+            _, c = within(planes_of(batch["bits"].to_numpy()), np.zeros(1, np.uint64), RADIUS)
+            yield batch.iloc[c[c < len(batch)]]
+
+
 def _stars(stars: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of `stars` that are similar: the text of each centre a goes before those of at most about `STAR` of its members b."""
     parts = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
@@ -254,8 +262,11 @@ def joined(members: DataFrame, classes: DataFrame, docs: DataFrame, likely: int
     members = compacted(checkpointed(members.select("key", "cls").join(active.select("cls", "met", "n", "fp"), "cls")), 64)
     centre = members.groupBy("key").agg(F.max(F.struct("met", "cls", "n", "fp")).alias("c"))
     held = members.join(centre, "key").filter("cls <> c.cls")
-    held = held.filter((F.least("n", "c.n") * DEN >= F.greatest("n", "c.n") * NUM) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= RADIUS))
-    stars = compacted(checkpointed(held.groupBy("cls").agg(F.max(F.struct("c.met", "c.cls")).alias("c")).select(F.col("c.cls").alias("a"), F.col("cls").alias("b"))), 32)
+    held = held.filter(F.least("n", "c.n") * DEN >= F.greatest("n", "c.n") * NUM)
+    held = held.select("cls", F.col("fp").bitwiseXOR(F.col("c.fp")).alias("bits"), F.col("c.met").alias("met"), F.col("c.cls").alias("centre"))
+    if "parts" not in classes.columns:
+        held = held.mapInPandas(_near_centres, held.schema)
+    stars = compacted(checkpointed(held.groupBy("cls").agg(F.max(F.struct("met", "centre")).alias("c")).select(F.col("c.centre").alias("a"), F.col("cls").alias("b"))), 32)
     texts = _texts(active.select(*[c for c in ("cls", "hash") if c in active.columns]), docs)
     links = _stars(stars, texts)
     roots = components(links)

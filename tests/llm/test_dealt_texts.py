@@ -1,7 +1,9 @@
-"""Texts that near copies need are dealt once, and joins on their class leave them there."""
+"""Texts that near copies need are dealt once, and joins on their class leave them there; centres are compared by bit planes."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,3 +29,12 @@ def test_joins_on_the_class_leave_texts_where_they_lie(spark, own):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     want = {t for (t,) in docs.distinct().collect()}
     assert {r["text"] for r in met.collect()} == want and texts.count() == 100
+
+
+def test_centres_are_compared_by_bit_planes():
+    bits = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 1001, np.int64)
+    bits[:3] = 0, (1 << near_copies.RADIUS) - 1, (1 << near_copies.RADIUS + 1) - 1
+    rows = pd.DataFrame({"cls": np.arange(1001), "bits": bits})
+    got = pd.concat(near_copies._near_centres(iter([rows[:1000], rows[:0], rows[1000:]])))
+    want = [k for k, x in enumerate(bits.tolist()) if (x & (1 << 64) - 1).bit_count() <= near_copies.RADIUS]
+    assert sorted(got["cls"]) == want and 2 not in want and len(want) > 50
